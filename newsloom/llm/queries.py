@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.language_id import identify
 from newsloom.llm.license_scan import scan_licenses
+from newsloom.llm.minhash_dedup import near_duplicates
 from newsloom.llm.mixing import document_rates
 from newsloom.llm.quality_rules import judge
 from newsloom.llm.sentencepiece_codec import encode_documents
@@ -58,6 +59,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -66,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
