@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.embedding_dedup import similar_vectors
 from newsloom.llm.language_id import identify
 from newsloom.llm.license_scan import scan_licenses
+from newsloom.llm.lm_scoring import score_documents
 from newsloom.llm.minhash_dedup import near_duplicates
 from newsloom.llm.mixing import document_rates
 from newsloom.llm.quality_rules import judge
@@ -64,6 +65,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -77,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
