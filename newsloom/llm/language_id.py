@@ -180,3 +180,21 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1, **options) -> DataF
     """Fit on the rows outside the held-out fold and predict all: doc_id, held_out, lang_pred, score."""
     out = predict(docs, fit(docs.where(~in_fold(F.col("doc_id"), folds, held)), **options))
     return out.select("doc_id", in_fold(F.col("doc_id"), folds, held).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that some learnt language claims: not `und`, and score above least_score.
+
+    Below 0.5 every one-against-rest output is negative.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                names, scores = shared.value.predict(part.column(at).to_pylist())
+                yield part.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -223,3 +223,15 @@ def rate_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     """Fit on labelled rows outside the held-out fold and score all: doc_id, held_out, score, predicted."""
     out = score(docs, fit(docs, labels.where(~in_fold(F.col("doc_id"), folds, held)), **options))
     return out.select("doc_id", in_fold(F.col("doc_id"), folds, held).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
