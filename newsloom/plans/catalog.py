@@ -180,7 +180,7 @@ def fn_22(spark, sf_dir):
 @query(
     "fn_23_language_signal",
     rf"""SELECT claim_id, least(100, greatest(5, 85 - 12 * ({_any("lower(claim_text)", lex.HEDGE_TERMS)}) - 18 * ({_any("lower(claim_text)", lex.SENSATION_TERMS)})
-    - CASE WHEN regexp_matches(lower(claim_text), '(^|[^\p{L}\p{N}_])(i|we|my|our|you)([^\p{L}\p{N}_]|$)') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(claim_text, '[0-9]') THEN 5 ELSE 0 END
+    - CASE WHEN regexp_matches(lower(claim_text), '(^|[^\p{{L}}\p{{N}}_])(i|we|my|our|you)([^\p{{L}}\p{{N}}_]|$)') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(claim_text, '[0-9]') THEN 5 ELSE 0 END
     - CASE WHEN len(regexp_extract_all(claim_text, '\S+')) < 6 THEN 10 ELSE 0 END)) / 100.0::DOUBLE AS signal FROM claims""",
 )
 def fn_23(spark, sf_dir):
