@@ -36,6 +36,8 @@ EQUIVALENT = [
     ("copyright owner", "copyright holder"),
     ("&", " and "),
 ]
+#: White space and punctuation, which become one blank.
+PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}\x{2026}]+"
 MAX_KNOWN = 20_000
 
 
@@ -43,7 +45,7 @@ def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     for left, right in EQUIVALENT:
         out = F.replace(out, F.lit(left), F.lit(right))
-    return F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F «»‐-―‘-‟•…]+", " "))
+    return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
 
 
 def digest(text: Column) -> Column:
