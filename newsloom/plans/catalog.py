@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
 from newsloom.operators import aggregates as agg
-from newsloom.operators import alerts, evaluation, graph, listing, merging, ranking
+from newsloom.operators import alerts, evaluation, graph, listing, merging, neardup, ranking, vectors, verdicts
 from newsloom.sources import domain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -721,3 +721,264 @@ def al_1(spark, sf_dir):
 )
 def al_2(spark, sf_dir):
     return alerts.snapshot_alerts(_alert_counts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def _vectors(spark, sf_dir):
+    return domain.table(spark, sf_dir, "embeddings").where("embedding is not null")
+
+
+_COS = "list_cosine_similarity(list_transform({}, lambda x: x::DOUBLE), list_transform({}, lambda x: x::DOUBLE))"
+
+
+@query(
+    "jn_5_nearest_of_chosen",
+    f"""SELECT q, id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM (
+    SELECT x.vec_id AS q, y.vec_id AS id, {_COS.format("x.embedding", "y.embedding")} AS score FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0)) WHERE r <= 4 AND score >= 0.2""",
+)
+def jn_5(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    found = vectors.nearest(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 4)
+    return found.where("score >= 0.2").select("q", "id", F.round("score", 5).alias("score"))
+
+
+@query(
+    "jn_8_neighbour_edges",
+    f"""SELECT least(q, id) AS a, greatest(q, id) AS b, round(max(score), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM (
+    SELECT x.vec_id AS q, y.vec_id AS id, {_COS.format("x.embedding", "y.embedding")} AS score FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0)) WHERE r <= 5 GROUP BY 1, 2""",
+)
+def jn_8(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    found = vectors.nearest(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 5)
+    return vectors.undirected_best(found)
+
+
+@query("fn_19_cosine_of_relations", f"SELECT r.a, r.b, round({_COS.format('x.embedding', 'y.embedding')}, 6) AS cosine FROM article_edges r JOIN embeddings x ON x.vec_id = r.a JOIN embeddings y ON y.vec_id = r.b")
+def fn_19(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    pairs = domain.article_edges(spark, sf_dir).join(rows.toDF("a", "x"), "a").join(rows.toDF("b", "y"), "b")
+    return pairs.select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+_LAG = 7 * 86_400
+_CAND = f""", tv AS (SELECT v.vec_id AS id, v.label AS topic, a.published_s AS t, v.embedding AS e, a.title FROM embeddings v JOIN articles a ON a.article_id = v.vec_id WHERE a.published_s IS NOT NULL AND v.label IS NOT NULL),
+cand AS (SELECT * FROM (SELECT c.id AS child, p.id AS parent, {_COS.format("c.e", "p.e")} AS score, lower(array_to_string(regexp_extract_all(c.title, '{_TOKEN}'), ' ')) <> lower(array_to_string(regexp_extract_all(p.title, '{_TOKEN}'), ' ')) AS meaningful
+  FROM tv c JOIN tv p ON c.topic = p.topic AND p.t < c.t AND p.t >= c.t - {_LAG} AND c.id <> p.id) WHERE score >= 0.1)"""
+
+
+def _candidates(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).join(domain.articles(spark, sf_dir).select(F.col("article_id").alias("vec_id"), "published_s", "title"), "vec_id")
+    rows = rows.select(F.col("vec_id").alias("id"), F.col("label").alias("topic"), "published_s", F.col("embedding").alias("v"), "title")
+    return rows, vectors.earlier_candidates(rows, _LAG, 0.1)
+
+
+@query("jn_6_earlier_in_topic", f"{_CAND} SELECT child, parent, round(score, 6) AS score FROM cand")
+def jn_6(spark, sf_dir):
+    return _candidates(spark, sf_dir)[1].select("child", "parent", F.round("score", 6).alias("score"))
+
+
+@query("jn_7_best_earlier_parent", f"{_CAND} SELECT child, parent, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY score DESC, parent) AS r FROM cand) WHERE r = 1")
+def jn_7(spark, sf_dir):
+    return ranking.first_per_key(_candidates(spark, sf_dir)[1], ["child"], [F.desc("score"), "parent"]).select("child", "parent", F.round("score", 6).alias("score"))
+
+
+@query(
+    "pl_7_mutation_edges",
+    f"""{_CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY score DESC, parent) AS place FROM cand), f AS (SELECT *, min(CASE WHEN meaningful AND score >= 0.3 THEN place END) OVER (PARTITION BY child) AS first FROM r WHERE place <= 50)
+    SELECT child, parent, kind, round(score, 4) AS score FROM (SELECT *, CASE WHEN place = first THEN 'EVOLVED_FROM' WHEN score >= 0.2 THEN 'SIMILAR_TO' END AS kind FROM f) WHERE kind IS NOT NULL""",
+)
+def pl_7(spark, sf_dir):
+    rows, found = _candidates(spark, sf_dir)
+    title = rows.select("id", F.array_join(tx.tokens(F.col("title")), " ").alias("t"))
+    changed = found.select("child", "parent").join(title.toDF("child", "x"), "child").join(title.toDF("parent", "y"), "parent").select("child", "parent", (F.col("x") != F.col("y")).alias("meaningful"))
+    return vectors.mutation_edges(found, changed, 0.3, 0.2)
+
+
+@query(
+    "pl_15_semantic_search",
+    f"""SELECT q, id, round(score, 4) AS score, r AS place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS r FROM (
+    SELECT x.vec_id AS q, y.vec_id AS id, {_COS.format("x.embedding", "y.embedding")} AS score FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0)) WHERE r <= 10""",
+)
+def pl_15(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    found = vectors.nearest(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
+    return found.select("q", "id", F.round("score", 4).alias("score"), "place")
+
+
+# ---------------------------------------------------------------- claims and verdicts
+
+
+_ENT = r""", ent AS (SELECT claim_id, unnest(list_concat(list_transform(regexp_extract_all(claim_text, '\$[0-9]+(?:[.,][0-9]+)*'), lambda x: {'t': x, 'k': 'MONEY'}), list_transform(regexp_extract_all(claim_text, '[0-9]+(?:\.[0-9]+)?%'), lambda x: {'t': x, 'k': 'PERCENT'}),
+  list_transform(regexp_extract_all(claim_text, '\b(?:19|20)[0-9]{2}\b'), lambda x: {'t': x, 'k': 'DATE'}), list_transform(regexp_extract_all(claim_text, '[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})+'), lambda x: {'t': x, 'k': 'NAME'}))) AS e FROM claims),
+esig AS (SELECT c.claim_id, count(e.e) AS total, count(*) FILTER (WHERE e.e.k IN ('MONEY', 'PERCENT', 'DATE')) AS strong FROM claims c LEFT JOIN ent e USING (claim_id) GROUP BY c.claim_id),
+entity AS (SELECT *, CASE WHEN total = 0 THEN 0.3 WHEN strong = 0 THEN 0.45 ELSE least(100, 55 + 15 * strong) / 100.0::DOUBLE END::DOUBLE AS signal FROM esig)"""
+
+
+@query("fn_15_entity_rows", _ENT + " SELECT claim_id, e.t AS entity_text, e.k AS entity_type FROM ent")
+def fn_15(spark, sf_dir):
+    return verdicts.entity_rows(domain.claims(spark, sf_dir))
+
+
+@query("fn_24_entity_signal", _ENT + " SELECT claim_id, total, strong, signal FROM entity")
+def fn_24(spark, sf_dir):
+    rows = domain.claims(spark, sf_dir)
+    return verdicts.entity_signal(rows, verdicts.entity_rows(rows))
+
+
+_EVID = """, evid AS (SELECT r.from_id AS claim_id, c.domain, 'g' || (r.to_id // 16) AS syndication_group, CASE r.to_id % 5 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'neutral' ELSE 'entailment' END AS stance FROM (SELECT from_id, to_id FROM relations UNION ALL SELECT claim_id, claim_id + 40 FROM claims) r JOIN claims c ON c.claim_id = r.to_id),
+once AS (SELECT e.claim_id, e.syndication_group, e.stance, min(e.domain) AS domain FROM evid e JOIN claims c USING (claim_id) WHERE e.domain <> c.domain GROUP BY ALL),
+cnt AS (SELECT claim_id, count(DISTINCT CASE WHEN stance = 'entailment' THEN domain END) AS support, count(DISTINCT CASE WHEN stance = 'contradiction' THEN domain END) AS against FROM once GROUP BY claim_id),
+corr AS (SELECT claim_id, support, against, round(CASE WHEN support = 0 THEN 0.3 ELSE 0.35 + 0.65 * (1 - exp(-support / 1.5::DOUBLE)) END, 3)::DOUBLE AS corroboration, round(0.5 - 0.5 * CASE WHEN support + against > 0 THEN against / (support + against)::DOUBLE ELSE 0.0 END, 3)::DOUBLE AS contradiction
+  FROM (SELECT claim_id, coalesce(support, 0) AS support, coalesce(against, 0) AS against FROM claims LEFT JOIN cnt USING (claim_id)))"""
+
+
+def _evidence(spark, sf_dir):
+    """Evidence rows from relations and later claims; the stance is a stand-in by id, as no stance model is at hand."""
+    claim = domain.claims(spark, sf_dir)
+    pairs = domain.relations(spark, sf_dir).select(F.col("from_id").alias("c"), F.col("to_id").alias("claim_id")).union(claim.select(F.col("claim_id").alias("c"), F.col("claim_id") + 40))
+    stance = F.expr("case claim_id % 5 when 0 then 'contradiction' when 1 then 'neutral' else 'entailment' end")
+    rows = pairs.join(claim.select("claim_id", "domain"), "claim_id")
+    return rows.select(F.col("c").alias("claim_id"), "domain", F.concat(F.lit("g"), F.floor(F.col("claim_id") / 16).cast("string")).alias("syndication_group"), stance.alias("stance"))
+
+
+@query("pl_9_assessment", _EVID + " SELECT claim_id, CASE WHEN s AND c THEN 'mixed' WHEN c THEN 'contradict' WHEN s THEN 'support' ELSE 'insufficient' END AS assessment FROM (SELECT claim_id, bool_or(stance = 'entailment') AS s, bool_or(stance = 'contradiction') AS c FROM evid GROUP BY claim_id)")
+def pl_9(spark, sf_dir):
+    return verdicts.assessment(_evidence(spark, sf_dir))
+
+
+@query("pl_11_corroboration", _EVID + " SELECT claim_id, support, against, corroboration, contradiction FROM corr")
+def pl_11(spark, sf_dir):
+    return verdicts.corroboration(domain.claims(spark, sf_dir), _evidence(spark, sf_dir))
+
+
+_PRIORS = ", priors AS (SELECT domain, count(*) FILTER (WHERE verdict IN ('SUPPORTED', 'PARTIALLY_SUPPORTED')) AS supported, count(*) AS checked FROM claims WHERE verdict IS NOT NULL AND domain <> 'src3.example' GROUP BY domain), track AS (SELECT claim_id, round(coalesce((supported + 2) / (checked + 4)::DOUBLE, 0.5), 6)::DOUBLE AS signal FROM claims LEFT JOIN priors USING (domain))"
+
+
+def _priors(spark, sf_dir):
+    rows = domain.claims(spark, sf_dir).where("verdict is not null and domain <> 'src3.example'")
+    return rows.groupBy("domain").agg(F.count_if(F.col("verdict").isin("SUPPORTED", "PARTIALLY_SUPPORTED")).alias("supported"), F.count("*").alias("checked"))
+
+
+@query("pl_12_track_record", _PRIORS + " SELECT claim_id, signal FROM track")
+def pl_12(spark, sf_dir):
+    return verdicts.track_record(domain.claims(spark, sf_dir), _priors(spark, sf_dir))
+
+
+def _language_sql() -> str:
+    return ORACLE_SQL["fn_23_language_signal"].split(domain.VIEWS_SQL.strip())[1].strip()
+
+
+@query(
+    "pl_14_verdict_batch",
+    f"""{_ENT}{_EVID}{_PRIORS}, lang AS ({_language_sql()}),
+    sig AS (SELECT claim_id, 0.4 AS w, corroboration AS v FROM corr UNION ALL SELECT claim_id, 0.2, contradiction FROM corr UNION ALL SELECT claim_id, 0.15, signal FROM track UNION ALL SELECT claim_id, 0.15, signal FROM entity UNION ALL SELECT claim_id, 0.1, signal FROM lang),
+    pooled AS (SELECT claim_id, round(least(0.98, greatest(0.02, 1 / (1 + exp(-x)))), 4) AS probability FROM (SELECT claim_id, sum(w::DOUBLE * ln(h / (1 - h))) / sum(w::DOUBLE) AS x FROM (SELECT claim_id, w, least(0.99, greatest(0.01, v)) AS h FROM sig) GROUP BY claim_id))
+    SELECT claim_id, probability, CASE WHEN against > 0 THEN CASE WHEN probability < 0.45 THEN 'DISPUTED' ELSE 'UNRESOLVED' END WHEN NOT support > 0 THEN CASE WHEN probability >= 0.38 THEN 'UNRESOLVED' ELSE 'UNSUPPORTED' END
+      WHEN probability >= 0.72 THEN 'SUPPORTED' WHEN probability >= 0.55 THEN 'PARTIALLY_SUPPORTED' WHEN probability >= 0.38 THEN 'UNRESOLVED' ELSE 'WEAKLY_CORROBORATED' END AS band FROM pooled JOIN corr USING (claim_id)""",
+)
+def pl_14(spark, sf_dir):
+    return verdicts.score_claims(domain.claims(spark, sf_dir), _evidence(spark, sf_dir), _priors(spark, sf_dir))
+
+
+@query(
+    "pl_8_evidence_passage",
+    f"""SELECT article_id, claim_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY overlap DESC, claim_id) AS r FROM (
+    SELECT c.article_id, c.claim_id, CAST(len(list_intersect(list_filter({_SET.format("a.title")}, lambda t: length(t) >= 3), {_SET.format("c.claim_text")})) AS BIGINT) AS overlap FROM claims c JOIN articles a USING (article_id))) WHERE r = 1""",
+)
+def pl_8(spark, sf_dir):
+    return verdicts.evidence_passage(domain.claims(spark, sf_dir), domain.articles(spark, sf_dir))
+
+
+@query("pl_5_text_change")
+def pl_5(spark, sf_dir):
+    text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
+    pairs = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "b"), "from_id").join(text.toDF("to_id", "a"), "to_id")
+    return verdicts.text_change(pairs).select("from_id", "to_id", "types", F.round("overlap", 6).alias("overlap"), "meaningful")
+
+
+@query("pl_17_topic_timeline", "SELECT topic_id, CAST(count(*) AS INTEGER) AS n, string_agg(claim_id::VARCHAR, ',' ORDER BY published_s, claim_id) AS claim_ids FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY published_s, claim_id) AS r FROM claims WHERE topic_id >= 0 AND published_s IS NOT NULL) WHERE r <= 50 GROUP BY topic_id HAVING count(*) >= 2")
+def pl_17(spark, sf_dir):
+    rows = domain.claims(spark, sf_dir).where("topic_id >= 0 and published_s is not null")
+    from pyspark.sql import Window as W
+
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("topic_id").orderBy("published_s", "claim_id"))).where("r <= 50")
+    lists = first.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("published_s", "claim_id"))).alias("x")).where(F.size("x") >= 2)
+    return lists.select("topic_id", F.size("x").alias("n"), F.array_join(F.transform("x", lambda e: e["claim_id"].cast("string")), ",").alias("claim_ids"))
+
+
+# ---------------------------------------------------------------- more joins, windows, sets and alerts
+
+
+@query("jn_10_near_duplicates", None)
+def jn_10(spark, sf_dir):
+    return neardup.near_duplicates(domain.articles(spark, sf_dir).select(F.col("article_id").alias("id"), F.col("content").alias("text"), F.col("collected_s").alias("at_s")))
+
+
+@query("win_2_canonical_pair_key", "SELECT from_id, to_id, CASE WHEN row_number() OVER (PARTITION BY least(from_id, to_id), greatest(from_id, to_id) ORDER BY from_id, to_id) = 1 THEN least(from_id::VARCHAR, to_id::VARCHAR) || ':' || greatest(from_id::VARCHAR, to_id::VARCHAR) END AS key FROM (SELECT from_id, to_id FROM relations UNION ALL SELECT to_id, from_id FROM relations)")
+def win_2(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    rows = domain.relations(spark, sf_dir).select("from_id", "to_id")
+    rows = rows.union(rows.select("to_id", "from_id"))
+    first = F.row_number().over(W.partitionBy(F.least("from_id", "to_id"), F.greatest("from_id", "to_id")).orderBy("from_id", "to_id")) == 1
+    return rows.select("from_id", "to_id", F.when(first, tx.pair_key(F.col("from_id"), F.col("to_id"))).alias("key"))
+
+
+@query("win_11_latest_run", "SELECT user_id, max_by(event_id, (at_s, event_id)) AS event_id, max(at_s) AS at_s FROM ev GROUP BY user_id")
+def win_11(spark, sf_dir):
+    return domain.events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_id", F.struct("at_s", "event_id")).alias("event_id"), F.max("at_s").alias("at_s"))
+
+
+@query("set_1_root_and_neighbours", f", {_BOTH} SELECT DISTINCT node FROM (SELECT doc_id AS node FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT b FROM both_ways WHERE a % 50 = 0)")
+def set_1(spark, sf_dir):
+    roots = domain.table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("node"))
+    near = graph.both_ways(domain.article_edges(spark, sf_dir)).where("a % 50 = 0").select(F.col("b").alias("node"))
+    return roots.union(near).distinct()
+
+
+_ALERTS = ", old AS (SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS subject_key, min(at_s) AS first_seen_s, max(at_s) AS last_seen_s, min(CASE WHEN event_id % 4 = 0 THEN at_s END) AS acknowledged_s FROM ev WHERE event_id % 2 = 0 GROUP BY ALL), new AS (SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS subject_key, min(at_s) AS first_seen_s, max(at_s) AS last_seen_s FROM ev WHERE event_id % 2 = 1 GROUP BY ALL)"
+
+
+def _alert_tables(spark, sf_dir):
+    rows = domain.events(spark, sf_dir).withColumns({"kind": F.col("event_type"), "subject_key": F.col("user_id").cast("string")})
+    group = lambda df: df.groupBy("kind", "subject_key").agg(F.min("at_s").alias("first_seen_s"), F.max("at_s").alias("last_seen_s"), F.min(F.when(F.col("event_id") % 4 == 0, F.col("at_s"))).alias("acknowledged_s"))
+    return group(rows.where("event_id % 2 = 0")), group(rows.where("event_id % 2 = 1")).drop("acknowledged_s").withColumn("acknowledged_s", F.lit(None).cast("long"))
+
+
+@query("set_5_alert_upsert", f"{_ALERTS} SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.subject_key, n.subject_key) AS subject_key, coalesce(n.last_seen_s, o.last_seen_s) AS last_seen_s, coalesce(o.first_seen_s, n.first_seen_s) AS first_seen_s, o.acknowledged_s FROM old o FULL JOIN new n ON o.kind = n.kind AND o.subject_key = n.subject_key")
+def set_5(spark, sf_dir):
+    old, new = _alert_tables(spark, sf_dir)
+    return merging.upsert(old, new, ["kind", "subject_key"], ["last_seen_s"], ["first_seen_s", "acknowledged_s"])
+
+
+@query("al_4_alert_feed", f"{_ALERTS} SELECT kind, subject_key, last_seen_s FROM old WHERE acknowledged_s IS NULL ORDER BY last_seen_s DESC, kind, subject_key LIMIT 40")
+def al_4(spark, sf_dir):
+    old, _ = _alert_tables(spark, sf_dir)
+    return old.where("acknowledged_s is null").orderBy(F.desc("last_seen_s"), "kind", "subject_key").limit(40).select("kind", "subject_key", "last_seen_s")
+
+
+@query("al_5_acknowledge_first_wins", f"{_ALERTS} SELECT o.kind, o.subject_key, coalesce(o.acknowledged_s, n.last_seen_s) AS acknowledged_s FROM old o LEFT JOIN new n ON o.kind = n.kind AND o.subject_key = n.subject_key")
+def al_5(spark, sf_dir):
+    old, new = _alert_tables(spark, sf_dir)
+    asked = new.select("kind", "subject_key", F.col("last_seen_s").alias("asked_s"))
+    return old.join(asked, ["kind", "subject_key"], "left").select("kind", "subject_key", F.coalesce("acknowledged_s", "asked_s").alias("acknowledged_s"))
+
+
+@query("ev_22_errors", "SELECT gold, count(*) FILTER (WHERE hit <> gold) AS errors, coalesce(string_agg(CASE WHEN hit <> gold THEN pair_id::VARCHAR END, ',' ORDER BY pair_id), '') AS ids FROM (SELECT *, CAST(sim_score >= 0.6 AS INTEGER) AS hit FROM eval_pairs) GROUP BY gold")
+def ev_22(spark, sf_dir):
+    rows = domain.eval_pairs(spark, sf_dir).withColumn("hit", (F.col("sim_score") >= 0.6).cast("int"))
+    wrong = F.when(F.col("hit") != F.col("gold"), F.col("pair_id"))
+    lists = rows.groupBy("gold").agg(F.count(wrong).alias("errors"), F.sort_array(F.collect_list(wrong)).alias("x"))
+    return lists.select("gold", "errors", F.array_join(F.transform("x", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query("ev_27_extraction_metrics", f"SELECT tp, fp, fn, tn, {_PRF} FROM (SELECT count(*) FILTER (WHERE n > 1 AND quality = 1) AS tp, count(*) FILTER (WHERE n > 1 AND quality = 0) AS fp, count(*) FILTER (WHERE n <= 1 AND quality = 1) AS fn, count(*) FILTER (WHERE n <= 1 AND quality = 0) AS tn FROM (SELECT l.doc_id, l.quality, count(c.claim_id) AS n FROM labels l LEFT JOIN claims c ON c.article_id = l.doc_id GROUP BY ALL))")
+def ev_27(spark, sf_dir):
+    counts = domain.claims(spark, sf_dir).groupBy(F.col("article_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    rows = domain.table(spark, sf_dir, "labels").join(counts, "doc_id", "left").withColumn("hit", F.coalesce("n", F.lit(0)) > 1)
+    of = lambda hit, q: F.count_if((F.col("hit") == hit) & (F.col("quality") == q))
+    table = rows.agg(of(True, 1).alias("tp"), of(True, 0).alias("fp"), of(False, 1).alias("fn"), of(False, 0).alias("tn"))
+    parts = {"precision": evaluation.ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": evaluation.ratio(F.col("tp"), F.col("tp") + F.col("fn")), "f1": evaluation.ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))}
+    return table.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(n) for n, c in parts.items()])
