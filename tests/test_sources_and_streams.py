@@ -1,0 +1,99 @@
+"""Feed readers on small files, and streams against their batch forms."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.sources import domain, feeds
+from newsloom.streaming import jobs
+
+
+def put(tmp_path, name, text):
+    path = tmp_path / name
+    path.write_text(text)
+    return str(path)
+
+
+def test_rss_items(spark, tmp_path):
+    items = "".join(f"<item>{x}</item>" for x in ("<title>RSS 1</title><link>http://rss.com/1</link><description>one</description><pubDate>Tue, 14 Nov 2023 22:13:20 GMT</pubDate>", "<title> </title><link>http://rss.com/2</link>", "<title>RSS 3</title>"))
+    rows = feeds.read_rss(spark, put(tmp_path, "feed.xml", f"<rss><channel>{items}</channel></rss>")).collect()
+    assert [(r["title"], r["url"], r["content"]) for r in rows] == [("RSS 1", "http://rss.com/1", "one")]
+    assert rows[0]["published_at"].year == 2023
+
+
+def test_forum_posts(spark, tmp_path):
+    posts = [{"title": "Post 1", "permalink": "/r/x/1", "url": "http://else", "created_utc": 1700000000, "subreddit": "r/news"}, {"title": None, "url": "u"}, {"title": "Post 2", "url": "http://two", "subreddit": "/r/x"}]
+    rows = feeds.read_forum(spark, put(tmp_path, "list.json", json.dumps({"data": {"children": [{"data": p} for p in posts]}}))).orderBy("title").collect()
+    assert [(r["url"], r["source"]) for r in rows] == [("https://www.reddit.com/r/x/1", "news"), ("http://two", "x")]
+
+
+def test_news_articles(spark, tmp_path):
+    news = {"status": "ok", "articles": [{"title": "News 1", "url": "u1", "description": "d", "publishedAt": "2026-05-01T10:00:00Z"}, {"title": "[Removed]"}, {"title": None}]}
+    rows = feeds.read_news(spark, put(tmp_path, "news.json", json.dumps(news))).collect()
+    assert [(r["title"], r["content"], r["published_at"].month) for r in rows] == [("News 1", "d", 5)]
+    assert feeds.read_news(spark, put(tmp_path, "bad.json", json.dumps(news | {"status": "error"}))).count() == 0
+
+
+def test_article_csv(spark, tmp_path):
+    text = "url,source_url,source_name,source_type,title,word_count\n u1 ,s,S,rss,first,12\nu1,s,S,rss,second,3\n,s,S,rss,none,1\nu2,t,T,rss, ,1x\n"
+    articles, sources = feeds.read_article_csv(spark, put(tmp_path, "a.csv", text))
+    assert {(r["url"], r["title"], r["word_count"]) for r in articles.collect()} == {("u1", "first", 12), ("u2", None, None)}
+    assert {r["source_url"] for r in sources.collect()} == {"s", "t"}
+
+
+def test_records_and_export(spark, tmp_path):
+    lines = ['{"a": 1, "b": "x"}', '{"a": 1, "a": 2}', "[1]", "{bad", '{"a": 3, "b": "y"}']
+    records, rejected = feeds.read_records(spark, put(tmp_path, "r.jsonl", "\n".join(lines)), "a int, b string")
+    assert {tuple(r) for r in records.collect()} == {(1, "x"), (3, "y")} and rejected.count() == 3
+    manifest = feeds.write_records(records, str(tmp_path / "out"), "a").first()
+    assert manifest["n"] == 2
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).orderBy("value").collect()] == ['{"a":1,"b":"x"}', '{"a":3,"b":"y"}']
+    with pytest.raises(Exception, match="(?i)exist"):
+        feeds.write_records(records, str(tmp_path / "out"), "a")
+
+
+def test_statements(spark, tmp_path):
+    rows = feeds.read_statements_tsv(spark, put(tmp_path, "s.tsv", '1.json\ttrue\tHe said "no\n2.json\tfalse\tplain\n'))
+    assert rows.orderBy("id").first()["statement"] == 'He said "no'
+
+
+@pytest.fixture(scope="module")
+def arrived(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("events"))
+    rows = domain.table(spark, "/root/testdata/sf0.001", "events").withColumn("url", F.concat(F.lit("u"), F.col("event_id") % 300))
+    rows.repartition(3).write.mode("overwrite").parquet(folder)
+    return folder, rows
+
+
+def test_windowed_counts_equal_batch(spark, arrived):
+    folder, rows = arrived
+    stream = jobs.event_stream(spark, folder, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    found = jobs.drain(jobs.windowed_counts(stream, ["event_type"], "24 hours"), "complete", "counts")
+    batch = rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "24 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    assert found.exceptAll(batch).isEmpty() and batch.exceptAll(found).isEmpty()
+    surges = jobs.surges(batch, ["event_type"], 5)
+    assert surges.where("n < 5 or n < 2 * prior").isEmpty()
+    assert jobs.over_limit(batch, 10).where("n <= 10").isEmpty()
+
+
+def test_first_by_url(spark, arrived):
+    folder, rows = arrived
+    stream = jobs.event_stream(spark, folder, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    found = jobs.drain(jobs.first_by_url(stream, "60 days").select("url", "ts"), "append", "urls")
+    assert found.count() == found.select("url").distinct().count() == 300
+
+
+def test_alert_registry_equals_batch(spark, arrived):
+    folder, rows = arrived
+    stream = jobs.event_stream(spark, folder, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    named = stream.select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject_key"), "ts")
+    found = jobs.alert_registry(named).select("kind", "subject_key", "first_seen", "last_seen")
+    batch = rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject_key")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    assert found.exceptAll(batch).isEmpty() and batch.exceptAll(found).isEmpty()
+
+
+def test_late_and_unknown_times(spark):
+    rows = spark.sql("select 1 as id, timestamp '2024-01-01' as ts union all select 2, null union all select 3, timestamp '2030-01-01'")
+    usable, aside = jobs.split_late(rows, "2024-06-01")
+    assert [r["id"] for r in usable.collect()] == [1] and {r["reason"] for r in aside.collect()} == {"unknown time", "future time"}
