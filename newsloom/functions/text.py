@@ -164,3 +164,20 @@ def one_line(message: Column, limit: int = 200) -> Column:
 def csv_safe(cell: Column) -> Column:
     """Cells that a spreadsheet would run get a quote in front."""
     return F.regexp_replace(cell, r"^([=+\-@\t\r])", "'$1")
+
+
+def keyword_phrases(text: Column) -> Column:
+    """Distinct lower-case runs of words between function words."""
+    words = F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), "  ")
+    cut = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), " (" + "|".join(lex.STOP_WORDS) + ") ", "|")
+    parts = F.transform(F.split(cut, r"\|"), lambda p: F.trim(F.regexp_replace(p, " +", " ")))
+    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def three_classes(band: Column) -> Column:
+    return F.when(band.isin("SUPPORTED", "PARTIALLY_SUPPORTED"), "SUPPORTS").when(band == "DISPUTED", "REFUTES").when(band.isNotNull(), "NOT ENOUGH INFO")
+
+
+def first_json_number(known: Column, payload: Column, names: list[str]) -> Column:
+    """known, or the first of the JSON object's fields that is a whole number."""
+    return F.coalesce(known, *[F.get_json_object(payload, f"$.{n}").try_cast("long") for n in names])

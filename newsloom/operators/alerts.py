@@ -23,3 +23,11 @@ def snapshot_alerts(counts: DataFrame) -> DataFrame:
     total = raised.agg(F.count("*").alias("n"))
     quiet = quiet.crossJoin(total).where("n = 0").select("kind", "severity", F.lit(0).cast("long").alias("recent"), F.lit(0).cast("long").alias("prior"))
     return raised.union(quiet)
+
+
+def conditions(claims: DataFrame, relations: DataFrame) -> DataFrame:
+    """(claim_id, kind): disputed claims, supported ones, and those that evolved from another."""
+    evolved = relations.where("kind = 'EVOLVED_FROM'").select(F.col("from_id").alias("claim_id")).distinct().withColumn("evolved", F.lit(True))
+    rows = claims.select("claim_id", "verdict").join(evolved, "claim_id", "left")
+    kind = F.when(F.col("verdict") == "DISPUTED", "CONTRADICTION").when(F.col("verdict") == "SUPPORTED", "CORROBORATION").when(F.col("evolved"), "MUTATION")
+    return rows.select("claim_id", kind.alias("kind")).where("kind is not null")

@@ -118,3 +118,36 @@ def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     long = rows.select(F.explode(F.array(F.struct(F.col(gold).alias("label"), (F.col(gold) == F.col(predicted)).cast("int").alias("tp"), F.lit(0).alias("fp"), (F.col(gold) != F.col(predicted)).cast("int").alias("fn")), F.struct(F.col(predicted).alias("label"), F.lit(0).alias("tp"), (F.col(gold) != F.col(predicted)).cast("int").alias("fp"), F.lit(0).alias("fn")))).alias("x"))
     table = long.groupBy("x.label").agg(F.sum("x.tp").alias("tp"), F.sum("x.fp").alias("fp"), F.sum("x.fn").alias("fn"))
     return table.select("label", "tp", "fp", "fn", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n) for c, n in zip(_prf(F.col("tp"), F.col("fp"), F.col("fn")), ("precision", "recall", "f1"))])
+
+
+def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int, seed: str) -> DataFrame:
+    """Percentile interval (2.5 to 97.5) of the mean over resamples drawn by digests of seed, resample and place."""
+    from pyspark.sql import Window as W
+
+    numbered = rows.select(value, (F.row_number().over(W.orderBy(key)) - 1).cast("long").alias("i"))
+    total = numbered.agg(F.count("*").alias("total"))
+    draws = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).crossJoin(F.broadcast(total))
+    word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long")
+    picked = draws.select("b", (word % F.col("total")).alias("pick")).join(numbered.withColumnRenamed("i", "pick"), "pick")
+    means = picked.groupBy("b").agg(F.avg(value).alias("m"))
+    ordered = means.withColumn("r", F.row_number().over(W.orderBy("m")))
+    low, high = int(0.025 * resamples) + 1, int(0.975 * resamples) + 1
+    return ordered.agg(F.round(F.min(F.when(F.col("r") == low, F.col("m"))), 6).alias("low"), F.round(F.min(F.when(F.col("r") == high, F.col("m"))), 6).alias("high"))
+
+
+def quarantine(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows that break a rule, with the names of all they break."""
+    named = F.array_join(F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])), ",")
+    return rows.withColumn("reasons", named).where("reasons <> ''")
+
+
+def leaking_groups(rows: DataFrame, group: str, split: str) -> DataFrame:
+    """Groups whose rows are in more than one split."""
+    return rows.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
+
+
+def multilabel_scores(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Per label: true and false positives, false negatives and F1 from (key, label) rows."""
+    joined = truth.withColumn("t", F.lit(1)).join(found.withColumn("p", F.lit(1)), [key, "label"], "full")
+    table = joined.groupBy("label").agg(F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    return table.select("label", "tp", "fp", "fn", F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))

@@ -95,3 +95,15 @@ def two_hop_paths(edges: DataFrame, middle: DataFrame) -> DataFrame:
     both = both_ways(edges.select("a", "b")).join(middle.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("a").alias("m"), F.col("b").alias("end"))
     left, right = both.select("m", F.col("end").alias("a")), both.select("m", F.col("end").alias("c"))
     return left.join(right, "m").where("a < c").select("a", "m", "c")
+
+
+def hub_timelines(edges: DataFrame, articles: DataFrame, least: int, members: int) -> DataFrame:
+    """Per hub of at least `least` edges: its newest members (undated last) in order, and the newest time."""
+    from pyspark.sql import Window as W
+
+    both = both_ways(edges.select("a", "b"))
+    top = both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("node"))
+    met = both.join(top, F.col("a") == F.col("node")).join(articles.select(F.col("article_id").alias("b"), "published_s"), "b")
+    placed = met.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.col("published_s").desc_nulls_last(), "b"))).where(F.col("r") <= members)
+    rows = placed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("r", "b"))).alias("m"), F.max("published_s").alias("newest_s"))
+    return rows.select("node", F.array_join(F.transform("m", lambda x: x["b"].cast("string")), ",").alias("members"), "newest_s")

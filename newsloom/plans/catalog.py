@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
 from newsloom.operators import aggregates as agg
-from newsloom.operators import alerts, evaluation, graph, listing, merging, neardup, ranking, vectors, verdicts
+from newsloom.operators import alerts, evaluation, features, graph, listing, merging, neardup, ranking, vectors, verdicts
 from newsloom.sources import domain
+from newsloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -982,3 +983,180 @@ def ev_27(spark, sf_dir):
     table = rows.agg(of(True, 1).alias("tp"), of(True, 0).alias("fp"), of(False, 1).alias("fn"), of(False, 0).alias("tn"))
     parts = {"precision": evaluation.ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": evaluation.ratio(F.col("tp"), F.col("tp") + F.col("fn")), "f1": evaluation.ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))}
     return table.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(n) for n, c in parts.items()])
+
+
+# ---------------------------------------------------------------- more text features
+
+
+@query(
+    "fn_16_keyword_phrases",
+    f"""SELECT claim_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(' ' || array_to_string(regexp_extract_all(lower(claim_text), '[a-z]+'), '  ') || ' ',
+    ' ({"|".join(lex.STOP_WORDS)}) ', '|', 'g'), '|'), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> ''))), ',') AS phrases FROM claims""",
+)
+def fn_16(spark, sf_dir):
+    return domain.claims(spark, sf_dir).select("claim_id", F.array_join(F.array_sort(tx.keyword_phrases(F.col("claim_text"))), ",").alias("phrases"))
+
+
+@query("fn_26_score_kind", "SELECT claim_id, CASE WHEN verdict IS NULL THEN NULL WHEN claim_id % 2 = 0 THEN 'heuristic_score' ELSE 'legacy_unverified' END AS kind FROM claims")
+def fn_26(spark, sf_dir):
+    current = F.col("claim_id") % 2 == 0
+    return domain.claims(spark, sf_dir).select("claim_id", F.when(F.col("verdict").isNotNull(), F.when(current, "heuristic_score").otherwise("legacy_unverified")).alias("kind"))
+
+
+@query("fn_28_ground_truth", "SELECT claim_id, CASE WHEN verdict IN ('SUPPORTED', 'PARTIALLY_SUPPORTED') THEN 'SUPPORTS' WHEN verdict = 'DISPUTED' THEN 'REFUTES' WHEN verdict IS NOT NULL THEN 'NOT ENOUGH INFO' END AS target FROM claims")
+def fn_28(spark, sf_dir):
+    return domain.claims(spark, sf_dir).select("claim_id", tx.three_classes(F.col("verdict")).alias("target"))
+
+
+@query(
+    "fn_20_ngram_tfidf",
+    """, g AS (SELECT pair_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i::INTEGER, 3))) AS x FROM (SELECT item_id AS pair_id, ' ' || lower(text) || ' ' AS t FROM benchmark)),
+    tf AS (SELECT pair_id, x, 1 + ln(count(*)) AS tf FROM g GROUP BY ALL), idf AS (SELECT x, ln((1 + (SELECT count(DISTINCT pair_id) FROM g)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY x),
+    w AS (SELECT pair_id, x, tf * idf AS w FROM tf JOIN idf USING (x)), n AS (SELECT pair_id, sqrt(sum(w * w)) AS n FROM w GROUP BY pair_id)
+    SELECT a.pair_id AS a, b.pair_id AS b, round(sum(a.w * b.w) / (max(na.n) * max(nb.n)), 5) AS score FROM w a JOIN w b ON a.x = b.x AND b.pair_id = a.pair_id + 1 JOIN n na ON na.pair_id = a.pair_id JOIN n nb ON nb.pair_id = b.pair_id GROUP BY ALL""",
+)
+def fn_20(spark, sf_dir):
+    rows = domain.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    weights = features.ngram_tfidf(rows, 3, 3)
+    pairs = rows.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return features.sparse_cosine(weights, pairs).select("a", "b", F.round("score", 5).alias("score"))
+
+
+@query("fn_7_published_repair", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN at_s END, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS published_s FROM ev")
+def fn_7(spark, sf_dir):
+    rows = domain.events(spark, sf_dir).withColumn("published_s", F.when(F.col("event_id") % 3 == 0, F.col("at_s")))
+    return rows.select("event_id", tx.first_json_number(F.col("published_s"), F.col("props"), ["publishedAt", "created_utc", "k"]).alias("published_s"))
+
+
+# ---------------------------------------------------------------- graphs, evaluation and status
+
+
+@query("gr_2_hub_timelines", f", {_BOTH}, d AS (SELECT a AS node FROM both_ways GROUP BY a HAVING count(*) >= 3), m AS (SELECT node, b AS member, published_s, row_number() OVER (PARTITION BY node ORDER BY published_s DESC NULLS LAST, b) AS r FROM both_ways JOIN d ON a = node JOIN articles ON article_id = b) SELECT node, string_agg(member::VARCHAR, ',' ORDER BY r) AS members, max(published_s) AS newest_s FROM m WHERE r <= 8 GROUP BY node")
+def gr_2(spark, sf_dir):
+    return graph.hub_timelines(domain.article_edges(spark, sf_dir), domain.articles(spark, sf_dir), 3, 8)
+
+
+@query(
+    "gr_11_claim_graph",
+    """, top AS (SELECT claim_id FROM claims WHERE verdict IS NOT NULL ORDER BY confidence DESC NULLS LAST, claim_id LIMIT 400)
+    SELECT from_id, to_id, kind, 'persisted' AS source FROM relations WHERE from_id IN (SELECT claim_id FROM top) AND to_id IN (SELECT claim_id FROM top)""",
+)
+def gr_11(spark, sf_dir):
+    top = domain.claims(spark, sf_dir).where("verdict is not null").orderBy(F.col("confidence").desc_nulls_last(), "claim_id").limit(400).select("claim_id")
+    rows = domain.relations(spark, sf_dir).join(top.toDF("from_id"), "from_id", "left_semi").join(top.toDF("to_id"), "to_id", "left_semi")
+    return rows.select("from_id", "to_id", "kind", F.lit("persisted").alias("source"))
+
+
+@query("gr_7_syndication_groups")
+def gr_7(spark, sf_dir):
+    rows = domain.articles(spark, sf_dir).select("article_id", "content_hash", tx.identity_key(F.col("content")).alias("body"))
+    return graph.token_components(rows, "article_id", ["content_hash", "body"])
+
+
+@query(
+    "ev_8_bootstrap_mean",
+    """, n AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS i, count(*) OVER () AS total FROM eval_pairs),
+    d AS (SELECT b, CAST(('0x' || substr(md5('s:' || b || ':' || i), 1, 8))::UBIGINT % total AS BIGINT) AS pick FROM n, (SELECT unnest(range(50)) AS b)),
+    m AS (SELECT b, avg(n.gold) AS m FROM d JOIN n ON n.i = d.pick GROUP BY b)
+    SELECT round(min(CASE WHEN r = 2 THEN m END), 6) AS low, round(min(CASE WHEN r = 49 THEN m END), 6) AS high FROM (SELECT m, row_number() OVER (ORDER BY m) AS r FROM m)""",
+)
+def ev_8(spark, sf_dir):
+    return evaluation.bootstrap_mean(domain.eval_pairs(spark, sf_dir), "gold", "pair_id", 50, "s")
+
+
+@query(
+    "ev_15_record_quarantine",
+    """SELECT pair_id, concat_ws(',', CASE WHEN sim_score < 0.05 THEN 'score' END, CASE WHEN event_group % 7 = 0 THEN 'event' END, CASE WHEN gold NOT IN (0, 1) THEN 'gold' END) AS reasons FROM eval_pairs WHERE sim_score < 0.05 OR event_group % 7 = 0 OR gold NOT IN (0, 1)""",
+)
+def ev_15(spark, sf_dir):
+    rules = {"score": F.col("sim_score") < 0.05, "event": F.col("event_group") % 7 == 0, "gold": ~F.col("gold").isin(0, 1)}
+    return evaluation.quarantine(domain.eval_pairs(spark, sf_dir), rules).select("pair_id", "reasons")
+
+
+@query("ev_16_groups_across_splits", "SELECT event_group, count(DISTINCT split) AS splits FROM eval_pairs GROUP BY event_group HAVING count(DISTINCT split) > 1")
+def ev_16(spark, sf_dir):
+    return evaluation.leaking_groups(domain.eval_pairs(spark, sf_dir), "event_group", "split")
+
+
+@query("ev_19_multilabel_scores", """, t AS (SELECT pair_id, unnest(CASE WHEN gold = 1 THEN ['A', 'B'] ELSE ['C'] END) AS t FROM eval_pairs), p AS (SELECT pair_id, unnest(CASE WHEN sim_score >= 0.6 THEN ['A'] ELSE ['B', 'C'] END) AS t FROM eval_pairs),
+    j AS (SELECT coalesce(t.t, p.t) AS label, t.t IS NOT NULL AND p.t IS NOT NULL AS hit, p.t IS NULL AS miss, t.t IS NULL AS extra FROM t FULL JOIN p ON t.pair_id = p.pair_id AND t.t = p.t)
+    SELECT label, tp, fp, fn, round(CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE END, 6) AS f1 FROM (SELECT label, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE extra) AS fp, count(*) FILTER (WHERE miss) AS fn FROM j GROUP BY label)""")
+def ev_19(spark, sf_dir):
+    rows = domain.eval_pairs(spark, sf_dir)
+    truth = rows.select("pair_id", F.explode(F.when(F.col("gold") == 1, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("C")))).alias("label"))
+    found = rows.select("pair_id", F.explode(F.when(F.col("sim_score") >= 0.6, F.array(F.lit("A"))).otherwise(F.array(F.lit("B"), F.lit("C")))).alias("label"))
+    return evaluation.multilabel_scores(truth, found, "pair_id")
+
+
+@query("ev_14_progress", "SELECT split, count(*) AS pairs, count(v.pair_id) AS labelled, count(c.pair_id) AS consensus FROM eval_pairs p LEFT JOIN (SELECT DISTINCT pair_id FROM votes) v USING (pair_id) LEFT JOIN (SELECT pair_id FROM votes WHERE origin = 'HUMAN' GROUP BY pair_id HAVING count(DISTINCT annotator) >= 2 AND min(label) = max(label)) c USING (pair_id) GROUP BY split")
+def ev_14(spark, sf_dir):
+    pairs, votes = domain.eval_pairs(spark, sf_dir), domain.votes(spark, sf_dir)
+    agreed = evaluation.human_consensus(votes).select("pair_id", F.lit(1).alias("agreed"))
+    seen = votes.select("pair_id").distinct().withColumn("voted", F.lit(1))
+    joined = pairs.join(seen, "pair_id", "left").join(agreed, "pair_id", "left")
+    return joined.groupBy("split").agg(F.count("*").alias("pairs"), F.count("voted").alias("labelled"), F.count("agreed").alias("consensus"))
+
+
+@query(
+    "ev_25_weak_lexical_label",
+    f"""SELECT from_id, to_id, CASE WHEN j >= 0.4 THEN 'SAME_STORY' WHEN j >= 0.2 THEN 'EVOLVED' ELSE 'DISTINCT' END AS label FROM (SELECT from_id, to_id, CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE ELSE 0.0 END AS j
+    FROM (SELECT r.from_id, r.to_id, {_SET.format("a.claim_text")} AS x, {_SET.format("b.claim_text")} AS y FROM relations r JOIN claims a ON a.claim_id = r.from_id JOIN claims b ON b.claim_id = r.to_id))""",
+)
+def ev_25(spark, sf_dir):
+    score = F.col("jaccard")
+    return fn_17(spark, sf_dir).select("from_id", "to_id", F.when(score >= 0.4, "SAME_STORY").when(score >= 0.2, "EVOLVED").otherwise("DISTINCT").alias("label"))
+
+
+@query("ev_26_export_records", "SELECT p.pair_id, p.split, p.gold, count(v.pair_id) AS n_votes, coalesce(string_agg(v.annotator || '=' || v.label, ',' ORDER BY v.annotator), '') AS votes FROM eval_pairs p LEFT JOIN votes v USING (pair_id) GROUP BY ALL")
+def ev_26(spark, sf_dir):
+    lists = domain.votes(spark, sf_dir).groupBy("pair_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.concat("annotator", F.lit("="), "label"))).alias("v"))
+    rows = domain.eval_pairs(spark, sf_dir).join(lists, "pair_id", "left")
+    return rows.select("pair_id", "split", "gold", F.coalesce("n", F.lit(0)).alias("n_votes"), F.coalesce(F.array_join("v", ","), F.lit("")).alias("votes"))
+
+
+@query("agg_11_claim_dossier", _ENT + " SELECT c.claim_id, c.verdict, coalesce(string_agg(e.e.k || ':' || e.e.t, ',' ORDER BY e.e.k || ':' || e.e.t), '') AS entities FROM claims c LEFT JOIN ent e USING (claim_id) GROUP BY ALL")
+def agg_11(spark, sf_dir):
+    rows = domain.claims(spark, sf_dir)
+    lists = verdicts.entity_rows(rows).groupBy("claim_id").agg(F.sort_array(F.collect_list(F.concat("entity_type", F.lit(":"), "entity_text"))).alias("e"))
+    return rows.select("claim_id", "verdict").join(lists, "claim_id", "left").select("claim_id", "verdict", F.coalesce(F.array_join("e", ","), F.lit("")).alias("entities"))
+
+
+@query("agg_16_collection_summary", "SELECT domain, count(*) AS fetched, count(*) FILTER (WHERE first) AS inserted FROM (SELECT domain, row_number() OVER (PARTITION BY url ORDER BY article_id) = 1 AS first FROM articles) GROUP BY domain")
+def agg_16(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    first = F.row_number().over(W.partitionBy("url").orderBy("article_id")) == 1
+    return domain.articles(spark, sf_dir).select("domain", first.alias("first")).groupBy("domain").agg(F.count("*").alias("fetched"), F.count_if(F.col("first")).alias("inserted"))
+
+
+@query("agg_18_corpus_snapshot", "SELECT (SELECT count(*) FROM articles) AS articles, (SELECT count(*) FROM claims) AS claims, (SELECT count(*) FROM relations WHERE kind = 'EVOLVED_FROM') AS evolved, (SELECT count(*) FROM relations WHERE kind = 'SIMILAR_TO') AS similar, (SELECT max(published_s) FROM articles) AS last_s")
+def agg_18(spark, sf_dir):
+    edges = domain.relations(spark, sf_dir).agg(F.count_if(F.col("kind") == "EVOLVED_FROM").alias("evolved"), F.count_if(F.col("kind") == "SIMILAR_TO").alias("similar"))
+    articles = domain.articles(spark, sf_dir).agg(F.count("*").alias("articles"), F.max("published_s").alias("last_s"))
+    return articles.crossJoin(domain.claims(spark, sf_dir).agg(F.count("*").alias("claims"))).crossJoin(edges)
+
+
+@query("pl_2_claim_extraction", "SELECT article_id, count(*) AS claims, round(max(confidence), 2) AS best FROM claims WHERE confidence >= 0.5 GROUP BY article_id")
+def pl_2(spark, sf_dir):
+    return domain.claims(spark, sf_dir).where("confidence >= 0.5").groupBy("article_id").agg(F.count("*").alias("claims"), F.round(F.max("confidence"), 2).alias("best"))
+
+
+@query("pl_4_cycle_guard", f"SELECT n, fresh, CASE WHEN n < 30 THEN 'corpus_too_small' WHEN fresh < 10 THEN 'nothing_new' ELSE 'run' END AS status FROM (SELECT count(*) AS n, count(*) FILTER (WHERE extracted_s > {_NOW} - 86400) AS fresh FROM claims)")
+def pl_4(spark, sf_dir):
+    now = _now(spark, sf_dir)
+    rows = domain.claims(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("extracted_s") > now - 86_400).alias("fresh"))
+    return rows.withColumn("status", F.when(F.col("n") < 30, "corpus_too_small").when(F.col("fresh") < 10, "nothing_new").otherwise("run"))
+
+
+@query("al_3_conditions", f", r AS (SELECT c.claim_id, c.verdict, x.kind FROM claims c LEFT JOIN relations x ON x.from_id = c.claim_id WHERE c.extracted_s >= {_NOW} - 864000) SELECT DISTINCT claim_id, CASE WHEN verdict = 'DISPUTED' THEN 'CONTRADICTION' WHEN verdict = 'SUPPORTED' THEN 'CORROBORATION' ELSE 'MUTATION' END AS kind FROM r WHERE verdict IN ('DISPUTED', 'SUPPORTED') OR kind = 'EVOLVED_FROM'")
+def al_3(spark, sf_dir):
+    since = _now(spark, sf_dir) - 864_000
+    return alerts.conditions(domain.claims(spark, sf_dir).where(F.col("extracted_s") >= since), domain.relations(spark, sf_dir))
+
+
+@query("st_3_daily_counts", "SELECT (at_s // 86400) * 86400 AS day_s, event_type, count(*) AS n FROM ev GROUP BY ALL")
+def st_3(spark, sf_dir):
+    """The stream of events drained into daily counts; SQL counts the same table at once."""
+    stream = jobs.event_stream(spark, sf_dir, "event_id long, ts timestamp_ntz, user_id long, event_type string", name="events.parquet")
+    rows = jobs.drain(jobs.windowed_counts(stream, ["event_type"], "24 hours"), "complete", "daily")
+    return rows.select(F.unix_seconds("start").alias("day_s"), "event_type", "n")

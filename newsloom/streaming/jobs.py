@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from newsloom.plans.staging import shared_folder, stage
 
 
-def event_stream(spark: SparkSession, folder: str, schema: str, time: str = "ts") -> DataFrame:
-    """Parquet files of a folder as a stream with a timestamp that a watermark can use."""
-    return spark.readStream.schema(schema).parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
+def event_stream(spark: SparkSession, folder: str, schema: str, time: str = "ts", name: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder (those whose name fits) as a stream with a timestamp that a watermark can use."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
 
 
 def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
