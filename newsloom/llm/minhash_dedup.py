@@ -9,7 +9,8 @@ agree in a component with a probability equal to the weighted Jaccard similarity
 Copies are grouped by a digest of the multiset first. Representatives go to the buckets of 25 bands of 5 components.
 A bucket's pairs are never written out: every member is tried against the member with most company (`star`), the links
 found give components, and only members that a bucket's star left in other components are tried against the rest, in
-blocks. A pair is tried by 128 signature bits (no pair of similarity 0.8 fails that but with probability below 1e-5) and
+blocks. In a bucket of more than `LARGE` members a member's shared shingles (those that another such member has too) bound
+its overlap with anyone, so pairs that this bound keeps below the least similarity are never formed. A pair is tried by 128 signature bits (no pair of similarity 0.8 fails that but with probability below 1e-5) and
 then by the exact overlap of the two multisets. Joins meet hot buckets in staged tables that adaptive execution splits.
 
 Defined cases: null, empty and wordless texts link with nothing; a text of fewer than five words is one shingle;
@@ -38,6 +39,8 @@ SIMILAR = (4, 5)
 MAX_BITS_APART = 29
 #: Members of a bucket that one task compares with the others at most; a larger bucket is compared in blocks.
 BLOCK = 1000
+#: Buckets with more members than this bound their members' overlaps before pairs are formed.
+LARGE = 64
 MAX_BROADCAST_IDS = 500_000
 _STREAM = np.uint64(0xD1342543DE82EF95)
 
@@ -185,6 +188,16 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "near-links")
 
 
+def shared_counts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, items, shared) for the documents of ids: how many shingles it has, and how many of them another has too."""
+    sets = stage(multisets(pick(docs.where("text is not null"), stage(ids, "near-large-ids"))), "near-large-multisets")
+    rows = sets.select("doc_id", F.explode("items").alias("item"))
+    often = stage(rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1").select(F.col("item").alias("i")), "near-shared-items")
+    counts = rows.join(often, F.col("item") == F.col("i"), "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared")).withColumnRenamed("doc_id", "x")
+    joined = sets.select("doc_id", F.size("items").alias("items")).join(counts, F.col("doc_id") == F.col("x"), "left")
+    return joined.select("doc_id", "items", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
 def _bits_apart(one: str, other: str):
     return F.bit_count(F.col(f"{one}0").bitwiseXOR(F.col(f"{other}0"))) + F.bit_count(F.col(f"{one}1").bitwiseXOR(F.col(f"{other}1")))
 
@@ -194,7 +207,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stage(signatures(docs), "near-signatures")
     classes = stage(signed.groupBy("c0", "c1").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = signed.join(classes.select("rep", F.col("c0").alias("k0"), F.col("c1").alias("k1")), (F.col("doc_id") == F.col("rep")) & (F.col("c0") == F.col("k0")) & (F.col("c1") == F.col("k1")))
-    rows = stage(reps.select(F.explode("bands").alias("bucket"), "doc_id", "s0", "s1").distinct(), "near-buckets")
+    reps = reps.dropDuplicates(["doc_id", "c0", "c1"])
+    rows = stage(reps.select(F.explode("bands").alias("bucket"), "doc_id", "s0", "s1"), "near-buckets")
     sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "k"), "near-sizes")
     full = stage(rows.join(sizes, F.col("bucket") == F.col("k")).select("bucket", "doc_id", "s0", "s1", "n"), "near-full-buckets")
     company = stage(full.groupBy("doc_id").agg(F.sum("n").alias("company")).withColumnRenamed("doc_id", "d"), "near-company")
@@ -212,10 +226,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     main = stage(main.join(mixed, F.col("k") == F.col("bucket")).select("k", "main"), "near-mixed-buckets")
     members = stage(grouped.join(main, F.col("bucket") == F.col("k")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("k"), "near-mixed-rows")
-    asked = members.where("component <> main").select(F.col("bucket").alias("k"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("at"), F.col("doc_id").alias("q"), F.col("component").alias("qc"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    shared = shared_counts(docs, members.where(F.col("n") > LARGE).select("doc_id").distinct())
+    members = stage(members.join(shared.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").drop("d"), "near-mixed-bounds")
+    asked = members.where("component <> main").select(F.col("shared").alias("q_shared"), F.col("items").alias("q_items"), F.col("bucket").alias("k"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("at"), F.col("doc_id").alias("q"), F.col("component").alias("qc"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
     others = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     once = (F.col("component") == F.col("main")) | (F.col("q") < F.col("doc_id"))
-    met = others.join(asked, (F.col("bucket") == F.col("k")) & (F.col("block") == F.col("at")) & (F.col("component") != F.col("qc")) & once & (_bits_apart("s", "t") <= MAX_BITS_APART))
+    num, den = SIMILAR
+    close = (F.col("n") <= LARGE) | (F.least("shared", "q_shared") * (num + den) >= num * (F.col("items") + F.col("q_items")))
+    met = others.join(asked, close & (F.col("bucket") == F.col("k")) & (F.col("block") == F.col("at")) & (F.col("component") != F.col("qc")) & once & (_bits_apart("s", "t") <= MAX_BITS_APART))
     left = met.select(F.least("q", "doc_id").alias("a"), F.greatest("q", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     left = stage(left, "near-rest-pairs")
     if not left.isEmpty():
