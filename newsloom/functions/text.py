@@ -181,3 +181,29 @@ def three_classes(band: Column) -> Column:
 def first_json_number(known: Column, payload: Column, names: list[str]) -> Column:
     """known, or the first of the JSON object's fields that is a whole number."""
     return F.coalesce(known, *[F.get_json_object(payload, f"$.{n}").try_cast("long") for n in names])
+
+
+def entity_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard of the entity tokens of two texts; null when neither has any."""
+    return jaccard(F.array_distinct(entity_tokens(a)), F.array_distinct(entity_tokens(b)), None)
+
+
+#: Frequent function words by language.
+LANGUAGE_WORDS = {
+    "de": "der die das und ist von mit den auf für nicht ein eine sich im zu des dem".split(),
+    "en": "the and of to in is that for with on was are this by be as at from it".split(),
+    "es": "el la los las de que y en un una por con para del se no su al es".split(),
+    "fr": "le la les de des et est un une que qui dans pour par sur au du en pas avec".split(),
+}
+
+
+def language_by_words(text: Column, least: int = 20) -> Column:
+    """The language with most of its function words in the text (the first of equals); null for short or unknown texts."""
+    words = F.split(F.lower(text), r"[\s.,;:!?]+")
+    counts = [F.struct(F.size(F.filter(words, _among(v))).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(sorted(LANGUAGE_WORDS.items()))]
+    best = F.array_max(F.array(*counts))
+    return F.when((F.length(F.trim(text)) >= least) & (best["n"] > 0), best["lang"])
+
+
+def _among(words: list[str]):
+    return lambda w: w.isin(words)

@@ -151,3 +151,32 @@ def multilabel_scores(truth: DataFrame, found: DataFrame, key: str) -> DataFrame
     joined = truth.withColumn("t", F.lit(1)).join(found.withColumn("p", F.lit(1)), [key, "label"], "full")
     table = joined.groupBy("label").agg(F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
     return table.select("label", "tp", "fp", "fn", F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
+
+
+def group_bootstrap_difference(rows: DataFrame, group: str, first: Column, second: Column, resamples: int, seed: str) -> DataFrame:
+    """2.5 and 97.5 percentiles of the difference of two means when whole groups are drawn again and again.
+
+    Groups are summed first; draws are digests of seed, resample and place, so any engine repeats them.
+    """
+    from pyspark.sql import Window as W
+
+    sums = rows.groupBy(group).agg(F.sum(first.cast("double")).alias("x"), F.sum(second.cast("double")).alias("y"), F.count("*").alias("n"))
+    numbered = sums.select("x", "y", "n", (F.row_number().over(W.orderBy(group)) - 1).cast("long").alias("i"))
+    total = numbered.agg(F.count("*").alias("total"))
+    draws = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).crossJoin(F.broadcast(total))
+    word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long")
+    picked = draws.select("b", (word % F.col("total")).alias("pick")).join(numbered.withColumnRenamed("i", "pick"), "pick")
+    means = picked.groupBy("b").agg(((F.sum("x") - F.sum("y")) / F.sum("n")).alias("d"))
+    return means.agg(F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"))
+
+
+def moved_groups(rows: DataFrame, assigned: DataFrame, group: str, split: str) -> DataFrame:
+    """Groups whose assigned split (group, split) is not the one their rows have, or which have no assignment."""
+    right = assigned.select(group, F.col(split).alias("assigned"))
+    return rows.select(group, split).distinct().join(right, group, "left").where(~F.col(split).eqNullSafe(F.col("assigned"))).select(group, split, "assigned")
+
+
+def ablations(signals: DataFrame, names: list[str]) -> DataFrame:
+    """Signals repeated once per ablation, less the signal it leaves out: (ablation, claim_id, name, value)."""
+    kinds = F.explode(F.array(F.lit("none"), *[F.lit(n) for n in names]))
+    return signals.withColumn("ablation", kinds).where("ablation <> name")

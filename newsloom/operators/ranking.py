@@ -72,3 +72,41 @@ def next_pair(pairs: DataFrame, votes: DataFrame, uncertain_first: bool = False)
     open_ = people.join(base.select("pair_id", "sim_score"), F.lit(True)).join(seen, ["annotator", "pair_id"], "left_anti")
     order = F.struct(F.abs(F.col("sim_score") - 0.6), F.col("pair_id")) if uncertain_first else F.col("pair_id")
     return open_.groupBy("annotator").agg(F.min_by("pair_id", order).alias("pair_id"))
+
+
+def capped_pairs(pairs: DataFrame, order: list, cap: int, rounds: int = 200) -> DataFrame:
+    """Pairs (a, b) such that no id is in more than `cap` of them, taken in rounds.
+
+    In a round each id ranks its open pairs by the given order; a pair that is within the cap still open at both its ends
+    is taken; pairs with a full end are closed. Rounds go on until no pair is open, so the result cannot be extended. The
+    order must be total.
+    """
+    from newsloom.plans.staging import stage
+
+    open_ = stage(pairs, "open-pairs")
+    taken = None
+    for _ in range(rounds):
+        used = None
+        if taken is not None:
+            used = taken.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
+        rows = open_
+        for side in ("a", "b"):
+            ends = open_.select("a", "b", *[c for c in open_.columns if c not in ("a", "b")], F.explode(F.array("a", "b")).alias("id"))
+            ranked = ends.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(*order))).select("a", "b", "id", "r")
+            rows = rows.join(ranked.select("a", "b", F.col("id").alias(f"id_{side}"), F.col("r").alias(f"r_{side}")), ["a", "b"]).where(F.col(f"id_{side}") == F.col(side))
+            if used is not None:
+                rows = rows.join(used.select(F.col("id").alias(f"id_{side}"), F.col("used").alias(f"u_{side}")), f"id_{side}", "left")
+            else:
+                rows = rows.withColumn(f"u_{side}", F.lit(0))
+        fits = (F.col("r_a") + F.coalesce("u_a", F.lit(0)) <= cap) & (F.col("r_b") + F.coalesce("u_b", F.lit(0)) <= cap)
+        new = stage(rows.where(fits).select(*open_.columns), "taken-pairs")
+        if new.isEmpty():
+            break
+        taken = new if taken is None else stage(taken.union(new), "taken-pairs")
+        ends = taken.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
+        full = stage(ends.where(F.col("used") >= cap).select("id"), "full-ends")
+        open_ = open_.join(new.select("a", "b"), ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            open_ = open_.join(full.withColumnRenamed("id", side), side, "left_anti")
+        open_ = stage(open_, "open-pairs")
+    return taken if taken is not None else open_.limit(0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
 from newsloom.operators import aggregates as agg
-from newsloom.operators import alerts, evaluation, features, graph, listing, merging, neardup, ranking, vectors, verdicts
+from newsloom.operators import alerts, changes, evaluation, features, graph, listing, merging, modelling, neardup, ranking, vectors, verdicts
 from newsloom.sources import domain
 from newsloom.streaming import jobs
 
@@ -1160,3 +1160,148 @@ def st_3(spark, sf_dir):
     stream = jobs.event_stream(spark, sf_dir, "event_id long, ts timestamp_ntz, user_id long, event_type string", name="events.parquet")
     rows = jobs.drain(jobs.windowed_counts(stream, ["event_type"], "24 hours"), "complete", "daily")
     return rows.select(F.unix_seconds("start").alias("day_s"), "event_type", "n")
+
+
+# ---------------------------------------------------------------- language, diffs, models and evidence
+
+
+def _language_case() -> str:
+    counts = ", ".join("{'n': len(list_filter(w, lambda x: x IN (" + _in(v) + "))), 'o': -" + str(i) + ", 'lang': '" + k + "'}" for i, (k, v) in enumerate(sorted(tx.LANGUAGE_WORDS.items())))
+    return f"list_max([{counts}])"
+
+
+@query("fn_9_language_by_words", rf"SELECT doc_id, CASE WHEN length(trim(text)) >= 20 AND b.n > 0 THEN b.lang END AS language FROM (SELECT doc_id, text, {_language_case()} AS b FROM (SELECT doc_id, text, string_split_regex(lower(text), '[\s.,;:!?]+') AS w FROM documents))")
+def fn_9(spark, sf_dir):
+    return domain.table(spark, sf_dir, "documents").select("doc_id", tx.language_by_words(F.col("text")).alias("language"))
+
+
+@query("fn_18_entity_jaccard")
+def fn_18(spark, sf_dir):
+    text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
+    pairs = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "x"), "from_id").join(text.toDF("to_id", "y"), "to_id")
+    return pairs.select("from_id", "to_id", tx.entity_jaccard(F.col("x"), F.col("y")).alias("jaccard"))
+
+
+@query(
+    "fn_3_markup_scrub",
+    r"""SELECT page_id, cleaned, length(cleaned) >= 25 AND contains(cleaned, ' ') AND NOT regexp_matches(lower(cleaned), '^(http|more|read)') AS kept FROM (
+    SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^a-z/!]|</?[a-z][^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 500) AS cleaned FROM pages WHERE contains(html, '<')) WHERE cleaned <> ''""",
+)
+def fn_3(spark, sf_dir):
+    rows = domain.table(spark, sf_dir, "pages").where(F.contains("html", F.lit("<"))).select("page_id", tx.display_text(F.col("html"), 500).alias("cleaned")).where("cleaned is not null")
+    kept = (F.length("cleaned") >= 25) & F.contains("cleaned", F.lit(" ")) & ~F.lower("cleaned").rlike("^(http|more|read)")
+    return rows.withColumn("kept", kept)
+
+
+@query("win_4_top_neighbours", f"SELECT q, id, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM (SELECT x.vec_id AS q, y.vec_id AS id, {_COS.format('x.embedding', 'y.embedding')} AS score FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0)) WHERE r <= 3")
+def win_4(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    found = vectors.nearest(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 3)
+    return found.select("q", "id", "place")
+
+
+@query("win_10_capped_pairs")
+def win_10(spark, sf_dir):
+    return ranking.capped_pairs(domain.article_edges(spark, sf_dir), [F.desc("score"), "a", "b"], 2)
+
+
+@query("gr_4_lineage_hops", """, e AS (SELECT from_id AS a, to_id AS b FROM relations WHERE kind = 'EVOLVED_FROM' UNION ALL SELECT to_id, from_id FROM relations WHERE kind = 'EVOLVED_FROM'),
+    h0 AS (SELECT claim_id AS root, claim_id AS node FROM claims WHERE claim_id % 20 = 1), h1 AS (SELECT DISTINCT root, b AS node FROM h0 JOIN e ON a = node), h2 AS (SELECT DISTINCT root, b AS node FROM h1 JOIN e ON a = node), h3 AS (SELECT DISTINCT root, b AS node FROM h2 JOIN e ON a = node)
+    SELECT root, node, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY ALL""")
+def gr_4(spark, sf_dir):
+    edges = domain.relations(spark, sf_dir).where("kind = 'EVOLVED_FROM'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    roots = domain.claims(spark, sf_dir).where("claim_id % 20 = 1").select(F.col("claim_id").alias("root"))
+    return graph.within_hops(edges, roots, 3)
+
+
+@query(
+    "ev_9_group_bootstrap",
+    """, s AS (SELECT event_group, sum(CAST((sim_score >= 0.5) = (gold = 1) AS DOUBLE)) AS x, sum(CAST((sim_score >= 0.7) = (gold = 1) AS DOUBLE)) AS y, count(*) AS n FROM eval_pairs GROUP BY event_group),
+    m AS (SELECT x, y, n, row_number() OVER (ORDER BY event_group) - 1 AS i, count(*) OVER () AS total FROM s),
+    d AS (SELECT b, CAST(('0x' || substr(md5('g:' || b || ':' || i), 1, 8))::UBIGINT % total AS BIGINT) AS pick FROM m, (SELECT unnest(range(40)) AS b)),
+    r AS (SELECT b, (sum(x) - sum(y)) / sum(n) AS d FROM d JOIN m ON m.i = d.pick GROUP BY b) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM r""",
+)
+def ev_9(spark, sf_dir):
+    right = lambda t: (F.col("sim_score") >= t) == (F.col("gold") == 1)
+    return evaluation.group_bootstrap_difference(domain.eval_pairs(spark, sf_dir), "event_group", right(0.5), right(0.7), 40, "g")
+
+
+@query("ev_13_report", "SELECT bucket, count(*) AS pairs, sum(gold) AS positives, round(avg(sim_score), 6) AS mean_score FROM (SELECT *, CASE WHEN sim_score >= 0.95 THEN 'b95' WHEN sim_score >= 0.85 THEN 'b85' WHEN sim_score >= 0.75 THEN 'b75' WHEN sim_score >= 0.6 THEN 'b60' WHEN sim_score >= 0.4 THEN 'b40' ELSE 'b00' END AS bucket FROM eval_pairs) GROUP BY bucket")
+def ev_13(spark, sf_dir):
+    rows = domain.eval_pairs(spark, sf_dir).groupBy(tx.similarity_bucket(F.col("sim_score")).alias("bucket"))
+    return rows.agg(F.count("*").alias("pairs"), F.sum("gold").alias("positives"), F.round(F.avg("sim_score"), 6).alias("mean_score"))
+
+
+@query("ev_17_moved_groups", "SELECT event_group, split, assigned FROM (SELECT DISTINCT event_group, split FROM eval_pairs) LEFT JOIN (SELECT DISTINCT event_group, CASE WHEN event_group % 5 = 0 THEN 'test' ELSE split END AS assigned FROM eval_pairs WHERE event_group % 7 <> 0) USING (event_group) WHERE split IS DISTINCT FROM assigned")
+def ev_17(spark, sf_dir):
+    rows = domain.eval_pairs(spark, sf_dir)
+    assigned = rows.where("event_group % 7 <> 0").select("event_group", F.when(F.col("event_group") % 5 == 0, "test").otherwise(F.col("split")).alias("split")).distinct()
+    return evaluation.moved_groups(rows, assigned, "event_group", "split")
+
+
+@query("ev_18_calibrated_logistic")
+def ev_18(spark, sf_dir):
+    size = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.log(F.col("n_chars") + 1).alias("size"))
+    rows = domain.eval_pairs(spark, sf_dir).join(size, "pair_id", "left")
+    return modelling.calibrated_logistic(rows, ["sim_score", "size"]).select("pair_id", "split", "gold", F.round("score", 6).alias("score"))
+
+
+@query("ev_21_signal_ablations")
+def ev_21(spark, sf_dir):
+    rows = domain.claims(spark, sf_dir)
+    backed = verdicts.corroboration(rows, _evidence(spark, sf_dir))
+    signals = backed.select("claim_id", F.lit("corroboration").alias("name"), F.col("corroboration").alias("value")).union(backed.select("claim_id", F.lit("contradiction"), F.col("contradiction")))
+    signals = signals.union(verdicts.track_record(rows, _priors(spark, sf_dir)).select("claim_id", F.lit("track_record"), F.col("signal")))
+    many = evaluation.ablations(signals, ["corroboration", "contradiction", "track_record"])
+    pooled = verdicts.pool(many.withColumn("claim_id", F.concat_ws("/", "ablation", "claim_id")))
+    parts = F.split("claim_id", "/")
+    return pooled.groupBy(parts[0].alias("ablation")).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 6).alias("mean_probability"))
+
+
+@query("ev_23_pair_classification", "SELECT gold, count(*) AS n, count(*) FILTER (WHERE sim_score >= 0.75) AS called FROM eval_pairs GROUP BY gold")
+def ev_23(spark, sf_dir):
+    return domain.eval_pairs(spark, sf_dir).groupBy("gold").agg(F.count("*").alias("n"), F.count_if(F.col("sim_score") >= 0.75).alias("called"))
+
+
+@query("ev_24_stratified_sample", "SELECT bucket, pair_id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(pair_id::VARCHAR || ':q'), pair_id) AS r FROM (SELECT pair_id, CASE WHEN sim_score >= 0.95 THEN 'b95' WHEN sim_score >= 0.85 THEN 'b85' WHEN sim_score >= 0.75 THEN 'b75' WHEN sim_score >= 0.6 THEN 'b60' WHEN sim_score >= 0.4 THEN 'b40' ELSE 'b00' END AS bucket FROM eval_pairs WHERE pair_id NOT IN (SELECT pair_id FROM votes WHERE origin = 'WEAK'))) WHERE r <= 8")
+def ev_24(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    taken = domain.votes(spark, sf_dir).where("origin = 'WEAK'").select("pair_id")
+    rows = domain.eval_pairs(spark, sf_dir).join(taken, "pair_id", "left_anti").select("pair_id", tx.similarity_bucket(F.col("sim_score")).alias("bucket"))
+    order = W.partitionBy("bucket").orderBy(F.md5(F.concat(F.col("pair_id").cast("string"), F.lit(":q"))), "pair_id")
+    return rows.withColumn("r", F.row_number().over(order)).where("r <= 8").select("bucket", "pair_id")
+
+
+@query("pl_1_preprocess")
+def pl_1(spark, sf_dir):
+    rows = domain.articles(spark, sf_dir)
+    canonical = neardup.near_duplicates(rows.select(F.col("article_id").alias("id"), F.col("content").alias("text"), F.col("collected_s").alias("at_s"))).withColumnRenamed("id", "article_id")
+    done = rows.select("article_id", tx.clean_markup(F.col("content")).alias("c"), tx.url_authority(F.col("url")).alias("domain"), tx.language_by_words(F.col("content")).alias("language"))
+    return done.join(canonical, "article_id").select("article_id", "domain", "language", tx.word_count(F.col("c")).alias("n_words"), "canonical_id")
+
+
+@query("pl_3_topic_clusters")
+def pl_3(spark, sf_dir):
+    return modelling.topic_clusters(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 8)
+
+
+@query("pl_6_token_differences")
+def pl_6(spark, sf_dir):
+    text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
+    pairs = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "b"), "from_id").join(text.toDF("to_id", "a"), "to_id")
+    return changes.token_differences(pairs)
+
+
+@query("pl_13_pooled_probability")
+def pl_13(spark, sf_dir):
+    rows = domain.claims(spark, sf_dir)
+    backed = verdicts.corroboration(rows, _evidence(spark, sf_dir))
+    return verdicts.pool(backed.select("claim_id", F.lit("corroboration").alias("name"), F.col("corroboration").alias("value")).union(backed.select("claim_id", F.lit("contradiction"), F.col("contradiction"))))
+
+
+@query("pl_16_vector_backfill")
+def pl_16(spark, sf_dir):
+    rows = domain.articles(spark, sf_dir).select(F.col("article_id").alias("id"), F.left(F.concat_ws(". ", "title", "content"), F.lit(2000)).alias("text"))
+    found = modelling.hashed_vectors(rows, _vectors(spark, sf_dir).where("vec_id % 2 = 0").select(F.col("vec_id").alias("id")))
+    return found.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared_norm"))
