@@ -49,7 +49,7 @@ def present(text: str) -> np.ndarray:
     before = np.empty_like(letter)
     before[0], before[1:] = True, letter[:-1]
     points = np.where(letter, points, _SPACE)[letter | before]
-    points = np.concatenate([[_SPACE], points[int(points[0] == _SPACE) :], [_SPACE]]).astype(np.uint64)
+    points = np.concatenate([[_SPACE], points[int(points[0] == _SPACE) : len(points) - int(points[-1] == _SPACE)], [_SPACE]]).astype(np.uint64)
     flags = np.zeros(1 << BITS, bool)
     key = np.zeros(len(points), np.uint64)
     for n in range(1, max(ORDERS) + 1):
@@ -64,14 +64,23 @@ def present(text: str) -> np.ndarray:
 
 def kernel(rows: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
     """Kernel values of rows against landmarks, one product per landmark column of presence."""
-    table = np.zeros((1 << BITS, len(landmarks)), np.float32)
+    place, table = _columns(landmarks)
+    return _product([place[r] for r in rows], table)
+
+
+def _columns(landmarks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The landmarks' normalised presence as columns over the n-grams they have, and each n-gram's row (the last: none)."""
+    used = np.unique(np.concatenate(landmarks))
+    place = np.full(1 << BITS, len(used), np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    table = np.zeros((len(used) + 1, len(landmarks)), np.float32)
     for j, z in enumerate(landmarks):
-        table[z, j] = 1 / np.sqrt(len(z))
-    return _product(rows, table)
+        table[place[z], j] = 1 / np.sqrt(len(z))
+    return place, table
 
 
 def _product(rows: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-    """Normalised presence rows times a table over n-grams."""
+    """Normalised presence rows, as row numbers of a table, times that table."""
     out = np.zeros((len(rows), table.shape[1]))
     for i, r in enumerate(rows):
         if len(r):
@@ -136,13 +145,11 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, r
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, root, languages = shared.value
-        table = np.zeros((1 << BITS, len(marks)), np.float32)
-        for j, z in enumerate(marks):
-            table[z, j] = 1 / np.sqrt(len(z))
+        place, table = _columns(marks)
         gram, right, n = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(languages))), 0
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
-                rows = [g for g in map(present, _pieces(text.as_py())) if len(g)]
+                rows = [place[g] for g in map(present, _pieces(text.as_py())) if len(g)]
                 features = _product(rows, table) @ root
                 sign = np.array([1.0 if k == lang.as_py() else -1.0 for k in languages])
                 gram += features.T @ features

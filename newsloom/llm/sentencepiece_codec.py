@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Segments remembered by a worker, and the longest that is.
-REMEMBERED, LONGEST = 600_000, 48
+#: Segments that a worker remembers in each of two generations, the longest that is, and pairs of pieces remembered.
+REMEMBERED, LONGEST, PAIRS = 130_000, 48, 150_000
 
 
 class Vocabulary(NamedTuple):
@@ -80,6 +80,7 @@ class Codec:
         self.segments = re.compile(f"{MARK}*{letter}+|{MARK}*{other}+|{MARK}+")
         self.compatible: dict[int, bool] = {}
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.surface = np.empty(len(vocabulary.pieces), dtype=object)
         for i, p in enumerate(vocabulary.pieces):
             self.surface[i] = p.replace(MARK, " ").encode() if vocabulary.plain[i] else b""
@@ -107,6 +108,8 @@ class Codec:
         if known is None:
             a, b = self.v.pieces[left], self.v.pieces[right]
             known = a + b not in self.ids and self._merge(a + b) == [a, b]
+            if len(self.compatible) >= PAIRS:
+                self.compatible.clear()
             self.compatible[key] = known
         return known
 
@@ -133,24 +136,27 @@ class Codec:
         return out[::-1]
 
     def _segment(self, text: str) -> bytes:
+        packed = self.older.get(text) or self._encoded(text)
+        if len(text) <= LONGEST:
+            if len(self.memory) >= REMEMBERED:
+                self.memory, self.older = {}, self.memory
+            self.memory[text] = packed
+        return packed
+
+    def _encoded(self, text: str) -> bytes:
         ids: list[int] = []
         for k, part in enumerate(self.known.split(text)):
             if k % 2:
                 ids += self._known_run(part)
             else:
                 ids += [self.v.byte_ids[b] for b in part.encode()]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= LONGEST:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[text] = packed
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """All ids as little-endian unsigned 32-bit integers, with begin and end."""
-        memory, segment = self.memory, self._segment
+        segment = self._segment
         marked = MARK + text.replace(" ", MARK) if text else ""
-        parts = [memory.get(s) or segment(s) for s in self.segments.findall(marked)]
+        parts = [self.memory.get(s) or segment(s) for s in self.segments.findall(marked)]
         return b"".join([struct.pack("<I", self.v.begin), *parts, struct.pack("<I", self.v.end)])
 
     def decode(self, ids: bytes) -> str:
@@ -179,8 +185,8 @@ def encode_documents(docs: DataFrame, model_path: str, with_text: bool = True) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 out: list[list] = [[] for _ in schema]
                 for text in part.column(1):
                     ids = codec.encode(text.as_py())

@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions
     rate = F.when(F.col("toxic") == 1, min(1.0, fit_rows / toxic)).otherwise(min(1.0, 2 * fit_rows / clean))
     ids = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < rate * 1e6)
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    sample = stage(_one_of_copies(sample.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int").alias("toxic"))), "toxicity-sample").repartition(12)
+    sample = stage(_one_of_copies(sample.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int").alias("toxic"))), "toxicity-sample").repartition(36)
     drawn = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = drawn.get(1, 0), drawn.get(0, 0)
 
