@@ -103,6 +103,7 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
 
 def test_near_duplicates_in_small_blocks(spark, corpus, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
+    monkeypatch.setattr(minhash_dedup, "LARGE", 4)
     monkeypatch.setattr(minhash_dedup, "MAX_BROADCAST_IDS", 0)
     found = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(make(spark, corpus)).collect()}
     assert found == plain_classes(corpus)
