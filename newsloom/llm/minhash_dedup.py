@@ -9,8 +9,9 @@ agree in a component with a probability equal to the weighted Jaccard similarity
 Copies are grouped by a digest of the multiset first. Representatives go to the buckets of 25 bands of 5 components.
 A bucket's pairs are never written out: every member is tried against the member with most company (`star`), the links
 found give components, and only members that a bucket's star left in other components are tried against the rest, in
-blocks. In a bucket of more than `LARGE` members a member's shared shingles (those that another such member has too) bound
-its overlap with anyone, so pairs that this bound keeps below the least similarity are never formed. A pair is tried by 128 signature bits (no pair of similarity 0.8 fails that but with probability below 1e-5) and
+blocks. In a bucket of more than `LARGE` members two more conditions keep pairs from being formed: a member's shared
+shingles (those that another such member has too) bound its overlap with anyone, and then the overlap of the two members'
+shingles in 31 bits, with one to spare, has to reach the least similarity. A pair is tried by 128 signature bits (no pair of similarity 0.8 fails that but with probability below 1e-5) and
 then by the exact overlap of the two multisets. Joins meet hot buckets in staged tables that adaptive execution splits.
 
 Defined cases: null, empty and wordless texts link with nothing; a text of fewer than five words is one shingle;
@@ -189,13 +190,15 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def shared_counts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, items, shared) for the documents of ids: how many shingles it has, and how many of them another has too."""
+    """(doc_id, items, shared, short) for the documents of ids: how many shingles it has, how many of them another has too,
+    and all of them in 31 bits."""
     sets = stage(multisets(pick(docs.where("text is not null"), stage(ids, "near-large-ids"))), "near-large-multisets")
     rows = sets.select("doc_id", F.explode("items").alias("item"))
-    often = stage(rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1").select(F.col("item").alias("i")), "near-shared-items")
-    counts = rows.join(often, F.col("item") == F.col("i"), "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared")).withColumnRenamed("doc_id", "x")
-    joined = sets.select("doc_id", F.size("items").alias("items")).join(counts, F.col("doc_id") == F.col("x"), "left")
-    return joined.select("doc_id", "items", F.coalesce("shared", F.lit(0)).alias("shared"))
+    alone = rows.groupBy("item").agg(F.count("*").alias("df"), F.min("doc_id").alias("x")).where("df = 1")
+    counts = alone.groupBy("x").agg(F.count("*").alias("own"))
+    short = F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    joined = sets.select("doc_id", F.size("items").alias("items"), short.alias("short")).join(counts, F.col("doc_id") == F.col("x"), "left")
+    return joined.select("doc_id", "items", (F.col("items") - F.coalesce("own", F.lit(0))).alias("shared"), "short")
 
 
 def _bits_apart(one: str, other: str):
@@ -227,13 +230,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     main = stage(main.join(mixed, F.col("k") == F.col("bucket")).select("k", "main"), "near-mixed-buckets")
     members = stage(grouped.join(main, F.col("bucket") == F.col("k")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("k"), "near-mixed-rows")
     shared = shared_counts(docs, members.where(F.col("n") > LARGE).select("doc_id").distinct())
-    members = stage(members.join(shared.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").drop("d"), "near-mixed-bounds")
-    asked = members.where("component <> main").select(F.col("shared").alias("q_shared"), F.col("items").alias("q_items"), F.col("bucket").alias("k"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("at"), F.col("doc_id").alias("q"), F.col("component").alias("qc"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    members = members.join(shared.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").drop("d")
+    members = stage(members.withColumn("short", F.when(F.col("n") > LARGE, F.col("short"))), "near-mixed-bounds")
+    asked = members.where("component <> main").select(F.col("shared").alias("q_shared"), F.col("items").alias("q_items"), F.col("short").alias("q_short"), F.col("bucket").alias("k"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("at"), F.col("doc_id").alias("q"), F.col("component").alias("qc"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
     others = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     once = (F.col("component") == F.col("main")) | (F.col("q") < F.col("doc_id"))
     num, den = SIMILAR
-    close = (F.col("n") <= LARGE) | (F.least("shared", "q_shared") * (num + den) >= num * (F.col("items") + F.col("q_items")))
-    met = others.join(asked, close & (F.col("bucket") == F.col("k")) & (F.col("block") == F.col("at")) & (F.col("component") != F.col("qc")) & once & (_bits_apart("s", "t") <= MAX_BITS_APART))
+    enough = lambda overlap: overlap * (num + den) >= num * (F.col("items") + F.col("q_items"))
+    close = (F.col("n") <= LARGE) | (enough(F.least("shared", "q_shared")) & enough(F.size(F.array_intersect("short", "q_short")) + 1))
+    apart = (F.col("component") != F.col("qc")) & once & (_bits_apart("s", "t") <= MAX_BITS_APART)
+    met = others.join(asked, (F.col("bucket") == F.col("k")) & (F.col("block") == F.col("at")) & apart & close)
     left = met.select(F.least("q", "doc_id").alias("a"), F.greatest("q", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     left = stage(left, "near-rest-pairs")
     if not left.isEmpty():
