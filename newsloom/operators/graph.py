@@ -28,7 +28,7 @@ def hubs(edges: DataFrame, least: int, limit: int) -> DataFrame:
 
 def within_hops(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     """(root, node, hop): nodes at most `hops` edges from each root, with the least number of edges."""
-    both = both_ways(edges.select("a", "b"))
+    both = stage(both_ways(edges.select("a", "b")), "both-ways")
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop"))
     front = seen
     for hop in range(1, hops + 1):
@@ -90,9 +90,9 @@ def graph_quality(relations: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
-def two_hop_paths(edges: DataFrame, middle: DataFrame) -> DataFrame:
-    """(a, m, c): paths over the given middle nodes (node), a < c."""
-    both = both_ways(edges.select("a", "b")).join(middle.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("a").alias("m"), F.col("b").alias("end"))
+def two_hop_paths(edges: DataFrame) -> DataFrame:
+    """(a, m, c): paths over every middle node, a < c."""
+    both = both_ways(edges.select("a", "b")).select(F.col("a").alias("m"), F.col("b").alias("end"))
     left, right = both.select("m", F.col("end").alias("a")), both.select("m", F.col("end").alias("c"))
     return left.join(right, "m").where("a < c").select("a", "m", "c")
 

@@ -529,11 +529,11 @@ def gr_1(spark, sf_dir):
     return graph.hubs(domain.article_edges(spark, sf_dir), 3, 40)
 
 
-_HOPS = f", {_BOTH}, h0 AS (SELECT doc_id AS root, doc_id AS node FROM documents WHERE doc_id % 10 = 0), h1 AS (SELECT DISTINCT root, b AS node FROM h0 JOIN both_ways ON a = node), h2 AS (SELECT DISTINCT root, b AS node FROM h1 JOIN both_ways ON a = node), h3 AS (SELECT DISTINCT root, b AS node FROM h2 JOIN both_ways ON a = node), hops AS (SELECT root, node, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY ALL)"
+_HOPS = f", {_BOTH}, h0 AS (SELECT doc_id AS root, doc_id AS node FROM documents), h1 AS (SELECT DISTINCT root, b AS node FROM h0 JOIN both_ways ON a = node), h2 AS (SELECT DISTINCT root, b AS node FROM h1 JOIN both_ways ON a = node), h3 AS (SELECT DISTINCT root, b AS node FROM h2 JOIN both_ways ON a = node), hops AS (SELECT root, node, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY ALL)"
 
 
 def _roots(spark, sf_dir):
-    return domain.table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("root"))
+    return domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("root"))
 
 
 @query("gr_3_within_three_hops", f"{_HOPS} SELECT root, node, hop FROM hops")
@@ -586,10 +586,9 @@ def gr_12(spark, sf_dir):
     return graph.graph_quality(domain.relations(spark, sf_dir), domain.claims(spark, sf_dir))
 
 
-@query("gr_13_two_hop_paths", f", {_BOTH} SELECT x.b AS a, x.a AS m, y.b AS c FROM both_ways x JOIN both_ways y ON x.a = y.a WHERE x.a % 4 = 0 AND x.b < y.b")
+@query("gr_13_two_hop_paths", f", {_BOTH} SELECT x.b AS a, x.a AS m, y.b AS c FROM both_ways x JOIN both_ways y ON x.a = y.a WHERE x.b < y.b")
 def gr_13(spark, sf_dir):
-    middle = domain.table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("node"))
-    return graph.two_hop_paths(domain.article_edges(spark, sf_dir), middle)
+    return graph.two_hop_paths(domain.article_edges(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -932,10 +931,10 @@ def win_11(spark, sf_dir):
     return domain.events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_id", F.struct("at_s", "event_id")).alias("event_id"), F.max("at_s").alias("at_s"))
 
 
-@query("set_1_root_and_neighbours", f", {_BOTH} SELECT DISTINCT node FROM (SELECT doc_id AS node FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT b FROM both_ways WHERE a % 50 = 0)")
+@query("set_1_root_and_neighbours", f", {_BOTH} SELECT DISTINCT node FROM (SELECT doc_id AS node FROM documents UNION ALL SELECT b FROM both_ways)")
 def set_1(spark, sf_dir):
-    roots = domain.table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("node"))
-    near = graph.both_ways(domain.article_edges(spark, sf_dir)).where("a % 50 = 0").select(F.col("b").alias("node"))
+    roots = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
+    near = graph.both_ways(domain.article_edges(spark, sf_dir)).select(F.col("b").alias("node"))
     return roots.union(near).distinct()
 
 
@@ -1206,11 +1205,11 @@ def win_10(spark, sf_dir):
 
 
 @query("gr_4_lineage_hops", """, e AS (SELECT from_id AS a, to_id AS b FROM relations WHERE kind = 'EVOLVED_FROM' UNION ALL SELECT to_id, from_id FROM relations WHERE kind = 'EVOLVED_FROM'),
-    h0 AS (SELECT claim_id AS root, claim_id AS node FROM claims WHERE claim_id % 20 = 1), h1 AS (SELECT DISTINCT root, b AS node FROM h0 JOIN e ON a = node), h2 AS (SELECT DISTINCT root, b AS node FROM h1 JOIN e ON a = node), h3 AS (SELECT DISTINCT root, b AS node FROM h2 JOIN e ON a = node)
+    h0 AS (SELECT claim_id AS root, claim_id AS node FROM claims), h1 AS (SELECT DISTINCT root, b AS node FROM h0 JOIN e ON a = node), h2 AS (SELECT DISTINCT root, b AS node FROM h1 JOIN e ON a = node), h3 AS (SELECT DISTINCT root, b AS node FROM h2 JOIN e ON a = node)
     SELECT root, node, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY ALL""")
 def gr_4(spark, sf_dir):
     edges = domain.relations(spark, sf_dir).where("kind = 'EVOLVED_FROM'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    roots = domain.claims(spark, sf_dir).where("claim_id % 20 = 1").select(F.col("claim_id").alias("root"))
+    roots = domain.claims(spark, sf_dir).select(F.col("claim_id").alias("root"))
     return graph.within_hops(edges, roots, 3)
 
 
