@@ -424,10 +424,17 @@ def agg_19(spark, sf_dir):
 # ---------------------------------------------------------------- windows
 
 
-@query("win_1_edge_dedupe", "SELECT from_id % 50 AS slot, from_id, score FROM (SELECT *, row_number() OVER (PARTITION BY from_id % 50 ORDER BY score DESC, created_s, from_id) AS rn FROM relations) WHERE rn = 1")
+@query(
+    "win_1_edge_dedupe",
+    """, edge AS (SELECT from_id, to_id, kind, score, created_s, 0 AS edge_id FROM relations UNION ALL SELECT from_id, to_id, kind, 1.0::DOUBLE - score, created_s + 60, 1 FROM relations)
+    SELECT from_id, to_id, kind, score, created_s FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id, kind ORDER BY score DESC, created_s, edge_id) AS rn FROM edge) WHERE rn = 1""",
+)
 def win_1(spark, sf_dir):
-    rows = domain.relations(spark, sf_dir).withColumn("slot", F.col("from_id") % 50)
-    return ranking.first_per_key(rows, ["slot"], [F.desc("score"), "created_s", "from_id"]).select("slot", "from_id", "score")
+    """Every relation comes twice, the second time later and with another score."""
+    rows = domain.relations(spark, sf_dir).withColumn("edge_id", F.lit(0))
+    again = rows.withColumns({"score": 1.0 - F.col("score"), "created_s": F.col("created_s") + 60, "edge_id": F.lit(1)})
+    found = ranking.first_per_key(rows.unionByName(again), ["from_id", "to_id", "kind"], [F.desc("score"), "created_s", "edge_id"])
+    return found.select("from_id", "to_id", "kind", "score", "created_s")
 
 
 @query(

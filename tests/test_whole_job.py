@@ -54,3 +54,9 @@ def test_every_claim_has_a_lineage(spark):
     want = {(root, node, hop) for root in ids for node, hop in hops(near, root, 3).items()}
     got = [tuple(r) for r in catalog.QUERIES["gr_4_lineage_hops"](spark, SF).select("root", "node", "hop").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_every_distinct_edge_is_kept_once(spark):
+    want = {(r["from_id"], r["to_id"], r["kind"]): max(r["score"], 1 - r["score"]) for r in domain.relations(spark, SF).collect()}
+    got = catalog.QUERIES["win_1_edge_dedupe"](spark, SF).collect()
+    assert len(got) == len(want) > 50 and {(r["from_id"], r["to_id"], r["kind"]): r["score"] for r in got} == want
