@@ -54,9 +54,9 @@ def src_7(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("snk_2_csv_safe_cells", r"SELECT page_id, regexp_replace(substr(html, 1, 40), '^([=+\-@\t\r])', '''\1') AS cell FROM pages")
+@query("snk_2_csv_safe_cells", r"SELECT page_id, regexp_replace(html, '^([=+\-@\t\r])', '''\1') AS cell FROM pages")
 def snk_2(spark, sf_dir):
-    return domain.table(spark, sf_dir, "pages").select("page_id", tx.csv_safe(F.substring("html", 1, 40)).alias("cell"))
+    return domain.table(spark, sf_dir, "pages").select("page_id", tx.csv_safe(F.col("html")).alias("cell"))
 
 
 @query("snk_3_published_by_edges", "SELECT DISTINCT claim_id, domain FROM claims")

@@ -60,3 +60,10 @@ def test_every_distinct_edge_is_kept_once(spark):
     want = {(r["from_id"], r["to_id"], r["kind"]): max(r["score"], 1 - r["score"]) for r in domain.relations(spark, SF).collect()}
     got = catalog.QUERIES["win_1_edge_dedupe"](spark, SF).collect()
     assert len(got) == len(want) > 50 and {(r["from_id"], r["to_id"], r["kind"]): r["score"] for r in got} == want
+
+
+def test_csv_cells_are_whole(spark):
+    html = {r["page_id"]: r["html"] for r in domain.table(spark, SF, "pages").select("page_id", "html").collect()}
+    got = catalog.QUERIES["snk_2_csv_safe_cells"](spark, SF).collect()
+    assert len(got) == len(html) and max(len(r["cell"]) for r in got) > 41
+    assert all(r["cell"] == ("'" if html[r["page_id"]][:1] in tuple("=+-@\t\r") else "") + html[r["page_id"]] for r in got)
