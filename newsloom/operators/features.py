@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: White space as Python's str.split() sees it.
+SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
+
+
 def ngram_tfidf(rows: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
-    """(id, term, w): unit vectors of character n-grams over (id, text); w = (1 + ln tf)(ln((1 + n) / (1 + df)) + 1)."""
-    padded = rows.select("id", F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("t"))
-    grams = None
+    """(id, term, w): unit vectors of character n-grams over (id, text); w = (1 + ln tf)(ln((1 + n) / (1 + df)) + 1).
+
+    N-grams lie inside words with one blank on either side; a padded word shorter than `low` counts once as a whole.
+    """
+    words = F.filter(F.split(F.lower("text"), SPACE), lambda w: w != "")
+    padded = rows.select("id", F.explode(words).alias("t")).select("id", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
+    grams = padded.where(F.length("t") < low).select("id", F.col("t").alias("term"))
     for n in range(low, high + 1):
-        own = padded.where(F.length("t") >= n).select("id", F.explode(_grams(n)).alias("term"))
-        grams = own if grams is None else grams.union(own)
+        grams = grams.union(padded.where(F.length("t") >= n).select("id", F.explode(_grams(n)).alias("term")))
     tf = grams.groupBy("id", "term").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = rows.agg(F.count_distinct("id").alias("total"))

@@ -74,7 +74,7 @@ def next_pair(pairs: DataFrame, votes: DataFrame, uncertain_first: bool = False)
     return open_.groupBy("annotator").agg(F.min_by("pair_id", order).alias("pair_id"))
 
 
-def capped_pairs(pairs: DataFrame, order: list, cap: int, rounds: int = 200) -> DataFrame:
+def capped_pairs(pairs: DataFrame, order: list, cap: int) -> DataFrame:
     """Pairs (a, b) such that no id is in more than `cap` of them, taken in rounds.
 
     In a round each id ranks its open pairs by the given order; a pair that is within the cap still open at both its ends
@@ -85,7 +85,7 @@ def capped_pairs(pairs: DataFrame, order: list, cap: int, rounds: int = 200) ->
 
     open_ = stage(pairs, "open-pairs")
     taken = None
-    for _ in range(rounds):
+    while not open_.isEmpty():
         used = None
         if taken is not None:
             used = taken.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
@@ -99,14 +99,14 @@ def capped_pairs(pairs: DataFrame, order: list, cap: int, rounds: int = 200) ->
             else:
                 rows = rows.withColumn(f"u_{side}", F.lit(0))
         fits = (F.col("r_a") + F.coalesce("u_a", F.lit(0)) <= cap) & (F.col("r_b") + F.coalesce("u_b", F.lit(0)) <= cap)
-        new = stage(rows.where(fits).select(*open_.columns), "taken-pairs")
+        new = stage(rows.where(fits).select(*pairs.columns), "taken-pairs")
         if new.isEmpty():
-            break
+            raise ValueError("no open pair comes first at both its ends: the order is not total")
         taken = new if taken is None else stage(taken.union(new), "taken-pairs")
         ends = taken.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
         full = stage(ends.where(F.col("used") >= cap).select("id"), "full-ends")
         open_ = open_.join(new.select("a", "b"), ["a", "b"], "left_anti")
         for side in ("a", "b"):
             open_ = open_.join(full.withColumnRenamed("id", side), side, "left_anti")
-        open_ = stage(open_, "open-pairs")
+        open_ = stage(open_.select(*pairs.columns), "open-pairs")  # a join by name puts its column first
     return taken if taken is not None else open_.limit(0)

@@ -1016,14 +1016,15 @@ def fn_28(spark, sf_dir):
 
 @query(
     "fn_20_ngram_tfidf",
-    """, g AS (SELECT pair_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i::INTEGER, 3))) AS x FROM (SELECT item_id AS pair_id, ' ' || lower(text) || ' ' AS t FROM benchmark)),
+    r""", word AS (SELECT item_id AS pair_id, ' ' || unnest(list_filter(string_split_regex(lower(text), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+'), lambda x: x <> '')) || ' ' AS t FROM benchmark),
+    g AS (SELECT pair_id, substr(t, i, n) AS x FROM word, (VALUES (3), (4), (5)) size(n), LATERAL (SELECT unnest(range(1, length(t) - n + 2)) AS i)),
     tf AS (SELECT pair_id, x, 1 + ln(count(*)) AS tf FROM g GROUP BY ALL), idf AS (SELECT x, ln((1 + (SELECT count(DISTINCT pair_id) FROM g)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY x),
     w AS (SELECT pair_id, x, tf * idf AS w FROM tf JOIN idf USING (x)), n AS (SELECT pair_id, sqrt(sum(w * w)) AS n FROM w GROUP BY pair_id)
     SELECT a.pair_id AS a, b.pair_id AS b, round(sum(a.w * b.w) / (max(na.n) * max(nb.n)), 5) AS score FROM w a JOIN w b ON a.x = b.x AND b.pair_id = a.pair_id + 1 JOIN n na ON na.pair_id = a.pair_id JOIN n nb ON nb.pair_id = b.pair_id GROUP BY ALL""",
 )
 def fn_20(spark, sf_dir):
     rows = domain.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    weights = features.ngram_tfidf(rows, 3, 3)
+    weights = features.ngram_tfidf(rows, 3, 5)
     pairs = rows.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     return features.sparse_cosine(weights, pairs).select("a", "b", F.round("score", 5).alias("score"))
 

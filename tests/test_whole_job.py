@@ -1,9 +1,12 @@
 """Registered queries over all their rows, against brute force that knows no SQL."""
 
 import collections
+import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from newsloom.operators import features, ranking
 from newsloom.plans import catalog
 from newsloom.sources import domain
 
@@ -67,3 +70,31 @@ def test_csv_cells_are_whole(spark):
     got = catalog.QUERIES["snk_2_csv_safe_cells"](spark, SF).collect()
     assert len(got) == len(html) and max(len(r["cell"]) for r in got) > 41
     assert all(r["cell"] == ("'" if html[r["page_id"]][:1] in tuple("=+-@\t\r") else "") + html[r["page_id"]] for r in got)
+
+
+def test_ngrams_of_three_to_five_stay_inside_words(spark):
+    rows = spark.createDataFrame([(1, "Abc  de"), (2, "a\tlong")], "id long, text string")
+    got = features.ngram_tfidf(rows).groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("t")).collect()
+    want = {1: [" ab", "abc", "bc ", " abc", "abc ", " abc ", " de", "de ", " de "], 2: [" a ", " lo", "lon", "ong", "ng ", " lon", "long", "ong ", " long", "long "]}
+    assert {r["id"]: r["t"] for r in got} == {k: sorted(v) for k, v in want.items()}
+    long_only = features.ngram_tfidf(rows, 4, 4).where("id = 2").select("term").collect()
+    assert sorted(r["term"] for r in long_only) == sorted([" a ", " lon", "long", "ong "])
+
+
+def test_scores_of_three_to_five_grams(spark):
+    text = {r["item_id"]: r["text"].lower() for r in domain.table(spark, SF, "benchmark").select("item_id", "text").collect()}
+    tf = {i: collections.Counter(f" {w} "[k : k + n] for w in t.split() for n in (3, 4, 5) for k in range(len(w) + 3 - n)) for i, t in text.items()}
+    df = collections.Counter(x for c in tf.values() for x in c)
+    w = {i: {x: (1 + math.log(k)) * (math.log((1 + len(text)) / (1 + df[x])) + 1) for x, k in c.items()} for i, c in tf.items()}
+    norm = {i: math.sqrt(sum(v * v for v in c.values())) for i, c in w.items()}
+    dot = {(i, i + 1): sum(v * w[i + 1][x] for x, v in w[i].items() if x in w[i + 1]) / norm[i] / norm[i + 1] for i in w if i + 1 in w and set(w[i]) & set(w[i + 1])}
+    got = {(r["a"], r["b"]): r["score"] for r in catalog.QUERIES["fn_20_ngram_tfidf"](spark, SF).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-5) for k, v in dot.items()}
+
+
+def test_capped_pairs_go_on_until_none_is_open_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1, -float(i)) for i in range(9)], "a long, b long, score double")
+    taken = ranking.capped_pairs(path, [F.desc("score"), "a", "b"], 1).collect()
+    assert sorted(r["a"] for r in taken) == [0, 2, 4, 6, 8]
+    with pytest.raises(ValueError):
+        ranking.capped_pairs(path.where("a < 2"), [F.desc("score")], 0)
