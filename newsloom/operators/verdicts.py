@@ -93,6 +93,49 @@ def evidence_passage(claims: DataFrame, articles: DataFrame, least_length: int =
     return best.select("article_id", (-F.col("x.minus")).alias("claim_id"), F.col("x.overlap").cast("long").alias("overlap"))
 
 
+#: A sentence with the white space before it: it ends at . ! or ? before white space, at a line end or at the end.
+_SENTENCE = r"(?sdU)\s*\S.*?(?:[.!?](?=\s|$)|\n|$)"
+
+
+def body_passage(pairs: DataFrame, articles: DataFrame, most: int = 1000) -> DataFrame:
+    """(claim_id, article_id, passage, source): a stretch of an article's body for each claim and candidate text.
+
+    pairs: (claim_id, claim_text, article_id, candidate). The sentence is the one in which the candidate text stands, in
+    any case, or else the first of those that share most words of three letters with claim and candidate. It comes with
+    the sentences beside it up to `most` characters; a longer one is cut, from 200 characters before the candidate text.
+    Without a body the candidate text is returned.
+    """
+    from pyspark.sql import Window as W
+
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w{3,}"), F.lit(0)))
+    bodies = articles.select("article_id", F.col("content").alias("body"))
+    in_text = W.partitionBy("article_id").orderBy("pos")
+    spans = bodies.select("article_id", F.posexplode(F.regexp_extract_all("body", F.lit(_SENTENCE), F.lit(0))).alias("pos", "part"))
+    spans = spans.select("article_id", "pos", words(F.col("part")).alias("words"), F.length("part").alias("n"), F.length(F.regexp_replace("part", r"(?U)^\s+", "")).alias("own"))
+    spans = spans.withColumn("end", F.sum("n").over(in_text.rowsBetween(W.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("own"))
+    spans = spans.withColumns({"before": F.lag("start").over(in_text), "after": F.lead("end").over(in_text)})
+
+    held = pairs.join(bodies, "article_id", "left")
+    found = F.when(F.length("candidate") > 0, F.expr("locate(lower(candidate), lower(body))"))  # from 1; 0 for none
+    terms = words(F.concat_ws(" ", "candidate", "claim_text"))
+    asked = held.select("claim_id", "article_id", "candidate", F.coalesce(found, F.lit(0)).alias("anchor"), terms.alias("terms"))
+    fit = F.when(F.col("anchor") > 0, (F.col("end") >= F.col("anchor")).cast("int")).otherwise(F.size(F.array_intersect("terms", "words")))
+    met = asked.join(spans, "article_id", "left")  # every join is on article_id: one shuffle
+    text = F.when(F.col("pos").isNull(), F.col("candidate")).alias("candidate")
+    met = met.select("claim_id", "article_id", fit.alias("fit"), "pos", F.struct("start", "end", "before", "after", "anchor", text).alias("x"))  # no words go into the sort
+    best = met.groupBy("claim_id", "article_id").agg(F.max_by("x", F.struct("fit", -F.col("pos"))).alias("x")).select("claim_id", "article_id", "x.*")
+
+    long = F.col("end") - F.col("start") > most
+    first = F.when(long, F.when(F.col("anchor") > 0, F.greatest("start", F.col("anchor") - 201)).otherwise(F.col("start")))
+    first = first.when(F.col("end") - F.col("before") <= most, F.col("before")).otherwise(F.col("start"))
+    last = F.when(long, F.col("first") + most).when(F.col("after") - F.col("first") <= most, F.col("after")).otherwise(F.col("end"))
+    best = best.withColumn("first", first).withColumn("last", last).select("claim_id", "article_id", "candidate", "first", "last")
+    rows = best.join(bodies, "article_id", "left")
+    part = F.regexp_replace(F.substr("body", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), r"(?U)^\s+|\s+$", "")
+    bare = F.col("first").isNull()
+    return rows.select("claim_id", "article_id", F.when(bare, F.col("candidate")).otherwise(part).alias("passage"), F.when(bare, "extracted_claim").otherwise("content").alias("source"))
+
+
 def text_change(pairs: DataFrame) -> DataFrame:
     """Kinds of change between older and newer text (a, b), by comparing each lexicon's tokens; NEAR_DUPLICATE if none."""
     kinds = [("NUMERIC_DRIFT", tx.numeric_tokens), ("ENTITY_SUBSTITUTION", tx.entity_tokens)]

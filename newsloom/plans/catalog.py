@@ -898,6 +898,13 @@ def pl_8(spark, sf_dir):
     return verdicts.evidence_passage(domain.claims(spark, sf_dir), domain.articles(spark, sf_dir))
 
 
+@query("pl_8_body_passage")
+def pl_8_body(spark, sf_dir):
+    """Each claim in its own article; the body is searched whole."""
+    pairs = domain.claims(spark, sf_dir).select("claim_id", "claim_text", "article_id", F.col("claim_text").alias("candidate"))
+    return verdicts.body_passage(pairs, domain.articles(spark, sf_dir))
+
+
 @query("pl_5_text_change")
 def pl_5(spark, sf_dir):
     text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")

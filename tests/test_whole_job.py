@@ -2,11 +2,12 @@
 
 import collections
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import features, ranking
+from newsloom.operators import features, ranking, verdicts
 from newsloom.plans import catalog
 from newsloom.sources import domain
 
@@ -98,3 +99,45 @@ def test_capped_pairs_go_on_until_none_is_open_or_raise(spark):
     assert sorted(r["a"] for r in taken) == [0, 2, 4, 6, 8]
     with pytest.raises(ValueError):
         ranking.capped_pairs(path.where("a < 2"), [F.desc("score")], 0)
+
+
+def passage_by_hand(body, claim, candidate):
+    """The rule in plain Python."""
+    if not body.strip():
+        return candidate, "extracted_claim"
+    spans = [m.span() for m in re.finditer(r"\S.*?(?:[.!?](?=\s|$)|\n|$)", body, re.DOTALL)]
+    at = body.lower().find(candidate.lower()) if candidate else -1
+    words = lambda t: set(re.findall(r"\w{3,}", t.lower()))
+    if at >= 0:
+        i = next((i for i, s in enumerate(spans) if s[1] > at), 0)
+    else:
+        i = max(range(len(spans)), key=lambda i: len(words(f"{candidate} {claim}") & words(body[slice(*spans[i])])))
+    start, end = spans[i]
+    if end - start > 1000:
+        start = max(start, at - 200) if at >= 0 else start
+        end = min(len(body), start + 1000)
+    else:
+        if i and end - spans[i - 1][0] <= 1000:
+            start = spans[i - 1][0]
+        if i + 1 < len(spans) and spans[i + 1][1] - start <= 1000:
+            end = spans[i + 1][1]
+    return body[start:end].strip(), "content"
+
+
+def test_passages_come_from_the_whole_body(spark):
+    many = "  ".join(f"Sentence number {i} speaks of nothing at all here." for i in range(12)) + " Short proof.\nThe harbour bridge was closed on Monday! Is it? Yes."
+    long = "Start here. " + "word " * 300 + "the secret anchor stands here " + "more " * 300 + "end. Last one."
+    bodies = {1: many, 2: long, 3: " \n ", 4: "One. " + "b" * 995 + ". Three.", 5: "Ein Wort: Größe zählt.\n\nZweite Zeile ohne Ende"}
+    asked = [(1, "was the harbour bridge closed", 1, "unseen words"), (2, "x", 1, "SHORT PROOF."), (3, "x", 2, "Secret Anchor"), (4, "more", 2, ""), (5, "x", 3, "told"), (6, "Three", 4, ""), (7, "größe", 5, ""), (8, "none", 5, "zeile ohne"), (9, "nothing", 1, "")]
+    pairs = spark.createDataFrame(asked, "claim_id long, claim_text string, article_id long, candidate string")
+    articles = spark.createDataFrame(list(bodies.items()), "article_id long, content string")
+    got = {r["claim_id"]: (r["passage"], r["source"]) for r in verdicts.body_passage(pairs, articles).collect()}
+    assert got == {i: passage_by_hand(bodies[a], claim, cand) for i, claim, a, cand in asked}
+    assert "harbour bridge" in got[1][0]
+
+
+def test_every_claim_has_a_passage(spark):
+    body = {r["article_id"]: r["content"] for r in domain.articles(spark, SF).select("article_id", "content").collect()}
+    want = {r["claim_id"]: passage_by_hand(body[r["article_id"]], r["claim_text"], r["claim_text"]) for r in domain.claims(spark, SF).collect()}
+    got = catalog.QUERIES["pl_8_body_passage"](spark, SF).collect()
+    assert len(got) == len(want) and {r["claim_id"]: (r["passage"], r["source"]) for r in got} == want
