@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lost executor costs no recomputation beyond it.
 
-    The table goes when the session's JVM ends.
+    The table goes when the session's JVM ends, or earlier with `unstage`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/newsloom-{name}-{uuid.uuid4().hex}"
@@ -35,7 +35,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables that `stage` returned and that no later result reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str, max_broadcast_rows: int = 50_000, salts: int = 64) -> DataFrame:
