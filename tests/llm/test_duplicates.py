@@ -102,18 +102,49 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
 
 
 def test_near_duplicates_in_small_blocks(spark, corpus, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
-    monkeypatch.setattr(minhash_dedup, "LARGE", 4)
-    monkeypatch.setattr(minhash_dedup, "MAX_BROADCAST_IDS", 0)
+    for name, value in {"BLOCK": 7, "FEW_PAIRS": 0, "COLUMNS": 16, "TASK_ROWS": 5, "MAX_BROADCAST_IDS": 0}.items():
+        monkeypatch.setattr(minhash_dedup, name, value)
     found = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(make(spark, corpus)).collect()}
     assert found == plain_classes(corpus)
 
 
+def test_overlaps_both_ways():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.integers(0, 5000, rng.integers(0, 900))) for _ in range(30)] for _ in range(2))
+    pairs = rng.random((30, 30)) < 0.5
+    want = np.array([[len(set(x) & set(y)) for y in right] for x in left])
+    for few in (0, 10_000):
+        minhash_dedup.FEW_PAIRS, kept = few, minhash_dedup.FEW_PAIRS
+        found = minhash_dedup.overlaps(left, right, pairs)
+        minhash_dedup.FEW_PAIRS = kept
+        assert (found[pairs] == want[pairs]).all()
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    """One bucket of 70 texts of some 60,000 shingles whose overlaps lie just above and just below 0.8."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 50_000, 60_000).astype(str)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 70):
+        text = base.copy()
+        changed = 1390 if i % 2 else 1260
+        text[rng.choice(11_999, changed, replace=False) * 5] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    bags = [bag(t) for _, t in rows]
+    near = {i for i in range(1, 70) if 10 * sum((bags[0] & bags[i]).values()) >= 8 * sum((bags[0] | bags[i]).values())}
+    assert near == set(range(2, 70, 2))
+    found = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(make(spark, rows)).collect()}
+    assert found == {i: 0 if i in near else i for i, _ in rows}
+
+
 def test_near_duplicates_odd_rows(spark):
-    rows = make(spark, [(1, "one two three"), (1, "one two three"), (None, "one two three"), (2, None)])
+    rows = make(spark, [(1, "one two three"), (1, "one two three"), (1, "one  two three"), (None, "one two three"), (2, None), (2, None), (3, "one two three")])
     found = minhash_dedup.near_duplicates(rows).collect()
-    assert len(found) == 4 and all(r["kept"] for r in found)
-    assert minhash_dedup.near_duplicates(rows.limit(0)).count() == 0
+    assert len(found) == 7 and sorted((r["doc_id"], r["kept"]) for r in found if r["doc_id"]) == [(1, False), (1, False), (1, True), (2, True), (2, True), (3, False)]
+    assert [r["kept"] for r in found if r["doc_id"] is None] == [True]
+    left = minhash_dedup.drop_near_duplicates(rows)
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 2] and left.columns == rows.columns
+    assert minhash_dedup.near_duplicates(rows.limit(0)).count() == 0 and minhash_dedup.drop_near_duplicates(rows.limit(0)).count() == 0
 
 
 def test_similar_vectors_equal_brute_force(spark, monkeypatch):
