@@ -24,8 +24,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    found = minhash_dedup.near_duplicates(docs)
-    return minhash_dedup.pick(docs, stage(found.where("not kept").select("doc_id"), "near-dropped"), "left_anti")
+    return minhash_dedup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
