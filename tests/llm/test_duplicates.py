@@ -149,6 +149,7 @@ def test_near_duplicates_odd_rows(spark):
 
 def test_similar_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "TASK_ROWS", 40)
     rng = np.random.default_rng(2)
     rows, n = [], 0
     for label in (0, 1, None):
@@ -171,6 +172,30 @@ def test_similar_vectors_equal_brute_force(spark, monkeypatch):
     assert len(links) > 50 and embedding_dedup.similar_vectors(frame.limit(0)).count() == 0
 
 
+def test_similar_vectors_odd_rows(spark):
+    schema = "vec_id long, embedding array<double>, label string"
+    found = embedding_dedup.similar_vectors(spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, [2.0], "a,1.0"), (3, [1.0, 2.0], "a,2.0")], schema)).collect()
+    assert all(r["n_links"] == 0 and r["kept"] for r in found) and len(found) == 3
+    rows = [(5, [1.0, 1.0], "a"), (5, [1.0, 1.0], "a"), (6, [2.0, 2.0], "a"), (None, [1.0, 1.0], "a"), (None, None, None), (7, [1.0, 1.0], None)]
+    found = embedding_dedup.similar_vectors(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in found) == [(0, 0, 0, True), (0, 0, 0, True), (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 0, 7, True)]
+
+
+def test_table_shape_keeps_recall():
+    for classes in (0, 10, 10_000, 10**6, 10**9):
+        tables, hashes = embedding_dedup.table_shape(classes)
+        assert (1 - embedding_dedup.NEAR_SHARED**hashes) ** tables <= embedding_dedup.MISSED
+        assert classes * embedding_dedup.FAR_SHARED**hashes <= embedding_dedup.FILL
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((4000, 64))
+    side -= (side * a).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    keys = [embedding_dedup.table_keys(x, 40, 1) for x in (a, b, side / np.linalg.norm(side, axis=1, keepdims=True))]
+    assert (keys[0] == keys[1]).mean() >= embedding_dedup.NEAR_SHARED - 0.005 and (keys[0] == keys[2]).mean() < embedding_dedup.FAR_SHARED + 0.01
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
