@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,25 @@ def running_counts(counts: DataFrame, bucket: str, n: str, within: list[str] | N
     same = [wide[c].eqNullSafe(right[f"__r_{c}"]) for c in [*within, "__group"]]
     joined = wide.join(right, same)
     return joined.withColumn("before", F.col("__above") + F.col("__inside")).select(*counts.columns, "before")
+
+
+def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with `position` (from 1 in the given order) and running sums, own row included: new name -> column.
+
+    The table is range partitioned by the order, numbered and staged; totals of the partitions, of which there are at
+    most spark.sql.shuffle.partitions, give each one's offsets, so no window holds more than one partition. Rows that
+    agree in the whole order fall into one partition: end it with a column that tells rows apart.
+    """
+    from pyspark.sql import Window as W
+
+    placed = df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
+    placed = stage(placed, "ordered")
+    names = {"position": None, **sums}
+    total = lambda c: F.count("*") if c is None else F.sum(c)
+    parts = placed.groupBy("__part").agg(*[total(c).alias(f"__total_{n}") for n, c in names.items()])
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in names])
+    upto = W.partitionBy("__part").orderBy("__row").rowsBetween(W.unboundedPreceding, 0)
+    joined = placed.join(F.broadcast(parts), F.col("__part") == F.col("__p"))
+    found = joined.withColumns({n: (F.col(f"__before_{n}") + total(c).over(upto)) for n, c in names.items()})
+    return found.select(*df.columns, *names)
