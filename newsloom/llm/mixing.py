@@ -1,13 +1,14 @@
 """Mixing sources to target weights by repeating documents.
 
 Tokens are summed for each source, targets follow from the weights, and a source's repetition rate is
-target / tokens. Each document is emitted floor(rate) times, plus once more when a hash of its id, read as a number in
-[0, 1), is below the rate's fraction. The draw depends on the seed and the id alone, so reruns and lost tasks agree.
+target / tokens. Each document is emitted floor(rate) times, plus once more when a hash of its id, its text and its
+number among equal rows, read as a number in [0, 1), is below the rate's fraction. The draw depends on the seed and
+these alone, so reruns and lost tasks agree.
 
 Defined cases: a null text has size 0; null is a source of its own, placed last; a source without words has target 0
-and rate 0, so its documents are not emitted; rows with the same id share one draw; a null id draws as the text "null";
-an empty table gives an empty result; input columns other than those named are kept (`weigh_sources` and
-`document_rates` use names of their own, so clashing columns are replaced only under those names).
+and rate 0, so its documents are not emitted; null ids and ids that repeat draw by their texts, rows equal in both by
+their number; very long texts count whole; an empty table gives an empty result; `mix_documents` keeps all columns,
+clashing names included, and takes rows with equal values in all of them as interchangeable (no map columns then).
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.llm.text_columns import n_words, unit_interval
-from newsloom.plans.staging import attach, stage
+from newsloom.llm.text_columns import n_words, numbered_copies, unit_interval
+from newsloom.plans.staging import attach, running_totals, stage
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
+#: Repeated ids up to this count are broadcast.
+MAX_BROADCAST_IDS = 500_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -31,46 +33,59 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
 
     Sources by code point, null last, take the weights in turn. All targets together equal all sizes; none exceeds
     max_repeat times its source's size, and what is above goes to the others by weight. Ordered by size over weight,
-    the stopped sources are the first ones, so one running sum finds the level at which the rest meet their share.
-    Windows run over the table of sources only, which holds one row per source.
+    the stopped sources are the first ones, so running sums find the level at which the rest meet their share. Both
+    orders are range partitions of the table of sources, so no task holds all sources, however many there are; the driver
+    gets three numbers.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), turn.cast("int") + 1).cast("long")
-    table = per_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(max_repeat))
-    by_level = W.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
-    before, all_rows = by_level.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    table = table.select(
-        "*",
-        (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("left_over"),
-        (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("left_weight"),
-    ).withColumn("stopped", F.col("weight") * F.col("left_over") > F.col("cap") * F.col("left_weight"))
+    placed = running_totals(per_source, [F.col("source").asc_nulls_last()], {})
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("position") - 1) % len(weights)).cast("int") + 1).cast("long")
+    table = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(max_repeat)).alias("cap"))
+    table = stage(table, "mix-weights")
+    table = running_totals(table, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"caps": "cap", "weights": "weight"})
+    whole = table.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    table = table.withColumns({"left_over": F.lit(whole["size"]) - F.col("caps") + F.col("cap"), "left_weight": F.lit(whole["weight"]) - F.col("weights") + F.col("weight")})
+    table = stage(table.withColumn("stopped", F.col("weight") * F.col("left_over") > F.col("cap") * F.col("left_weight")), "mix-order")
     share = F.when(~F.col("stopped"), F.col("left_over") / F.col("left_weight"))
-    level = F.max_by(share, F.when(~F.col("stopped"), F.col("left_weight"))).over(all_rows)
-    table = table.withColumn("level", level)
-    target = F.when(F.col("stopped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level"))
+    level = table.agg(F.max_by(share, F.when(~F.col("stopped"), F.col("left_weight"))).alias("level")).first()["level"]
+    target = F.when(F.col("stopped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(level).cast("double"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return table.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "weight", "target", "rate")
 
 
-def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
+def copies(rate: Column, *key: Column, seed: str = SEED) -> Column:
     """How often a document with this key is emitted at this rate."""
     whole = F.floor(rate)
-    return (whole + F.when(unit_interval(seed, key) < rate - whole, 1).otherwise(0)).cast("long")
+    return (whole + F.when(unit_interval(seed, *key) < rate - whole, 1).otherwise(0)).cast("long")
 
 
 def document_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies for each row of docs (doc_id, text, source)."""
-    sizes = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5("text").alias("digest"))
+    sizes = stage(numbered_copies(sizes, "mix-copies"), "mix-sizes")
     targets = stage(source_targets(sizes, weights, max_repeat), "mix-targets")
-    joined = attach(sizes, targets, ["source"], spread_by="doc_id")
-    return joined.select("doc_id", "size", "source_size", "target", "rate", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
+    joined = attach(sizes, targets, ["source"], spread_by="digest")
+    times = copies(F.col("rate"), F.col("doc_id"), F.col("digest"), F.col("copy"), seed=seed)
+    return joined.select("doc_id", "size", "source_size", "target", "rate", times.alias("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """docs with each row repeated as its source's rate and its own draw say; columns as before."""
+    """docs with each row repeated as its source's rate and its own draw say; columns as before.
+
+    Ids that several rows have are counted first; only rows of such ids are compared in all columns and numbered.
+    """
     sizes = docs.select("source", n_words(F.col("text")).alias("size"))
     targets = stage(source_targets(sizes, weights, max_repeat).select("source", F.col("rate").alias("__rate")), "mix-targets")
-    joined = attach(docs, targets, ["source"], spread_by="doc_id")
-    times = joined.withColumn("__copies", copies(F.col("__rate"), F.col("doc_id"), seed)).where("__copies > 0")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
+    again = stage(again, "mix-again")
+    if again.isEmpty():
+        rows = docs.withColumn("copy__", F.lit(1).cast("long"))
+    else:
+        few = again.count() <= MAX_BROADCAST_IDS
+        marked = docs.join(F.broadcast(again) if few else again, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti").withColumn("copy__", F.lit(1).cast("long"))
+        same = docs.join(F.broadcast(again) if few else again, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+        rows = marked.unionByName(numbered_copies(same, "mix-numbered").withColumnRenamed("copy", "copy__"))
+    joined = attach(rows, targets, ["source"], spread_by="doc_id")
+    draw = copies(F.col("__rate"), F.col("doc_id"), F.md5("text"), F.col("copy__"), seed=seed)
+    times = joined.withColumn("__copies", draw).where("__copies > 0")
     return times.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -75,7 +75,8 @@ FROM valued v LEFT JOIN wide w ON v.lang IS NOT DISTINCT FROM w.lang AND v.sourc
 def _mixing() -> str:
     weights = list(mixing.WEIGHTS)
     return f"""
-WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+WITH sizes AS (SELECT doc_id, source, size, digest, row_number() OVER (PARTITION BY doc_id, source, size, digest) AS copy
+  FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size, md5(text) AS digest FROM documents)),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM sizes GROUP BY source),
 w AS (SELECT source, source_size, {weights}[(k - 1) % {len(weights)} + 1] AS weight, source_size * {mixing.MAX_REPEAT} AS cap FROM per),
 o AS (SELECT *, (SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER b, 0) AS left_over, (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0) AS left_weight FROM w
@@ -83,7 +84,7 @@ o AS (SELECT *, (SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER b, 0)
 level AS (SELECT left_over::DOUBLE / left_weight::DOUBLE AS level FROM o WHERE NOT weight * left_over > cap * left_weight ORDER BY left_weight DESC LIMIT 1),
 target AS (SELECT source, source_size, CASE WHEN weight * left_over > cap * left_weight THEN cap::DOUBLE ELSE weight * level END AS target FROM o LEFT JOIN level ON TRUE),
 rate AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM target)
-SELECT doc_id, size, source_size, target, (CAST(floor(rate) AS BIGINT) + CASE WHEN ('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::UBIGINT::DOUBLE / {float(2**52)} < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken
+SELECT doc_id, size, source_size, target, (CAST(floor(rate) AS BIGINT) + CASE WHEN ('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(digest, 'null') || ':' || copy), 1, 13))::UBIGINT::DOUBLE / {float(2**52)} < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken
 FROM sizes s JOIN rate r ON s.source IS NOT DISTINCT FROM r.source
 """
 

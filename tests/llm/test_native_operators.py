@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import license_scan, mixing, quality_rules, sharding
+from newsloom.llm import license_scan, mixing, quality_rules, sharding, text_columns
 from newsloom.llm.license_texts import KNOWN_TEXTS
 from newsloom.plans.staging import attach
 
@@ -134,6 +134,39 @@ def test_shards_odd_rows(spark, odd):
     assert sharding.interleave_shards(odd.limit(0)).count() == 0
 
 
+def test_shards_equal_a_plain_sort(spark):
+    """Ranks, fractions and cuts by sorting in Python; only the seeded hashes come from Spark."""
+    rows = [(i % 700 if i % 5 else None, f"text {i % 40}", "en", None if i % 11 == 0 else f"one{i}" if i % 3 == 0 else "hot") for i in range(1500)]
+    docs = make(spark, rows)
+    seen = collections.Counter()
+    keyed = []
+    for i, t, _, src in rows:
+        seen[i, t, src] += 1
+        keyed.append((i, t, src, seen[i, t, src]))
+    frame = spark.createDataFrame([(i, src, len(t) + 8, zlib.crc32(t.encode()), c) for i, t, src, c in keyed], "doc_id long, source string, size long, text_crc32 long, copy long")
+    key = F.xxhash64(F.lit(sharding.SEED), "doc_id", "source", "size", "text_crc32", "copy").alias("key")
+    offset = ((F.pmod(F.xxhash64(F.lit(sharding.SEED), F.lit("offset"), "source"), F.lit(1 << 20)) + 0.5) / float(1 << 20)).alias("u")
+    plain = frame.select("*", key, offset).collect()
+    by_source = collections.defaultdict(list)
+    for r in plain:
+        by_source[r["source"]].append(r)
+    ranked = []
+    for source, members in by_source.items():
+        for k, r in enumerate(sorted(members, key=lambda r: r["key"] % (1 << 64)), 1):
+            ranked.append(((k - r["u"]) / len(members), source is None, source or "", r))
+    ranked.sort(key=lambda x: (*x[:3], x[3]["key"]))
+    want = collections.Counter((r["doc_id"], r["source"], r["text_crc32"], at * 24 // 1500, at) for at, (*_, r) in enumerate(ranked))
+    found = sharding.interleave_shards(docs).collect()
+    assert collections.Counter((r["doc_id"], r["source"], r["text_crc32"], r["shard"], r["position"]) for r in found) == want
+
+
+def test_copies_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(text_columns, "COPIES_AT_ONCE", 7)
+    rows = spark.createDataFrame([(None, "x")] * 50 + [(1, "y"), (1, "z"), (2, None)], "a long, b string")
+    found = sorted((r["a"] or 0, r["b"] or "", r["copy"]) for r in text_columns.numbered_copies(rows, "test").collect())
+    assert found == sorted([(0, "x", k) for k in range(1, 51)] + [(1, "y", 1), (1, "z", 1), (2, "", 1)])
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -174,10 +207,19 @@ def test_mixing_repeats_documents(spark):
 def test_mixing_odd_rows(spark, odd):
     found = mixing.document_rates(odd).collect()
     assert len(found) == 8 and {r["size"] for r in found if r["doc_id"] in (1, 2, 3, 7)} == {0}
-    assert len({r["copies"] for r in found if r["doc_id"] == 5}) == 1
     assert mixing.document_rates(odd.limit(0)).count() == 0 and mixing.mix_documents(odd.limit(0)).count() == 0
 
 
+def test_mixing_draws_rows_without_ids_apart(spark):
+    rows = [(None, "w w", "en", "a")] * 1000 + [(7, f"w w{i}", "en", "b") for i in range(1000)] + [(i, "w w w w", "en", "c") for i in range(1000)]
+    docs = make(spark, rows)
+    taken = {r["source"]: r["n"] for r in mixing.mix_documents(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    want = plain_targets({"a": 2000, "b": 2000, "c": 4000})
+    assert all(abs(taken[k] * (4 if k == "c" else 2) - want[k]) < 0.1 * want[k] for k in want)
+    per_row = mixing.document_rates(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("doc_id is null").first()["n"]
+    assert per_row == taken["a"]
+
+
 def test_attach_salted_equals_broadcast(spark, odd):
     small = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "source string, w int")
     rows = [sorted((str(r["doc_id"]), r["w"] or 0) for r in attach(odd, small, ["source"], "doc_id", most).collect()) for most in (0, 100)]
