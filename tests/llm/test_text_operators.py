@@ -75,6 +75,59 @@ def test_toxicity_odd_rows(spark, odd, abuse):
 # ---------------------------------------------------------------- language
 
 
+def small_corpus(n):
+    rng = random.Random(6)
+    words = {"aa": "the and of mill stone river over", "bb": "der und von muehle stein fluss ueber", "cc": "le et de moulin pierre riviere sur"}
+    return [(i, " ".join(rng.choice(words[k].split()) for _ in range(rng.randint(3, 12))), k) for i, k in ((i, rng.choice(list(words))) for i in range(n))]
+
+
+def test_language_equals_plain_kernel_ridge(spark):
+    """With every distinct text as landmark and sample, the Nystroem model is kernel ridge regression over sets of n-grams."""
+    rows = small_corpus(90)
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=500, landmarks=500)
+    texts = sorted({(t, k) for _, t, k in rows})
+    pieces = [(p, k) for t, k in texts for p in language_id._pieces(t)]
+    grams = lambda t: set(language_id.present(t).tolist())
+    plain = lambda x, y: len(x & y) / (len(x) * len(y)) ** 0.5
+    marks, taught = [grams(t) for t, _ in texts], [grams(p) for p, _ in pieces]
+    k_mm = np.array([[plain(x, y) for y in marks] for x in marks])
+    k_pm = np.array([[plain(x, y) for y in marks] for x in taught])
+    signs = np.array([[1.0 if k == own else -1.0 for k in ("aa", "bb", "cc")] for _, own in pieces])
+    alpha = np.linalg.lstsq(k_pm.T @ k_pm + language_id.RIDGE * len(pieces) * k_mm, k_pm.T @ signs, rcond=1e-10)[0]
+    asked = ["the stone und river", "moulin sur", "fluss ueber stein", "of the of", "zzz"]
+    want = np.array([[plain(grams(t), z) for z in marks] for t in asked]) @ alpha
+    names, scores = model.predict(asked)
+    assert names == [("aa", "bb", "cc")[i] for i in want.argmax(1)]
+    assert scores == pytest.approx(np.clip((want.max(1) + 1) / 2, 0, 1), abs=2e-3)
+
+
+def test_language_products_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    table = rng.random((50, 3)).astype(np.float32)
+    rows = [rng.choice(50, n, replace=False) for n in (5, 0, 1, 40, 7, 0)]
+    want = [table[r].sum(0) / np.sqrt(len(r)) if len(r) else np.zeros(3) for r in rows]
+    for entries in (1, 10, 1000):
+        monkeypatch.setattr(language_id, "ENTRIES", entries)
+        assert np.allclose(language_id._product(rows, table), want, atol=1e-5)
+
+
+def test_language_rejects_unlearnt_scripts_and_keeps_mixtures(spark):
+    schema = "doc_id long, text string, lang string"
+    model = language_id.fit(spark.createDataFrame(small_corpus(300), schema))
+    asked = [(1, "совсем другой язык и другие буквы", None), (2, "你好世界", None), (3, "the river und der stein", None), (4, "moulin sur", None), (5, "12 34", None)]
+    assert sorted(r["doc_id"] for r in language_id.keep_identified(spark.createDataFrame(asked, schema), model).collect()) == [3, 4]
+
+
+def test_language_number_and_null_ids(spark):
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(i, f"abc{'x' * i}", f"l{i}") for i in range(6)], schema)
+    with pytest.raises(ValueError):
+        language_id.fit(docs, max_languages=5)
+    assert language_id.fit(docs, max_languages=6).languages == [f"l{i}" for i in range(6)]
+    same = spark.createDataFrame([(None, t, k) for _, t, k in small_corpus(60)] + [(None, "the and of", "aa")] * 200, schema)
+    assert language_id.fit(same, fit_rows=20, landmarks=5).predict(["der und von", "le et de"])[0] == ["bb", "cc"]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
