@@ -1,19 +1,22 @@
 """Cross-entropy difference under a target and a background language model.
 
-Both models are byte n-gram models of one order, over one vocabulary (the 256 byte values, so every text can be scored
-and nothing is out of vocabulary), with one smoothing: at order k a symbol's probability is
-(count + strength * probability at order k - 1) / (context count + strength), from 1/256 at order 0. The target model is
-counted over the target texts and the background model over all documents. A document's score is the mean over its
-bytes of -log p_target + log p_background: the lower, the more like the target.
-
-The corpus is dealt into chunks by a hash of the id. A chunk's task counts its own n-grams and returns each once; sums
-over all chunks make the background counts. Probabilities are joined and aggregated as tables, one order after the
-other. Each chunk then receives the differences of its own n-grams, looks up its bytes and scores its documents. Nothing
-of the model is broadcast or held whole by a task: a task holds one chunk and that chunk's n-grams.
-
-Defined cases: null and empty texts have no tokens and null scores, and count for nothing; an empty target makes all
-target probabilities uniform; very long texts are counted and scored in pieces of a chunk; equal rows get equal scores;
-rows with equal or null ids are scored each by its own text; an empty table gives no rows; other columns are ignored.
+Both models are word n-gram models of one order over one vocabulary: the target's words, lower-cased, and one class for
+all others. (Words below one in `MAX_WORDS` of the target's fall into that class too, which bounds the vocabulary, the
+only thing broadcast.) Both use one smoothing: at order k a word's probability is
+(count + strength * probability at order k - 1) / (context count + strength), from 1 / vocabulary at order 0. The target
+model is counted over the target texts, the background model over all documents; a document is scored by the background
+without its own counts, so that no document vouches for itself. A document's score is the mean over its words of
+-log p_target + log p_background: the lower, the more like the target.
+
+The corpus is dealt into chunks by a hash of id and text. A chunk's task counts its own n-grams and returns each once;
+sums over all chunks make the background counts, which grow with the corpus. Counts and target probabilities are joined
+and aggregated as tables, one order after the other. Each chunk then receives those of its own n-grams and scores its
+documents. Counts are never broadcast or held whole by a task: a task holds one chunk and that chunk's n-grams.
+
+Defined cases: null texts and texts without words have no tokens and null scores, and count for nothing; an empty target
+leaves the one class of other words; very long texts are counted and scored whole; copies vouch for one another, so equal
+texts get equal scores; rows with equal or null ids are scored each by its own text; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,32 +28,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.word_hashes import mix
+from newsloom.llm.word_hashes import word_hashes
 from newsloom.plans.staging import stage
 
-ORDER = 5
+ORDER = 2
 STRENGTH = 4.0
+#: Bits of a word's number in an n-gram (orders up to 3 fit), the number that stands before a text, and that of other words.
+BITS, BEFORE, OTHER = 20, 0, 1
+MAX_WORDS = 500_000
 #: Bytes of text in a chunk, and those that are counted or looked up at once.
-CHUNK_BYTES, PIECE_BYTES = 12_000_000, 3_000_000
+CHUNK_BYTES, PIECE_BYTES = 24_000_000, 3_000_000
 
 
-def byte_grams(texts: list[bytes], order: int = ORDER) -> np.ndarray:
-    """The n-gram ending at each byte of each text, as an integer; order - 1 zero bytes stand before a text."""
-    pad = b"\0" * (order - 1)
-    raw = np.frombuffer(b"".join([pad + t for t in texts]), np.uint8)
-    if len(raw) < order:
-        return np.empty(0, np.int64)
-    grams = np.zeros(len(raw) - order + 1, np.int64)
+def vocabulary(target: DataFrame, most: int = MAX_WORDS) -> np.ndarray:
+    """Sorted hashes of the target's words that make up at least one in `most` of its words: never more than `most`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([word_hashes(t) for t in batch.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+
+    texts = target.where("octet_length(text) > 0").select(F.lower("text").cast("binary").alias("data"))
+    counts = stage(texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / most
+    words = counts.where(F.col("n") >= least).toPandas()["word"].to_numpy(np.int64)
+    return np.sort(words.view(np.uint64))
+
+
+def word_grams(texts: list[bytes], words: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram ending at each word of each text, as an integer, and how many words each text has."""
+    numbers, sizes = [], []
+    for text in texts:
+        own = word_hashes(text)
+        at = np.minimum(np.searchsorted(words, own), max(0, len(words) - 1))
+        known = words[at] == own if len(words) else np.zeros(len(own), bool)
+        numbers.append(np.concatenate([np.full(order - 1, BEFORE), np.where(known, at + OTHER + 1, OTHER)]))
+        sizes.append(len(own))
+    sizes = np.array(sizes, np.int64)
+    flat = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+    if len(flat) < order:
+        return np.empty(0, np.int64), sizes
+    grams = np.zeros(len(flat) - order + 1, np.int64)
     for k in range(order):
-        grams <<= 8
-        grams |= raw[k : len(raw) - order + 1 + k]
-    sizes = np.array([len(t) for t in texts])
-    ends = np.cumsum(sizes + order - 1) - (order - 1)
-    keep = np.ones(len(grams), bool)
-    for k in range(order - 1):
-        at = ends[:-1] + k
-        keep[at] = False
-    return grams[keep]
+        grams = (grams << BITS) | flat[k : len(flat) - order + 1 + k]
+    text = np.repeat(np.arange(len(sizes)), sizes + order - 1)
+    return grams[text[: len(grams)] == text[order - 1 :]], sizes
 
 
 def _pieces(texts: list[bytes], most: int = PIECE_BYTES) -> Iterator[list[bytes]]:
@@ -70,8 +92,9 @@ def _merged(seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return grams, np.bincount(at, np.concatenate([n for _, n in seen]), len(grams)).astype(np.int64)
 
 
-def chunk_counts(chunked: DataFrame, order: int = ORDER) -> DataFrame:
+def chunk_counts(chunked: DataFrame, words: np.ndarray, order: int = ORDER) -> DataFrame:
     """(chunk, gram, n) for each n-gram of each chunk; chunked (chunk, data) is partitioned by chunk."""
+    shared = chunked.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -81,7 +104,7 @@ def chunk_counts(chunked: DataFrame, order: int = ORDER) -> DataFrame:
                 texts = batch.column(1).take(pa.array(np.flatnonzero(chunks == c))).to_pylist()
                 for part in _pieces(texts):
                     own = seen.setdefault(int(c), [])
-                    own.append(np.unique(byte_grams(part, order), return_counts=True))
+                    own.append(np.unique(word_grams(part, shared.value, order)[0], return_counts=True))
                     if len(own) > 4:
                         seen[int(c)] = [_merged(own)]
         for c, own in seen.items():
@@ -93,79 +116,86 @@ def chunk_counts(chunked: DataFrame, order: int = ORDER) -> DataFrame:
     return chunked.select("chunk", "data").mapInArrow(run, "chunk int, gram long, n long")
 
 
-def loss_differences(counts: DataFrame, order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
-    """(gram, loss): -log p_target + log p_background of the last byte, from counts (gram, t, b) of the highest order."""
+def model_table(counts: DataFrame, n_words: int, order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
+    """(gram, aim, back) from counts (gram, t, b) of the highest order: log p_target of the last word, and for each order
+    from 1 the background's count of the n-gram that ends there and that of its context."""
+    last = lambda k: F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        tables[k] = stage(tables[k + 1].groupBy(shorter.alias("gram")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")), f"lm-order-{k}")
+        tables[k] = stage(tables[k + 1].groupBy(last(k).alias("gram")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")), f"lm-order-{k}")
     known = None
     for k in range(1, order + 1):
-        table = tables[k].withColumn("context", F.shiftright("gram", 8))
-        sums = tables[k].groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"))
-        table = table.join(sums, F.col("context") == F.col("c"))
+        sums = tables[k].groupBy(F.shiftright("gram", BITS).alias("c")).agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"))
+        table = tables[k].join(sums, F.shiftright("gram", BITS) == F.col("c"))
         if known is None:
-            table = table.withColumns({"qt": F.lit(1 / 256), "qb": F.lit(1 / 256)})
+            table = table.withColumns({"q": F.lit(1 / n_words), "lower": F.array().cast("array<bigint>")})
         else:
-            table = table.join(known, F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)) == F.col("suffix"))
-        smooth = lambda n, q, c: (F.col(n) + strength * F.col(q)) / (F.col(c) + strength)
-        known = stage(table.select(F.col("gram").alias("suffix"), smooth("t", "qt", "ct").alias("qt"), smooth("b", "qb", "cb").alias("qb")), f"lm-probabilities-{k}")
-    return known.select(F.col("suffix").alias("gram"), (F.log("qb") - F.log("qt")).alias("loss"))
-
-
-class _Lookup:
-    """Values by integer key: a table of slots, and a binary search for the keys that share one."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        self.shift = np.uint64(64 - max(8, int(8 * len(keys)).bit_length()))
-        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
-        self.slots[self._slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        at = self.slots[self._slot(keys)]
-        other = np.flatnonzero(self.keys[at] != keys)
-        at[other] = np.searchsorted(self.keys, keys[other])
-        return self.values[at]
+            table = table.join(known, last(k - 1) == F.col("suffix"))
+        q = (F.col("t") + strength * F.col("q")) / (F.col("ct") + strength)
+        known = table.select(F.col("gram").alias("suffix"), q.alias("q"), F.concat("lower", F.array("b", "cb")).alias("lower"))
+        known = stage(known, f"lm-model-{k}")
+    return known.select(F.col("suffix").alias("gram"), F.log("q").alias("aim"), F.col("lower").alias("back"))
+
+
+def _own(grams: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each place, how often its n-gram occurs in its own text."""
+    _, at = np.unique(grams, return_inverse=True)
+    _, at, n = np.unique(at.astype(np.int64) * (int(text[-1]) + 1) + text, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def losses(grams: np.ndarray, sizes: np.ndarray, model: pa.Table, n_words: int, order: int, strength: float) -> np.ndarray:
+    """-log p_target + log p_background at each word; model: gram, aim, back sorted by gram."""
+    at = np.searchsorted(np.array(model["gram"]), grams)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    back = np.array(model["back"].combine_chunks().flatten()).reshape(-1, 2 * order)[at]
+    q = np.full(len(grams), 1 / n_words)
+    for k in range(1, order + 1):
+        tail = grams & ((1 << BITS * k) - 1)
+        count, context = back[:, 2 * k - 2] - _own(tail, text), back[:, 2 * k - 1] - _own(tail >> BITS, text)
+        q = (count + strength * q) / (context + strength)
+    return np.log(q) - np.array(model["aim"])[at]
 
 
-def _score(docs: pa.Table, losses: pa.Table, order: int) -> pa.Table:
+def _score(docs: pa.Table, model: pa.Table, words: np.ndarray, order: int, strength: float) -> pa.Table:
     ids, texts = docs["doc_id"].to_pylist(), docs["data"].to_pylist()
-    means: list[float] = []
-    if ids:
-        found = _Lookup(np.array(losses["gram"]), np.array(losses["loss"]))
-        for part in _pieces(texts):
-            loss = found.of(byte_grams(part, order))
-            sizes = np.array([len(t) for t in part])
-            means += (np.add.reduceat(loss, np.cumsum(sizes) - sizes) / sizes).tolist()
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array([len(t) for t in texts], pa.int64()), "score": pa.array(means, pa.float64())})
+    tokens, means = [], []
+    model = model.sort_by("gram").combine_chunks()
+    for part in _pieces(texts):
+        grams, sizes = word_grams(part, words, order)
+        tokens += sizes.tolist()
+        sums = np.zeros(len(sizes))
+        if len(grams):
+            np.add.at(sums, np.repeat(np.arange(len(sizes)), sizes), losses(grams, sizes, model, len(words) + 1, order, strength))
+        means += [float(x) / n if n else None for x, n in zip(sums, sizes.tolist())]
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "score": pa.array(means, pa.float64())})
 
 
 def score_documents(docs: DataFrame, target: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_tokens (bytes), score for each row of docs (doc_id, text); target: (text)."""
-    data = F.col("text").cast("binary").alias("data")
+    """doc_id, n_tokens (words), score for each row of docs (doc_id, text); target: (text)."""
+    if not 1 <= order <= 3:
+        raise ValueError("orders 1 to 3 fit into one number")
+    data = F.lower("text").cast("binary").alias("data")
     rows = docs.select(F.col("doc_id").cast("long"), data)
     empty = rows.where("data is null or octet_length(data) = 0").select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("score"))
     full = rows.where("octet_length(data) > 0")
     total = full.agg(F.sum(F.octet_length("data"))).first()[0]
     if not total:
         return empty
+    words = vocabulary(target)
     chunks = max(12, -(-total // chunk_bytes))
-    dealt = full.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), F.coalesce("doc_id", F.xxhash64("data"))), F.lit(chunks)).cast("int"))
-    counts = stage(chunk_counts(dealt.repartition(chunks, "chunk"), order), "lm-chunk-counts")
+    dealt = full.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc_id", "data"), F.lit(chunks)).cast("int"))
+    counts = stage(chunk_counts(dealt.repartition(chunks, "chunk"), words, order), "lm-chunk-counts")
     aims = target.where("octet_length(text) > 0").select(F.pmod(F.xxhash64("text"), F.lit(8)).cast("int").alias("chunk"), data)
-    aimed = chunk_counts(aims.repartition(8, "chunk"), order).select("gram", F.col("n").alias("t"), F.lit(0).cast("long").alias("b"))
+    aimed = chunk_counts(aims.repartition(8, "chunk"), words, order).select("gram", F.col("n").alias("t"), F.lit(0).cast("long").alias("b"))
     both = aimed.unionByName(counts.select("gram", F.lit(0).cast("long").alias("t"), F.col("n").alias("b")))
     grams = stage(both.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "lm-counts")
-    losses = loss_differences(grams, order, strength)
-    own = counts.select("chunk", F.col("gram").alias("g")).join(losses, F.col("g") == F.col("gram")).select("chunk", "gram", "loss")
+    model = model_table(grams, len(words) + 1, order, strength)
+    own = counts.select("chunk", F.col("gram").alias("g")).join(model, F.col("g") == F.col("gram")).select("chunk", "gram", "aim", "back")
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score(left, right, order)
+        return _score(left, right, shared.value, order, strength)
 
     scored = dealt.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, score double")
     return scored.unionByName(empty)

@@ -58,6 +58,52 @@ def test_toxicity_exceptions():
     assert model.score("a clown") > 0.5 > model.score("a clown fish swims") and model.score("clown fish and clown") > 0.5
 
 
+def test_toxicity_measures_equal_a_plain_scan():
+    """Each folded word is held against every entry; words of an exception phrase are left out."""
+    rng = random.Random(2)
+    entries = {"bad": 2.0, "bade": 3.5, "ugl": 1.5, "verylongwordindeed ": 4.0, "mon ": 2.5}
+    phrases = ["bad luck", "ugly duck ling"]
+    model = toxicity.ToxicModel(entries, (0.0, 1.0, 1.0), phrases)
+    pool = ["bad", "badly", "bader", "luck", "ugly", "duck", "ling", "verylongwordindeed", "verylongwordindeeds", "mon", "monday", "BÄD", "b4d", "x"]
+    for _ in range(400):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choice(pool) for _ in range(rng.randint(1, 25)))
+        words = toxicity.fold(text).split()
+        weight = [max((w for e, w in entries.items() if (f"{x} " == e if e.endswith(" ") else x.startswith(e))), default=0.0) for x in words]
+        for phrase in phrases:
+            p = toxicity.fold(phrase).split()
+            for i in range(len(words) - len(p) + 1):
+                if words[i : i + len(p)] == p:
+                    weight[i : i + len(p)] = [0.0] * len(p)
+        total = sum(weight)
+        assert model.measures(text) == pytest.approx((total, total / math.sqrt(len(words))))
+
+
+def test_toxicity_lexicon_needs_both_halves():
+    sizes = {(h, label): 200 for h in (0, 1) for label in (0, 1)}
+    row = lambda term, a, b, c, d: {"term": term, "c01": a, "c00": b, "c11": c, "c10": d}
+    kept = toxicity._lexicon([row("one", 30, 0, 0, 0), row("both", 30, 0, 25, 0), row("clean", 30, 30, 30, 30), row("bo", 40, 20, 30, 20)], sizes)
+    assert set(kept) == {"both"} and kept["both"] > 3
+
+
+def test_toxicity_learns_phrases_and_long_words(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        text = ["".join(rng.choice("aeoprstn") for _ in range(6)) for _ in range(12)]
+        toxic = i % 3 == 0
+        if toxic:
+            text[rng.randrange(12)] = "vlikoz" if i % 2 else "grumbelkwastenfratz"
+        elif i % 40 == 4:
+            text[5:7] = ["vlikoz", "garden"]
+        elif i % 4 == 1:
+            text[5] = "grumbelkwastenfratzwerk"
+        rows.append((i, " ".join(text), "en"))
+        labels.append((i, int(toxic)))
+    labels += [(None, 1), (5, None)]
+    model = toxicity.fit(make(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.score("you vlikoz") > 0.5 > model.score("the vlikoz garden here") and model.score("grumbelkwastenfratz") > 0.5 > model.score("grumbelkwastenfratzwerk")
+
+
 def test_toxicity_held_out_rows(spark, abuse):
     found = toxicity.rate_toxicity(*abuse).join(abuse[1], "doc_id").collect()
     held = [r for r in found if r["held_out"]]
@@ -184,43 +230,48 @@ def test_encoding_rows(spark, odd):
 # ---------------------------------------------------------------- language models
 
 
-def plain_scores(docs, target, order=lm_scoring.ORDER, strength=lm_scoring.STRENGTH):
+def plain_scores(docs, target, order, strength=lm_scoring.STRENGTH):
+    """Word models from dictionaries; the background of a document is counted anew over all others."""
+    known = {w for t in target for w in t.lower().split()}
+
+    def numbered(text):
+        return ["<"] * (order - 1) + [w if w in known else "?" for w in (text or "").lower().split()]
+
     def counted(texts):
         counts, contexts = collections.Counter(), collections.Counter()
-        for t in texts:
-            b = b"\0" * (order - 1) + t.encode()
-            for i in range(order - 1, len(b)):
+        for w in map(numbered, texts):
+            for i in range(order - 1, len(w)):
                 for k in range(1, order + 1):
-                    counts[b[i - k + 1 : i + 1]] += 1
-                    contexts[b[i - k + 1 : i], k] += 1
+                    counts[tuple(w[i - k + 1 : i + 1])] += 1
+                    contexts[tuple(w[i - k + 1 : i]), k] += 1
         return counts, contexts
 
     def p(model, gram):
-        q = 1 / 256
+        q = 1 / (len(known) + 1)
         for k in range(1, order + 1):
-            x = gram[order - k :]
+            x = tuple(gram[order - k :])
             q = (model[0][x] + strength * q) / (model[1][x[:-1], k] + strength)
         return q
 
-    aim, back = counted(target), counted([t for t in docs if t])
-    out = []
-    for t in docs:
-        b = b"\0" * (order - 1) + (t or "").encode()
-        losses = [math.log(p(back, b[i - order + 1 : i + 1])) - math.log(p(aim, b[i - order + 1 : i + 1])) for i in range(order - 1, len(b))]
-        out.append(sum(losses) / len(losses) if losses else None)
+    aim, out = counted(target), []
+    for at, text in enumerate(docs):
+        back, w = counted(docs[:at] + docs[at + 1 :]), numbered(text)
+        losses = [math.log(p(back, w[i - order + 1 : i + 1])) - math.log(p(aim, w[i - order + 1 : i + 1])) for i in range(order - 1, len(w))]
+        out.append((sum(losses) / len(losses), len(losses)) if losses else (None, 0))
     return out
 
 
-def test_lm_scores(spark):
-    texts = ["the cat sat on the mat", "a cat", "z", None, "", "über die brücke", "the cat sat on the mat", "zzzz qqqq " * 50]
-    target = ["the cat sat", "on the mat the dog sat"]
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores(spark, order):
+    texts = ["the cat sat on the mat", "A cat", "z", None, "", " \t", "über die brücke", "the cat sat on the mat", "zzzz the \0 qqqq " * 50]
+    target = ["The cat sat", "on the mat the dog sat", "\0 über"]
     aims = spark.createDataFrame([(t,) for t in [*target, None, ""]], "text string")
-    found = {r["doc_id"]: r for r in lm_scoring.score_documents(make(spark, [(i, t, "en") for i, t in enumerate(texts)]), aims).collect()}
+    found = {r["doc_id"]: r for r in lm_scoring.score_documents(make(spark, [(i, t, "en") for i, t in enumerate(texts)]), aims, order=order).collect()}
     assert len(found) == len(texts)
-    for i, want in enumerate(plain_scores(texts, target)):
+    for i, (want, n) in enumerate(plain_scores(texts, target, order)):
         assert found[i]["score"] == (pytest.approx(want, abs=1e-9) if want is not None else None)
-        assert found[i]["n_tokens"] == len((texts[i] or "").encode())
-    assert found[0]["score"] < found[7]["score"]
+        assert found[i]["n_tokens"] == n
+    assert found[0]["score"] == found[7]["score"] < found[8]["score"]
 
 
 def test_lm_odd_rows(spark, odd):
@@ -231,7 +282,14 @@ def test_lm_odd_rows(spark, odd):
 
 
 def test_lm_pieces_do_not_matter():
-    texts = [b"abcdef", b"x", b"hello world"]
-    whole = lm_scoring.byte_grams(texts)
-    parts = np.concatenate([lm_scoring.byte_grams(p) for p in lm_scoring._pieces(texts, 7)])
-    assert (whole == parts).all() and len(whole) == sum(map(len, texts))
+    texts = [b"a b c a", b"", b"x", b"hello a b world"]
+    words = np.sort(np.unique(np.concatenate([lm_scoring.word_hashes(t) for t in texts[:1]])))
+    for order in (1, 2, 3):
+        whole, sizes = lm_scoring.word_grams(texts, words, order)
+        parts = [lm_scoring.word_grams(p, words, order) for p in lm_scoring._pieces(texts, 7)]
+        assert (whole == np.concatenate([g for g, _ in parts])).all() and len(whole) == sizes.sum() == 9
+
+
+def test_lm_vocabulary_is_bounded(spark):
+    target = spark.createDataFrame([("a " * 50 + "b " * 10 + " ".join(f"w{i}" for i in range(40)),)], "text string")
+    assert len(lm_scoring.vocabulary(target)) == 42 and len(lm_scoring.vocabulary(target, 10)) == 2
