@@ -14,8 +14,8 @@ The logistic weights are fitted on the sample. All rows are scored whole.
 
 Defined cases: null, empty and wordless texts get the score of a text without matches; very long texts and words count
 whole; rows without a label, or with a null one, teach nothing; several labels of one id teach as toxic if one is 1;
-null ids teach nothing, and texts that share an id teach each; without toxic labels every score is that of the share of
-toxic rows; equal texts get equal scores; an empty table gives no rows; other columns are ignored.
+null ids teach nothing, and texts that share an id teach each; a text in which nothing matches scores below 0.5 whatever
+the labels say (`MAX_BIAS`), so labels of one kind alone, from which no term can be learnt, call nothing toxic; equal texts get equal scores; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ SHORTEST, LONGEST = 3, 12
 LEAST_TEXTS, LEAST_SHARE = 3, 0.005
 #: Least log-odds ratio on the half that selects and on the one that weighs.
 LEAST_WEIGHT, LEAST_OTHER = 3.0, 2.5
+#: Log-odds of a text without matches at most.
+MAX_BIAS = -0.5
 #: Clean texts that hold a learnt exception phrase at least.
 LEAST_CLEAN = 3
 #: Characters folded to the ASCII letter they pass for (lower case; l and 1 count as i).
@@ -197,7 +199,7 @@ def _logistic(rows: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return tuple(float(v) for v in w)
+    return min(MAX_BIAS, float(w[0])), float(w[1]), float(w[2])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions: Sequence[str] = EXCEPTIONS) -> ToxicModel:
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions
     toxic, clean = found.get(1, 0), found.get(0, 0)
     if not toxic or not clean:
         share = toxic / (toxic + clean) if toxic + clean else 0.0
-        return ToxicModel({}, (math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0), exceptions)
+        return ToxicModel({}, (min(MAX_BIAS, math.log((share + 1e-6) / (1 - share + 1e-6))), 0.0, 0.0), exceptions)
     drawn = [marks.where(F.col("toxic") == label).orderBy("rank").limit(most) for label, most in ((1, fit_rows), (0, 2 * fit_rows))]
     ids = stage(drawn[0].unionByName(drawn[1]), "toxicity-ids")
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("rank", "text", "toxic").dropDuplicates(["rank", "text"])
@@ -238,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions
     need = [max(LEAST_TEXTS, math.ceil(LEAST_SHARE * sizes[half, 1])) for half in (0, 1)]
     often = counts(_terms).where((F.col("c01") >= need[0]) | (F.col("c11") >= need[1]))
     rates = lambda half: F.col(f"c{half}1") * sizes[half, 0] > 5 * F.col(f"c{half}0") * sizes[half, 1]
-    model = ToxicModel(_lexicon(often.where(rates(0) & rates(1)).collect(), sizes), (0.0, 0.0, 0.0), exceptions)
+    model = ToxicModel(_lexicon(often.where(rates(0) & rates(1)).collect(), sizes), (MAX_BIAS, 0.0, 0.0), exceptions)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     harmless = counts(lambda text: shared.value.phrases(text)).where((F.col("c01") + F.col("c11") == 0) & (F.col("c00") + F.col("c10") >= LEAST_CLEAN))
     model = ToxicModel(model.entries, model.logistic, [*exceptions, *sorted(r["term"] for r in harmless.collect())])

@@ -212,3 +212,26 @@ def test_pipeline_stages(spark):
     near = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir)
     want = plain_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert {r["doc_id"] for r in near.select("doc_id").collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [f"{rng.choice('bdgklmnprst')}{rng.choice('aeiou')}{rng.choice('bdgklmnprst')}{i}x" for i in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(60)]
+    rows = [(i, t, "en", "s", 9, "x", 1) for i, t in enumerate(texts)]
+    rows += [(0, texts[0], "en", "s", 9, "x", 1)] * 3 + [(None, texts[1], None, None, None, None, None), (100, None, "en", "s", 0, "x", 1), (101, "", "en", "s", 0, "x", 1), (102, texts[2], "en", None, 9, "y", 2)]
+    rows.append((103, "long words again " * 20_000, "en", "s", 9, "x", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, copies long")
+    spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        after = function(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and 0 < after.count() <= 3 * docs.count()
+        assert function(spark, docs.limit(0), str(tmp_path)).count() == 0
+    near = {(r["doc_id"], r["n"]) for r in corpus_pipeline.STAGES[2][1](spark, docs, str(tmp_path)).groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    assert (0, 1) in near and (None, 1) in near and not any(i == 102 for i, _ in near) and {(100, 1), (101, 1), (103, 1)} <= near
+    known = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in known.collect()} == {*range(60), None, 102, 103}
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, str(tmp_path)).count() == len(rows) and last(spark, docs.limit(0), str(tmp_path)).count() == 0
