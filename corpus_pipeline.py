@@ -1,4 +1,11 @@
-"""A corpus pipeline in five stages, each an operator of newsloom.llm applied to all that its predecessor kept."""
+"""A corpus pipeline in five stages, each an operator of newsloom.llm applied to all that its predecessor kept.
+
+Defined cases, besides those of the operators: extra columns, whatever their names, stay with their rows; an empty table
+stays empty; very long texts go through every stage whole. Null, empty and wordless texts and null ids pass the stages of
+toxicity (nothing in them matches) and near-duplicates (they link with nothing); null texts and texts without a letter
+end in the language stage; mixing repeats or leaves out what has come so far. Of rows that repeat an id and a text one
+passes the stage of near-duplicates.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +52,8 @@ STAGES = [
     ("SentencePiece", tokenize),
 ]
 
-#: SQL expresses neither the learnt models nor the encoder; the tests hold each stage against a plain version.
+#: SQL expresses neither the learnt models nor the encoder: tests/llm holds the operators against plain versions (a scan of
+#: the lexicon, kernel ridge regression, all pairs, targets by hand, the library's encoder) and runs the stages on odd rows.
 ORACLE_SQL = None
 
 
