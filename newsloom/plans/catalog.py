@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
 from newsloom.operators import aggregates as agg
-from newsloom.operators import alerts, changes, evaluation, features, graph, listing, merging, modelling, neardup, ranking, vectors, verdicts
+from newsloom.operators import alerts, changes, evaluation, exports, features, graph, listing, merging, modelling, neardup, ranking, vectors, verdicts
 from newsloom.sources import domain
 from newsloom.streaming import jobs
 
@@ -59,20 +59,11 @@ def snk_2(spark, sf_dir):
     return domain.table(spark, sf_dir, "pages").select("page_id", tx.csv_safe(F.col("html")).alias("cell"))
 
 
-@query("snk_3_published_by_edges", "SELECT DISTINCT claim_id, domain FROM claims")
-def snk_3(spark, sf_dir):
-    return domain.claims(spark, sf_dir).select("claim_id", "domain").distinct()
-
-
 @query("snk_4_relationship_edges", "SELECT kind, from_id AS child_claim_id, to_id AS parent_claim_id, CASE WHEN kind = 'EVOLVED_FROM' THEN 'WORDING_DRIFT' END AS mutation_types FROM relations")
 def snk_4(spark, sf_dir):
     rows = domain.relations(spark, sf_dir)
-    return rows.select("kind", F.col("from_id").alias("child_claim_id"), F.col("to_id").alias("parent_claim_id"), F.when(F.col("kind") == "EVOLVED_FROM", "WORDING_DRIFT").alias("mutation_types"))
-
-
-@query("snk_5_from_domain_edges", "SELECT article_id, substr(title, 1, 300) AS title, domain FROM articles WHERE domain IS NOT NULL")
-def snk_5(spark, sf_dir):
-    return domain.articles(spark, sf_dir).where("domain is not null").select("article_id", F.substring("title", 1, 300).alias("title"), "domain")
+    named = rows.select("kind", F.col("from_id").alias("child_claim_id"), F.col("to_id").alias("parent_claim_id"), F.when(F.col("kind") == "EVOLVED_FROM", "WORDING_DRIFT").alias("mutation_types"))
+    return exports.write_labelled(named, "kind")
 
 
 # ---------------------------------------------------------------- scalar functions as table jobs

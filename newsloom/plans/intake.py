@@ -1,0 +1,246 @@
+"""Queries of feeds, exports and streams: the given tables are written in each format and read back by its reader."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsloom.operators import exports, merging, verdicts
+from newsloom.plans import catalog
+from newsloom.plans.catalog import query
+from newsloom.plans.staging import new_folder
+from newsloom.sources import domain, feeds
+from newsloom.streaming import jobs
+
+_FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_LINK = "'https://news.example/a/' || article_id"
+
+
+def _flat(name: str):
+    """Text with every run of white space as one blank: formats differ in what they do to it."""
+    return F.trim(F.regexp_replace(name, r"\s+", " "))
+
+
+def _link():
+    return F.concat(F.lit("https://news.example/a/"), F.col("article_id").cast("string"))
+
+
+def _utc(seconds: str, pattern: str):
+    """Whole seconds as text in UTC, whatever the session's time zone."""
+    return F.date_format(F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds})"), pattern)
+
+
+def _seen(rows, at: str = "published_at"):
+    return rows.select("url", F.md5(_flat("title")).alias("title"), F.md5(_flat("content")).alias("content"), F.unix_seconds(at).alias("published_s"))
+
+
+def _seen_sql(content: str, published: str, where: str, url: str = _LINK) -> str:
+    return f"SELECT {url} AS url, md5({_FLAT.format('title')}) AS title, md5({_FLAT.format(content)}) AS content, {published} AS published_s FROM articles WHERE {where}"
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("src_1_rss_items", _seen_sql(r"CASE WHEN article_id % 5 <> 0 AND regexp_matches(content, '\S') THEN content ELSE title END", "published_s", r"article_id % 23 <> 0 AND article_id % 29 <> 0 AND regexp_matches(title, '\S')"))
+def src_1(spark, sf_dir):
+    path = new_folder(spark, "rss")
+    rows = domain.articles(spark, sf_dir).select(
+        F.when(F.col("article_id") % 23 != 0, _flat("title")).alias("title"),
+        F.when(F.col("article_id") % 29 != 0, _link()).alias("link"),
+        _flat("title").alias("description"),
+        F.when(F.col("article_id") % 5 != 0, _flat("content")).alias("content"),
+        F.when(F.col("article_id") % 7 != 0, _utc("published_s", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).alias("pubDate"),
+        _utc("published_s", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated"),
+        "author",
+    )
+    rows.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return _seen(feeds.read_rss(spark, path))
+
+
+@query("src_2_forum_listings", _seen_sql("content", "published_s", r"article_id % 23 <> 0 AND regexp_matches(title, '\S')", "CASE WHEN article_id % 3 <> 0 THEN 'https://www.reddit.com/r/news/' || article_id ELSE 'https://news.example/a/' || article_id END").replace("AS published_s", "AS published_s, replace(domain, '.example', '') AS source"))
+def src_2(spark, sf_dir):
+    """Listings of at most 40 posts, one a line."""
+    path = new_folder(spark, "forum")
+    post = F.struct(
+        F.when(F.col("article_id") % 23 != 0, F.col("title")).alias("title"),
+        _link().alias("url"),
+        F.when(F.col("article_id") % 3 != 0, F.concat(F.lit("/r/news/"), F.col("article_id").cast("string"))).alias("permalink"),
+        F.col("content").alias("selftext"),
+        F.col("published_s").cast("double").alias("created_utc"),
+        "author",
+        F.concat(F.when(F.col("article_id") % 2 == 0, "/r/").otherwise("r/"), F.regexp_replace("domain", r"\.example$", "")).alias("subreddit"),
+    )
+    listing = domain.articles(spark, sf_dir).groupBy(F.expr("article_id div 40").alias("page")).agg(F.collect_list(F.struct(post.alias("data"))).alias("children"))
+    listing.select(F.to_json(F.struct(F.struct("children").alias("data"))).alias("value")).write.text(path)
+    posts = feeds.read_forum(spark, path, lines=True)
+    return posts.select("url", F.md5(_flat("title")).alias("title"), F.md5(_flat("content")).alias("content"), F.unix_seconds("published_at").alias("published_s"), "source")
+
+
+@query("src_3_news_responses", _seen_sql("CASE WHEN article_id % 5 <> 0 THEN content ELSE title END", "published_s", "(article_id // 40) % 6 <> 5 AND article_id % 23 <> 0 AND title IS NOT NULL"))
+def src_3(spark, sf_dir):
+    """Responses of at most 40 articles, one a line; every sixth is an error."""
+    path = new_folder(spark, "news")
+    one = F.struct(
+        F.when(F.col("article_id") % 23 == 0, "[Removed]").otherwise(F.col("title")).alias("title"),
+        _link().alias("url"),
+        F.when(F.col("article_id") % 5 != 0, F.col("content")).alias("content"),
+        F.col("title").alias("description"),
+        _utc("published_s", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
+        "author",
+    )
+    pages = domain.articles(spark, sf_dir).groupBy(F.expr("article_id div 40").alias("page")).agg(F.collect_list(one).alias("articles"))
+    status = F.when(F.col("page") % 6 == 5, "error").otherwise("ok").alias("status")
+    pages.select(F.to_json(F.struct(status, "articles")).alias("value")).write.text(path)
+    return _seen(feeds.read_news(spark, path, lines=True))
+
+
+@query(
+    "src_4_article_csv",
+    f"""SELECT 'article' AS kind, {_LINK} AS key, md5({_FLAT.format('content')}) AS value, CASE WHEN article_id % 4 <> 0 THEN CAST(length(content) AS INTEGER) END AS n FROM articles WHERE article_id % 19 <> 0
+    UNION ALL SELECT DISTINCT 'source', 'https://' || domain, domain, NULL FROM articles WHERE article_id % 19 <> 0""",
+)
+def src_4(spark, sf_dir):
+    path = new_folder(spark, "csv")
+    rows = domain.articles(spark, sf_dir)
+    rows = rows.unionByName(rows.where("article_id % 6 = 0")).select(
+        F.concat(F.lit("https://"), "domain").alias("source_url"),
+        F.concat(F.lit(" "), "domain", F.lit(" ")).alias("source_name"),
+        F.lit("rss").alias("source_type"),
+        "title",
+        F.when(F.col("article_id") % 19 == 0, "  ").otherwise(_link()).alias("url"),
+        "content",
+        F.when(F.col("article_id") % 4 == 0, "12 words").otherwise(F.length("content").cast("string")).alias("word_count"),
+    )
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    articles, sources = feeds.read_article_csv(spark, path)
+    first = articles.select(F.lit("article").alias("kind"), F.col("url").alias("key"), F.md5(_flat("content")).alias("value"), F.col("word_count").alias("n"))
+    return first.unionByName(sources.select(F.lit("source").alias("kind"), F.col("source_url").alias("key"), F.col("source_name").alias("value"), F.lit(None).cast("int").alias("n")))
+
+
+@query("src_5_record_lines", "SELECT article_id, CASE article_id % 10 WHEN 3 THEN 'a key is repeated' WHEN 4 THEN 'not an object' ELSE 'record' END AS state, CASE WHEN article_id % 10 NOT IN (3, 4) THEN md5(title) END AS title FROM articles")
+def src_5(spark, sf_dir):
+    path = new_folder(spark, "records")
+    line = F.expr("case article_id % 10 when 3 then concat('{\"article_id\":', article_id, ',\"x\":{\"a\":1,\"a\":2}}') when 4 then concat('[', article_id, ']') else to_json(struct(article_id, title)) end")
+    domain.articles(spark, sf_dir).select(line.alias("value")).write.text(path)
+    records, rejected = feeds.read_records(spark, path, "article_id long, title string")
+    found = records.select("article_id", F.lit("record").alias("state"), F.md5("title").alias("title"))
+    aside = rejected.select(F.regexp_extract("line", "[0-9]+", 0).cast("long").alias("article_id"), F.col("reason").alias("state"), F.lit(None).cast("string").alias("title"))
+    return found.unionByName(aside)
+
+
+_CLAIM = _FLAT.format("claim_text")
+
+
+@query(
+    "src_6_benchmark_files",
+    f"""SELECT 'statements' AS dataset, CAST(claim_id AS VARCHAR) AS id, md5({_CLAIM}) AS claim, verdict AS label FROM claims WHERE verdict IS NOT NULL
+    UNION ALL SELECT 'scored', NULL, md5({_CLAIM}), CASE WHEN claim_id % 3 - 1 = 1 THEN '1.0' ELSE '0.0' END FROM claims
+    UNION ALL SELECT 'claims', CAST(claim_id AS VARCHAR), md5({_CLAIM}), verdict FROM claims WHERE claim_id % 7 <> 0 AND verdict IS NOT NULL
+    UNION ALL SELECT 'records', CAST(claim_id AS VARCHAR), md5({_CLAIM}), verdict FROM claims""",
+)
+def src_6(spark, sf_dir):
+    """The four benchmark formats, each written from the claims and read back."""
+    rows = domain.claims(spark, sf_dir).select("claim_id", _flat("claim_text").alias("claim"), "verdict")
+    paths = [new_folder(spark, f"benchmark-{k}") for k in range(4)]
+    rows.where("verdict is not null").select(F.concat_ws("\t", F.col("claim_id").cast("string"), "verdict", "claim").alias("value")).write.text(paths[0])
+    csv = lambda df, path: df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    csv(rows.select(F.col("claim").alias("Text"), (F.col("claim_id") % 3 - 1).alias("Verdict")), paths[1])
+    csv(rows.select(F.col("claim_id").alias("claimID"), F.when(F.col("claim_id") % 7 != 0, F.col("claim")).alias("claim"), F.col("verdict").alias("label")), paths[2])
+    rows.select(F.to_json(F.struct(F.col("claim_id").alias("id"), "claim", F.col("verdict").alias("label"), F.lit(1).alias("evidence"))).alias("value")).write.text(paths[3])
+
+    def found(dataset, df, key, claim, label):
+        return df.select(F.lit(dataset).alias("dataset"), key.cast("string").alias("id"), F.md5(claim).alias("claim"), label.cast("string").alias("label"))
+
+    out = found("statements", feeds.read_statements_tsv(spark, paths[0]), F.col("id"), "statement", F.col("label"))
+    out = out.unionByName(found("scored", feeds.read_scored_csv(spark, paths[1]), F.lit(None), "text", F.col("cfs_score")))
+    out = out.unionByName(found("claims", feeds.read_claims_csv(spark, paths[2]), F.col("claimID"), "claim", F.col("label")))
+    return out.unionByName(found("records", feeds.read_claim_records(spark, paths[3]), F.col("id"), "claim", F.col("label")))
+
+
+# ---------------------------------------------------------------- sinks
+
+
+@query(
+    "snk_1_record_export",
+    """, line AS (SELECT '{"event_group":' || event_group || ',"gold":' || gold || ',"pair_id":' || pair_id || ',"split":"' || split || '"}' AS j FROM eval_pairs WHERE gold IS NOT NULL)
+    SELECT count(*) AS n, CAST(coalesce(sum(('0x' || substr(sha256(j), 1, 12))::UBIGINT), 0) AS VARCHAR) AS checksum, count(*) AS lines, CAST((SELECT count(*) FROM eval_pairs WHERE gold IS NULL) AS BIGINT) AS excluded FROM line""",
+)
+def snk_1(spark, sf_dir):
+    """The manifest of an export, with the lines found in its files."""
+    rows = domain.eval_pairs(spark, sf_dir).select("event_group", "gold", "pair_id", "split")
+    path = new_folder(spark, "records-out")
+    manifest = feeds.write_records(rows.where("gold is not null"), path, "pair_id")
+    n, excluded = spark.read.text(path).count(), rows.where("gold is null").count()
+    return manifest.select("n", "checksum", F.lit(n).cast("long").alias("lines"), F.lit(excluded).cast("long").alias("excluded"))
+
+
+@query(
+    "snk_3_claim_graph",
+    catalog._ENT
+    + """ SELECT DISTINCT * FROM (SELECT 'Source' AS label, domain AS key, CAST(NULL AS VARCHAR) AS other FROM claims UNION ALL SELECT 'Claim', CAST(claim_id AS VARCHAR), NULL FROM claims
+    UNION ALL SELECT 'Entity', e.k || ':' || e.t, NULL FROM ent UNION ALL SELECT 'PUBLISHED_BY', CAST(claim_id AS VARCHAR), domain FROM claims WHERE domain IS NOT NULL
+    UNION ALL SELECT 'MENTIONS', CAST(claim_id AS VARCHAR), e.k || ':' || e.t FROM ent) WHERE key IS NOT NULL""",
+)
+def snk_3(spark, sf_dir):
+    claims = domain.claims(spark, sf_dir)
+    return exports.write_labelled(exports.claim_graph(claims, verdicts.entity_rows(claims)), "label")
+
+
+@query(
+    "snk_5_article_graph",
+    """SELECT DISTINCT * FROM (SELECT 'Article' AS label, CAST(article_id AS VARCHAR) AS key, substr(title, 1, 300) AS other FROM articles UNION ALL SELECT 'Domain', domain, NULL FROM articles WHERE domain IS NOT NULL
+    UNION ALL SELECT 'FROM_DOMAIN', CAST(article_id AS VARCHAR), domain FROM articles WHERE domain IS NOT NULL UNION ALL SELECT 'SIMILAR', CAST(a AS VARCHAR), CAST(b AS VARCHAR) FROM article_edges
+    UNION ALL SELECT 'DUPLICATE_OF', CAST(x.article_id AS VARCHAR), CAST(h.a AS VARCHAR) FROM articles x JOIN (SELECT content_hash, min(article_id) AS a FROM articles GROUP BY content_hash) h USING (content_hash) WHERE x.article_id > h.a)""",
+)
+def snk_5(spark, sf_dir):
+    articles = domain.articles(spark, sf_dir)
+    return exports.write_labelled(exports.article_graph(articles, domain.article_edges(spark, sf_dir), merging.duplicate_stars(articles)), "label")
+
+
+# ---------------------------------------------------------------- streams
+
+
+_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+
+
+def _stream(spark, sf_dir):
+    return jobs.event_stream(spark, sf_dir, _EVENTS, name="events.parquet")
+
+
+@query("st_1_first_by_url", "SELECT DISTINCT 'https://news.example/' || event_type || '/' || user_id AS url FROM ev")
+def st_1(spark, sf_dir):
+    """Each url once, however often it comes within ten years."""
+    rows = _stream(spark, sf_dir).select(F.concat(F.lit("https://news.example/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("url"), "ts")
+    return jobs.drain(jobs.first_by_url(rows, "3650 days"), "append", "urls").select("url")
+
+
+@query(
+    "st_4_alert_registry",
+    """SELECT upper(event_type) AS kind, 'user:' || user_id AS subject_key, min(at_s) AS first_s, max(at_s) AS last_s, FALSE AS acknowledged FROM ev GROUP BY ALL""",
+)
+def st_4(spark, sf_dir):
+    rows = _stream(spark, sf_dir).select(F.upper("event_type").alias("kind"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("subject_key"), "ts")
+    found = jobs.alert_registry(rows, new_folder(spark, "registry"))
+    return found.select("kind", "subject_key", F.unix_seconds("first_seen").alias("first_s"), F.unix_seconds("last_seen").alias("last_s"), F.col("acknowledged_at").isNotNull().alias("acknowledged"))
+
+
+@query("st_5_over_limit", "SELECT (at_s // 3600) * 3600 AS hour_s, event_type, user_id, count(*) AS n FROM ev GROUP BY ALL HAVING count(*) > 1")
+def st_5(spark, sf_dir):
+    """Clients and routes (users and event types) with more than one call in an hour."""
+    counts = jobs.drain(jobs.windowed_counts(_stream(spark, sf_dir), ["event_type", "user_id"], "1 hour"), "complete", "limits")
+    return jobs.over_limit(counts, 1).select(F.unix_seconds("start").alias("hour_s"), "event_type", "user_id", "n")
+
+
+@query("st_6_set_aside", "SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'unknown time' ELSE 'future time' END AS reason FROM ev WHERE event_id % 19 = 0 OR at_s > (SELECT max(at_s) - 86400 FROM ev)")
+def st_6(spark, sf_dir):
+    """Events without a time, and those later than a day before the last one, taken as now."""
+    last = catalog._now(spark, sf_dir) - 86_400
+    rows = _stream(spark, sf_dir).withColumn("ts", F.when(F.col("event_id") % 19 != 0, F.col("ts")))
+    stamp = spark.range(1).select(F.timestamp_seconds(F.lit(last)).cast("string").alias("t")).first()["t"]
+    return jobs.set_aside(rows, stamp).select("event_id", "reason")
+
+
+@query("st_7_clustering_runs", "SELECT 0 AS run, max(at_s) AS at_s, count(*) AS rows_seen FROM ev HAVING count(*) >= 10 UNION ALL SELECT -1, NULL, 0 FROM ev HAVING count(*) >= 10")
+def st_7(spark, sf_dir):
+    """One arrival of all events starts one run; tests/test_sources_and_streams.py has several arrivals."""
+    rows = _stream(spark, sf_dir).select(F.unix_seconds("ts").alias("at_s"))
+    return jobs.clustering_runs(rows, new_folder(spark, "runs"))

@@ -24,17 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; what is written there goes when the session's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/newsloom-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lost executor costs no recomputation beyond it.
 
     The table goes when the session's JVM ends, or earlier with `unstage`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/newsloom-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

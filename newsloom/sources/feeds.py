@@ -29,17 +29,18 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim("title").alias("title"), F.trim("link").alias("url"), F.coalesce(_present(F.col("content")), F.col("description")).alias("content"), F.coalesce(stamp("pubDate"), stamp("updated")).alias("published_at"), "author")
 
 
-def read_forum(spark: SparkSession, path: str) -> DataFrame:
-    """Posts of forum listings; the permalink before the target url; r/ is taken off the source's name."""
-    listing = spark.read.schema(f"data struct<children: array<struct<data: struct<{', '.join(x.replace(' ', ': ', 1) for x in _POST.split(', ')) }>>>>").option("multiLine", True).json(path)
+def read_forum(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Posts of forum listings (a file each, or with `lines` a line each); the permalink before the target url; r/ is
+    taken off the source's name."""
+    listing = spark.read.schema(f"data struct<children: array<struct<data: struct<{', '.join(x.replace(' ', ': ', 1) for x in _POST.split(', ')) }>>>>").option("multiLine", not lines).json(path)
     posts = listing.select(F.explode("data.children").alias("c")).select("c.data.*").where(_present(F.col("title")).isNotNull())
     url = F.when(_present(F.col("permalink")).isNotNull(), F.concat(F.lit("https://www.reddit.com"), F.col("permalink"))).otherwise(F.col("url"))
     return posts.select("title", url.alias("url"), F.col("selftext").alias("content"), F.timestamp_seconds("created_utc").alias("published_at"), "author", F.regexp_replace("subreddit", "^/?r/", "").alias("source"))
 
 
-def read_news(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of news responses whose status is ok; removed and untitled ones are left out; content before description."""
-    rows = spark.read.schema(_NEWS).option("multiLine", True).json(path).where("status = 'ok'").select(F.explode("articles").alias("a")).select("a.*")
+def read_news(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Articles of news responses (a file each, or a line each) whose status is ok; removed and untitled ones are left out; content before description."""
+    rows = spark.read.schema(_NEWS).option("multiLine", not lines).json(path).where("status = 'ok'").select(F.explode("articles").alias("a")).select("a.*")
     rows = rows.where(F.col("title").isNotNull() & (F.col("title") != "[Removed]"))
     return rows.select("title", "url", F.coalesce("content", "description").alias("content"), F.try_to_timestamp("publishedAt").alias("published_at"), "author")
 
@@ -89,6 +90,26 @@ def read_statements_tsv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_c0").alias("id"), F.col("_c1").alias("label"), F.col("_c2").alias("statement"))
 
 
+def read_scored_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(text, cfs_score) of a CSV with Text and Verdict: 1.0 for verdict 1, the check-worthy one, else 0.0."""
+    raw = _quoted_csv(spark, path)
+    return raw.select(F.col("Text").alias("text"), F.coalesce((F.expr("try_cast(Verdict as double)") == 1).cast("double"), F.lit(0.0)).alias("cfs_score"))
+
+
+def read_claims_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(claimID, claim, label) of a CSV, without rows that lack claim or label."""
+    return _quoted_csv(spark, path).select("claimID", "claim", "label").na.drop(subset=["claim", "label"])
+
+
+def read_claim_records(spark: SparkSession, path: str) -> DataFrame:
+    """(id, claim, label) of JSON Lines with any further fields; empty lines are skipped, absent fields null."""
+    return spark.read.schema("id long, claim string, label string").json(path)
+
+
+def _quoted_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
 def write_records(records: DataFrame, path: str, key: str) -> DataFrame:
     """Records as JSON Lines with their fields in order of name, sorted by key; an existing path is refused.
 

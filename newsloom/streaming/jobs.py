@@ -69,19 +69,95 @@ def split_late(rows: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
 
 def register_alerts(registry: DataFrame | None, batch: DataFrame) -> DataFrame:
     """A registry of alerts (kind, subject_key, first_seen, last_seen, acknowledged_at) after one more batch (kind,
-    subject_key, ts): first times and acknowledgements stay, last times move on. The result is staged."""
+    subject_key, ts): first times and acknowledgements stay, last times move on."""
     seen = batch.groupBy("kind", "subject_key").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).withColumn("acknowledged_at", F.lit(None).cast("timestamp"))
     rows = seen if registry is None else registry.unionByName(seen)
-    return stage(rows.groupBy("kind", "subject_key").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("acknowledged_at").alias("acknowledged_at")), "alert-registry")
+    return rows.groupBy("kind", "subject_key").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("acknowledged_at").alias("acknowledged_at"))
 
 
-def alert_registry(stream: DataFrame) -> DataFrame:
-    """The registry after all arrived batches of a stream (kind, subject_key, ts)."""
-    state: dict[str, DataFrame | None] = {"registry": None}
+def _version(spark: SparkSession, folder: str, before: int | None = None) -> int:
+    """The last complete version of a table kept in folder/version=n (before a batch, if given); -1 if there is none."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return -1
+    found = [int(s.getPath().getName().split("=")[1]) for s in files.listStatus(root) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return max([n for n in found if before is None or n < before], default=-1)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        state["registry"] = register_alerts(state["registry"], batch)
 
-    folder = f"{shared_folder(stream.sparkSession).rstrip('/')}/registry-{id(state):x}"
-    stream.writeStream.option("checkpointLocation", folder).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    return state["registry"]
+def versioned(stream: DataFrame, folder: str, step) -> DataFrame:
+    """The table that step(table or None, batch) builds batch by batch, after all that has arrived.
+
+    Version n of the table, folder/table/version=n, is written by batch n from the version before it. A batch that is
+    repeated after a crash writes the same version again, and a stream that is started anew with the same folder goes on
+    where it stopped. The folder has to be one that driver and executors share.
+    """
+    spark, tables = stream.sparkSession, f"{folder.rstrip('/')}/table"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        last = _version(spark, tables, number)
+        before = spark.read.parquet(f"{tables}/version={last}") if last >= 0 else None
+        step(before, batch).write.mode("overwrite").parquet(f"{tables}/version={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{folder.rstrip('/')}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    last = _version(spark, tables)
+    if last < 0:
+        raise ValueError("the stream has had no batch yet")
+    return spark.read.parquet(f"{tables}/version={last}")
+
+
+def alert_registry(stream: DataFrame, folder: str) -> DataFrame:
+    """The registry after all arrived batches of a stream (kind, subject_key, ts); it survives restarts in its folder."""
+    return versioned(stream, folder, register_alerts)
+
+
+def canonical_articles(stream: DataFrame, folder: str, threshold: float = 0.75, window_s: int = 14 * 86_400) -> DataFrame:
+    """(id, at_s, text, canonical_id) of the articles (id, at_s, text) that have arrived: each is held against those of
+    the last `window_s` seconds, and its canonical article is the earliest of its chain of near-duplicates, else itself.
+
+    A batch meets only the slice of the archive within the window of the batch's own times.
+    """
+    from newsloom.operators.neardup import near_duplicates
+
+    def step(archive: DataFrame | None, batch: DataFrame) -> DataFrame:
+        new = stage(batch.select("id", "at_s", "text").dropDuplicates(["id"]), "stream-articles")
+        if archive is None:
+            return new.join(near_duplicates(new, threshold, window_s), "id")
+        new = stage(new.join(archive.select("id"), "id", "left_anti"), "stream-new")
+        since = new.agg(F.min("at_s")).first()[0]
+        window = archive.where(F.col("at_s") >= (since or 0) - window_s)
+        found = near_duplicates(new.unionByName(window.select("id", "at_s", "text")), threshold, window_s)
+        known = window.select(F.col("id").alias("k"), F.col("canonical_id").alias("older"))
+        named = new.join(found, "id").join(known, F.col("canonical_id") == F.col("k"), "left")
+        named = named.withColumn("canonical_id", F.coalesce("older", "canonical_id")).select(*archive.columns)
+        return archive.unionByName(named)
+
+    return versioned(stream, folder, step)
+
+
+def clustering_runs(stream: DataFrame, folder: str, least_new: int = 10, pause_s: int = 3600) -> DataFrame:
+    """(run, at_s, rows_seen): when a stream (at_s) would have been clustered again.
+
+    A batch starts a run if at least `least_new` rows have come since the last one and the batch's last time is at least
+    `pause_s` after it; otherwise its rows wait for a later batch. run -1 holds what is waiting.
+    """
+
+    def step(runs: DataFrame | None, batch: DataFrame) -> DataFrame:
+        spark = batch.sparkSession
+        came = batch.agg(F.count("*").alias("n"), F.max("at_s").alias("t")).first()
+        past = {r["run"]: r for r in runs.collect()} if runs is not None else {}  # one row for each run
+        waiting = (past[-1]["rows_seen"] if -1 in past else 0) + came["n"]
+        done = [past[k] for k in sorted(k for k in past if k >= 0)]
+        rows = [(r["run"], r["at_s"], r["rows_seen"]) for r in done]
+        if came["t"] is not None and waiting >= least_new and (not done or came["t"] - done[-1]["at_s"] >= pause_s):
+            rows.append((len(done), came["t"], waiting))
+            waiting = 0
+        return spark.createDataFrame([*rows, (-1, None, waiting)], "run int, at_s long, rows_seen long")
+
+    return versioned(stream, folder, step)
+
+
+def set_aside(stream: DataFrame, now: str) -> DataFrame:
+    """The rows of a stream that split_late leaves out, with their reason, after all that has arrived."""
+    return drain(split_late(stream, now)[1], "append", "aside")

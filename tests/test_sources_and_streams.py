@@ -84,11 +84,11 @@ def test_first_by_url(spark, arrived):
     assert found.count() == found.select("url").distinct().count() == 300
 
 
-def test_alert_registry_equals_batch(spark, arrived):
+def test_alert_registry_equals_batch(spark, arrived, tmp_path):
     folder, rows = arrived
     stream = jobs.event_stream(spark, folder, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
     named = stream.select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject_key"), "ts")
-    found = jobs.alert_registry(named).select("kind", "subject_key", "first_seen", "last_seen")
+    found = jobs.alert_registry(named, str(tmp_path)).select("kind", "subject_key", "first_seen", "last_seen")
     batch = rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject_key")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     assert found.exceptAll(batch).isEmpty() and batch.exceptAll(found).isEmpty()
 
@@ -97,3 +97,47 @@ def test_late_and_unknown_times(spark):
     rows = spark.sql("select 1 as id, timestamp '2024-01-01' as ts union all select 2, null union all select 3, timestamp '2030-01-01'")
     usable, aside = jobs.split_late(rows, "2024-06-01")
     assert [r["id"] for r in usable.collect()] == [1] and {r["reason"] for r in aside.collect()} == {"unknown time", "future time"}
+
+
+def _arrivals(spark, tmp_path, schema, batches, run):
+    """run's table after each arrival; every call starts the stream anew with the same folder."""
+    landed, folder = str(tmp_path / "landed"), str(tmp_path / "job")
+    out = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+        out.append(sorted(tuple(r) for r in run(spark.readStream.schema(schema).parquet(landed), folder).collect()))
+    return out
+
+
+def test_alert_registry_survives_restarts(spark, tmp_path):
+    from datetime import datetime as D
+
+    schema = "kind string, subject_key string, ts timestamp"
+    first, second = [("A", "x", D(2024, 1, 2)), ("A", "x", D(2024, 1, 5))], [("A", "x", D(2024, 1, 1)), ("B", "y", D(2024, 1, 3))]
+    found = _arrivals(spark, tmp_path, schema, [first, second], lambda s, f: jobs.alert_registry(s, f).select("kind", "subject_key", "first_seen", "last_seen"))
+    assert found[0] == [("A", "x", D(2024, 1, 2), D(2024, 1, 5))]
+    assert found[1] == [("A", "x", D(2024, 1, 1), D(2024, 1, 5)), ("B", "y", D(2024, 1, 3), D(2024, 1, 3))]
+
+
+def test_streamed_near_duplicates_within_the_window(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    day = 86_400
+    batches = [[(1, 0, text), (2, day, text + " end")], [(3, 3 * day, "start " + text), (4, 3 * day, "something else entirely here")], [(5, 30 * day, text), (3, 3 * day, "start " + text)]]
+    found = _arrivals(spark, tmp_path, "id long, at_s long, text string", batches, lambda s, f: jobs.canonical_articles(s, f).select("id", "canonical_id"))
+    assert found[-1] == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)] and found[0] == [(1, 1), (2, 1)]
+
+
+def test_clustering_waits_for_rows_and_time(spark, tmp_path):
+    batches = [[(i,) for i in range(6)], [(100 + i,) for i in range(6)], [(200 + i,) for i in range(20)], [(9000,)]]
+    found = _arrivals(spark, tmp_path, "at_s long", batches, lambda s, f: jobs.clustering_runs(s, f, 10, 3600).na.fill(0))
+    assert found == [[(-1, 0, 6)], [(-1, 0, 0), (0, 105, 12)], [(-1, 0, 20), (0, 105, 12)], [(-1, 0, 0), (0, 105, 12), (1, 9000, 21)]]
+
+
+def test_benchmark_csv_readers(spark, tmp_path):
+    scored, claims, records = (str(tmp_path / n) for n in ("a.csv", "b.csv", "c.jsonl"))
+    open(scored, "w").write('Text,Verdict\n"one, ""two""",1\nthree,-1\nfour,\n')
+    open(claims, "w").write("claimID,claim,label,x\n1,said,true,9\n2,,false,9\n3,more,,9\n")
+    open(records, "w").write('{"id":1,"claim":"c","label":"L","evidence":[]}\n\n{"id":2}\n')
+    assert [tuple(r) for r in feeds.read_scored_csv(spark, scored).collect()] == [('one, "two"', 1.0), ("three", 0.0), ("four", 0.0)]
+    assert [tuple(r) for r in feeds.read_claims_csv(spark, claims).collect()] == [("1", "said", "true")]
+    assert [tuple(r) for r in feeds.read_claim_records(spark, records).collect()] == [(1, "c", "L"), (2, None, None)]
