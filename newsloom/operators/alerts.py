@@ -25,9 +25,31 @@ def snapshot_alerts(counts: DataFrame) -> DataFrame:
     return raised.union(quiet)
 
 
-def conditions(claims: DataFrame, relations: DataFrame) -> DataFrame:
-    """(claim_id, kind): disputed claims, supported ones, and those that evolved from another."""
-    evolved = relations.where("kind = 'EVOLVED_FROM'").select(F.col("from_id").alias("claim_id")).distinct().withColumn("evolved", F.lit(True))
-    rows = claims.select("claim_id", "verdict").join(evolved, "claim_id", "left")
-    kind = F.when(F.col("verdict") == "DISPUTED", "CONTRADICTION").when(F.col("verdict") == "SUPPORTED", "CORROBORATION").when(F.col("evolved"), "MUTATION")
-    return rows.select("claim_id", kind.alias("kind")).where("kind is not null")
+CONTRADICTED, CORROBORATED, BURST = 0.3, 0.6, 8
+MAX_ALERTS = 40
+
+
+def conditions(claims: DataFrame, signals: DataFrame, changes: DataFrame, clusters: DataFrame, since: int, most: int = MAX_ALERTS) -> DataFrame:
+    """(kind, severity, subject_key) of what was seen since then, `most` at most: claims first (newest first), then
+    changes (newest first), then bursts (largest first).
+
+    claims: (claim_id, extracted_s). signals: (claim_id, ratio, corroboration): a contradicted share of at least .3 is
+    critical, else a corroboration of at least .6 is noted. changes: (from_id, to_id, created_s, types, meaningful) of
+    evolved edges: a warning if numbers or polarity changed. clusters: (claim_id, run, topic): topics with at least 8
+    new claims.
+    """
+    new = claims.where(F.col("extracted_s") >= since)
+    kind = F.when(F.col("ratio") >= CONTRADICTED, "CONTRADICTION").when(F.col("corroboration") >= CORROBORATED, "CORROBORATION")
+    backed = new.join(signals, "claim_id").withColumn("kind", kind).where("kind is not null")
+    severity = F.when(F.col("kind") == "CONTRADICTION", "CRITICAL").otherwise("INFO")
+    key = F.concat(F.lit("claim:"), F.col("claim_id").cast("string"))
+    first = backed.select(F.lit(1).alias("turn"), (-F.col("extracted_s")).alias("by"), "kind", severity.alias("severity"), key.alias("subject_key"))
+    typed = changes.where((F.col("created_s") >= since) & F.col("meaningful") & (F.col("types") != ""))
+    severity = F.when(F.col("types").contains("NUMERIC_DRIFT") | F.col("types").contains("POLARITY_SHIFT"), "WARNING").otherwise("INFO")
+    key = F.concat_ws(":", F.lit("edge"), F.col("from_id").cast("string"), F.col("to_id").cast("string"))
+    second = typed.select(F.lit(2).alias("turn"), (-F.col("created_s")).alias("by"), F.lit("MUTATION").alias("kind"), severity.alias("severity"), key.alias("subject_key"))
+    bursts = new.join(clusters, "claim_id").groupBy("run", "topic").agg(F.count("*").alias("n")).where(F.col("n") >= BURST)
+    key = F.concat_ws(":", F.lit("cluster"), F.col("run").cast("string"), F.col("topic").cast("string"))
+    third = bursts.select(F.lit(3).alias("turn"), (-F.col("n")).alias("by"), F.lit("SPIKE").alias("kind"), F.lit("WARNING").alias("severity"), key.alias("subject_key"))
+    raised = first.unionByName(second).unionByName(third)
+    return raised.orderBy("turn", "by", "subject_key").limit(most).select("kind", "severity", "subject_key")

@@ -45,6 +45,26 @@ def reach_profile(edges: DataFrame, roots: DataFrame, p: float, depth: int) -> D
     return levels.groupBy("root").agg(F.sum("reached").alias("reached"), F.round(F.sum(F.col("reached") * F.pow(F.lit(p), F.col("hop"))), 6).alias("expected"))
 
 
+def reach_with_fan_out(edges: DataFrame, roots: DataFrame, p: float, depth: int) -> DataFrame:
+    """reach_profile for every root, with the mean number of new nodes per node that was walked from, and p times that."""
+    p, depth = min(0.95, max(0.05, p)), min(6, max(1, depth))
+    levels = within_hops(edges, roots, depth).groupBy("root", "hop").agg(F.count("*").alias("n"))
+    new, walked = F.sum(F.when(F.col("hop") > 0, F.col("n")).otherwise(0)), F.sum(F.when(F.col("hop") < depth, F.col("n")).otherwise(0))
+    expected = F.sum(F.when(F.col("hop") > 0, F.col("n") * F.pow(F.lit(p), F.col("hop"))).otherwise(0.0))
+    rows = levels.groupBy("root").agg(new.alias("reached"), F.round(expected, 6).alias("expected"), (new / walked).alias("fan"))
+    return rows.select("root", "reached", "expected", F.round("fan", 6).alias("fan_out"), F.round(p * F.col("fan"), 6).alias("expected_fan_out"))
+
+
+def focused_timelines(edges: DataFrame, articles: DataFrame, roots: DataFrame, hops: int, members: int) -> DataFrame:
+    """(root, node, place): of the nodes with an edge within so many hops of each root, the newest (undated last)."""
+    from pyspark.sql import Window as W
+
+    near = within_hops(edges, roots, hops).join(degrees(edges).select("node"), "node", "left_semi")
+    dated = near.join(articles.select(F.col("article_id").alias("node"), "published_s"), "node")
+    place = F.row_number().over(W.partitionBy("root").orderBy(F.col("published_s").desc_nulls_last(), "node"))
+    return dated.withColumn("place", place).where(F.col("place") <= members).select("root", "node", "place")
+
+
 def longest_chain(edges: DataFrame) -> DataFrame:
     """Hops of the longest parent chain over (from_id, to_id) edges; each child has one parent, cycles stop at the size."""
     step = stage(edges.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")), "parents")

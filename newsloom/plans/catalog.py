@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
 from newsloom.operators import aggregates as agg
-from newsloom.operators import alerts, changes, evaluation, exports, features, graph, listing, merging, modelling, neardup, ranking, vectors, verdicts
+from newsloom.operators import alerts, changes, evaluation, features, graph, listing, merging, modelling, neardup, ranking, vectors, verdicts
 from newsloom.sources import domain
 from newsloom.streaming import jobs
 
@@ -59,11 +59,14 @@ def snk_2(spark, sf_dir):
     return domain.table(spark, sf_dir, "pages").select("page_id", tx.csv_safe(F.col("html")).alias("cell"))
 
 
-@query("snk_4_relationship_edges", "SELECT kind, from_id AS child_claim_id, to_id AS parent_claim_id, CASE WHEN kind = 'EVOLVED_FROM' THEN 'WORDING_DRIFT' END AS mutation_types FROM relations")
-def snk_4(spark, sf_dir):
-    rows = domain.relations(spark, sf_dir)
-    named = rows.select("kind", F.col("from_id").alias("child_claim_id"), F.col("to_id").alias("parent_claim_id"), F.when(F.col("kind") == "EVOLVED_FROM", "WORDING_DRIFT").alias("mutation_types"))
-    return exports.write_labelled(named, "kind")
+@query("snk_3_published_by_edges", "SELECT DISTINCT claim_id, domain FROM claims")
+def snk_3(spark, sf_dir):
+    return domain.claims(spark, sf_dir).select("claim_id", "domain").distinct()
+
+
+@query("snk_5_from_domain_edges", "SELECT article_id, substr(title, 1, 300) AS title, domain FROM articles WHERE domain IS NOT NULL")
+def snk_5(spark, sf_dir):
+    return domain.articles(spark, sf_dir).where("domain is not null").select("article_id", F.substring("title", 1, 300).alias("title"), "domain")
 
 
 # ---------------------------------------------------------------- scalar functions as table jobs
@@ -534,6 +537,39 @@ def _roots(spark, sf_dir):
     return domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("root"))
 
 
+@query(
+    "gr_3_focused_timelines",
+    f"""{_HOPS}, deg AS (SELECT a AS node, count(*) AS degree FROM both_ways GROUP BY a),
+    m AS (SELECT h.root, h.node, row_number() OVER (PARTITION BY h.root ORDER BY a.published_s DESC NULLS LAST, h.node) AS place FROM hops h JOIN deg USING (node) JOIN articles a ON a.article_id = h.node)
+    SELECT root, node, place FROM m WHERE place <= 12""",
+)
+def gr_3_timelines(spark, sf_dir):
+    edges = domain.article_edges(spark, sf_dir)
+    return graph.focused_timelines(edges, domain.articles(spark, sf_dir), _roots(spark, sf_dir), 3, 12)
+
+
+@query(
+    "gr_9_reach_with_fan_out",
+    f"""{_HOPS}, level AS (SELECT root, hop, count(*) AS reached FROM hops GROUP BY ALL), fan AS (SELECT root, hop, reached, lead(reached, 1, 0) OVER (PARTITION BY root ORDER BY hop) AS later FROM level)
+    SELECT root, sum(CASE WHEN hop > 0 THEN reached ELSE 0 END)::BIGINT AS reached, round(sum(CASE WHEN hop > 0 THEN reached * pow(0.5, hop) ELSE 0.0 END), 6) AS expected, round(sum(later) / sum(CASE WHEN hop < 3 THEN reached ELSE 0 END)::DOUBLE, 6) AS fan_out,
+      round(0.5 * sum(later) / sum(CASE WHEN hop < 3 THEN reached ELSE 0 END)::DOUBLE, 6) AS expected_fan_out FROM fan GROUP BY root""",
+)
+def gr_9_fan_out(spark, sf_dir):
+    return graph.reach_with_fan_out(domain.article_edges(spark, sf_dir), _roots(spark, sf_dir), 0.5, 3)
+
+
+@query(
+    "gr_13_path_edges",
+    f", {_BOTH}, paths AS (SELECT x.b AS a, x.a AS m, y.b AS c FROM both_ways x JOIN both_ways y ON x.a = y.a WHERE x.b < y.b) SELECT p.a, p.m, p.c, CAST(2 + count(e.a) AS INTEGER) AS n_edges FROM paths p LEFT JOIN article_edges e ON e.a = p.a AND e.b = p.c GROUP BY ALL",
+)
+def gr_13_edges(spark, sf_dir):
+    """Each two-hop path with the number of edges inside its three nodes: three where it closes to a triangle."""
+    edges = domain.article_edges(spark, sf_dir)
+    closing = edges.select("a", F.col("b").alias("c"), F.lit(1).alias("closes"))
+    paths = graph.two_hop_paths(edges).join(closing, ["a", "c"], "left")
+    return paths.select("a", "m", "c", (F.lit(2) + F.coalesce("closes", F.lit(0))).cast("int").alias("n_edges"))
+
+
 @query("gr_3_within_three_hops", f"{_HOPS} SELECT root, node, hop FROM hops")
 def gr_3(spark, sf_dir):
     return graph.within_hops(domain.article_edges(spark, sf_dir), _roots(spark, sf_dir), 3)
@@ -896,11 +932,45 @@ def pl_8_body(spark, sf_dir):
     return verdicts.body_passage(pairs, domain.articles(spark, sf_dir))
 
 
-@query("pl_5_text_change")
-def pl_5(spark, sf_dir):
+_COMMON = lex.STOP_WORDS + lex.HEDGE_WORDS + lex.POLARITY_WORDS + lex.ATTRIBUTION_WORDS + lex.SCOPE_WORDS
+
+
+def change_sql(pairs: str, keys: str) -> str:
+    """Views ending in `changed` (keys, types, overlap, meaningful) over a view of pairs (keys, a, b: older and newer text)."""
+    differ = lambda tokens: f"list_sort({tokens.format('a')}) <> list_sort({tokens.format('b')})"
+    within = lambda words: f"list_filter(t{{0}}, lambda x: x IN ({_in(words)}))"
+    phrases = ", ".join(f"CASE WHEN contains(j{{0}}, ' {p} ') THEN '{p}' END" for p in lex.SCOPE_PHRASES)
+    kinds = {
+        "NUMERIC_DRIFT": r"list_filter(t{0}, lambda x: regexp_matches(x, '^[+\-]?\$?[0-9]'))",
+        "ENTITY_SUBSTITUTION": f"list_filter(s{{0}}, lambda x: regexp_matches(x, '^([A-Z][a-zA-Z]{{{{2,}}}}|[A-Z]{{{{2}}}})$') AND lower(x) NOT IN ({_in(_COMMON)}))",
+        "POLARITY_SHIFT": within(lex.POLARITY_WORDS),
+        "HEDGING_SHIFT": within(lex.HEDGE_WORDS),
+        "ATTRIBUTION_SHIFT": within(lex.ATTRIBUTION_WORDS),
+        "SCOPE_SHIFT": f"list_concat({within(lex.SCOPE_WORDS)}, list_filter([{phrases}], lambda x: x IS NOT NULL))",
+    }
+    typed = ", ".join(f"CASE WHEN {differ(t)} THEN '{k}' END" for k, t in kinds.items())
+    split = ", ".join(f"regexp_extract_all(lower({c}), '{_TOKEN}') AS t{c}, regexp_extract_all({c}, '{_TOKEN}') AS s{c}, {_SET.format(c)} AS w{c}" for c in "ab")
+    return f"""split_pairs AS (SELECT {keys}, {split} FROM {pairs}),
+    joined_pairs AS (SELECT *, ' ' || array_to_string(ta, ' ') || ' ' AS ja, ' ' || array_to_string(tb, ' ') || ' ' AS jb,
+      CASE WHEN len(list_distinct(list_concat(wa, wb))) > 0 THEN len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb)))::DOUBLE ELSE 1.0 END AS overlap FROM split_pairs),
+    typed_pairs AS (SELECT {keys}, overlap, ja = jb AS same, list_filter([{typed}], lambda x: x IS NOT NULL) AS k FROM joined_pairs),
+    changed AS (SELECT {keys}, CASE WHEN same THEN 'NEAR_DUPLICATE' ELSE array_to_string(CASE WHEN overlap < 0.65 THEN list_append(k, 'FRAMING_SHIFT') WHEN overlap < 0.9 OR len(k) = 0 THEN list_append(k, 'WORDING_DRIFT') ELSE k END, ',') END AS types,
+      overlap, NOT same AS meaningful FROM typed_pairs)"""
+
+
+RELATION_PAIRS = "relation_pairs AS (SELECT r.from_id, r.to_id, r.kind, r.created_s, p.claim_text AS a, c.claim_text AS b FROM relations r JOIN claims p ON p.claim_id = r.to_id JOIN claims c ON c.claim_id = r.from_id)"
+
+
+def relation_changes(spark, sf_dir):
+    """Relations (from_id the newer claim, to_id the older one, kind, created_s) with types, overlap and meaningful."""
     text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
-    pairs = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "b"), "from_id").join(text.toDF("to_id", "a"), "to_id")
-    return verdicts.text_change(pairs).select("from_id", "to_id", "types", F.round("overlap", 6).alias("overlap"), "meaningful")
+    pairs = domain.relations(spark, sf_dir).select("from_id", "to_id", "kind", "created_s").join(text.toDF("from_id", "b"), "from_id").join(text.toDF("to_id", "a"), "to_id")
+    return verdicts.text_change(pairs).drop("a", "b")
+
+
+@query("pl_5_text_change", f", {RELATION_PAIRS}, {change_sql('relation_pairs', 'from_id, to_id')} SELECT from_id, to_id, types, round(overlap, 6) AS overlap, meaningful FROM changed")
+def pl_5(spark, sf_dir):
+    return relation_changes(spark, sf_dir).select("from_id", "to_id", "types", F.round("overlap", 6).alias("overlap"), "meaningful")
 
 
 @query("pl_17_topic_timeline", "SELECT topic_id, CAST(count(*) AS INTEGER) AS n, string_agg(claim_id::VARCHAR, ',' ORDER BY published_s, claim_id) AS claim_ids FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY published_s, claim_id) AS r FROM claims WHERE topic_id >= 0 AND published_s IS NOT NULL) WHERE r <= 50 GROUP BY topic_id HAVING count(*) >= 2")
@@ -1153,12 +1223,6 @@ def pl_4(spark, sf_dir):
     return rows.withColumn("status", F.when(F.col("n") < 30, "corpus_too_small").when(F.col("fresh") < 10, "nothing_new").otherwise("run"))
 
 
-@query("al_3_conditions", f", r AS (SELECT c.claim_id, c.verdict, x.kind FROM claims c LEFT JOIN relations x ON x.from_id = c.claim_id WHERE c.extracted_s >= {_NOW} - 864000) SELECT DISTINCT claim_id, CASE WHEN verdict = 'DISPUTED' THEN 'CONTRADICTION' WHEN verdict = 'SUPPORTED' THEN 'CORROBORATION' ELSE 'MUTATION' END AS kind FROM r WHERE verdict IN ('DISPUTED', 'SUPPORTED') OR kind = 'EVOLVED_FROM'")
-def al_3(spark, sf_dir):
-    since = _now(spark, sf_dir) - 864_000
-    return alerts.conditions(domain.claims(spark, sf_dir).where(F.col("extracted_s") >= since), domain.relations(spark, sf_dir))
-
-
 @query("st_3_daily_counts", "SELECT (at_s // 86400) * 86400 AS day_s, event_type, count(*) AS n FROM ev GROUP BY ALL")
 def st_3(spark, sf_dir):
     """The stream of events drained into daily counts; SQL counts the same table at once."""
