@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.ranking import average_ranks, running_confusion
+from newsloom.plans.staging import running_totals, stage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -34,9 +35,7 @@ def auroc(rows: DataFrame) -> DataFrame:
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Sum of precision times the step in recall over descending distinct scores."""
-    from pyspark.sql import Window as W
-
-    curve = running_confusion(rows).withColumn("step", F.col("tp") - F.coalesce(F.lag("tp").over(W.orderBy(F.desc("sim_score"))), F.lit(0)))
+    curve = running_confusion(rows)
     total = rows.agg(F.sum("gold").alias("positives"))
     return curve.crossJoin(F.broadcast(total)).agg(F.round(F.sum(F.col("tp") / (F.col("tp") + F.col("fp")) * F.col("step") / F.col("positives")), 6).alias("average_precision"))
 
@@ -124,7 +123,8 @@ def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int, seed:
     """Percentile interval (2.5 to 97.5) of the mean over resamples drawn by digests of seed, resample and place."""
     from pyspark.sql import Window as W
 
-    numbered = rows.select(value, (F.row_number().over(W.orderBy(key)) - 1).cast("long").alias("i"))
+    placed = running_totals(rows.select(value, key), [F.col(key)], {})
+    numbered = stage(placed.select(value, (F.col("position") - 1).alias("i")), "bootstrap")
     total = numbered.agg(F.count("*").alias("total"))
     draws = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).crossJoin(F.broadcast(total))
     word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long")
@@ -158,10 +158,9 @@ def group_bootstrap_difference(rows: DataFrame, group: str, first: Column, secon
 
     Groups are summed first; draws are digests of seed, resample and place, so any engine repeats them.
     """
-    from pyspark.sql import Window as W
-
     sums = rows.groupBy(group).agg(F.sum(first.cast("double")).alias("x"), F.sum(second.cast("double")).alias("y"), F.count("*").alias("n"))
-    numbered = sums.select("x", "y", "n", (F.row_number().over(W.orderBy(group)) - 1).cast("long").alias("i"))
+    placed = running_totals(sums, [F.col(group)], {})
+    numbered = stage(placed.select("x", "y", "n", (F.col("position") - 1).alias("i")), "bootstrap")
     total = numbered.agg(F.count("*").alias("total"))
     draws = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).crossJoin(F.broadcast(total))
     word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long")
@@ -170,6 +169,33 @@ def group_bootstrap_difference(rows: DataFrame, group: str, first: Column, secon
     return means.agg(F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"))
 
 
+def report(rows: DataFrame, votes: DataFrame, bucket: Column) -> DataFrame:
+    """(part, name, pairs, positives, mean_score): all pairs, those that each origin voted on, and those of each bucket."""
+    sums = [F.count("*").alias("pairs"), F.sum("gold").alias("positives"), F.round(F.avg("sim_score"), 6).alias("mean_score")]
+    of = lambda df, part, name: df.groupBy(F.lit(part).alias("part"), name.alias("name")).agg(*sums)
+    voted = rows.join(votes.select("pair_id", "origin").distinct(), "pair_id")
+    return of(rows, "overall", F.lit("all")).unionByName(of(voted, "origin", F.col("origin"))).unionByName(of(rows, "bucket", bucket))
+
+
+def progress(pairs: DataFrame, votes: DataFrame) -> DataFrame:
+    """Per split: pairs, labelled ones, those that several people judged, agreed and disagreed ones, and their share."""
+    people = votes.where("origin = 'HUMAN'").groupBy("pair_id").agg(F.count_distinct("annotator").alias("voters"), F.count_distinct("label").alias("labels"))
+    seen = votes.select("pair_id").distinct().withColumn("voted", F.lit(1))
+    rows = pairs.join(seen, "pair_id", "left").join(people, "pair_id", "left")
+    several = F.col("voters") >= 2
+    table = rows.groupBy("split").agg(F.count("*").alias("pairs"), F.count("voted").alias("labelled"), F.count_if(several).alias("several"), F.count_if(several & (F.col("labels") == 1)).alias("agreed"))
+    return table.withColumn("disagreed", F.col("several") - F.col("agreed")).withColumn("agreement", F.round(F.when(F.col("several") > 0, F.col("agreed") / F.col("several")), 6))
+
+
+def export_records(pairs: DataFrame, votes: DataFrame) -> DataFrame:
+    """pairs with n_votes, the people's consensus (null without), and the reason why a pair is left out of an export."""
+    counts = votes.groupBy("pair_id").agg(F.count("*").alias("n_votes"))
+    rows = pairs.join(counts, "pair_id", "left").join(human_consensus(votes).select("pair_id", F.col("label").alias("consensus")), "pair_id", "left")
+    rows = rows.withColumn("n_votes", F.coalesce("n_votes", F.lit(0)).cast("long"))
+    reason = F.when(F.col("gold").isNull(), "no gold label").when(F.col("n_votes") == 0, "no votes").when(F.col("consensus").isNull(), "no consensus")
+    return rows.withColumn("excluded", reason)
+
+
 def moved_groups(rows: DataFrame, assigned: DataFrame, group: str, split: str) -> DataFrame:
     """Groups whose assigned split (group, split) is not the one their rows have, or which have no assignment."""
     right = assigned.select(group, F.col(split).alias("assigned"))

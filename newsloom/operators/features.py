@@ -29,6 +29,24 @@ def ngram_tfidf(rows: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
     return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def pair_tfidf_cosine(pairs: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
+    """(pair, cosine) of the two texts of each pair (pair, a, b) by ngram_tfidf fitted on these two alone.
+
+    A term's document frequency is then 1 or 2, so one count per pair, term and side gives both vectors.
+    """
+    texts = pairs.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("text")), F.struct(F.lit(1).alias("side"), F.col("b").alias("text")))).alias("x"))
+    words = F.filter(F.split(F.lower("x.text"), SPACE), lambda w: w != "")
+    padded = texts.select("pair", "x.side", F.explode(words).alias("t")).select("pair", "side", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
+    grams = F.flatten(F.array(*[F.when(F.length("t") >= n, _grams(n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]))
+    terms = padded.select("pair", "side", F.explode(grams).alias("term"))
+    both = terms.groupBy("pair", "term").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
+    shared = (F.col("x") > 0) & (F.col("y") > 0)
+    idf = F.when(shared, 1.0).otherwise(F.log(F.lit(1.5)) + 1)
+    weight = lambda c: F.when(F.col(c) > 0, (1 + F.log(F.col(c).cast("double"))) * idf).otherwise(0.0)
+    sums = both.withColumns({"u": weight("x"), "v": weight("y")}).groupBy("pair").agg(*[F.sum(F.col(p) * F.col(q)).alias(f"{p}{q}") for p, q in ("uv", "uu", "vv")])
+    return sums.select("pair", F.when((F.col("uu") > 0) & (F.col("vv") > 0), F.col("uv") / F.sqrt(F.col("uu") * F.col("vv"))).otherwise(F.lit(0.0)).alias("cosine"))
+
+
 def _grams(n: int):
     return F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substr(F.col("t"), i, F.lit(n)))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.plans.staging import running_totals, stage
+
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
@@ -38,20 +40,22 @@ def round_robin(rows: DataFrame, group: str, rank: str, limit: int) -> DataFrame
 def average_ranks(rows: DataFrame, score: str, within: list[str] | None = None) -> DataFrame:
     """Rank of each row by ascending score; tied rows share the mean of their places.
 
-    Scores are counted first and the running sum goes over distinct scores.
+    Scores are counted first and the running sum goes over distinct scores, by range partitions where there are no groups.
     """
     within = within or []
     counts = rows.groupBy(*within, score).agg(F.count("*").alias("__n"))
+    if not within:
+        placed = running_totals(counts, [F.col(score)], {"__upto": "__n"})
+        return rows.join(placed.select(score, (F.col("__upto") - (F.col("__n") - 1) / 2).alias("avg_rank")), score)
     upto = F.sum("__n").over(W.partitionBy(*within).orderBy(score).rowsBetween(W.unboundedPreceding, 0))
     ranked = counts.select(*within, score, (upto - (F.col("__n") - 1) / 2).alias("avg_rank"))
     return rows.join(ranked, [*within, score])
 
 
 def running_confusion(rows: DataFrame, score: str = "sim_score", gold: str = "gold") -> DataFrame:
-    """At each distinct score, going down: true and false positives so far."""
-    counts = rows.groupBy(score).agg(F.sum(gold).alias("p"), F.count("*").alias("n"))
-    down = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    return counts.select(score, F.sum("p").over(down).alias("tp"), F.sum(F.col("n") - F.col("p")).over(down).alias("fp"))
+    """At each distinct score, going down: positives there (`step`), true and false positives so far."""
+    counts = rows.groupBy(score).agg(F.sum(gold).cast("long").alias("step"), F.count("*").alias("n")).withColumn("m", F.col("n") - F.col("step"))
+    return running_totals(counts, [F.desc(score)], {"tp": "step", "fp": "m"}).select(score, "step", "tp", "fp")
 
 
 def latest_with_history(votes: DataFrame) -> DataFrame:
@@ -65,13 +69,20 @@ def latest_with_history(votes: DataFrame) -> DataFrame:
 
 
 def next_pair(pairs: DataFrame, votes: DataFrame, uncertain_first: bool = False) -> DataFrame:
-    """Per annotator, the first pair without a vote of theirs; with uncertain_first only training pairs, nearest 0.60."""
-    people = votes.select("annotator").distinct()
+    """Per annotator, the first pair without a vote of theirs; with uncertain_first only training pairs, nearest 0.60.
+
+    Pairs are numbered in their order; an annotator's own numbers, in order, leave the first gap where they stop being
+    1, 2, 3 ... No annotator meets a pair without a vote of theirs but that one.
+    """
     base = pairs.where("split = 'train'") if uncertain_first else pairs
-    seen = votes.select("annotator", "pair_id").distinct()
-    open_ = people.join(base.select("pair_id", "sim_score"), F.lit(True)).join(seen, ["annotator", "pair_id"], "left_anti")
-    order = F.struct(F.abs(F.col("sim_score") - 0.6), F.col("pair_id")) if uncertain_first else F.col("pair_id")
-    return open_.groupBy("annotator").agg(F.min_by("pair_id", order).alias("pair_id"))
+    order = [F.abs(F.col("sim_score") - 0.6), F.col("pair_id")] if uncertain_first else [F.col("pair_id")]
+    placed = stage(running_totals(base.select("pair_id", "sim_score"), order, {}).select("pair_id", "position"), "pair-positions")
+    people = votes.select("annotator").distinct()
+    own = votes.select("annotator", "pair_id").distinct().join(placed, "pair_id")
+    turn = F.row_number().over(W.partitionBy("annotator").orderBy("position"))
+    gap = own.withColumn("turn", turn).groupBy("annotator").agg(F.min(F.when(F.col("turn") != F.col("position"), F.col("turn"))).alias("gap"), F.max("turn").alias("last"))
+    wanted = people.join(gap, "annotator", "left").select("annotator", F.coalesce("gap", F.col("last") + 1, F.lit(1)).alias("wanted"))
+    return wanted.join(placed, F.col("wanted") == F.col("position")).select("annotator", "pair_id")
 
 
 def capped_pairs(pairs: DataFrame, order: list, cap: int) -> DataFrame:
@@ -81,7 +92,7 @@ def capped_pairs(pairs: DataFrame, order: list, cap: int) -> DataFrame:
     is taken; pairs with a full end are closed. Rounds go on until no pair is open, so the result cannot be extended. The
     order must be total.
     """
-    from newsloom.plans.staging import stage
+    from newsloom.plans.staging import running_totals, stage
 
     open_ = stage(pairs, "open-pairs")
     taken = None

@@ -20,19 +20,23 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
-    rows = np.array(column.to_pylist(), np.float64)
+    column = column.combine_chunks()
+    rows = np.array(column.flatten(), np.float64).reshape(len(column), -1)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000) -> DataFrame:
     """(q, id, score, place): for each query (q, qv) the k rows of base (id, v) of highest cosine, ties to the lower id.
 
-    Base is dealt into blocks that never move again; every query visits every block, where one matrix product gives its
-    best k of the block, and the best of those are kept. A query's own id is left out. Vectors share one length.
+    Both sides are dealt into blocks, whose numbers follow from their counts; each block of queries meets each block of
+    base in a task of its own, where one matrix product gives every query its best k of the block, and the best of those
+    are kept. No task holds more than two blocks. A query's own id is left out. Vectors share one length.
     """
-    blocks = max(1, -(-base.count() // block_rows))
-    dealt = base.select("id", "v").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = queries.select("q", "qv").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    blocks, asking = (max(1, -(-df.count() // block_rows)) for df in (base, queries))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = base.select("id", "v", deal("id", blocks).alias("block"), every(asking).alias("asking"))
+    asked = queries.select("q", "qv", deal("q", asking).alias("asking"), every(blocks).alias("block"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -50,7 +54,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000)
         q, i, s = (np.concatenate(x) for x in zip(*found))
         return pa.table({"q": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    met = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(best, "q long, id long, score double")
+    met = asked.groupBy("block", "asking").cogroup(dealt.groupBy("block", "asking")).applyInArrow(best, "q long, id long, score double")
     place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
     return met.withColumn("place", place).where(F.col("place") <= k)
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
+from newsloom.operators import vectors
+from newsloom.plans.staging import stage
 
 
 def entity_rows(claims: DataFrame) -> DataFrame:
@@ -147,3 +149,19 @@ def text_change(pairs: DataFrame) -> DataFrame:
     style = F.when(F.col("overlap") < 0.65, F.array(F.lit("FRAMING_SHIFT"))).when((F.col("overlap") < 0.9) | (F.size("typed") == 0), F.array(F.lit("WORDING_DRIFT"))).otherwise(F.array().cast("array<string>"))
     types = F.when(F.col("same"), F.array(F.lit("NEAR_DUPLICATE"))).otherwise(F.concat("typed", style))
     return rows.withColumn("types", F.array_join(types, ",")).withColumn("meaningful", ~F.col("same")).drop("typed", "same")
+
+
+def claim_graph(claims: DataFrame, relations: DataFrame, limit: int, k: int) -> DataFrame:
+    """(from_id, to_id, kind, source) among the `limit` most confident claims (claim_id, confidence, v; nulls last).
+
+    Relations between them are `persisted`; only if there are none, each claim's k nearest others are `nearest`.
+    """
+    top = stage(claims.orderBy(F.col("confidence").desc_nulls_last(), "claim_id").limit(limit), "graph-claims")
+    ids = top.select("claim_id")
+    held = relations.join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi")
+    held = stage(held.select("from_id", "to_id", "kind", F.lit("persisted").alias("source")), "graph-edges")
+    if not held.isEmpty():
+        return held
+    found = vectors.nearest(top.select(F.col("claim_id").alias("q"), F.col("v").alias("qv")), top.select(F.col("claim_id").alias("id"), "v"), k)
+    pairs = vectors.undirected_best(found)
+    return pairs.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit("SIMILAR_TO").alias("kind"), F.lit("nearest").alias("source"))
