@@ -38,8 +38,8 @@ FIT_ROWS, LANDMARKS = 1500, 40
 RIDGE = 1e-3
 SNIPPETS = (2, 6, 20)
 MAX_LANGUAGES = 200
-#: Sparse entries that a product takes at once.
-ENTRIES = 100_000
+#: Numbers of the table that a product takes at once.
+CELLS = 2_000_000
 UNKNOWN = "und"
 _SPACE = np.uint32(32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -83,23 +83,23 @@ def _columns(landmarks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     used = np.unique(np.concatenate(landmarks))
     place = np.full(1 << BITS, len(used), np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    table = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+    table = np.zeros((len(used) + 1, len(landmarks)))
     for j, z in enumerate(landmarks):
         table[place[z], j] = 1 / np.sqrt(len(z))
     return place, table
 
 
 def _product(rows: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-    """The sparse matrix of normalised presence rows (given as places in table) times table, some ENTRIES at a time."""
+    """The sparse matrix of normalised presence rows (given as places in table) times table, some CELLS at a time."""
     out = np.zeros((len(rows), table.shape[1]))
     sizes = np.array([len(r) for r in rows], np.int64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    turn = np.cumsum(sizes[full]) // ENTRIES
+    turn = np.cumsum(sizes[full]) * table.shape[1] // CELLS
     for part in np.split(full, np.flatnonzero(np.diff(turn)) + 1):
         starts = np.cumsum(sizes[part]) - sizes[part]
-        products = np.add.reduceat(table[np.concatenate([rows[i] for i in part])], starts, axis=0, dtype=np.float64)
+        products = np.add.reduceat(table[np.concatenate([rows[i] for i in part])], starts, axis=0)
         out[part] = products / np.sqrt(sizes[part])[:, None]
     return out
 
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, r
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} values of lang; raise max_languages if they are languages")
     if not languages:
-        return LanguageModel([], np.zeros((1, 0), np.float32))
+        return LanguageModel([], np.zeros((1, 0), np.float64))
     sample = _smallest(usable, fit_rows, "fit").repartition(8, F.xxhash64("text"))
     as_presence = "lang string, grams array<int>"
 
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, r
     by_lang = {k: sorted((r["grams"] for r in chosen if r["lang"] == k), key=lambda g: (len(g), g)) for k in languages}
     marks = [np.array(g) for k in languages for g in by_lang[k]]
     if not marks:
-        return LanguageModel(languages, np.zeros((1 << BITS, len(languages)), np.float32))
+        return LanguageModel(languages, np.zeros((1 << BITS, len(languages)), np.float64))
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     shared = docs.sparkSession.sparkContext.broadcast((marks, root, languages))
@@ -175,8 +175,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, r
         place, table = _columns(marks)
         gram, right, n = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(languages))), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = [(t, k) for t, k in zip(*(c.slice(at, 200).to_pylist() for c in batch.columns))]
+            for at in range(0, batch.num_rows, 50):
+                part = [(t, k) for t, k in zip(*(c.slice(at, 50).to_pylist() for c in batch.columns))]
                 rows = [(place[g], k) for t, k in part for g in map(present, _pieces(t)) if len(g)]
                 if rows:
                     features = _product([r for r, _ in rows], table) @ root
@@ -192,9 +192,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, r
     right = sum(np.frombuffer(p["rights"]).reshape(size, len(languages)) for p in parts)
     n = sum(p["n"] for p in parts)
     alpha = root @ np.linalg.solve(gram + ridge * max(1, n) * np.eye(size), right)
-    weights = np.zeros((1 << BITS, len(languages)), np.float32)
+    weights = np.zeros((1 << BITS, len(languages)), np.float64)
     for z, a in zip(marks, alpha):
-        weights[z] += (a / np.sqrt(len(z))).astype(np.float32)
+        weights[z] += (a / np.sqrt(len(z)))
     return LanguageModel(languages, weights)
 
 
@@ -204,8 +204,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 names, scores = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -230,8 +230,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least_known: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 texts = part.column(at).to_pylist()
                 names, scores = shared.value.predict(texts)
                 claimed = [n != UNKNOWN and s >= least_score for n, s in zip(names, scores)]

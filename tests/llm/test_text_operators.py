@@ -149,11 +149,11 @@ def test_language_equals_plain_kernel_ridge(spark):
 
 def test_language_products_in_parts(monkeypatch):
     rng = np.random.default_rng(1)
-    table = rng.random((50, 3)).astype(np.float32)
+    table = rng.random((50, 3))
     rows = [rng.choice(50, n, replace=False) for n in (5, 0, 1, 40, 7, 0)]
     want = [table[r].sum(0) / np.sqrt(len(r)) if len(r) else np.zeros(3) for r in rows]
-    for entries in (1, 10, 1000):
-        monkeypatch.setattr(language_id, "ENTRIES", entries)
+    for cells in (1, 10, 1000):
+        monkeypatch.setattr(language_id, "CELLS", cells)
         assert np.allclose(language_id._product(rows, table), want, atol=1e-5)
 
 
