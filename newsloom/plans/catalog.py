@@ -364,7 +364,7 @@ def agg_8(spark, sf_dir):
     return agg.feedback_tally(_feedback(spark, sf_dir))
 
 
-@query("agg_9_topic_claims", "SELECT topic_id, CAST(count(*) AS INTEGER) AS n, string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id) AS claim_ids FROM claims WHERE topic_id >= 0 GROUP BY topic_id")
+@query("agg_9_topic_claims", "SELECT topic_id, count(*) OVER (PARTITION BY topic_id) AS n, claim_id FROM claims WHERE topic_id >= 0")
 def agg_9(spark, sf_dir):
     return agg.topic_claims(domain.claims(spark, sf_dir))
 
@@ -599,7 +599,12 @@ def gr_5(spark, sf_dir):
     return graph.story_components(domain.article_edges(spark, sf_dir), nodes, 2, 2)
 
 
-@query("gr_6_token_components")
+@query(
+    "gr_6_token_components",
+    """, token AS (SELECT article_id AS id, 'url:' || url AS t FROM articles WHERE url IS NOT NULL UNION ALL SELECT article_id, 'content_hash:' || content_hash FROM articles WHERE content_hash IS NOT NULL),
+    link AS (SELECT DISTINCT x.id AS a, y.id AS b FROM token x JOIN token y USING (t)), comp AS (WITH RECURSIVE w AS (SELECT article_id AS node, article_id AS seen FROM articles UNION SELECT w.node, link.b FROM w JOIN link ON link.a = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY node)
+    SELECT node AS article_id, component FROM comp""",
+)
 def gr_6(spark, sf_dir):
     return graph.token_components(domain.articles(spark, sf_dir).select("article_id", "url", "content_hash"), "article_id", ["url", "content_hash"])
 
@@ -1041,12 +1046,11 @@ def al_5(spark, sf_dir):
     return old.join(asked, ["kind", "subject_key"], "left").select("kind", "subject_key", F.coalesce("acknowledged_s", "asked_s").alias("acknowledged_s"))
 
 
-@query("ev_22_errors", "SELECT gold, count(*) FILTER (WHERE hit <> gold) AS errors, coalesce(string_agg(CASE WHEN hit <> gold THEN pair_id::VARCHAR END, ',' ORDER BY pair_id), '') AS ids FROM (SELECT *, CAST(sim_score >= 0.6 AS INTEGER) AS hit FROM eval_pairs) GROUP BY gold")
+@query("ev_22_errors", "SELECT gold, count(*) OVER (PARTITION BY gold) AS errors, pair_id FROM (SELECT *, CAST(sim_score >= 0.6 AS INTEGER) AS hit FROM eval_pairs) WHERE hit <> gold")
 def ev_22(spark, sf_dir):
-    rows = domain.eval_pairs(spark, sf_dir).withColumn("hit", (F.col("sim_score") >= 0.6).cast("int"))
-    wrong = F.when(F.col("hit") != F.col("gold"), F.col("pair_id"))
-    lists = rows.groupBy("gold").agg(F.count(wrong).alias("errors"), F.sort_array(F.collect_list(wrong)).alias("x"))
-    return lists.select("gold", "errors", F.array_join(F.transform("x", lambda i: i.cast("string")), ",").alias("ids"))
+    """One row for each wrongly called pair, with the number of errors under its gold label."""
+    wrong = domain.eval_pairs(spark, sf_dir).where((F.col("sim_score") >= 0.6).cast("int") != F.col("gold")).select("gold", "pair_id")
+    return wrong.join(wrong.groupBy("gold").agg(F.count("*").alias("errors")), "gold").select("gold", "errors", "pair_id")
 
 
 @query("ev_27_extraction_metrics", f"SELECT tp, fp, fn, tn, {_PRF} FROM (SELECT count(*) FILTER (WHERE n > 1 AND quality = 1) AS tp, count(*) FILTER (WHERE n > 1 AND quality = 0) AS fp, count(*) FILTER (WHERE n <= 1 AND quality = 1) AS fn, count(*) FILTER (WHERE n <= 1 AND quality = 0) AS tn FROM (SELECT l.doc_id, l.quality, count(c.claim_id) AS n FROM labels l LEFT JOIN claims c ON c.article_id = l.doc_id GROUP BY ALL))")
