@@ -2,11 +2,13 @@
 
 A text is put in a canonical form (case, copyright lines, equivalent spellings, punctuation and white space no longer
 matter), its SHA-256 digest is taken, and whole texts are joined by digest to the digests of known licences, which pass
-through the same expressions. Known texts are a constant of this module or a table of the caller's.
+through the same expressions. Known texts are a constant of this package, beside digests of long licences, or a table of
+the caller's.
 
 Defined cases: a null text has a null digest and no licence; an empty text and one of punctuation or copyright lines
-only has the digest of the empty string and no licence; equal texts get equal rows; of known texts with one canonical
-form the smallest id counts; other columns are kept out of the result.
+only has the digest of the empty string and no licence; equal texts get equal rows; very long texts are read whole; an
+empty table gives no row; null and repeated ids keep a row each; of known texts with one canonical form the smallest id
+counts; other columns are kept out of the result.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.license_texts import KNOWN_TEXTS
+from newsloom.llm.license_texts import KNOWN_DIGESTS, KNOWN_TEXTS
 
 #: A line that only names a holder: copyright, (c) or the sign, with a year, sign or colon; or the reservation of rights.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|:|<)|\(c\)[ \t]|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
@@ -53,10 +55,13 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
-    """(license_id, known_digest), one row per digest. texts: (license_id, text)."""
-    if texts is None:
+    """(license_id, known_digest), one row per digest. texts: (license_id, text); None: the fixed texts and digests."""
+    given = texts is not None
+    if not given:
         texts = spark.createDataFrame(sorted(KNOWN_TEXTS.items()), "license_id string, text string")
     named = texts.where(F.length(canonical(F.col("text"))) > 0).select("license_id", digest(F.col("text")).alias("known_digest"))
+    if not given:
+        named = named.union(spark.createDataFrame(sorted(KNOWN_DIGESTS.items()), named.schema))
     return named.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 

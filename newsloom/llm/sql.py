@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from newsloom.llm import license_scan, mixing, quality_rules
-from newsloom.llm.license_texts import KNOWN_TEXTS
+from newsloom.llm.license_texts import KNOWN_DIGESTS, KNOWN_TEXTS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,9 +20,11 @@ def _canonical(text: str) -> str:
 
 
 _KNOWN = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(KNOWN_TEXTS.items()))
+_DIGESTS = ", ".join(f"('{g}', '{k}')" for k, g in sorted(KNOWN_DIGESTS.items()))
 
 OP1 = f"""
-WITH known AS (SELECT sha256({_canonical("text")}) AS g, min(license_id) AS license_id FROM (VALUES {_KNOWN}) k(license_id, text) GROUP BY 1)
+WITH listed AS (SELECT sha256({_canonical("text")}) AS g, license_id FROM (VALUES {_KNOWN}) k(license_id, text) UNION ALL FROM (VALUES {_DIGESTS})),
+known AS (SELECT g, min(license_id) AS license_id FROM listed GROUP BY g)
 SELECT doc_id, g AS text_digest, license_id, license_id IS NOT NULL AS is_license
 FROM (SELECT doc_id, sha256({_canonical("text")}) AS g FROM documents) LEFT JOIN known USING (g)
 """

@@ -3,12 +3,13 @@
 import collections
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm import license_scan, mixing, quality_rules, sharding, text_columns
-from newsloom.llm.license_texts import KNOWN_TEXTS
+from newsloom.llm.license_texts import KNOWN_DIGESTS, KNOWN_TEXTS
 from newsloom.plans.staging import attach
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rank int, kept boolean, bucket string, n long, rows long"
@@ -44,7 +45,18 @@ def test_license_variants_match(spark):
 
 
 def test_license_known_forms_differ(spark):
-    assert license_scan.known_digests(spark).count() == len(KNOWN_TEXTS)
+    assert license_scan.known_digests(spark).count() == len(KNOWN_TEXTS) + len(KNOWN_DIGESTS)
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="needs the long licences' texts")
+@pytest.mark.parametrize(("file", "name"), [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_long_licenses_match_whole(spark, file, name):
+    text = Path("/usr/share/common-licenses", file).read_text(encoding="utf-8")
+    end = "END OF TERMS AND CONDITIONS"
+    terms = text[: text.index(end) + len(end)] if end in text else text
+    rows = make(spark, [(1, text, "en", "a"), (2, " ".join(text.replace("(C)", "(c)").splitlines(True)).upper(), "en", "a"), (3, terms, "en", "a"), (4, text[:-200], "en", "a"), (5, text + " Also.", "en", "a")])
+    found = by_id(license_scan.scan_licenses(rows))
+    assert [found[i]["license_id"] for i in range(1, 6)] == [name, name, f"{name} terms" if end in text else name, None, None]
 
 
 def test_license_odd_rows(spark, odd):
