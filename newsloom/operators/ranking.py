@@ -19,16 +19,12 @@ def scoop_race(articles: DataFrame, edges: DataFrame, least_degree: int = 2, rac
     hubs = both.groupBy("hub").agg(F.count_distinct("member").alias("degree")).where(F.col("degree") >= least_degree).select("hub")
     field = both.join(hubs, "hub", "left_semi").union(hubs.select("hub", F.col("hub").alias("member"))).distinct()
     dated = field.join(articles.where("published_s is not null").select(F.col("article_id").alias("member"), "published_s"), "member")
-    by_hub, in_time = W.partitionBy("hub"), W.partitionBy("hub").orderBy("published_s", "member")
-    placed = dated.select(
-        "hub",
-        "member",
-        F.row_number().over(in_time).alias("place"),
-        (F.col("published_s") - F.min("published_s").over(by_hub)).alias("lag_s"),
-        F.count("*").over(by_hub).alias("field"),
-        (F.max("published_s").over(by_hub) - F.min("published_s").over(by_hub)).alias("spread_s"),
-    )
-    return placed.where((F.col("place") <= racers) & (F.col("field") >= 2))
+    fields = dated.groupBy("hub").agg(F.count("*").alias("field"), F.min("published_s").alias("first_s"), F.max("published_s").alias("last_s")).where("field >= 2")
+    # The rank stands alone under its limit, so that Spark keeps the first few of a hub in each task before the shuffle.
+    place = F.row_number().over(W.partitionBy("hub").orderBy("published_s", "member"))
+    placed = dated.withColumn("place", place).where(F.col("place") <= racers)
+    lag, spread = F.col("published_s") - F.col("first_s"), F.col("last_s") - F.col("first_s")
+    return placed.join(fields, "hub").select("hub", "member", "place", lag.alias("lag_s"), "field", spread.alias("spread_s"))
 
 
 def round_robin(rows: DataFrame, group: str, rank: str, limit: int) -> DataFrame:

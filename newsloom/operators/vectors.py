@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.plans.staging import meet
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -64,17 +66,21 @@ def undirected_best(neighbours: DataFrame) -> DataFrame:
     return neighbours.groupBy(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b")).agg(F.round(F.max("score"), 4).alias("score"))
 
 
-def earlier_candidates(vectors: DataFrame, max_lag_s: int, least: float) -> DataFrame:
+def earlier_candidates(vectors: DataFrame, max_lag_s: int, least: float, block_rows: int = 4_000) -> DataFrame:
     """(child, parent, score): pairs of one topic, the parent published within max_lag_s before the child, cosine >= least.
 
     vectors: (id, topic, published_s, v). Rows meet by topic and time slot of the lag's length (own slot and the one
-    before), so a pair meets once and a topic's whole history never does.
+    before), so a pair meets once and a topic's whole history never does; a slot of many rows meets in blocks. Squared
+    lengths are taken once for each row.
     """
-    rows = vectors.where("published_s is not null and topic is not null").withColumn("slot", F.floor(F.col("published_s") / max_lag_s))
-    child = rows.select(F.col("id").alias("child"), "topic", F.col("published_s").alias("t"), F.col("v").alias("cv"), F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"))
-    parent = rows.select(F.col("id").alias("parent"), "topic", "slot", F.col("published_s").alias("u"), F.col("v").alias("pv"))
-    met = child.join(parent, ["topic", "slot"]).where((F.col("u") < F.col("t")) & (F.col("u") >= F.col("t") - max_lag_s) & (F.col("child") != F.col("parent")))
-    return met.select("child", "parent", cosine(F.col("cv"), F.col("pv")).alias("score")).where(F.col("score") >= least)
+    rows = vectors.where("published_s is not null and topic is not null").withColumn("slot", F.floor(F.col("published_s") / max_lag_s)).withColumn("vv", dot(F.col("v"), F.col("v")))
+    child = rows.select(F.col("id").alias("child"), "topic", F.col("published_s").alias("t"), F.col("v").alias("cv"), F.col("vv").alias("cc"), F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"))
+    parent = rows.select(F.col("id").alias("parent"), "topic", "slot", F.col("published_s").alias("u"), F.col("v").alias("pv"), F.col("vv").alias("pp"))
+    met = meet(child, parent, ["topic", "slot"], "child", "parent", block_rows)
+    met = met.where((F.col("u") < F.col("t")) & (F.col("u") >= F.col("t") - max_lag_s) & (F.col("child") != F.col("parent")))
+    norms = F.sqrt(F.col("cc") * F.col("pp"))
+    score = F.when((F.size("cv") == F.size("pv")) & (norms > 0), dot(F.col("cv"), F.col("pv")) / norms)
+    return met.select("child", "parent", score.alias("score")).where(F.col("score") >= least)
 
 
 def mutation_edges(candidates: DataFrame, changed: DataFrame, evolved: float, similar: float, most: int = 50) -> DataFrame:

@@ -1,14 +1,18 @@
 """Registered queries over all their rows, against brute force that knows no SQL."""
 
 import collections
+import difflib
 import math
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import features, ranking, verdicts
+from newsloom.operators import changes, features, graph, neardup, ranking, vectors, verdicts
 from newsloom.plans import catalog
+from newsloom.plans.staging import meet
 from newsloom.sources import domain
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +145,58 @@ def test_every_claim_has_a_passage(spark):
     want = {r["claim_id"]: passage_by_hand(body[r["article_id"]], r["claim_text"], r["claim_text"]) for r in domain.claims(spark, SF).collect()}
     got = catalog.QUERIES["pl_8_body_passage"](spark, SF).collect()
     assert len(got) == len(want) and {r["claim_id"]: (r["passage"], r["source"]) for r in got} == want
+
+
+def test_hot_keys_meet_in_blocks(spark):
+    left = spark.createDataFrame([(i, None if i % 17 == 0 else "hot" if i % 3 else f"k{i % 5}") for i in range(120)], "l long, key string")
+    right = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(90)] + [(1, "hot")], "r long, key string")
+    plain = sorted((x["l"], x["r"]) for x in left.join(right, "key").collect())
+    for block_rows in (1, 7, 4_000):
+        assert sorted((x["l"], x["r"]) for x in meet(left, right, ["key"], "l", "r", block_rows).collect()) == plain
+    assert meet(left.limit(0), right, ["key"], "l", "r").count() == 0
+
+
+def test_candidates_and_duplicates_do_not_depend_on_the_block(spark):
+    made = random.Random(5)
+    rows = [(i, made.choice(["a", "a", "b", None]), made.choice([None, *range(0, 60, 3)]), [made.random() - 0.4 for _ in range(4)] if i % 11 else [0.0] * 4) for i in range(80)]
+    vectors_ = spark.createDataFrame(rows, "id long, topic string, published_s long, v array<double>")
+    expected = set()
+    for i, topic, t, v in rows:
+        for j, other, u, w in rows:
+            if i != j and topic is not None and topic == other and t is not None and u is not None and t - 20 <= u < t:
+                norm = math.sqrt(sum(x * x for x in v) * sum(x * x for x in w))
+                if norm > 0 and sum(x * y for x, y in zip(v, w)) / norm >= 0.3:
+                    expected.add((i, j))
+    assert expected
+    for block_rows in (2, 4_000):
+        assert {(x["child"], x["parent"]) for x in vectors.earlier_candidates(vectors_, 20, 0.3, block_rows).collect()} == expected
+    texts = [(i, " ".join(made.choice(["one", "two", "three"]) if made.random() < 0.03 else f"w{k}" for k in range(30)), i) for i in range(25)]
+    articles = spark.createDataFrame(texts, "id long, text string, at_s long")
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(28)} for i, t, _ in texts}
+    close = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.75}
+    for block_rows in (3, 4_000):
+        assert {(x["a"], x["b"]) for x in neardup.near_pairs(articles, block_rows=block_rows).collect()} == close
+
+
+def test_hub_ranks_are_limited_before_the_shuffle(spark):
+    edges = spark.createDataFrame([(1, k) for k in range(2, 30)], "a long, b long")
+    articles = spark.createDataFrame([(k, None if k == 5 else 100 - k) for k in range(1, 30)], "article_id long, published_s long")
+    race = ranking.scoop_race(edges=edges, articles=articles)
+    assert [tuple(r) for r in race.orderBy("place").collect()] == [(1, 30 - p, p, p - 1, 28, 28) for p in range(1, 7)]
+    for df in (race, graph.hub_timelines(edges, articles, 2, 3)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().toString()
+
+
+def test_token_runs_agree_with_the_standard_library():
+    made = random.Random(3)
+    for _ in range(300):
+        a, b = ([made.randrange(made.choice([2, 6])) for _ in range(made.randrange(25))] for _ in range(2))
+        blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]
+        mine = changes.common_runs(np.array(a, np.int64), np.array(b, np.int64))
+        joined = []
+        for i, j, n in mine:
+            if joined and (joined[-1][0] + joined[-1][2], joined[-1][1] + joined[-1][2]) == (i, j):
+                joined[-1] = (joined[-1][0], joined[-1][1], joined[-1][2] + n)
+            else:
+                joined.append((i, j, n))
+        assert joined == [tuple(x) for x in blocks]
