@@ -81,28 +81,30 @@ def next_pair(pairs: DataFrame, votes: DataFrame, uncertain_first: bool = False)
     return wanted.join(placed, F.col("wanted") == F.col("position")).select("annotator", "pair_id")
 
 
-def capped_pairs(pairs: DataFrame, order: list, cap: int) -> DataFrame:
-    """Pairs (a, b) such that no id is in more than `cap` of them, taken in rounds.
+def capped_pairs(pairs: DataFrame, order: list, cap: int, used: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) such that no id is in more than `cap` of them: those that one pass in the given order would take.
 
-    In a round each id ranks its open pairs by the given order; a pair that is within the cap still open at both its ends
-    is taken; pairs with a full end are closed. Rounds go on until no pair is open, so the result cannot be extended. The
-    order must be total.
+    In a round each id ranks its open pairs by the order; a pair that is within the cap still open at both its ends is
+    taken, as nothing before it can fill an end; pairs with a full end are closed. Rounds go on until no pair is open. The
+    order must be total. used: (id, used), pairs that ids are in already.
     """
-    from newsloom.plans.staging import running_totals, stage
-
-    open_ = stage(pairs, "open-pairs")
-    taken = None
-    while not open_.isEmpty():
-        used = None
-        if taken is not None:
-            used = taken.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
+    tally = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
+    open_, taken, before = stage(pairs, "open-pairs"), None, used
+    while True:
+        if before is not None:
+            full = before.where(F.col("used") >= cap).select("id")
+            for side in ("a", "b"):
+                open_ = open_.join(full.withColumnRenamed("id", side), side, "left_anti")
+            open_ = stage(open_.select(*pairs.columns), "open-pairs")  # a join by name puts its column first
+        if open_.isEmpty():
+            return taken if taken is not None else open_
         rows = open_
         for side in ("a", "b"):
-            ends = open_.select("a", "b", *[c for c in open_.columns if c not in ("a", "b")], F.explode(F.array("a", "b")).alias("id"))
+            ends = open_.withColumn("id", F.explode(F.array("a", "b")))
             ranked = ends.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(*order))).select("a", "b", "id", "r")
             rows = rows.join(ranked.select("a", "b", F.col("id").alias(f"id_{side}"), F.col("r").alias(f"r_{side}")), ["a", "b"]).where(F.col(f"id_{side}") == F.col(side))
-            if used is not None:
-                rows = rows.join(used.select(F.col("id").alias(f"id_{side}"), F.col("used").alias(f"u_{side}")), f"id_{side}", "left")
+            if before is not None:
+                rows = rows.join(before.select(F.col("id").alias(f"id_{side}"), F.col("used").alias(f"u_{side}")), f"id_{side}", "left")
             else:
                 rows = rows.withColumn(f"u_{side}", F.lit(0))
         fits = (F.col("r_a") + F.coalesce("u_a", F.lit(0)) <= cap) & (F.col("r_b") + F.coalesce("u_b", F.lit(0)) <= cap)
@@ -110,10 +112,48 @@ def capped_pairs(pairs: DataFrame, order: list, cap: int) -> DataFrame:
         if new.isEmpty():
             raise ValueError("no open pair comes first at both its ends: the order is not total")
         taken = new if taken is None else stage(taken.union(new), "taken-pairs")
-        ends = taken.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
-        full = stage(ends.where(F.col("used") >= cap).select("id"), "full-ends")
-        open_ = open_.join(new.select("a", "b"), ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            open_ = open_.join(full.withColumnRenamed("id", side), side, "left_anti")
-        open_ = stage(open_.select(*pairs.columns), "open-pairs")  # a join by name puts its column first
-    return taken if taken is not None else open_.limit(0)
+        before = tally(taken) if used is None else tally(taken).union(used).groupBy("id").agg(F.sum("used").alias("used"))
+        before = stage(before, "pair-ends")
+        open_ = open_.join(new.select("a", "b"), ["a", "b"], "left_anti").select(*pairs.columns)
+
+
+def bucketed_pairs(pairs: DataFrame, buckets: list[str], per_bucket: int, cap: int = 2, seed: str = "pairs", used: DataFrame | None = None) -> DataFrame:
+    """Of (a, b, bucket, same_outlet, ...), up to per_bucket pairs of each bucket and cap pairs of each id.
+
+    Buckets are filled in the order given, each from pairs of two outlets first, then by a seeded hash. What a bucket
+    takes counts at its ids in later buckets. The first per_bucket of what one pass takes are what a pass takes that
+    stops there, so each bucket is one `capped_pairs`. used: (id, used), pairs that ids are in already.
+    """
+    order = [F.col("same_outlet"), F.xxhash64(F.lit(seed), "a", "b"), F.col("a"), F.col("b")]
+    parts: list[DataFrame] = []
+    before = used
+    for name in buckets:
+        found = capped_pairs(pairs.where(F.col("bucket") == name), order, cap, before)
+        part = stage(found.orderBy(*order).limit(per_bucket), "bucket-pairs")
+        parts.append(part)
+        ends = part.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
+        before = ends if before is None else ends.union(before).groupBy("id").agg(F.sum("used").alias("used"))
+        before = stage(before, "bucket-ends")
+    taken = parts[0]
+    for part in parts[1:]:
+        taken = taken.union(part)
+    return taken
+
+
+def new_sample(pairs: DataFrame, existing: DataFrame, articles: DataFrame, buckets: list[str], per_bucket: int, cap: int = 2) -> DataFrame:
+    """`bucketed_pairs` without pairs that exist, ids of frozen articles and ids that existing pairs fill.
+
+    existing: (a, b, frozen); articles: (id, article_id). An article is frozen if one of its ids is in a frozen pair, and
+    all its ids are frozen with it. As in a job that samples first and inserts then, what is refused is not replaced.
+    """
+    chosen = stage(bucketed_pairs(pairs, buckets, per_bucket, cap), "chosen-pairs")
+    ends = existing.select(F.explode(F.array("a", "b")).alias("id"), "frozen")
+    frozen = ends.where("frozen").join(articles, "id").select("article_id").distinct().join(articles, "article_id").select("id").distinct()
+    left = chosen.join(existing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        left = left.join(frozen.withColumnRenamed("id", side), side, "left_anti")
+    filled = ends.groupBy("id").agg(F.count("*").alias("used"))
+    place = {name: k for k, name in enumerate(buckets)}
+    turn = F.element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col("bucket"))
+    order = [turn, F.col("same_outlet"), F.xxhash64(F.lit("pairs"), "a", "b"), F.col("a"), F.col("b")]
+    return capped_pairs(left.select(*chosen.columns), order, cap, filled)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
-from newsloom.operators import evaluation, features, ranking, vectors, verdicts
+from newsloom.operators import evaluation, features, modelling, ranking, vectors, verdicts
 from newsloom.plans import catalog
 from newsloom.plans.catalog import query
 from newsloom.sources import domain
@@ -160,3 +161,42 @@ def gr_11(spark, sf_dir):
     rows = domain.table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("v"))
     scored = domain.claims(spark, sf_dir).where("verdict is not null and claim_id % 8 < 2").join(rows, "article_id")
     return verdicts.claim_graph(scored.select("claim_id", "confidence", "v"), domain.relations(spark, sf_dir), 400, 4)
+
+
+_BUCKETS = [name for _, name in lex.BUCKETS]
+
+
+@query("win_10_pairs_by_bucket")
+def win_10(spark, sf_dir):
+    """Up to 50 pairs a bucket, two a document, pairs of two outlets first."""
+    outlet = domain.articles(spark, sf_dir).select("article_id", "domain")
+    rows = domain.article_edges(spark, sf_dir).join(outlet.toDF("a", "of_a"), "a").join(outlet.toDF("b", "of_b"), "b")
+    rows = rows.select("a", "b", "score", tx.similarity_bucket(F.col("score")).alias("bucket"), F.col("of_a").eqNullSafe(F.col("of_b")).alias("same_outlet"))
+    return ranking.bucketed_pairs(rows, _BUCKETS, 50)
+
+
+@query("ev_24_new_sample")
+def ev_24(spark, sf_dir):
+    """New pairs of claims at one place of similar articles; relations exist already, frozen where the child's article is in test."""
+    claims = domain.claims(spark, sf_dir).select(F.col("claim_id").alias("id"), "article_id", "domain", (F.col("claim_id") % 8).alias("pos"))
+    left, right = (claims.select(F.col("id").alias(x), F.col("article_id").alias(f"at_{x}"), F.col("domain").alias(f"of_{x}"), "pos") for x in ("a", "b"))
+    edges = domain.article_edges(spark, sf_dir).toDF("at_a", "at_b", "score")
+    rows = edges.join(left, "at_a").join(right, ["at_b", "pos"])
+    rows = rows.select("a", "b", "score", tx.similarity_bucket(F.col("score")).alias("bucket"), F.col("of_a").eqNullSafe(F.col("of_b")).alias("same_outlet"))
+    split = domain.eval_pairs(spark, sf_dir).select(F.col("pair_id").alias("article_id"), (F.col("split") == "test").alias("frozen"))
+    known = domain.relations(spark, sf_dir).select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()
+    known = known.join(claims.select(F.col("id").alias("a"), "article_id"), "a").join(split, "article_id", "left")
+    return ranking.new_sample(rows, known.select("a", "b", F.coalesce("frozen", F.lit(False)).alias("frozen")), claims.select("id", "article_id"), _BUCKETS, 50)
+
+
+@query("pl_3_named_topics")
+def pl_3(spark, sf_dir):
+    text = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = domain.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(text, "id", "left")
+    return modelling.named_topics(rows, 8).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query("ev_18_ablations")
+def ev_18(spark, sf_dir):
+    size = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.log(F.col("n_chars") + 1).alias("size"))
+    return modelling.logistic_ablations(domain.eval_pairs(spark, sf_dir).join(size, "pair_id", "left"), ["sim_score", "size"])
