@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.embedding_dedup import similar_vectors
+from newsloom.llm.hard_negatives import all_finite, mine_hard_negatives, whole_numbers
 from newsloom.llm.language_id import identify
 from newsloom.llm.license_scan import scan_licenses
+from newsloom.llm.line_dedup import drop_repeated_lines
 from newsloom.llm.lm_scoring import score_documents
 from newsloom.llm.minhash_dedup import near_duplicates
 from newsloom.llm.mixing import document_rates
@@ -17,6 +19,7 @@ from newsloom.llm.quality_rules import judge
 from newsloom.llm.sentencepiece_codec import encode_documents
 from newsloom.llm.sharding import interleave_shards
 from newsloom.llm.toxicity import rate_toxicity
+from newsloom.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,27 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _whole_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings with x, the whole numbers below 256 times each component; null for vectors that are not all finite."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", "label", F.when(all_finite(F.col("embedding")), whole_numbers(F.col("embedding"))).alias("x"))
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has its label moved on by one; rows whose id is divisible by 100 ask."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(_whole_vectors(spark, sf_dir).withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_whole_vectors(spark, sf_dir))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -84,4 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_line_dedup": op13_line_dedup,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import license_scan, mixing, quality_rules
+from newsloom.llm import license_scan, line_dedup, mixing, quality_rules
 from newsloom.llm.license_texts import KNOWN_DIGESTS, KNOWN_TEXTS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -91,9 +91,31 @@ FROM sizes s JOIN rate r ON s.source IS NOT DISTINCT FROM r.source
 """
 
 
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+positive AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER best <= 10
+"""
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP13 = f"""
+WITH line AS (SELECT r, doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (SELECT *, translate(trim(line, {_BLANKS}), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS k FROM line),
+often AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= {line_dedup.LEAST_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) >= {line_dedup.LEAST_DOCS}),
+judged AS (SELECT r, doc_id, pos, line, (o.k IS NOT NULL AND doc_id IS DISTINCT FROM last) AS dropped FROM keyed LEFT JOIN often o USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM judged GROUP BY r
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": OP1,
     "op3_embedding_dedup": OP3,
     "op4_quality_rules": _quality(),
     "op8_mixing": _mixing(),
+    "op11_hard_negatives": OP11,
+    "op13_line_dedup": OP13,
 }
