@@ -460,7 +460,7 @@ def win_6(spark, sf_dir):
 
 @query("win_7_running_confusion", "SELECT sim_score, CAST(sum(sum(gold)) OVER w AS BIGINT) AS tp, CAST(sum(count(*) - sum(gold)) OVER w AS BIGINT) AS fp FROM eval_pairs GROUP BY sim_score WINDOW w AS (ORDER BY sim_score DESC)")
 def win_7(spark, sf_dir):
-    return ranking.running_confusion(domain.eval_pairs(spark, sf_dir))
+    return ranking.running_confusion(domain.eval_pairs(spark, sf_dir)).drop("step")
 
 
 @query(
@@ -991,7 +991,26 @@ def pl_17(spark, sf_dir):
 # ---------------------------------------------------------------- more joins, windows, sets and alerts
 
 
-@query("jn_10_near_duplicates", None)
+_SPACE = r"[^\x20\x09-\x0D]+"
+#: Pairs of articles with a Jaccard similarity of three-word shingles from .75, collected within 14 days of each other.
+NEAR_PAIRS = f"""
+, near_word AS (SELECT article_id AS id, collected_s AS at_s, regexp_extract_all(content, '{_SPACE}') AS w FROM articles WHERE content IS NOT NULL AND collected_s IS NOT NULL),
+near_set AS (SELECT id, at_s, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM near_word WHERE len(w) >= 3),
+near_item AS (SELECT id, at_s, len(s) AS n, unnest(s) AS x FROM near_set),
+near_both AS (SELECT p.id AS a, q.id AS b, any_value(p.n) AS n, any_value(q.n) AS m, count(*) AS both_have FROM near_item p JOIN near_item q ON p.x = q.x AND (p.at_s, p.id) < (q.at_s, q.id)
+  AND q.at_s - p.at_s <= 1209600 AND least(p.n, q.n) >= 0.75 * greatest(p.n, q.n) GROUP BY p.id, q.id),
+near_pair AS (SELECT a, b, both_have / (n + m - both_have)::DOUBLE AS jaccard FROM near_both WHERE both_have * 4 >= 3 * (n + m - both_have))"""
+
+
+@query(
+    "jn_10_near_duplicates",
+    f"""{NEAR_PAIRS},
+    copies AS (SELECT x.article_id AS a, y.article_id AS b FROM (SELECT arg_min(article_id, (collected_s, article_id)) AS article_id, content FROM articles WHERE content IS NOT NULL AND collected_s IS NOT NULL GROUP BY content) x JOIN articles y USING (content)),
+    link AS (SELECT a, b FROM near_pair UNION SELECT b, a FROM near_pair UNION SELECT a, b FROM copies UNION SELECT b, a FROM copies),
+    chain AS (WITH RECURSIVE w AS (SELECT DISTINCT a AS node, a AS seen FROM link UNION SELECT w.node, link.b FROM w JOIN link ON link.a = w.seen) SELECT node, seen FROM w),
+    root AS (SELECT node, arg_min(seen, (collected_s, seen)) AS canonical_id FROM chain JOIN articles ON article_id = seen WHERE collected_s IS NOT NULL GROUP BY node)
+    SELECT article_id AS id, coalesce(canonical_id, article_id) AS canonical_id FROM articles LEFT JOIN root ON node = article_id""",
+)
 def jn_10(spark, sf_dir):
     return neardup.near_duplicates(domain.articles(spark, sf_dir).select(F.col("article_id").alias("id"), F.col("content").alias("text"), F.col("collected_s").alias("at_s")))
 

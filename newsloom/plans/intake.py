@@ -9,7 +9,7 @@ from newsloom.plans import catalog
 from newsloom.plans.catalog import query
 from newsloom.plans.staging import new_folder
 from newsloom.sources import domain, feeds
-from newsloom.streaming import jobs
+from newsloom.streaming import jobs, keyed
 
 _FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _LINK = "'https://news.example/a/' || article_id"
@@ -213,14 +213,49 @@ def st_1(spark, sf_dir):
     return jobs.drain(jobs.first_by_url(rows, "3650 days"), "append", "urls").select("url")
 
 
+def _in_three_arrivals(spark, rows, arrival, run):
+    """run(stream, folder) after each of three arrivals of rows (by the number `arrival`), always with one folder; the last result."""
+    landed, folder = new_folder(spark, "landed"), new_folder(spark, "stream")
+    found = None
+    for k in range(3):
+        rows.where(arrival == k).write.mode("append").parquet(landed)
+        found = run(spark.readStream.schema(rows.schema).parquet(landed), folder)
+    return found
+
+
+@query(
+    "st_2_near_duplicates_14_days",
+    f"""{catalog.NEAR_PAIRS}
+    SELECT a, b, round(jaccard, 6) AS jaccard FROM near_pair""",
+)
+def st_2(spark, sf_dir):
+    """Pairs of articles collected within 14 days of each other, which come in three arrivals."""
+    rows = domain.articles(spark, sf_dir).select(F.col("article_id").alias("id"), F.col("collected_s").alias("at_s"), F.col("content").alias("text"))
+    # arrivals in the order of collection, so that nothing is behind the watermark
+    parts = rows.agg(F.percentile_approx("at_s", [0.33, 0.67])).first()[0] or [0, 0]
+    arrival = F.when(F.col("at_s") <= parts[0], 0).when(F.col("at_s") <= parts[1], 1).otherwise(2)
+    found = _in_three_arrivals(spark, rows, arrival, lambda stream, folder: keyed.near_duplicate_pairs(stream, rows, folder))
+    return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("st_3_surges", """, daily AS (SELECT event_type, at_s // 86400 AS day, count(*) AS n FROM ev GROUP BY ALL)
+    SELECT x.event_type, x.day * 86400 AS start_s, x.n, coalesce(y.n, 0) AS prior FROM daily x LEFT JOIN daily y ON y.event_type = x.event_type AND y.day = x.day - 1 WHERE x.n >= 5 AND x.n * 100 >= 105 * greatest(coalesce(y.n, 0), 1)""")
+def st_3_surges(spark, sf_dir):
+    """Days with at least 5 events of a type and 1.05 times those of the day before (in these tables no day has twice as many)."""
+    counts = jobs.drain(jobs.windowed_counts(_stream(spark, sf_dir), ["event_type"], "24 hours"), "complete", "surges")
+    return jobs.surges(counts, ["event_type"], 5, factor=1.05).select("event_type", F.unix_seconds("start").alias("start_s"), "n", "prior")
+
+
 @query(
     "st_4_alert_registry",
-    """SELECT upper(event_type) AS kind, 'user:' || user_id AS subject_key, min(at_s) AS first_s, max(at_s) AS last_s, FALSE AS acknowledged FROM ev GROUP BY ALL""",
+    """SELECT upper(event_type) AS kind, 'user:' || user_id AS subject_key, min(at_s) FILTER (event_id % 7 <> 0) AS first_s, max(at_s) FILTER (event_id % 7 <> 0) AS last_s, min(at_s) FILTER (event_id % 7 = 0) AS acknowledged_s
+    FROM ev GROUP BY ALL HAVING count(*) FILTER (event_id % 7 <> 0) > 0""",
 )
 def st_4(spark, sf_dir):
-    rows = _stream(spark, sf_dir).select(F.upper("event_type").alias("kind"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("subject_key"), "ts")
-    found = jobs.alert_registry(rows, new_folder(spark, "registry"))
-    return found.select("kind", "subject_key", F.unix_seconds("first_seen").alias("first_s"), F.unix_seconds("last_seen").alias("last_s"), F.col("acknowledged_at").isNotNull().alias("acknowledged"))
+    """Alerts of each event type and user, in three arrivals; every seventh event acknowledges."""
+    named = [F.upper("event_type").alias("kind"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("subject_key"), F.timestamp_seconds("at_s").alias("ts"), (F.col("event_id") % 7 == 0).alias("acknowledge"), (F.col("event_id") % 3).alias("arrival")]
+    rows = domain.events(spark, sf_dir).select(*named)
+    return _in_three_arrivals(spark, rows, F.col("arrival"), keyed.alert_registry)
 
 
 @query("st_5_over_limit", "SELECT (at_s // 3600) * 3600 AS hour_s, event_type, user_id, count(*) AS n FROM ev GROUP BY ALL HAVING count(*) > 1")
@@ -230,13 +265,19 @@ def st_5(spark, sf_dir):
     return jobs.over_limit(counts, 1).select(F.unix_seconds("start").alias("hour_s"), "event_type", "user_id", "n")
 
 
-@query("st_6_set_aside", "SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'unknown time' ELSE 'future time' END AS reason FROM ev WHERE event_id % 19 = 0 OR at_s > (SELECT max(at_s) - 86400 FROM ev)")
+@query(
+    "st_6_set_aside",
+    """, seen AS (SELECT event_id, event_id % 3 AS k, CASE WHEN event_id % 19 <> 0 THEN at_s END AS t, (SELECT max(at_s) - 86400 FROM ev) AS now FROM ev),
+    mark AS (SELECT k, max(t) AS last FROM seen WHERE t <= now GROUP BY k), before AS (SELECT s.k, max(m.last) AS last FROM (SELECT DISTINCT k FROM seen) s LEFT JOIN mark m ON m.k < s.k GROUP BY s.k)
+    SELECT event_id, CASE WHEN t IS NULL THEN 'unknown time' WHEN t > now THEN 'future time' WHEN t < last - 864000 THEN 'late' ELSE 'usable' END AS state FROM seen JOIN before USING (k)""",
+)
 def st_6(spark, sf_dir):
-    """Events without a time, and those later than a day before the last one, taken as now."""
+    """All events in three arrivals: without a time, later than a day before the last one (taken as now), ten days late, or usable."""
     last = catalog._now(spark, sf_dir) - 86_400
-    rows = _stream(spark, sf_dir).withColumn("ts", F.when(F.col("event_id") % 19 != 0, F.col("ts")))
     stamp = spark.range(1).select(F.timestamp_seconds(F.lit(last)).cast("string").alias("t")).first()["t"]
-    return jobs.set_aside(rows, stamp).select("event_id", "reason")
+    rows = domain.events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 19 != 0, F.timestamp_seconds("at_s")).alias("ts"))
+    usable, aside = _in_three_arrivals(spark, rows, F.col("event_id") % 3, lambda stream, folder: keyed.arrivals(stream, folder, 864_000, stamp))
+    return usable.select("event_id", F.lit("usable").alias("state")).unionByName(aside.select("event_id", F.col("reason").alias("state")))
 
 
 @query("st_7_clustering_runs", "SELECT 0 AS run, max(at_s) AS at_s, count(*) AS rows_seen FROM ev HAVING count(*) >= 10 UNION ALL SELECT -1, NULL, 0 FROM ev HAVING count(*) >= 10")

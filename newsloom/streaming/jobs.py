@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.plans.staging import shared_folder, stage
+from newsloom.plans.staging import new_folder
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str, time: str = "ts", name: str = "*.parquet") -> DataFrame:
@@ -15,10 +15,9 @@ def event_stream(spark: SparkSession, folder: str, schema: str, time: str = "ts"
 
 
 def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over what has arrived and return the rows written: all of them (append), or the last state (complete)."""
-    import uuid
-
-    folder = f"{shared_folder(stream.sparkSession).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    """Run a stream once over what has arrived and return the rows written: all of them (append), or the last state
+    (complete). What it writes goes with the session."""
+    folder = new_folder(stream.sparkSession, f"stream-{name}")
     last: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -45,13 +44,13 @@ def windowed_counts(stream: DataFrame, by: list[str], length: str = "24 hours",
     return rows.select(F.col("window.start").alias("start"), *by, "n")
 
 
-def surges(counts: DataFrame, by: list[str], floor: int, days: int = 1) -> DataFrame:
-    """Windows with at least `floor` rows and twice those of the window before (1 at least), from windowed_counts."""
+def surges(counts: DataFrame, by: list[str], floor: int, days: int = 1, factor: float = 2) -> DataFrame:
+    """Windows with at least `floor` rows and `factor` times those of the window before (1 at least), from windowed_counts."""
     order = W.partitionBy(*by).orderBy("start")
     adjacent = F.lag("start").over(order) == F.col("start") - F.make_dt_interval(F.lit(days))
     prior = F.when(adjacent, F.lag("n").over(order)).otherwise(F.lit(0))
     rows = counts.withColumn("prior", F.coalesce(prior, F.lit(0)))
-    return rows.where((F.col("n") >= floor) & (F.col("n") >= 2 * F.greatest("prior", F.lit(1))))
+    return rows.where((F.col("n") >= floor) & (F.col("n") * 100 >= round(factor * 100) * F.greatest("prior", F.lit(1))))
 
 
 def over_limit(counts: DataFrame, limit: int) -> DataFrame:
@@ -59,22 +58,6 @@ def over_limit(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.col("n") > limit)
 
 
-def split_late(rows: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(usable, set aside): rows of unknown or future time are set aside with the reason, not guessed."""
-    future = F.col("ts") > F.lit(now).cast("timestamp")
-    reason = F.when(F.col("ts").isNull(), "unknown time").when(future, "future time")
-    named = rows.withColumn("reason", reason)
-    return named.where("reason is null").drop("reason"), named.where("reason is not null")
-
-
-def register_alerts(registry: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """A registry of alerts (kind, subject_key, first_seen, last_seen, acknowledged_at) after one more batch (kind,
-    subject_key, ts): first times and acknowledgements stay, last times move on."""
-    seen = batch.groupBy("kind", "subject_key").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).withColumn("acknowledged_at", F.lit(None).cast("timestamp"))
-    rows = seen if registry is None else registry.unionByName(seen)
-    return rows.groupBy("kind", "subject_key").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("acknowledged_at").alias("acknowledged_at"))
-
-
 def _version(spark: SparkSession, folder: str, before: int | None = None) -> int:
     """The last complete version of a table kept in folder/version=n (before a batch, if given); -1 if there is none."""
     jvm = spark.sparkContext._jvm
@@ -91,7 +74,8 @@ def versioned(stream: DataFrame, folder: str, step) -> DataFrame:
 
     Version n of the table, folder/table/version=n, is written by batch n from the version before it. A batch that is
     repeated after a crash writes the same version again, and a stream that is started anew with the same folder goes on
-    where it stopped. The folder has to be one that driver and executors share.
+    where it stopped. Versions before the last two are deleted. For small tables: each batch writes the whole one. The
+    folder has to be one that driver and executors share.
     """
     spark, tables = stream.sparkSession, f"{folder.rstrip('/')}/table"
 
@@ -99,6 +83,8 @@ def versioned(stream: DataFrame, folder: str, step) -> DataFrame:
         last = _version(spark, tables, number)
         before = spark.read.parquet(f"{tables}/version={last}") if last >= 0 else None
         step(before, batch).write.mode("overwrite").parquet(f"{tables}/version={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tables}/version={_version(spark, tables, last)}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     stream.writeStream.option("checkpointLocation", f"{folder.rstrip('/')}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
     last = _version(spark, tables)
@@ -107,35 +93,6 @@ def versioned(stream: DataFrame, folder: str, step) -> DataFrame:
     return spark.read.parquet(f"{tables}/version={last}")
 
 
-def alert_registry(stream: DataFrame, folder: str) -> DataFrame:
-    """The registry after all arrived batches of a stream (kind, subject_key, ts); it survives restarts in its folder."""
-    return versioned(stream, folder, register_alerts)
-
-
-def canonical_articles(stream: DataFrame, folder: str, threshold: float = 0.75, window_s: int = 14 * 86_400) -> DataFrame:
-    """(id, at_s, text, canonical_id) of the articles (id, at_s, text) that have arrived: each is held against those of
-    the last `window_s` seconds, and its canonical article is the earliest of its chain of near-duplicates, else itself.
-
-    A batch meets only the slice of the archive within the window of the batch's own times.
-    """
-    from newsloom.operators.neardup import near_duplicates
-
-    def step(archive: DataFrame | None, batch: DataFrame) -> DataFrame:
-        new = stage(batch.select("id", "at_s", "text").dropDuplicates(["id"]), "stream-articles")
-        if archive is None:
-            return new.join(near_duplicates(new, threshold, window_s), "id")
-        new = stage(new.join(archive.select("id"), "id", "left_anti"), "stream-new")
-        since = new.agg(F.min("at_s")).first()[0]
-        window = archive.where(F.col("at_s") >= (since or 0) - window_s)
-        found = near_duplicates(new.unionByName(window.select("id", "at_s", "text")), threshold, window_s)
-        known = window.select(F.col("id").alias("k"), F.col("canonical_id").alias("older"))
-        named = new.join(found, "id").join(known, F.col("canonical_id") == F.col("k"), "left")
-        named = named.withColumn("canonical_id", F.coalesce("older", "canonical_id")).select(*archive.columns)
-        return archive.unionByName(named)
-
-    return versioned(stream, folder, step)
-
-
 def clustering_runs(stream: DataFrame, folder: str, least_new: int = 10, pause_s: int = 3600) -> DataFrame:
     """(run, at_s, rows_seen): when a stream (at_s) would have been clustered again.
 
@@ -143,21 +100,17 @@ def clustering_runs(stream: DataFrame, folder: str, least_new: int = 10, pause_s
     `pause_s` after it; otherwise its rows wait for a later batch. run -1 holds what is waiting.
     """
 
+    schema = "run int, at_s long, rows_seen long"
+
     def step(runs: DataFrame | None, batch: DataFrame) -> DataFrame:
         spark = batch.sparkSession
+        runs = spark.createDataFrame([], schema) if runs is None else runs
         came = batch.agg(F.count("*").alias("n"), F.max("at_s").alias("t")).first()
-        past = {r["run"]: r for r in runs.collect()} if runs is not None else {}  # one row for each run
-        waiting = (past[-1]["rows_seen"] if -1 in past else 0) + came["n"]
-        done = [past[k] for k in sorted(k for k in past if k >= 0)]
-        rows = [(r["run"], r["at_s"], r["rows_seen"]) for r in done]
-        if came["t"] is not None and waiting >= least_new and (not done or came["t"] - done[-1]["at_s"] >= pause_s):
-            rows.append((len(done), came["t"], waiting))
-            waiting = 0
-        return spark.createDataFrame([*rows, (-1, None, waiting)], "run int, at_s long, rows_seen long")
+        past = runs.agg(F.max("run").alias("run"), F.max(F.when(F.col("run") >= 0, F.col("at_s"))).alias("at_s"), F.max(F.when(F.col("run") < 0, F.col("rows_seen"))).alias("waiting")).first()
+        last, waiting = -1 if past["run"] is None else past["run"], (past["waiting"] or 0) + came["n"]
+        new = []
+        if came["t"] is not None and waiting >= least_new and (last < 0 or came["t"] - past["at_s"] >= pause_s):
+            new, waiting = [(last + 1, came["t"], waiting)], 0
+        return runs.where("run >= 0").unionByName(spark.createDataFrame([*new, (-1, None, waiting)], schema))
 
     return versioned(stream, folder, step)
-
-
-def set_aside(stream: DataFrame, now: str) -> DataFrame:
-    """The rows of a stream that split_late leaves out, with their reason, after all that has arrived."""
-    return drain(split_late(stream, now)[1], "append", "aside")

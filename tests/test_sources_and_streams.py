@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.sources import domain, feeds
-from newsloom.streaming import jobs
+from newsloom.streaming import jobs, keyed
 
 
 def put(tmp_path, name, text):
@@ -88,17 +88,12 @@ def test_alert_registry_equals_batch(spark, arrived, tmp_path):
     folder, rows = arrived
     stream = jobs.event_stream(spark, folder, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
     named = stream.select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject_key"), "ts")
-    found = jobs.alert_registry(named, str(tmp_path)).select("kind", "subject_key", "first_seen", "last_seen")
-    batch = rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject_key")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    found = keyed.alert_registry(named, str(tmp_path)).select("kind", "subject_key", "first_s", "last_s")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    batch = rows.groupBy(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("subject_key")).agg(F.min(at).alias("first_s"), F.max(at).alias("last_s"))
     assert found.exceptAll(batch).isEmpty() and batch.exceptAll(found).isEmpty()
 
 
-def test_late_and_unknown_times(spark):
-    rows = spark.sql("select 1 as id, timestamp '2024-01-01' as ts union all select 2, null union all select 3, timestamp '2030-01-01'")
-    usable, aside = jobs.split_late(rows, "2024-06-01")
-    assert [r["id"] for r in usable.collect()] == [1] and {r["reason"] for r in aside.collect()} == {"unknown time", "future time"}
-
-
 def _arrivals(spark, tmp_path, schema, batches, run):
     """run's table after each arrival; every call starts the stream anew with the same folder."""
     landed, folder = str(tmp_path / "landed"), str(tmp_path / "job")
@@ -109,22 +104,83 @@ def _arrivals(spark, tmp_path, schema, batches, run):
     return out
 
 
+HOUR, DAY = 3_600, 86_400
+ALERTS = "kind string, subject_key string, ts timestamp, acknowledge boolean"
+
+
+def _at(seconds):
+    from datetime import datetime, timezone
+
+    return None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc)
+
+
 def test_alert_registry_survives_restarts(spark, tmp_path):
-    from datetime import datetime as D
+    first = [("A", "x", _at(2 * DAY), False), ("A", "x", _at(5 * DAY), False), ("C", "z", _at(9), True), ("D", "n", None, False)]
+    second = [("A", "x", _at(DAY), False), ("B", "y", _at(3 * DAY), False), ("A", "x", _at(6 * DAY), True)]
+    third = [("A", "x", _at(4 * DAY), True), ("C", "z", _at(DAY), None), ("A", "x", _at(7 * DAY), True)]
+    found = _arrivals(spark, tmp_path, ALERTS, [first, second, third], keyed.alert_registry)
+    assert found[0] == [("A", "x", 2 * DAY, 5 * DAY, None)]
+    assert found[1] == [("A", "x", DAY, 5 * DAY, 6 * DAY), ("B", "y", 3 * DAY, 3 * DAY, None)]
+    assert found[2] == [("A", "x", DAY, 5 * DAY, 4 * DAY), ("B", "y", 3 * DAY, 3 * DAY, None), ("C", "z", DAY, DAY, 9)]
+    log = spark.read.parquet(str(tmp_path / "job" / "log"))
+    assert sorted((r["batch"], r["kind"]) for r in log.select("batch", "kind").collect()) == [(0, "A"), (0, "C"), (1, "A"), (1, "B"), (2, "A"), (2, "C")]
+
 
-    schema = "kind string, subject_key string, ts timestamp"
-    first, second = [("A", "x", D(2024, 1, 2)), ("A", "x", D(2024, 1, 5))], [("A", "x", D(2024, 1, 1)), ("B", "y", D(2024, 1, 3))]
-    found = _arrivals(spark, tmp_path, schema, [first, second], lambda s, f: jobs.alert_registry(s, f).select("kind", "subject_key", "first_seen", "last_seen"))
-    assert found[0] == [("A", "x", D(2024, 1, 2), D(2024, 1, 5))]
-    assert found[1] == [("A", "x", D(2024, 1, 1), D(2024, 1, 5)), ("B", "y", D(2024, 1, 3), D(2024, 1, 3))]
+def test_alerts_are_forgotten_and_start_anew(spark, tmp_path):
+    batches = [[("A", "x", _at(DAY), False), ("B", "y", _at(DAY), False)], [("B", "y", _at(20 * DAY), False)], [("A", "x", _at(21 * DAY), False)]]
+    found = _arrivals(spark, tmp_path, ALERTS, batches, lambda s, f: keyed.alert_registry(s, f, forget_s=10 * DAY))
+    assert found[0] == [("A", "x", DAY, DAY, None), ("B", "y", DAY, DAY, None)]
+    assert found[1] == [("B", "y", DAY, 20 * DAY, None)]
+    assert found[2] == [("A", "x", 21 * DAY, 21 * DAY, None), ("B", "y", DAY, 20 * DAY, None)]
 
 
 def test_streamed_near_duplicates_within_the_window(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(60))
-    day = 86_400
-    batches = [[(1, 0, text), (2, day, text + " end")], [(3, 3 * day, "start " + text), (4, 3 * day, "something else entirely here")], [(5, 30 * day, text), (3, 3 * day, "start " + text)]]
-    found = _arrivals(spark, tmp_path, "id long, at_s long, text string", batches, lambda s, f: jobs.canonical_articles(s, f).select("id", "canonical_id"))
-    assert found[-1] == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)] and found[0] == [(1, 1), (2, 1)]
+    batches = [[(1, 0, text), (2, DAY, text + " end"), (8, None, text), (9, 0, None)], [(3, 3 * DAY, "start " + text), (4, 3 * DAY, "something else entirely here")], [(5, 30 * DAY, text), (3, 3 * DAY, "start " + text)], [(6, 31 * DAY, text)]]
+    schema = "id long, at_s long, text string"
+    run = lambda s, f: keyed.near_duplicate_pairs(s, spark.read.schema(schema).parquet(str(tmp_path / "landed")), f).select("a", "b")
+    found = _arrivals(spark, tmp_path, schema, batches, run)
+    assert found == [[(1, 2)], [(1, 2), (1, 3), (2, 3)], [(1, 2), (1, 3), (2, 3)], [(1, 2), (1, 3), (2, 3), (5, 6)]]
+    landed = spark.read.schema(schema).parquet(str(tmp_path / "landed")).dropDuplicates(["id"])
+    pairs = spark.createDataFrame(found[-1], "a long, b long")
+    named = {r["id"]: r["canonical_id"] for r in keyed.canonical_articles(pairs, landed).collect()}
+    assert named == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 8: 8, 9: 9}
+
+
+def test_streamed_pairs_equal_those_of_all_at_once(spark, tmp_path):
+    import random
+
+    from newsloom.operators import neardup
+
+    rng = random.Random(4)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=80)) for _ in range(12)]
+    rows = []
+    for k in range(90):
+        words = rng.choice(base).split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(80)] = f"x{rng.randrange(50)}"
+        rows.append((k, k * DAY // 3, " ".join(words)))
+    schema = "id long, at_s long, text string"
+    run = lambda s, f: keyed.near_duplicate_pairs(s, spark.read.schema(schema).parquet(str(tmp_path / "landed")), f).select("a", "b")
+    found = _arrivals(spark, tmp_path, schema, [rows[:30], rows[30:60], rows[60:]], run)[-1]
+    want = sorted((r["a"], r["b"]) for r in neardup.near_pairs(spark.createDataFrame(rows, schema)).collect())
+    assert found == want and len(want) > 20
+
+
+def test_rows_behind_the_watermark_are_set_aside(spark, tmp_path):
+    schema = "id long, ts timestamp"
+    batches = [[(1, _at(10 * HOUR)), (2, None), (3, _at(900 * HOUR))], [(4, _at(8 * HOUR)), (5, _at(9 * HOUR)), (6, _at(20 * HOUR))], [(7, _at(18 * HOUR)), (8, _at(20 * HOUR)), (9, None), (10, _at(901 * HOUR))]]
+    tables = []
+
+    def run(stream, folder):
+        usable, aside = keyed.arrivals(stream, folder, HOUR, "1970-02-01")
+        tables.append(usable)
+        return usable.select("id", F.lit("usable")).union(aside.select("id", "reason"))
+
+    found = _arrivals(spark, tmp_path, schema, batches, run)
+    assert [len(f) for f in found] == [3, 6, 10]
+    assert found[-1] == [(1, "usable"), (2, "unknown time"), (3, "future time"), (4, "late"), (5, "usable"), (6, "usable"), (7, "late"), (8, "usable"), (9, "unknown time"), (10, "future time")]
+    assert tables[-1].columns == ["id", "ts"]
 
 
 def test_clustering_waits_for_rows_and_time(spark, tmp_path):
