@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.ranking import average_ranks, running_confusion
-from newsloom.plans.staging import running_totals, stage
+from newsloom.plans.staging import attach, running_totals, stage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -90,12 +92,27 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     return table.agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("positive_rate"))) / F.sum("n"), 5).alias("ece"))
 
 
+#: A published rational fit of erfc, off by 1.2e-7 of its value at most.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function for x from 0 on."""
+    t = 1 / (1 + 0.5 * x)
+    fit = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        fit = c + t * fit
+    return t * F.exp(fit - x * x)
+
+
 def mcnemar(rows: DataFrame, first: Column, second: Column) -> DataFrame:
-    """Discordant counts of two decisions against gold, and the corrected statistic."""
+    """Discordant counts of two decisions against gold, the statistic with continuity correction, and its p."""
     a, b = first == (F.col("gold") == 1), second == (F.col("gold") == 1)
     n = rows.agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"))
-    stat = F.pow(F.abs(F.col("b") - F.col("c")) - 1, 2) / (F.col("b") + F.col("c"))
-    return n.select("b", "c", F.round(F.when(F.col("b") + F.col("c") > 0, stat), 6).alias("statistic"))
+    stat = F.when(F.col("b") + F.col("c") > 0, F.pow(F.abs(F.col("b") - F.col("c")) - 1, 2) / (F.col("b") + F.col("c"))).otherwise(0.0)
+    n = n.withColumn("raw", stat)
+    p = F.when(F.col("raw") > 0, F.round(erfc(F.sqrt(F.col("raw") / 2)), 6)).otherwise(1.0)
+    return n.select("b", "c", F.round("raw", 4).alias("statistic"), p.alias("p_value"))
 
 
 def human_consensus(votes: DataFrame, least: int = 2) -> DataFrame:
@@ -153,20 +170,129 @@ def multilabel_scores(truth: DataFrame, found: DataFrame, key: str) -> DataFrame
     return table.select("label", "tp", "fp", "fn", F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
 
 
-def group_bootstrap_difference(rows: DataFrame, group: str, first: Column, second: Column, resamples: int, seed: str) -> DataFrame:
-    """2.5 and 97.5 percentiles of the difference of two means when whole groups are drawn again and again.
+def group_draws(rows: DataFrame, group: str, resamples: int, seed: str) -> DataFrame:
+    """(group, times): how often each group is drawn in each resample, as an array; as many draws as there are groups.
 
-    Groups are summed first; draws are digests of seed, resample and place, so any engine repeats them.
+    Draws are digests of seed, resample and place, so any engine repeats them.
     """
-    sums = rows.groupBy(group).agg(F.sum(first.cast("double")).alias("x"), F.sum(second.cast("double")).alias("y"), F.count("*").alias("n"))
-    placed = running_totals(sums, [F.col(group)], {})
-    numbered = stage(placed.select("x", "y", "n", (F.col("position") - 1).alias("i")), "bootstrap")
+    placed = running_totals(rows.select(group).distinct(), [F.col(group)], {})
+    numbered = stage(placed.select(group, (F.col("position") - 1).alias("i")), "bootstrap")
     total = numbered.agg(F.count("*").alias("total"))
     draws = numbered.select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).crossJoin(F.broadcast(total))
     word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long")
-    picked = draws.select("b", (word % F.col("total")).alias("pick")).join(numbered.withColumnRenamed("i", "pick"), "pick")
-    means = picked.groupBy("b").agg(((F.sum("x") - F.sum("y")) / F.sum("n")).alias("d"))
-    return means.agg(F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"))
+    drawn = draws.groupBy((word % F.col("total")).alias("i"), "b").agg(F.count("*").cast("int").alias("n"))
+    of = F.map_from_entries(F.collect_list(F.struct("b", "n")))  # one entry for each resample at most
+    times = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: F.coalesce(F.col("of")[b], F.lit(0)))
+    return drawn.groupBy("i").agg(of.alias("of")).withColumn("times", times).join(numbered, "i").select(group, "times")
+
+
+#: Resamples that a task works on at once.
+RESAMPLES_AT_ONCE = 64
+
+
+def _tie_sums(score: np.ndarray, gold: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct scores of sorted rows, and the weights of positives and negatives at each, by resample."""
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    positive = np.add.reduceat(times * gold[:, None], starts, axis=0)
+    return score[starts], positive, np.add.reduceat(times, starts, axis=0) - positive
+
+
+def weighted_curves(rows: DataFrame, threshold: float, resamples: int) -> DataFrame:
+    """(b, positives, negatives, auroc, auprc, f1) of every resample from rows (score, gold, times).
+
+    The rows are sorted once into range partitions. A first pass gives the weights of each partition, and of its first and
+    last score; the driver, which gets partitions times resamples numbers, adds them up, so that a second pass knows what is
+    above each partition and what its last score has in the next ones. No row is repeated for a draw, a score may fill any
+    number of partitions, and a task holds one of them.
+    """
+    spark = rows.sparkSession
+    fine = rows.where("score is not null and gold is not null").select("score", F.col("gold").cast("long").alias("gold"), "times")
+    placed = stage(fine.orderBy(F.desc("score"), F.xxhash64("times")).withColumn("part", F.spark_partition_id()), "curve-rows")
+
+    def matrix(table: pa.Table, at: int) -> np.ndarray:
+        flat = np.array(table["times"].combine_chunks().flatten(), np.int64).reshape(table.num_rows, resamples)
+        return flat[:, at : at + RESAMPLES_AT_ONCE]
+
+    def columns(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        table = table.sort_by([("score", "descending")])
+        return table, np.array(table["score"]), np.array(table["gold"])
+
+    def weigh(table: pa.Table) -> pa.Table:
+        table, score, gold = columns(table)
+        parts = [_tie_sums(score, gold, matrix(table, at)) for at in range(0, resamples, RESAMPLES_AT_ONCE)]
+        join = lambda pick: [int(x) for p in parts for x in pick(p)]
+        cells = {"p": join(lambda p: p[1].sum(0)), "n": join(lambda p: p[2].sum(0)), "fp": join(lambda p: p[1][0]), "fn": join(lambda p: p[2][0]), "lp": join(lambda p: p[1][-1]), "ln": join(lambda p: p[2][-1])}
+        one = {"part": [int(table["part"][0].as_py())], "first": [float(score[0])], "last": [float(score[-1])], **{k: [v] for k, v in cells.items()}}
+        return pa.table(one, schema=pa.schema([("part", pa.int32()), ("first", pa.float64()), ("last", pa.float64()), *[(k, pa.list_(pa.int64())) for k in cells]]))
+
+    schema = "part int, first double, last double, " + ", ".join(f"{k} array<long>" for k in ("p", "n", "fp", "fn", "lp", "ln"))
+    weighed = sorted(placed.groupBy("part").applyInArrow(weigh, schema).collect(), key=lambda r: r["part"])  # one row for each partition
+    zeros = np.zeros(resamples, np.int64)
+    total_p, total_n = (sum((np.array(r[k]) for r in weighed), zeros) for k in ("p", "n"))
+    plan: dict[int, tuple] = {}
+    above_p, above_n, carried = zeros, zeros, None
+    for k, r in enumerate(weighed):
+        rest_p, rest_n = zeros, zeros
+        for later in weighed[k + 1 :]:
+            if later["first"] != r["last"]:
+                break
+            rest_p, rest_n = rest_p + np.array(later["fp"]), rest_n + np.array(later["fn"])
+            if later["last"] != r["last"]:
+                break
+        plan[r["part"]] = (above_p, above_n, carried == r["first"], rest_p, rest_n)
+        above_p, above_n, carried = above_p + np.array(r["p"]), above_n + np.array(r["n"]), r["last"]
+
+    def measure(table: pa.Table) -> pa.Table:
+        before_p, before_n, skip, rest_p, rest_n = plan[int(table["part"][0].as_py())]
+        table, score, gold = columns(table)
+        found: dict[str, list[float]] = {k: [] for k in ("area", "gain", "tp", "fp")}
+        for at in range(0, resamples, RESAMPLES_AT_ONCE):
+            own = slice(at, at + RESAMPLES_AT_ONCE)
+            value, p, n = _tie_sums(score, gold, matrix(table, at))
+            over = value >= threshold
+            found["tp"] += p[over].sum(0).tolist()
+            found["fp"] += n[over].sum(0).tolist()
+            p[-1], n[-1] = p[-1] + rest_p[own], n[-1] + rest_n[own]
+            tp, fp = before_p[own] + np.cumsum(p, 0), before_n[own] + np.cumsum(n, 0)
+            if skip:  # the partition before has counted this score for all
+                p, n, tp, fp = p[1:], n[1:], tp[1:], fp[1:]
+            found["area"] += (p * ((total_n[own] - fp) + n / 2)).sum(0).tolist()
+            found["gain"] += (p * (tp / np.maximum(tp + fp, 1))).sum(0).tolist()
+        return pa.table({"b": pa.array(range(resamples), pa.int32()), **{k: pa.array([float(x) for x in v]) for k, v in found.items()}})
+
+    parts = placed.groupBy("part").applyInArrow(measure, "b int, area double, gain double, tp double, fp double")
+    sums = parts.groupBy("b").agg(*[F.sum(k).alias(k) for k in ("area", "gain", "tp", "fp")])
+    totals = spark.createDataFrame([(b, int(p), int(n)) for b, (p, n) in enumerate(zip(total_p, total_n))], "b int, positives long, negatives long")
+    both = totals.join(sums, "b")
+    auroc = F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("area") / (F.col("positives") * F.col("negatives"))).otherwise(0.5)
+    f1 = F.coalesce(ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives")), F.lit(0.0))
+    return both.select("b", "positives", "negatives", auroc.alias("auroc"), ratio(F.col("gain"), F.col("positives")).alias("auprc"), f1.alias("f1"))
+
+
+def group_bootstrap(rows: DataFrame, group: str, first: tuple[str, float], second: tuple[str, float], resamples: int, seed: str) -> DataFrame:
+    """(metric, observed, low, high, mean, valid): differences of two methods' AUROC, average precision and F1 when whole
+    groups are drawn again and again, with 2.5 and 97.5 percentiles (linear).
+
+    rows: gold (0 or 1), the group and both scores; a method is its score's column and its threshold. Resamples with one
+    class are skipped; fewer than ten that are left give no interval.
+    """
+    rows = stage(rows.where(F.col("gold").isNotNull() & F.col(group).isNotNull()).select(group, "gold", *{first[0]: 0, second[0]: 0}), "bootstrap-rows")
+    drawn = stage(group_draws(rows, group, resamples, seed), "bootstrap-draws")
+    joined = attach(rows, drawn, [group], spread_by=first[0])
+    times = F.coalesce("times", F.array_repeat(F.lit(0), resamples))
+    curve = lambda score, at, weights, n: weighted_curves(joined.select(F.col(score).alias("score"), "gold", weights.alias("times")), at, n)
+    metrics = ("auroc", "auprc", "f1")
+
+    def differences(weights: Column, n: int) -> DataFrame:
+        a, b = (curve(score, at, weights, n) for score, at in (first, second))
+        both = a.where("positives > 0 and negatives > 0").join(b.select("b", *[F.col(m).alias(f"other_{m}") for m in metrics]), "b")
+        return both.select("b", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(m) - F.col(f"other_{m}")).alias("d")) for m in metrics])).alias("x")).select("b", "x.metric", "x.d")
+
+    enough = F.count("*") >= 10
+    at = lambda share: F.when(enough, F.round(F.percentile("d", share), 6))
+    found = differences(times, resamples).groupBy("metric").agg(at(0.025).alias("low"), at(0.975).alias("high"), F.when(enough, F.round(F.avg("d"), 6)).alias("mean"), F.count("*").alias("valid"))
+    observed = differences(F.array(F.lit(1)), 1).select("metric", F.round("d", 6).alias("observed"))
+    return observed.join(found, "metric", "left").select("metric", "observed", "low", "high", "mean", F.coalesce("valid", F.lit(0)).alias("valid"))
 
 
 def report(rows: DataFrame, votes: DataFrame, bucket: Column) -> DataFrame:

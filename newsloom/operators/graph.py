@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.components import connected_components
-from newsloom.plans.staging import stage
+from newsloom.plans.staging import stage, unstage
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -66,13 +66,50 @@ def focused_timelines(edges: DataFrame, articles: DataFrame, roots: DataFrame, h
 
 
 def longest_chain(edges: DataFrame) -> DataFrame:
-    """Hops of the longest parent chain over (from_id, to_id) edges; each child has one parent, cycles stop at the size."""
-    step = stage(edges.select(F.col("from_id").alias("child"), F.col("to_id").alias("parent")), "parents")
-    front, hops, most = step.select(F.col("parent").alias("at")), 0, step.count()
-    while hops <= most and not front.isEmpty():
-        hops += 1
-        front = stage(front.join(step, F.col("at") == F.col("child")).select(F.col("parent").alias("at")), "chain")
-    return edges.sparkSession.range(1).select(F.lit(hops).alias("longest_chain"))
+    """Hops of the longest parent chain over (from_id, to_id) edges.
+
+    Pointer doubling: every node knows an ancestor and how many hops away it is; in each round it takes over the ancestor
+    of its ancestor, so a chain of n hops is measured in about log2(n) rounds. A child has one parent (of several the
+    lowest counts). A chain that runs into a cycle has no end and does not count: after as many rounds as the number of
+    edges has binary digits, what is still on its way never ends.
+    """
+    step = edges.groupBy(F.col("from_id").alias("node")).agg(F.min("to_id").alias("up"), F.lit(1).cast("long").alias("hops"))
+    step = stage(step.where("up is not null"), "parents")
+    for _ in range(step.count().bit_length() + 1):
+        if step.where("up is not null").isEmpty():
+            break
+        above = step.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("hops").alias("more"))
+        later = step.where("up is not null").join(above, F.col("up") == F.col("at"), "left").select("node", F.col("next").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        later = stage(later.unionByName(step.where("up is null")), "chain")
+        unstage(step)
+        step = later
+    ended = step.where("up is null").agg(F.coalesce(F.max("hops"), F.lit(0)).cast("int").alias("longest_chain"))
+    return ended
+
+
+def mutation_chains(claims: DataFrame, newest: int = 400, k: int = 5, least: float = 0.84, versions: int = 3, limit: int = 8) -> DataFrame:
+    """(chain, place, size, outlets, version, id): how one statement wanders from outlet to outlet.
+
+    claims: (id, v, domain, extracted_s, published_s). Each of the newest claims meets its k nearest claims of other
+    outlets; pairs from `least` on chain up. Of the largest chains with so many versions, those that span outlets are
+    returned, most outlets first, then largest; a chain's versions are in order of publication, undated last. The numbers
+    of claims that ask and of chains that are returned are the report's own limits.
+    """
+    from pyspark.sql import Window as W
+
+    from newsloom.operators.vectors import nearest
+
+    usable = claims.where("v is not null")
+    asking = stage(usable.orderBy(F.desc_nulls_last("extracted_s"), "id").limit(newest).select(F.col("id").alias("q"), F.col("v").alias("qv"), "domain"), "chain-claims")
+    pairs = nearest(asking, usable.select("id", "v", "domain"), k, exclude_same="domain").where(F.col("score") >= least)
+    groups = connected_components(pairs.select(F.col("q").alias("a"), F.col("id").alias("b")))
+    members = stage(groups.join(claims.select(F.col("id").alias("node"), "domain", "published_s"), "node"), "chain-members")
+    sized = members.groupBy("component").agg(F.count("*").alias("size"), F.count_distinct("domain").alias("outlets")).where(F.col("size") >= versions)
+    largest = sized.orderBy(F.desc("size"), "component").limit(limit).where("outlets >= 2")
+    placed = largest.withColumn("place", F.row_number().over(W.orderBy(F.desc("outlets"), F.desc("size"), "component")))  # at most `limit` rows
+    version = F.row_number().over(W.partitionBy("component").orderBy(F.col("published_s").asc_nulls_last(), "node"))
+    rows = members.join(F.broadcast(placed), "component").withColumn("version", version)
+    return rows.select(F.col("component").alias("chain"), "place", "size", "outlets", "version", F.col("node").alias("id"))
 
 
 def story_components(edges: DataFrame, nodes: DataFrame, least_size: int, least_domains: int) -> DataFrame:

@@ -27,9 +27,12 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000, exclude_same: str | None = None) -> DataFrame:
     """(q, id, score, place): for each query (q, qv) the k rows of base (id, v) of highest cosine, ties to the lower id.
 
+    With exclude_same, a column of both sides, rows with the query's own value are left out before the best k are taken,
+    so each query gets k rows if there are as many; rows in which it is null neither ask nor are found.
+
     Both sides are dealt into blocks, whose numbers follow from their counts; each block of queries meets each block of
     base in a task of its own, where one matrix product gives every query its best k of the block, and the best of those
     are kept. No task holds more than two blocks. A query's own id is left out. Vectors share one length.
@@ -37,18 +40,22 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000)
     blocks, asking = (max(1, -(-df.count() // block_rows)) for df in (base, queries))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = base.select("id", "v", deal("id", blocks).alias("block"), every(asking).alias("asking"))
-    asked = queries.select("q", "qv", deal("q", asking).alias("asking"), every(blocks).alias("block"))
+    group = F.col(exclude_same).cast("string") if exclude_same else F.lit("")
+    dealt = base.select("id", "v", group.alias("own"), deal("id", blocks).alias("block"), every(asking).alias("asking")).where("own is not null")
+    asked = queries.select("q", "qv", group.alias("own"), deal("q", asking).alias("asking"), every(blocks).alias("block")).where("own is not null")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         right = right.sort_by("id")
         qs, ids, unit, mine = np.array(left["q"]), np.array(right["id"]), _unit(right["v"]), _unit(left["qv"])
+        groups = np.unique(np.concatenate([np.array(left["own"]), np.array(right["own"])]), return_inverse=True)[1]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(qs), 512):
             scores = mine[at : at + 512] @ unit.T
             scores[qs[at : at + 512, None] == ids[None, :]] = -np.inf
+            if exclude_same:
+                scores[groups[at : min(at + 512, len(qs)), None] == groups[None, len(qs) :]] = -np.inf
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             value = np.take_along_axis(scores, top, 1)
             keep = np.isfinite(value)

@@ -698,7 +698,21 @@ def ev_7c(spark, sf_dir):
     return evaluation.calibration_error(domain.eval_pairs(spark, sf_dir))
 
 
-@query("ev_10_mcnemar", "SELECT b, c, round(CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c)::DOUBLE END, 6) AS statistic FROM (SELECT count(*) FILTER (WHERE (sim_score >= 0.5) = (gold = 1) AND NOT (sim_score >= 0.7) = (gold = 1)) AS b, count(*) FILTER (WHERE NOT (sim_score >= 0.5) = (gold = 1) AND (sim_score >= 0.7) = (gold = 1)) AS c FROM eval_pairs)")
+def _erfc_sql(x: str) -> str:
+    t = f"(1 / (1 + 0.5 * {x}))"
+    fit = f"{evaluation.ERFC[-1]}"
+    for c in reversed(evaluation.ERFC[:-1]):
+        fit = f"({c} + {t} * {fit})"
+    return f"{t} * exp({fit} - {x} * {x})".replace("0.5 *", "0.5::DOUBLE *")
+
+
+@query(
+    "ev_10_mcnemar",
+    f""", judged AS (SELECT (sim_score >= 0.5) = (gold = 1) AS first, (sim_score >= 0.7) = (gold = 1) AS second FROM eval_pairs),
+    n AS (SELECT count(*) FILTER (first AND NOT second) AS b, count(*) FILTER (second AND NOT first) AS c FROM judged),
+    raw AS (SELECT b, c, CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c)::DOUBLE ELSE 0 END AS s FROM n)
+    SELECT b, c, round(s, 4) AS statistic, CASE WHEN s > 0 THEN round({_erfc_sql("sqrt(s / 2)")}, 6) ELSE 1.0::DOUBLE END AS p_value FROM raw""",
+)
 def ev_10(spark, sf_dir):
     return evaluation.mcnemar(domain.eval_pairs(spark, sf_dir), F.col("sim_score") >= 0.5, F.col("sim_score") >= 0.7)
 
@@ -783,6 +797,40 @@ def jn_5(spark, sf_dir):
     return found.where("score >= 0.2").select("q", "id", F.round("score", 5).alias("score"))
 
 
+@query(
+    "jn_5_nearest_other_outlet",
+    f"""SELECT q, id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM (
+    SELECT x.vec_id AS q, y.vec_id AS id, {_COS.format("x.embedding", "y.embedding")} AS score FROM embeddings x JOIN articles a ON a.article_id = x.vec_id JOIN embeddings y ON x.vec_id <> y.vec_id JOIN articles b ON b.article_id = y.vec_id
+    WHERE x.vec_id % 100 = 0 AND a.domain <> b.domain)) WHERE r <= 5 AND score >= 0.2""",
+)
+def jn_5_other(spark, sf_dir):
+    """Five nearest vectors of articles of other outlets; the threshold comes after the choice."""
+    rows = _claim_vectors(spark, sf_dir)
+    found = vectors.nearest(rows.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), "domain"), rows, 5, exclude_same="domain")
+    return found.where("score >= 0.2").select("q", "id", F.round("score", 5).alias("score"))
+
+
+def _claim_vectors(spark, sf_dir):
+    """(id, v, domain, extracted_s, published_s): vectors with the article of the same id."""
+    about = domain.articles(spark, sf_dir).select(F.col("article_id").alias("id"), "domain", F.col("collected_s").alias("extracted_s"), "published_s")
+    return _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(about, "id")
+
+
+@query(
+    "gr_5_mutation_chains",
+    f""", cv AS (SELECT vec_id AS id, embedding AS v, domain, collected_s, published_s FROM embeddings JOIN articles ON article_id = vec_id WHERE embedding IS NOT NULL),
+    chosen AS (SELECT * FROM cv ORDER BY collected_s DESC NULLS LAST, id LIMIT 400),
+    near AS (SELECT x.id AS a, y.id AS b, {_COS.format("x.v", "y.v")} AS score FROM chosen x JOIN cv y ON x.id <> y.id AND x.domain <> y.domain QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) <= 5),
+    link AS (SELECT a, b FROM near WHERE score >= 0.33 UNION SELECT b, a FROM near WHERE score >= 0.33),
+    comp AS (WITH RECURSIVE w AS (SELECT a AS node, a AS seen FROM link UNION SELECT w.node, link.b FROM w JOIN link ON link.a = w.seen) SELECT node, min(seen) AS chain FROM w GROUP BY node),
+    member AS (SELECT chain, node AS id, domain, published_s FROM comp JOIN cv ON cv.id = node), big AS (SELECT chain, count(*) AS size, count(DISTINCT domain) AS outlets FROM member GROUP BY chain HAVING count(*) >= 3 ORDER BY size DESC, chain LIMIT 8),
+    placed AS (SELECT *, row_number() OVER (ORDER BY outlets DESC, size DESC, chain) AS place FROM big WHERE outlets >= 2)
+    SELECT chain, CAST(place AS INTEGER) AS place, size, outlets, CAST(row_number() OVER (PARTITION BY chain ORDER BY published_s NULLS LAST, id) AS INTEGER) AS version, id FROM member JOIN placed USING (chain)""",
+)
+def gr_5_chains(spark, sf_dir):
+    return graph.mutation_chains(_claim_vectors(spark, sf_dir), least=0.33)
+
+
 @query(
     "jn_8_neighbour_edges",
     f"""SELECT least(q, id) AS a, greatest(q, id) AS b, round(max(score), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM (
@@ -1306,16 +1354,28 @@ def gr_4(spark, sf_dir):
     return graph.within_hops(edges, roots, 3)
 
 
+_CURVE = """
+{m}_tie AS (SELECT b, {m} AS score, sum(times * gold) AS p, sum(times * (1 - gold)) AS n FROM drawn JOIN scored USING (event_group) GROUP BY b, {m}),
+{m}_run AS (SELECT *, sum(p) OVER up AS tp, sum(n) OVER up AS fp, sum(p) OVER (PARTITION BY b) AS all_p, sum(n) OVER (PARTITION BY b) AS all_n FROM {m}_tie WINDOW up AS (PARTITION BY b ORDER BY score DESC)),
+{m}_curve AS (SELECT b, sum(p * (all_n - fp + n / 2.0::DOUBLE)) / any_value(all_p * all_n)::DOUBLE AS auroc, sum(CASE WHEN tp + fp > 0 THEN p * (tp / (tp + fp)::DOUBLE) ELSE 0 END) / any_value(all_p)::DOUBLE AS auprc,
+  2 * sum(p) FILTER (score >= {at}) / (sum(p + n) FILTER (score >= {at}) + any_value(all_p))::DOUBLE AS f1 FROM {m}_run WHERE all_p > 0 AND all_n > 0 GROUP BY b)"""
+
+
 @query(
     "ev_9_group_bootstrap",
-    """, s AS (SELECT event_group, sum(CAST((sim_score >= 0.5) = (gold = 1) AS DOUBLE)) AS x, sum(CAST((sim_score >= 0.7) = (gold = 1) AS DOUBLE)) AS y, count(*) AS n FROM eval_pairs GROUP BY event_group),
-    m AS (SELECT x, y, n, row_number() OVER (ORDER BY event_group) - 1 AS i, count(*) OVER () AS total FROM s),
-    d AS (SELECT b, CAST(('0x' || substr(md5('g:' || b || ':' || i), 1, 8))::UBIGINT % total AS BIGINT) AS pick FROM m, (SELECT unnest(range(40)) AS b)),
-    r AS (SELECT b, (sum(x) - sum(y)) / sum(n) AS d FROM d JOIN m ON m.i = d.pick GROUP BY b) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM r""",
+    f""", scored AS (SELECT event_group, gold, sim_score AS first, floor((sim_score * 600 + (('0x' || substr(md5(CAST(pair_id * 17 + 3 AS VARCHAR)), 1, 8))::UBIGINT % 1000) * 0.4::DOUBLE) / 25) / 40 AS second FROM eval_pairs WHERE gold IS NOT NULL),
+    numbered AS (SELECT event_group, row_number() OVER (ORDER BY event_group) - 1 AS i, count(*) OVER () AS total FROM (SELECT DISTINCT event_group FROM scored)),
+    pick AS (SELECT b, CAST(('0x' || substr(md5('g:' || b || ':' || i), 1, 8))::UBIGINT % total AS BIGINT) AS i FROM numbered, (SELECT unnest(range(40)) AS b)),
+    drawn AS (SELECT b, event_group, count(*) AS times FROM pick JOIN numbered USING (i) GROUP BY ALL UNION ALL SELECT -1, event_group, 1 FROM numbered),
+    {_CURVE.format(m="first", at=0.5)}, {_CURVE.format(m="second", at=0.6)},
+    d AS (SELECT f.b, unnest(['auroc', 'auprc', 'f1']) AS metric, unnest([f.auroc - s.auroc, f.auprc - s.auprc, coalesce(f.f1, 0) - coalesce(s.f1, 0)]) AS d FROM first_curve f JOIN second_curve s USING (b))
+    SELECT metric, round(max(d) FILTER (b < 0), 6) AS observed, round(quantile_cont(d, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(d, 0.975) FILTER (b >= 0), 6) AS high, round(avg(d) FILTER (b >= 0), 6) AS mean, count(*) FILTER (b >= 0) AS valid FROM d GROUP BY metric""",
 )
 def ev_9(spark, sf_dir):
-    right = lambda t: (F.col("sim_score") >= t) == (F.col("gold") == 1)
-    return evaluation.group_bootstrap_difference(domain.eval_pairs(spark, sf_dir), "event_group", right(0.5), right(0.7), 40, "g")
+    """The pairs' score, threshold .5, against a rougher one in steps of a fortieth, threshold .6."""
+    rough = F.floor((F.col("sim_score") * 600 + domain.draw(F.col("pair_id") * 17 + 3) * 0.4) / 25) / 40
+    rows = domain.eval_pairs(spark, sf_dir).withColumn("rough", rough)
+    return evaluation.group_bootstrap(rows, "event_group", ("sim_score", 0.5), ("rough", 0.6), 40, "g")
 
 
 @query("ev_13_report", "SELECT bucket, count(*) AS pairs, sum(gold) AS positives, round(avg(sim_score), 6) AS mean_score FROM (SELECT *, CASE WHEN sim_score >= 0.95 THEN 'b95' WHEN sim_score >= 0.85 THEN 'b85' WHEN sim_score >= 0.75 THEN 'b75' WHEN sim_score >= 0.6 THEN 'b60' WHEN sim_score >= 0.4 THEN 'b40' ELSE 'b00' END AS bucket FROM eval_pairs) GROUP BY bucket")
