@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.operators import vectors, verdicts
-from newsloom.operators.graph import both_ways, within_hops
+from newsloom.operators.graph import both_ways
 from newsloom.plans.staging import stage
 
 MAX_CANDIDATES, LEAST_CANDIDATES = 96, 24
@@ -69,26 +69,50 @@ def check_claims(
     return heads.join(chosen.drop("published_s"), "q", "left").select("q", "turn", "id", "domain", F.round("score", 5).alias("score"), "stance", "assessment", "warnings")
 
 
+def reach_within_budget(neighbours: DataFrame, roots: DataFrame, hops: int, most: int) -> DataFrame:
+    """(root, within, far): how many nodes lie within so many hops of each root, itself included, and the farthest hop.
+
+    A root stops at `most` nodes. neighbours: (a, b, rank), a node's neighbours numbered from 1; more than `most` of one
+    node are never looked at, since fewer would stop the root too. No root has more than `most` rows in a frontier.
+    """
+    some = neighbours.where(F.col("rank") <= most).select("a", "b")
+    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop"))
+    front = seen
+    for hop in range(1, hops + 1):
+        held = seen.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") < most)
+        met = front.join(held.select("root"), "root", "left_semi").join(some, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        new = met.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        rank = F.row_number().over(W.partitionBy("root").orderBy("node"))
+        new = new.withColumn("rank", rank).where(F.col("rank") < most).join(held, "root").where(F.col("n") + F.col("rank") <= most)
+        front = stage(new.select("root", "node", F.lit(hop).alias("hop")), "lineage-reach")
+        seen = seen.union(front)
+    return seen.groupBy("root").agg(F.count("*").alias("within"), F.max("hop").alias("far"))
+
+
 def lineages(edges: DataFrame, times: DataFrame, roots: DataFrame, hops: int = 3, versions: int = 12, most: int = 400) -> DataFrame:
     """(root, node, place, truncated): the versions of each root that has any, in order of time (unknown last, then id).
 
     edges: (a, b, score), taken both ways; times: (node, published_s). Versions are the root and what a breadth-first walk
-    meets within so many hops, neighbours by score (then id), until there are `versions` of them. truncated: more nodes
-    than that, or than `most`, are within reach, or some lie at the last hop, beyond which the walk does not look.
+    meets within so many hops, neighbours by score (then id), until there are `versions` of them; nodes that are chosen
+    already are at most `versions`, so a node's best 2 * versions neighbours are enough. truncated: more nodes than that,
+    or than `most`, are within reach, or some lie at the last hop, beyond which the walk does not look.
     """
-    both = stage(both_ways(edges).where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score")), "lineage-edges")
-    reach = within_hops(both.where("a < b").select("a", "b"), roots, hops)
-    sizes = reach.groupBy("root").agg(F.count("*").alias("within"), F.max("hop").alias("far"))
+    both = both_ways(edges).where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"))
+    best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))
+    neighbours = stage(both.withColumn("rank", best).where(F.col("rank") <= max(most, 2 * versions)), "lineage-neighbours")
+    sizes = reach_within_budget(neighbours, roots, hops, most)
+    nearest = neighbours.where(F.col("rank") <= 2 * versions)
     chosen = roots.select("root", F.col("root").alias("node"), F.lit(1).alias("pos"))
-    front, n = chosen, F.lit(1)
+    front = chosen
     for _ in range(hops):
-        met = front.join(both, F.col("node") == F.col("a")).select("root", F.col("b").alias("node"), F.struct("pos", (-F.col("score")).alias("s")).alias("by"))
+        met = front.join(nearest, F.col("node") == F.col("a")).select("root", F.col("b").alias("node"), F.struct("pos", (-F.col("score")).alias("s")).alias("by"))
         met = met.join(chosen.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("by").alias("by"))
         held = chosen.groupBy("root").agg(F.count("*").alias("n"))
         rank = F.row_number().over(W.partitionBy("root").orderBy("by.pos", "by.s", "node"))
         front = met.withColumn("rank", rank).where(F.col("rank") <= versions).join(held, "root").select("root", "node", (F.col("n") + F.col("rank")).cast("int").alias("pos"))
         front = stage(front.where(F.col("pos") <= versions), "lineage-front")
-        chosen = stage(chosen.unionByName(front), "lineage-chosen")
+        chosen = chosen.unionByName(front)
+    chosen = stage(chosen, "lineage-chosen")
     kept = chosen.groupBy("root").agg(F.count("*").alias("kept"))
     cut = sizes.join(kept, "root").where("within > 1").select("root", ((F.col("within") > F.col("kept")) | (F.col("within") >= most) | (F.col("far") == hops)).alias("truncated"))
     place = F.row_number().over(W.partitionBy("root").orderBy(F.col("published_s").asc_nulls_last(), "node"))

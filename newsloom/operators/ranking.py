@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,63 +84,146 @@ def next_pair(pairs: DataFrame, votes: DataFrame, uncertain_first: bool = False)
     return wanted.join(placed, F.col("wanted") == F.col("position")).select("annotator", "pair_id")
 
 
+#: Open pairs of one component that a task takes at once, and of one bucket that the driver takes.
+BLOCK_PAIRS, SLICE_PAIRS = 500_000, 10_000
+
+
+def _tally(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
+
+
+def _add(tally: DataFrame, used: DataFrame | None) -> DataFrame:
+    return tally if used is None else tally.union(used.select("id", "used")).groupBy("id").agg(F.sum("used").alias("used"))
+
+
+def _without_full(pairs: DataFrame, used: DataFrame | None, cap: int) -> DataFrame:
+    """Pairs neither end of which is in `cap` pairs already."""
+    if used is None:
+        return pairs
+    full = used.where(F.col("used") >= cap).select("id")
+    left = pairs
+    for side in ("a", "b"):
+        left = left.join(full.withColumnRenamed("id", side), side, "left_anti")
+    return left.select(*pairs.columns)  # a join by name puts its column first
+
+
+def _greedy(pairs: Iterable[tuple[int, int]], cap: int, used: dict[int, int]) -> list[bool]:
+    """Which pairs, in their order, one pass takes; used goes on counting."""
+    taken = []
+    for a, b in pairs:
+        fits = used.get(a, 0) < cap and used.get(b, 0) < cap and (a != b or used.get(a, 0) + 1 < cap)
+        if fits:
+            used[a] = used.get(a, 0) + 1
+            used[b] = used.get(b, 0) + 1
+        taken.append(fits)
+    return taken
+
+
+def _first_at_both_ends(open_: DataFrame, order: list, cap: int, used: DataFrame | None) -> DataFrame:
+    """Open pairs that are within the cap at both ends even if all pairs before them are taken."""
+    rows = open_
+    for side in ("a", "b"):
+        ends = open_.withColumn("id", F.explode(F.array_distinct(F.array("a", "b"))))
+        weight = F.when(F.col("a") == F.col("b"), 2).otherwise(1)
+        ranked = ends.withColumn("r", F.sum(weight).over(W.partitionBy("id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).select("a", "b", "id", "r")
+        rows = rows.join(ranked.select("a", "b", F.col("id").alias(f"id_{side}"), F.col("r").alias(f"r_{side}")), ["a", "b"]).where(F.col(f"id_{side}") == F.col(side))
+        if used is not None:
+            rows = rows.join(used.select(F.col("id").alias(f"id_{side}"), F.col("used").alias(f"u_{side}")), f"id_{side}", "left")
+        else:
+            rows = rows.withColumn(f"u_{side}", F.lit(0))
+    fits = (F.col("r_a") + F.coalesce("u_a", F.lit(0)) <= cap) & (F.col("r_b") + F.coalesce("u_b", F.lit(0)) <= cap)
+    return rows.where(fits).select(*open_.columns)
+
+
+def _settle_components(open_: DataFrame, order: list, cap: int, used: DataFrame | None) -> DataFrame:
+    """(a, b, fits): what one pass decides on the first BLOCK_PAIRS open pairs of each connected component.
+
+    Components do not share ids, so each is a pass of its own. Of a larger component the pairs after its block stay open.
+    """
+    from newsloom.operators.components import connected_components
+
+    groups = connected_components(open_.where("a <> b"))
+    placed = open_.join(groups, F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", "a"))
+    placed = placed.withColumn("at", F.row_number().over(W.partitionBy("component").orderBy(*order))).where(F.col("at") <= BLOCK_PAIRS)
+    for side in ("a", "b"):
+        if used is None:
+            placed = placed.withColumn(f"u_{side}", F.lit(0).cast("long"))
+        else:
+            placed = placed.join(used.select(F.col("id").alias(side), F.col("used").cast("long").alias(f"u_{side}")), side, "left")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        a, b = table["a"].to_pylist(), table["b"].to_pylist()
+        count = {i: u for side in ("a", "b") for i, u in zip(table[side].to_pylist(), table[f"u_{side}"].to_pylist()) if u}
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "fits": pa.array(_greedy(zip(a, b), cap, count), pa.bool_())})
+
+    return placed.select("component", "at", "a", "b", "u_a", "u_b").groupBy("component").applyInArrow(run, "a long, b long, fits boolean")
+
+
 def capped_pairs(pairs: DataFrame, order: list, cap: int, used: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) such that no id is in more than `cap` of them: those that one pass in the given order would take.
 
-    In a round each id ranks its open pairs by the order; a pair that is within the cap still open at both its ends is
-    taken, as nothing before it can fill an end; pairs with a full end are closed. Rounds go on until no pair is open. The
-    order must be total. used: (id, used), pairs that ids are in already.
+    First, rounds over the whole table: each id ranks its open pairs by the order; a pair that is within the cap still
+    open at both its ends is taken, as nothing before it can fill an end; pairs with a full end are closed. In an order
+    like a hash, each such round decides much of what is open. When a round decides less than a tenth (long chains, each pair
+    waiting for the one before), connected components of the open pairs, which take log rounds, are settled each by one
+    pass in a task, BLOCK_PAIRS of a component at a time. The order must be total. used: (id, used), pairs that ids are in
+    already. Pairs are unique.
     """
-    tally = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
-    open_, taken, before = stage(pairs, "open-pairs"), None, used
+    open_, taken, before = pairs, None, used
+    left, by_rounds = 0, True
     while True:
-        if before is not None:
-            full = before.where(F.col("used") >= cap).select("id")
-            for side in ("a", "b"):
-                open_ = open_.join(full.withColumnRenamed("id", side), side, "left_anti")
-            open_ = stage(open_.select(*pairs.columns), "open-pairs")  # a join by name puts its column first
-        if open_.isEmpty():
+        open_ = stage(_without_full(open_, before, cap), "open-pairs")
+        n = open_.count()
+        if n == 0:
             return taken if taken is not None else open_
-        rows = open_
-        for side in ("a", "b"):
-            ends = open_.withColumn("id", F.explode(F.array("a", "b")))
-            ranked = ends.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(*order))).select("a", "b", "id", "r")
-            rows = rows.join(ranked.select("a", "b", F.col("id").alias(f"id_{side}"), F.col("r").alias(f"r_{side}")), ["a", "b"]).where(F.col(f"id_{side}") == F.col(side))
-            if before is not None:
-                rows = rows.join(before.select(F.col("id").alias(f"id_{side}"), F.col("used").alias(f"u_{side}")), f"id_{side}", "left")
-            else:
-                rows = rows.withColumn(f"u_{side}", F.lit(0))
-        fits = (F.col("r_a") + F.coalesce("u_a", F.lit(0)) <= cap) & (F.col("r_b") + F.coalesce("u_b", F.lit(0)) <= cap)
-        new = stage(rows.where(fits).select(*pairs.columns), "taken-pairs")
-        if new.isEmpty():
+        by_rounds = by_rounds and (taken is None or 10 * n <= 9 * left)
+        left = n
+        if by_rounds:
+            new = done = stage(_first_at_both_ends(open_, order, cap, before), "taken-pairs")
+        else:
+            decided = stage(_settle_components(open_, order, cap, before), "settled-pairs")
+            done = decided.select("a", "b")
+            new = stage(open_.join(decided.where("fits").select("a", "b"), ["a", "b"], "left_semi").select(*pairs.columns), "taken-pairs")
+            by_rounds = True  # what is open now has lost its heads
+        if done.isEmpty():
             raise ValueError("no open pair comes first at both its ends: the order is not total")
-        taken = new if taken is None else stage(taken.union(new), "taken-pairs")
-        before = tally(taken) if used is None else tally(taken).union(used).groupBy("id").agg(F.sum("used").alias("used"))
-        before = stage(before, "pair-ends")
-        open_ = open_.join(new.select("a", "b"), ["a", "b"], "left_anti").select(*pairs.columns)
+        taken = new if taken is None else taken.union(new)
+        before = stage(_add(_tally(new), before), "pair-ends")
+        open_ = open_.join(done.select("a", "b"), ["a", "b"], "left_anti").select(*pairs.columns)
 
 
 def bucketed_pairs(pairs: DataFrame, buckets: list[str], per_bucket: int, cap: int = 2, seed: str = "pairs", used: DataFrame | None = None) -> DataFrame:
     """Of (a, b, bucket, same_outlet, ...), up to per_bucket pairs of each bucket and cap pairs of each id.
 
     Buckets are filled in the order given, each from pairs of two outlets first, then by a seeded hash. What a bucket
-    takes counts at its ids in later buckets. The first per_bucket of what one pass takes are what a pass takes that
-    stops there, so each bucket is one `capped_pairs`. used: (id, used), pairs that ids are in already.
+    takes counts at its ids in later buckets. A bucket is filled from slices of its order, SLICE_PAIRS at a time, until it
+    has enough: pairs with a full end go before a slice is cut, so each slice gives one pair at least, and there are at
+    most per_bucket slices. used: (id, used), pairs that ids are in already.
     """
+    spark = pairs.sparkSession
     order = [F.col("same_outlet"), F.xxhash64(F.lit(seed), "a", "b"), F.col("a"), F.col("b")]
-    parts: list[DataFrame] = []
     before = used
+    chosen: list = []
+    kept = stage(pairs, "bucket-pairs")
     for name in buckets:
-        found = capped_pairs(pairs.where(F.col("bucket") == name), order, cap, before)
-        part = stage(found.orderBy(*order).limit(per_bucket), "bucket-pairs")
-        parts.append(part)
-        ends = part.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
-        before = ends if before is None else ends.union(before).groupBy("id").agg(F.sum("used").alias("used"))
-        before = stage(before, "bucket-ends")
-    taken = parts[0]
-    for part in parts[1:]:
-        taken = taken.union(part)
-    return taken
+        rows, own = kept.where(F.col("bucket") == name), []
+        while len(own) < per_bucket:
+            rows = _without_full(rows, before, cap)
+            part = rows.orderBy(*order).limit(SLICE_PAIRS).select("a", "b").collect()  # SLICE_PAIRS at most
+            if not part:
+                break
+            ends = spark.createDataFrame([(i,) for i in {x for r in part for x in (r["a"], r["b"])}], "id long")
+            count = {} if before is None else {r["id"]: r["used"] for r in before.join(ends, "id").select("id", "used").collect()}
+            fits = [(r["a"], r["b"]) for r, ok in zip(part, _greedy([(r["a"], r["b"]) for r in part], cap, count)) if ok][: per_bucket - len(own)]
+            if not fits:
+                break  # only pairs of an id with itself, for which the cap has no room
+            new = spark.createDataFrame(fits, "a long, b long")
+            own += fits
+            before = stage(_add(_tally(new), before), "bucket-ends")
+            rows = rows.join(F.broadcast(new), ["a", "b"], "left_anti").select(*pairs.columns)
+        chosen += own
+    return kept.join(F.broadcast(spark.createDataFrame(chosen, "a long, b long")), ["a", "b"], "left_semi").select(*pairs.columns)
 
 
 def new_sample(pairs: DataFrame, existing: DataFrame, articles: DataFrame, buckets: list[str], per_bucket: int, cap: int = 2) -> DataFrame:
