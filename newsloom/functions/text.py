@@ -178,9 +178,43 @@ def three_classes(band: Column) -> Column:
     return F.when(band.isin("SUPPORTED", "PARTIALLY_SUPPORTED"), "SUPPORTS").when(band == "DISPUTED", "REFUTES").when(band.isNotNull(), "NOT ENOUGH INFO")
 
 
-def first_json_number(known: Column, payload: Column, names: list[str]) -> Column:
-    """known, or the first of the JSON object's fields that is a whole number."""
-    return F.coalesce(known, *[F.get_json_object(payload, f"$.{n}").try_cast("long") for n in names])
+#: Fields of a feed's metadata that may hold a publication time, in the order in which they are tried.
+DATE_FIELDS = ("publishedAt", "created_utc", "pubDate", "published", "date")
+#: Written dates, after the day's name and with the zone as an offset; tried in order. ISO dates are read before these.
+DATE_FORMATS = ("d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm xx", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def written_time(value: Column) -> Column:
+    """Whole seconds since 1970 of a written time: ISO with or without an offset, RFC 822, and plain dates; else null.
+
+    Without a zone a time is read as UTC, whatever the session's zone.
+    """
+    text = F.trim(value)
+    iso = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?( ?([Zz]|[+\-][0-9]{2}:?[0-9]{2}))?$")
+    zoned = text.rlike(r"([Zz]|:[0-9]{2}(:[0-9]{2})?([.][0-9]+)? ?[+\-][0-9]{2}:?[0-9]{2})$")
+    close = F.regexp_replace(F.regexp_replace(text, r" ([Zz+\-])", "$1"), r"([+\-][0-9]{2})([0-9]{2})$", "$1:$2")
+    seconds = lambda t: F.timestamp_diff("SECOND", F.expr(_EPOCH), t)
+    from_iso = F.when(zoned, F.unix_seconds(close.try_cast("timestamp"))).otherwise(seconds(text.try_cast("timestamp_ntz")))
+    bare = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3,9},\s*", ""), r"\s*\b(GMT|UTC|UT|Z)$", " +0000")
+    read = [F.unix_seconds(F.try_to_timestamp(bare, F.lit(f))) if "xx" in f else F.unix_seconds(F.try_to_timestamp(F.concat(bare, F.lit(" +0000")), F.lit(f"{f} xx"))) for f in DATE_FORMATS]
+    return F.when(iso, from_iso).otherwise(F.coalesce(*read))
+
+
+def repaired_time(known: Column, payload: Column, names: tuple[str, ...] = DATE_FIELDS) -> Column:
+    """known (seconds since 1970), or the first of a JSON object's fields that can be read as a time.
+
+    Numbers are seconds since 1970, fractions cut off; 0, empty and null fields are passed over, as are numbers in
+    quotes; text that is not JSON has no fields.
+    """
+    parsed = F.try_parse_json(payload)
+    found = []
+    for name in names:
+        value = F.try_variant_get(parsed, f"$.{name}", "string")
+        is_text = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == "STRING"
+        number = F.try_variant_get(parsed, f"$.{name}", "double")
+        found.append(F.when(is_text, F.when(~value.rlike("^[0-9.]*$"), written_time(value))).otherwise(F.when(number != 0, F.floor(number))))
+    return F.coalesce(known, *found)
 
 
 def entity_jaccard(a: Column, b: Column) -> Column:

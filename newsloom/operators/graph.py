@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.components import connected_components
@@ -119,15 +119,23 @@ def story_components(edges: DataFrame, nodes: DataFrame, least_size: int, least_
     return rows.where((F.col("size") >= least_size) & (F.col("outlets") >= least_domains))
 
 
-def token_components(rows: DataFrame, key: str, token_columns: list[str]) -> DataFrame:
-    """(key, component): rows that share a value of any token column, directly or through others, fall together."""
-    tokens = rows.select(F.col(key).alias("id"), F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in token_columns]))).alias("token"))
-    first = tokens.groupBy("token").agg(F.min("id").alias("first"))
-    links = tokens.join(first, "token").select(F.col("id").alias("a"), F.col("first").alias("b"))
+def shared_token_components(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, component): rows that share a token of an array, directly or through others, fall together.
+
+    Each token links its rows to the lowest of them, a star, so a token of many rows makes no pairs.
+    """
+    held = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.array_compact(tokens))).alias("token"))
+    first = held.groupBy("token").agg(F.min("id").alias("first"))
+    links = held.join(first, "token").select(F.col("id").alias("a"), F.col("first").alias("b"))
     groups = connected_components(links)
     return rows.select(key).join(groups, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("component"))
 
 
+def token_components(rows: DataFrame, key: str, token_columns: list[str]) -> DataFrame:
+    """(key, component): rows that share a value of any token column, directly or through others, fall together."""
+    return shared_token_components(rows, key, F.array(*[F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in token_columns]))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are among nodes (node)."""
     return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")

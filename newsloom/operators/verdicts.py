@@ -7,23 +7,17 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
+from newsloom.functions.spans import ENTITY_KINDS
 from newsloom.operators import vectors
 from newsloom.plans.staging import stage
 
 
 def entity_rows(claims: DataFrame) -> DataFrame:
     """(claim_id, entity_text, entity_type): capitalised runs, money, percentages, years and other numbers in a claim."""
-    kinds = [
-        ("MONEY", r"\$[0-9]+(?:[.,][0-9]+)*"),
-        ("PERCENT", r"[0-9]+(?:\.[0-9]+)?%"),
-        ("DATE", r"\b(?:19|20)[0-9]{2}\b"),
-        ("NAME", r"[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})+"),
-    ]
-
     def rows(kind: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all("claim_text", F.lit(pattern), F.lit(0)), lambda t: F.struct(t.alias("entity_text"), F.lit(kind).alias("entity_type")))
 
-    found = [rows(kind, pattern) for kind, pattern in kinds]
+    found = [rows(kind, pattern) for kind, pattern in ENTITY_KINDS.items()]
     return claims.select("claim_id", F.explode(F.concat(*found)).alias("e")).select("claim_id", "e.entity_text", "e.entity_type")
 
 

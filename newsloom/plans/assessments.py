@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
-from newsloom.operators import evaluation, features, modelling, ranking, vectors, verdicts
+from newsloom.operators import datasets, evaluation, features, modelling, ranking, vectors, verdicts
 from newsloom.plans import catalog
 from newsloom.plans.catalog import query
 from newsloom.sources import domain
@@ -200,3 +200,79 @@ def pl_3(spark, sf_dir):
 def ev_18(spark, sf_dir):
     size = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.log(F.col("n_chars") + 1).alias("size"))
     return modelling.logistic_ablations(domain.eval_pairs(spark, sf_dir).join(size, "pair_id", "left"), ["sim_score", "size"])
+
+
+# ---------------------------------------------------------------- checks of records
+
+_RECORDS = """
+, record0 AS (SELECT pair_id, CAST(event_group AS VARCHAR) AS event_id, split, gold, CASE WHEN pair_id % 97 = 0 THEN 'v2' ELSE 'v1' END AS dataset_version, pair_id * 8 AS claim_a_id, (pair_id + 2 * (pair_id % 2)) * 8 + 1 AS claim_b_id, pair_id AS article_a_id, pair_id + 2 * (pair_id % 2) AS article_b_id FROM eval_pairs),
+record1 AS (SELECT * FROM record0 UNION ALL SELECT pair_id + 10000000, event_id, split, gold, dataset_version, claim_b_id, claim_a_id, article_b_id, article_a_id FROM record0 WHERE pair_id % 50 = 0),
+record AS (SELECT r.*, x.content_hash AS hash_a, y.content_hash AS hash_b FROM record1 r LEFT JOIN articles x ON x.article_id = article_a_id LEFT JOIN articles y ON y.article_id = article_b_id)"""
+
+
+def _components_sql(source: str, name: str) -> str:
+    """name: (pair_id, component) of the records in a source."""
+    return f"""{name}_token AS (SELECT pair_id, unnest([CASE WHEN event_id <> 'unassigned' THEN 'event:' || event_id END, 'claim:' || claim_a_id, 'claim:' || claim_b_id, 'article:' || article_a_id, 'article:' || article_b_id, 'hash:' || hash_a, 'hash:' || hash_b]) AS t FROM {source}),
+    {name}_star AS (SELECT pair_id AS a, min(pair_id) OVER (PARTITION BY t) AS b FROM {name}_token WHERE t IS NOT NULL), {name}_link AS (SELECT a, b FROM {name}_star UNION SELECT b, a FROM {name}_star),
+    {name} AS (WITH RECURSIVE w AS (SELECT a AS node, a AS seen FROM {name}_link UNION SELECT w.node, l.b FROM w JOIN {name}_link l ON l.a = w.seen) SELECT node AS pair_id, min(seen) AS component FROM w GROUP BY node)"""
+
+
+def _records(spark, sf_dir):
+    """Evaluation pairs as records: two articles' claims each; every fiftieth comes again the other way round."""
+    pairs = domain.eval_pairs(spark, sf_dir)
+    other = F.col("pair_id") + 2 * (F.col("pair_id") % 2)
+    rows = pairs.select(
+        "pair_id", F.col("event_group").cast("string").alias("event_id"), "split", "gold", F.when(F.col("pair_id") % 97 == 0, "v2").otherwise("v1").alias("dataset_version"),
+        (F.col("pair_id") * 8).alias("claim_a_id"), (other * 8 + 1).alias("claim_b_id"), F.col("pair_id").alias("article_a_id"), other.alias("article_b_id"),
+    )
+    swap = {"claim_a_id": "claim_b_id", "claim_b_id": "claim_a_id", "article_a_id": "article_b_id", "article_b_id": "article_a_id"}
+    again = rows.where("pair_id % 50 = 0").select((F.col("pair_id") + 10_000_000).alias("pair_id"), *[F.col(swap.get(c, c)).alias(c) for c in rows.columns[1:]])
+    rows = rows.unionByName(again)
+    hashes = domain.articles(spark, sf_dir).select("article_id", "content_hash")
+    for side in datasets.SIDES:
+        rows = rows.join(hashes.toDF(f"article_{side}_id", f"hash_{side}"), f"article_{side}_id", "left").withColumns({f"canonical_{side}_id": F.lit(None).cast("long"), f"text_key_{side}": F.lit(None).cast("string")})
+    return rows
+
+
+@query(
+    "ev_16_dataset_problems",
+    f"""{_RECORDS}, {_components_sql("record", "grouped")}, vote_id AS (SELECT pair_id % 3000 || annotator AS v FROM votes),
+    named AS (SELECT * FROM record JOIN grouped USING (pair_id)),
+    support AS (SELECT s.split, least(count(*) FILTER (gold = 1), count(*) FILTER (gold = 0), count(DISTINCT component)) AS n FROM (VALUES ('train'), ('dev'), ('test'), ('extra')) s(split) LEFT JOIN named n ON n.split = s.split GROUP BY s.split)
+    SELECT 'same claims' AS problem, least(claim_a_id, claim_b_id) || ':' || greatest(claim_a_id, claim_b_id) AS subject, count(*) AS n FROM record GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'repeated pair', CAST(pair_id AS VARCHAR), count(*) FROM record GROUP BY pair_id HAVING count(*) > 1 UNION ALL SELECT 'repeated vote', v, count(*) FROM vote_id GROUP BY v HAVING count(*) > 1
+    UNION ALL SELECT 'versions', 'dataset_version', count(DISTINCT dataset_version) FROM record HAVING count(DISTINCT dataset_version) > 1
+    UNION ALL SELECT 'leakage', CAST(component AS VARCHAR), count(DISTINCT split) FROM named GROUP BY component HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'support', split, n FROM support WHERE n < 2""",
+)
+def ev_16_problems(spark, sf_dir):
+    votes = domain.votes(spark, sf_dir).select(F.concat((F.col("pair_id") % 3000).cast("string"), "annotator").alias("vote_id"))
+    return datasets.validate_dataset(_records(spark, sf_dir), votes, ["train", "dev", "test", "extra"])
+
+
+_CHANGED = "event_id % 4 = 0 AND pair_id % 7 <> 0 OR pair_id % 41 = 0"
+
+
+@query(
+    "ev_17_assignment_problems",
+    f"""{_RECORDS}, rec AS (SELECT * REPLACE (CASE WHEN CAST(event_id AS BIGINT) % 4 = 0 THEN 'unassigned' ELSE split END AS split, CASE WHEN CAST(event_id AS BIGINT) % 4 = 0 THEN 'unassigned' ELSE event_id END AS event_id), event_id AS own_event FROM record),
+    change AS (SELECT CASE WHEN pair_id % 43 = 0 THEN pair_id + 50000000 ELSE pair_id END AS pair_id, CASE WHEN pair_id % 41 = 0 THEN 'test' ELSE 'train' END AS new_split, own_event AS new_event FROM rec WHERE {_CHANGED.replace("event_id", "CAST(own_event AS BIGINT)")}
+      UNION ALL SELECT pair_id, 'dev', own_event FROM rec WHERE pair_id % 47 = 0),
+    twice AS (SELECT pair_id, count(*) AS n FROM change GROUP BY pair_id HAVING count(*) > 1), frozen AS (SELECT pair_id, count(*) AS n FROM change JOIN rec USING (pair_id) WHERE split <> 'unassigned' AND (new_split <> split OR new_event <> event_id) GROUP BY pair_id),
+    made AS (SELECT * FROM change WHERE pair_id NOT IN (SELECT pair_id FROM twice UNION ALL SELECT pair_id FROM frozen)),
+    moved AS (SELECT rec.* REPLACE (coalesce(new_split, split) AS split, coalesce(new_event, event_id) AS event_id) FROM rec LEFT JOIN made USING (pair_id)), {_components_sql("moved", "grouped")},
+    sums AS (SELECT component, count(*) FILTER (split = 'unassigned' OR event_id = 'unassigned') AS open, count(DISTINCT split) AS splits, count(DISTINCT event_id) AS events FROM moved JOIN grouped USING (pair_id)
+      WHERE component IN (SELECT component FROM grouped JOIN change USING (pair_id)) GROUP BY component)
+    SELECT 'assigned twice' AS problem, CAST(pair_id AS VARCHAR) AS subject, n FROM twice UNION ALL SELECT 'unknown pair', CAST(pair_id AS VARCHAR), count(*) FROM change WHERE pair_id NOT IN (SELECT pair_id FROM rec) GROUP BY pair_id
+    UNION ALL SELECT 'frozen', CAST(pair_id AS VARCHAR), n FROM frozen UNION ALL SELECT 'assigned in part', CAST(component AS VARCHAR), open FROM sums WHERE open > 0
+    UNION ALL SELECT 'crosses', CAST(component AS VARCHAR), greatest(splits, events) FROM sums WHERE open = 0 AND (splits > 1 OR events > 1)""",
+)
+def ev_17_problems(spark, sf_dir):
+    """A quarter of the events is not assigned yet; changes assign most of their pairs, some twice, unknown or frozen."""
+    rows = _records(spark, sf_dir).withColumn("own", F.col("event_id"))
+    free = F.col("own").cast("long") % 4 == 0
+    rows = rows.withColumns({c: F.when(free, datasets.UNASSIGNED).otherwise(F.col(c)) for c in ("split", "event_id")})
+    changed = rows.where(free & (F.col("pair_id") % 7 != 0) | (F.col("pair_id") % 41 == 0))
+    unknown = F.when(F.col("pair_id") % 43 == 0, F.col("pair_id") + 50_000_000).otherwise(F.col("pair_id"))
+    changes = changed.select(unknown.alias("pair_id"), F.when(F.col("pair_id") % 41 == 0, "test").otherwise("train").alias("split"), F.col("own").alias("event_id"))
+    changes = changes.unionByName(rows.where("pair_id % 47 = 0").select("pair_id", F.lit("dev").alias("split"), F.col("own").alias("event_id")))
+    return datasets.validate_assignments(rows.drop("own"), changes)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import lexicons as lex
+from newsloom.functions import spans
 from newsloom.functions import text as tx
 from newsloom.operators import aggregates as agg
 from newsloom.operators import alerts, changes, evaluation, features, graph, listing, merging, modelling, neardup, ranking, vectors, verdicts
@@ -903,9 +904,40 @@ esig AS (SELECT c.claim_id, count(e.e) AS total, count(*) FILTER (WHERE e.e.k IN
 entity AS (SELECT *, CASE WHEN total = 0 THEN 0.3 WHEN strong = 0 THEN 0.45 ELSE least(100, 55 + 15 * strong) / 100.0::DOUBLE END::DOUBLE AS signal FROM esig)"""
 
 
-@query("fn_15_entity_rows", _ENT + " SELECT claim_id, e.t AS entity_text, e.k AS entity_type FROM ent")
+def _spans_sql(pattern: str, kind: str = "") -> str:
+    """Matches with their places: pieces between matches and matches take turns, so lengths add up to places."""
+    return f"""SELECT claim_id, claim_text, unnest(range(1, len(m) + 1)) AS k, m, p, '{kind}' AS kind FROM (SELECT claim_id, claim_text, regexp_extract_all(claim_text, '{pattern}') AS m, string_split_regex(claim_text, '{pattern}') AS p FROM claims)"""
+
+
+_PLACED = "SELECT *, m[k] AS t, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS s FROM found"
+
+
+@query("fn_15_entity_rows", ", found AS (" + " UNION ALL ".join(_spans_sql(p, k) for k, p in spans.ENTITY_KINDS.items()) + f'), placed AS ({_PLACED}) SELECT claim_id, t AS entity_text, kind AS entity_type, s AS start, s + CAST(length(t) AS INTEGER) AS "end" FROM placed')
 def fn_15(spark, sf_dir):
-    return verdicts.entity_rows(domain.claims(spark, sf_dir))
+    return spans.entity_spans(domain.claims(spark, sf_dir))
+
+
+#: The tokens' pattern in RE2: letters and digits by Unicode class, since \\w and \\d are ASCII there.
+_TOKEN_RE2 = r"[+−-]?(?:[$€£]\s*)?\p{Nd}+(?:[.,]\p{Nd}+)*(?:\s?%|[kmbKMB]\b)?|[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)*|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
+@query("fn_12_token_spans", f', found AS ({_spans_sql(_TOKEN_RE2)}), placed AS ({_PLACED}) SELECT claim_id, CAST(k AS INTEGER) AS position, t AS token, s AS start, s + CAST(length(t) AS INTEGER) AS "end" FROM placed')
+def fn_12_spans(spark, sf_dir):
+    """Every token of every claim with its place, by a table function that is joined laterally in SQL."""
+    spans.register(spark)
+    return spark.sql("SELECT claim_id, t.* FROM {claims} c, LATERAL text_tokens(c.claim_text) t", claims=domain.claims(spark, sf_dir).select("claim_id", "claim_text"))
+
+
+@query("fn_1_clean_text")
+def fn_1_whole(spark, sf_dir):
+    """Every page's text with all entities and in NFKC."""
+    return domain.table(spark, sf_dir, "pages").select("page_id", spans.clean_text("html").alias("cleaned"))
+
+
+@query("fn_21_text_key")
+def fn_21_whole(spark, sf_dir):
+    """Identity of every document's text in NFKC, case-folded; null below 80 characters."""
+    return domain.table(spark, sf_dir, "documents").select("doc_id", spans.identity_key(80)("text").alias("key"))
 
 
 @query("fn_24_entity_signal", _ENT + " SELECT claim_id, total, strong, signal FROM entity")
@@ -1168,10 +1200,31 @@ def fn_20(spark, sf_dir):
     return features.sparse_cosine(weights, pairs).select("a", "b", F.round("score", 5).alias("score"))
 
 
-@query("fn_7_published_repair", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN at_s END, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS published_s FROM ev")
+_AT = "to_timestamp(at_s)::TIMESTAMP"
+#: How an event's time is written in its payload, by event_id % 12: (Spark's pattern or expression, the time that can be read back).
+_WRITTEN = [
+    ("'{}'", "at_s", "at_s"),
+    ("concat('{\"created_utc\":', at_s, '}')", None, "at_s"),
+    ("concat('{\"created_utc\":', at_s, '.75}')", None, "at_s"),
+    ("concat('{\"publishedAt\":\"', date_format(t, \"yyyy-MM-dd'T'HH:mm:ss'Z'\"), '\"}')", None, "at_s"),
+    ("concat('{\"publishedAt\":\"soon\",\"pubDate\":\"', date_format(t, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT\"}')", None, "at_s"),
+    ("concat('{\"published\":\"', date_format(t, \"yyyy-MM-dd'T'HH:mm:ss\"), '+02:00\"}')", None, "at_s - 7200"),
+    ("concat('{\"publishedAt\":\"\",\"date\":\"', date_format(t, 'yyyy-MM-dd'), '\"}')", None, "at_s - at_s % 86400"),
+    ("concat('{\"date\":\"', date_format(t, 'MMM d, yyyy'), '\"}')", None, "at_s - at_s % 86400"),
+    ("concat('{\"pubDate\":\"', date_format(t, 'd MMM yyyy HH:mm:ss'), ' -0530\",\"date\":\"1999-01-01\"}')", None, "at_s + 19800"),
+    ("concat('{\"date\":\"', date_format(t, 'yyyy-MM-dd HH:mm:ss'), '\"}')", None, "at_s"),
+    ("concat('{\"date\":\"', event_id, '\",\"published\":null,\"created_utc\":0}')", None, "NULL"),
+    ("props", None, "NULL"),
+]
+
+
+@query("fn_7_published_repair", "SELECT event_id, CAST(CASE event_id % 12 " + " ".join(f"WHEN {k} THEN {known or read}" for k, (_, known, read) in enumerate(_WRITTEN)) + " END AS BIGINT) AS published_s FROM ev")
 def fn_7(spark, sf_dir):
-    rows = domain.events(spark, sf_dir).withColumn("published_s", F.when(F.col("event_id") % 3 == 0, F.col("at_s")))
-    return rows.select("event_id", tx.first_json_number(F.col("published_s"), F.col("props"), ["publishedAt", "created_utc", "k"]).alias("published_s"))
+    """Each event's time is written into a payload in one of the feeds' ways and read back from it; one kind has it already."""
+    payload = F.expr("case event_id % 12 " + " ".join(f"when {k} then {written}" for k, (written, *_) in enumerate(_WRITTEN)) + " end")
+    timed = domain.events(spark, sf_dir).withColumn("t", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, at_s)"))
+    rows = timed.select("event_id", payload.alias("payload"), F.when(F.col("event_id") % 12 == 0, F.col("at_s")).alias("known"))
+    return rows.select("event_id", tx.repaired_time(F.col("known"), F.col("payload")).alias("published_s"))
 
 
 # ---------------------------------------------------------------- graphs, evaluation and status
