@@ -146,11 +146,15 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
-    """Learn from rows of docs (doc_id, text, lang) with a text and a lang; the caller keeps held-out rows away."""
+    """Learn from rows of docs (doc_id, text, lang) with a text and a lang; the caller keeps held-out rows away.
+
+    The max_languages values of lang with most rows are learnt (of equals the first by code point): a bound on the model,
+    which is broadcast. Rows with rarer values, such as wrong tags, are left out of the sample, and scored like all.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r["lang"] for r in usable.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} values of lang; raise max_languages if they are languages")
+    often = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    languages = sorted(r["lang"] for r in often.collect())
+    usable = usable.where(F.col("lang").isin(languages))
     if not languages:
         return LanguageModel([], np.zeros((1, 0), np.float64))
     sample = _smallest(usable, fit_rows, "fit").repartition(8, F.xxhash64("text"))

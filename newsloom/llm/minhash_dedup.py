@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from newsloom.llm.forest import spanning_forest
+from newsloom.llm.text_columns import unused
 from newsloom.llm.word_hashes import mix, shingle_hashes
 from newsloom.operators.components import connected_components
 from newsloom.plans.staging import stage
@@ -179,9 +180,10 @@ def multisets(docs: DataFrame) -> DataFrame:
 
 def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """docs whose doc_id is (left_semi) or is not (left_anti) in ids; ids are broadcast up to MAX_BROADCAST_IDS of them."""
-    ids = ids.select(F.col("doc_id").alias("__id"))
+    (name,) = unused(docs, "id")
+    ids = ids.select(F.col("doc_id").alias(name))
     small = ids.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == F.col("__id"), how)
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == F.col(name), how)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -348,6 +350,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     kept: doc_id = class_id, and of rows with one id and one multiset only the first.
     """
+    docs = docs.select("doc_id", "text")
     signed = stage(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "near-signatures")
     named = near_classes(signed, docs)
     # one row per id and multiset: copies are summed before hot digests meet their class
@@ -362,17 +365,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "class_id", F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
-def _with_digest(docs: DataFrame) -> DataFrame:
-    """docs with __c0, __c1: the digest of each row's multiset (null without words)."""
+def _with_digest(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs with two more columns: the digest of each row's multiset (null without words)."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(describe(t.as_py()) or (None, None))[:2] for t in batch.column(at)]
             digests = [pa.array([d[k] for d in found], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *digests], names=[*batch.schema.names, "__c0", "__c1"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *digests], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("__c0", LongType()), StructField("__c1", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema, *[StructField(n, LongType()) for n in names]]))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -385,5 +388,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     again = stage(found.where("doc_id = class_id").select("doc_id").distinct(), "near-again")
     if again.isEmpty():
         return pick(docs, others, "left_anti")
-    once = _with_digest(pick(docs, again)).dropDuplicates(["doc_id", "__c0", "__c1"]).drop("__c0", "__c1")
+    digest = unused(docs, "c0", "c1")
+    once = _with_digest(pick(docs, again), digest).dropDuplicates(["doc_id", *digest]).drop(*digest)
     return pick(docs, others.union(again), "left_anti").unionByName(once)

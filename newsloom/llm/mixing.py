@@ -7,8 +7,9 @@ these alone, so reruns and lost tasks agree.
 
 Defined cases: a null text has size 0; null is a source of its own, placed last; a source without words has target 0
 and rate 0, so its documents are not emitted; null ids and ids that repeat draw by their texts, rows equal in both by
-their number; very long texts count whole; an empty table gives an empty result; `mix_documents` keeps all columns,
-clashing names included, and takes rows with equal values in all of them as interchangeable (no map columns then).
+their number; very long texts count whole; an empty table gives an empty result; `mix_documents` keeps all columns of
+whatever names, maps included (but not maps within other columns if ids repeat), and takes rows with equal values in all
+of them as interchangeable.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.text_columns import n_words, numbered_copies, unit_interval
+from newsloom.llm.text_columns import n_words, numbered_copies, packed, unit_interval, unpacked
 from newsloom.plans.staging import attach, running_totals, stage
 
 WEIGHTS = (5, 2, 1)
@@ -59,33 +60,36 @@ def copies(rate: Column, *key: Column, seed: str = SEED) -> Column:
     return (whole + F.when(unit_interval(seed, *key) < rate - whole, 1).otherwise(0)).cast("long")
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows (id and others) with `copy`, the number among equal rows.
+
+    Ids that several rows have are counted first; only rows of such ids are compared in all columns and numbered.
+    """
+    again = stage(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("k")), f"{name}-again")
+    first = F.lit(1).cast("long").alias("copy")
+    n = again.count()
+    if not n:
+        return rows.select("*", first)
+    again = F.broadcast(again) if n <= MAX_BROADCAST_IDS else again
+    same = rows["id"].eqNullSafe(again["k"])
+    return rows.join(again, same, "left_anti").select("*", first).unionByName(numbered_copies(rows.join(again, same, "left_semi"), name))
+
+
 def document_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies for each row of docs (doc_id, text, source)."""
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5("text").alias("digest"))
-    sizes = stage(numbered_copies(sizes, "mix-copies"), "mix-sizes")
+    sizes = stage(docs.select(F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size"), F.md5("text").alias("digest")), "mix-sizes")
     targets = stage(source_targets(sizes, weights, max_repeat), "mix-targets")
-    joined = attach(sizes, targets, ["source"], spread_by="digest")
-    times = copies(F.col("rate"), F.col("doc_id"), F.col("digest"), F.col("copy"), seed=seed)
-    return joined.select("doc_id", "size", "source_size", "target", "rate", times.alias("copies"))
+    joined = attach(_numbered(sizes, "mix-copies"), targets, ["source"], spread_by="digest")
+    times = copies(F.col("rate"), F.col("id"), F.col("digest"), F.col("copy"), seed=seed)
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "rate", times.alias("copies"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """docs with each row repeated as its source's rate and its own draw say; columns as before.
-
-    Ids that several rows have are counted first; only rows of such ids are compared in all columns and numbered.
-    """
+    """docs with each row repeated as its source's rate and its own draw say; columns as before."""
     sizes = docs.select("source", n_words(F.col("text")).alias("size"))
-    targets = stage(source_targets(sizes, weights, max_repeat).select("source", F.col("rate").alias("__rate")), "mix-targets")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
-    again = stage(again, "mix-again")
-    if again.isEmpty():
-        rows = docs.withColumn("copy__", F.lit(1).cast("long"))
-    else:
-        few = again.count() <= MAX_BROADCAST_IDS
-        marked = docs.join(F.broadcast(again) if few else again, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti").withColumn("copy__", F.lit(1).cast("long"))
-        same = docs.join(F.broadcast(again) if few else again, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-        rows = marked.unionByName(numbered_copies(same, "mix-numbered").withColumnRenamed("copy", "copy__"))
-    joined = attach(rows, targets, ["source"], spread_by="doc_id")
-    draw = copies(F.col("__rate"), F.col("doc_id"), F.md5("text"), F.col("copy__"), seed=seed)
-    times = joined.withColumn("__copies", draw).where("__copies > 0")
-    return times.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    targets = stage(source_targets(sizes, weights, max_repeat).select("source", "rate"), "mix-targets")
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), "source", F.md5("text").alias("digest"))
+    joined = attach(_numbered(rows, "mix-numbered"), targets, ["source"], spread_by="digest")
+    draw = copies(F.col("rate"), F.col("id"), F.col("digest"), F.col("copy"), seed=seed).cast("int")
+    times = joined.select("row", draw.alias("times")).where("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select(*unpacked(docs, "row"))

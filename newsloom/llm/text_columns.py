@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from newsloom.plans.staging import stage
 
@@ -28,12 +29,33 @@ def unit_interval(seed: str, *key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of the caller's meets one made here; maps as sorted entries."""
+    return F.struct(*[(F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`")).alias(f.name) for f in docs.schema.fields])
+
+
+def unpacked(docs: DataFrame, row: str) -> list[Column]:
+    """The columns of docs again, from a column made by `packed`."""
+    field = lambda f: F.col(row).getField(f.name)
+    return [(F.map_from_entries(field(f)) if isinstance(f.dataType, MapType) else field(f)).alias(f.name) for f in docs.schema.fields]
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes for docs not to have them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 #: Copies of one row that one task writes in a go.
 COPIES_AT_ONCE = 10_000
 
 
 def numbered_copies(rows: DataFrame, name: str) -> DataFrame:
-    """rows (without map columns) with `copy`: equal rows are numbered from 1, whatever the order.
+    """rows (columns of their own names, no maps) with `copy`: equal rows are numbered from 1, whatever the order.
 
     Equal rows are counted, with partial counts before the shuffle, and written out again; groups of many are dealt
     to several tasks.

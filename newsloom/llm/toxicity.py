@@ -158,7 +158,8 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
 
     rows = sample.mapInArrow(keys, "rank long, text string, toxic int, k0 long, k1 long, k2 long")
     for key in ("k0", "k1", "k2"):
-        rows = rows.groupBy(key).agg(*[F.min_by(c, "rank").alias(c) for c in rows.columns if c != key])
+        rest = [c for c in rows.columns if c != key]
+        rows = rows.groupBy(key).agg(F.min(F.struct("rank", *[c for c in rest if c != "rank"])).alias("first")).select(key, *[F.col("first")[c].alias(c) for c in rest])
     return rows.select("text", "toxic", F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).cast("int").alias("half"))
 
 
@@ -205,7 +206,8 @@ def _logistic(rows: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions: Sequence[str] = EXCEPTIONS) -> ToxicModel:
     """Learn from docs (doc_id, text) with labels (doc_id, toxic); the caller keeps held-out rows away from labels.
 
-    The sample's ids, 3 * fit_rows of them at most, are broadcast to the scan of docs. The driver gets terms that a
+    The sample's ids, 3 * fit_rows of them at most, are broadcast to the scan of docs; each brings one text, that of the
+    smallest hash if several rows share the id, so the sample has no more rows than ids. The driver gets terms that a
     half's share of toxic texts holds: at most 1 / LEAST_SHARE times the terms of an average text, whatever the input.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -217,7 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions
         return ToxicModel({}, (min(MAX_BIAS, math.log((share + 1e-6) / (1 - share + 1e-6))), 0.0, 0.0), exceptions)
     drawn = [marks.where(F.col("toxic") == label).orderBy("rank").limit(most) for label, most in ((1, fit_rows), (0, 2 * fit_rows))]
     ids = stage(drawn[0].unionByName(drawn[1]), "toxicity-ids")
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("rank", "text", "toxic").dropDuplicates(["rank", "text"])
+    drawn_rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")  # an id may be on any number of texts: one of them is taken
+    sample = drawn_rows.groupBy("rank", "toxic").agg(one).select("rank", F.col("one.text").alias("text"), "toxic")
     sample = stage(_one_of_copies(sample), "toxicity-sample").repartition(36, F.xxhash64("text"))
     sizes = {(half, label): 0 for half in (0, 1) for label in (0, 1)}
     sizes |= {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}

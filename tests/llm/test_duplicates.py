@@ -235,3 +235,37 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
     assert {r["doc_id"] for r in known.collect()} == {*range(60), None, 102, 103}
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, str(tmp_path)).count() == len(rows) and last(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+CLASHING = ["copy", "copy__", "__n", "__rate", "__id", "_id", "id", "row", "digest", "times", "__copies", "__copy", "__part", "__c0", "c0", "_c0", "C1", "__salt", "__source", "k", "rate"]
+
+
+def test_callers_columns_keep_their_values(spark):
+    """Names that operators use, maps, repeated and null ids: each row's own values stay with it."""
+    from newsloom.llm import line_dedup, mixing
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(90)]) for _ in range(30)) for _ in range(12)]
+    rows = [(i if i % 4 else i // 2, texts[i % 12], "ab"[i % 2], {"k": i, "a": 1}, *[i * 100 + k for k in range(len(CLASHING))]) for i in range(24)]
+    rows += [rows[4], (None, *rows[5][1:]), (None, *rows[5][1:]), (70, None, None, None, *[5] * len(CLASHING))]
+    schema = "doc_id long, text string, source string, map map<string,long>, " + ", ".join(f"`{c}` long" for c in CLASHING)
+    docs = spark.createDataFrame(rows, schema)
+    plain = lambda rs: collections.Counter(str((r["doc_id"], r["text"], r["source"], sorted((r["map"] or {}).items()), *r[4:])) for r in rs)
+    own = plain(docs.collect())
+
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    found = plain(mixed.collect())
+    assert set(found) <= set(own) and all(n <= 3 * own[r] for r, n in found.items()) and sum(found.values()) > 20
+    assert found == plain(mixing.mix_documents(docs.repartition(3)).collect())
+
+    once = minhash_dedup.drop_near_duplicates(docs)
+    assert once.columns == docs.columns
+    kept = plain(once.collect())
+    assert set(kept) <= set(own)
+    left = [r["text"] for r in once.where("doc_id is not null and text is not null").collect()]
+    assert len(left) == len(set(left)) >= 8 and set(left) <= set(texts)  # ids that texts share make them one document
+    assert minhash_dedup.near_duplicates(docs).count() == len(rows)
+
+    lines = line_dedup.drop_repeated_lines(docs)
+    assert plain(lines.select(docs.columns).collect()) == plain(docs.na.fill("", ["text"]).collect())

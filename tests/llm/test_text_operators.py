@@ -167,8 +167,8 @@ def test_language_rejects_unlearnt_scripts_and_keeps_mixtures(spark):
 def test_language_number_and_null_ids(spark):
     schema = "doc_id long, text string, lang string"
     docs = spark.createDataFrame([(i, f"abc{'x' * i}", f"l{i}") for i in range(6)], schema)
-    with pytest.raises(ValueError):
-        language_id.fit(docs, max_languages=5)
+    more = docs.union(docs.where("doc_id >= 3"))
+    assert language_id.fit(more, max_languages=4).languages == ["l0", "l3", "l4", "l5"]
     assert language_id.fit(docs, max_languages=6).languages == [f"l{i}" for i in range(6)]
     same = spark.createDataFrame([(None, t, k) for _, t, k in small_corpus(60)] + [(None, "the and of", "aa")] * 200, schema)
     assert language_id.fit(same, fit_rows=20, landmarks=5).predict(["der und von", "le et de"])[0] == ["bb", "cc"]
@@ -293,3 +293,23 @@ def test_lm_pieces_do_not_matter():
 def test_lm_vocabulary_is_bounded(spark):
     target = spark.createDataFrame([("a " * 50 + "b " * 10 + " ".join(f"w{i}" for i in range(40)),)], "text string")
     assert len(lm_scoring.vocabulary(target)) == 42 and len(lm_scoring.vocabulary(target, 10)) == 2
+
+
+def test_language_with_a_wrong_tag_on_many_rows(spark):
+    schema = "doc_id long, text string, lang string"
+    wrong = [(1000 + k, f"nothing like these {k}", f"tag{k}") for k in range(500)]
+    docs = spark.createDataFrame(small_corpus(300) + wrong, schema)
+    model = language_id.fit(docs, max_languages=3)
+    assert len(model.languages) == 3 and model.predict(["der und von", "le et de"])[0] == ["bb", "cc"]
+    assert language_id.predict(docs, model).count() == docs.count()
+
+
+def test_toxicity_sample_of_an_id_with_many_texts(spark):
+    """An id shared by 5,000 texts brings one row to the sample, whichever the order of rows."""
+    rows = [(1, f"shared id text number {k}") for k in range(5000)]
+    rows += [(k, f"{'foulword vileword' if k % 2 else 'plain kind'} text about {k}") for k in range(2, 202)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 202)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [toxicity.fit(d, labels) for d in (docs, docs.orderBy("text").repartition(3))]
+    assert models[0].entries == models[1].entries and models[0].logistic == pytest.approx(models[1].logistic)
+    assert models[0].score("a foulword vileword here") > 0.5 > models[0].score("plain kind text")
