@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.llm.memory import releasing
 from newsloom.plans.staging import stage
 
 ORDERS = (1, 2, 3, 4)
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, r
             rows = [present(t.as_py()).astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["lang", "grams"])
 
-    chosen = _smallest(usable, landmarks, "landmark").mapInArrow(grams, as_presence).collect()
+    chosen = _smallest(usable, landmarks, "landmark").mapInArrow(releasing(grams), as_presence).collect()
     by_lang = {k: sorted((r["grams"] for r in chosen if r["lang"] == k), key=lambda g: (len(g), g)) for k in languages}
     marks = [np.array(g) for k in languages for g in by_lang[k]]
     if not marks:
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS, r
                     n += len(rows)
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["gram", "rights", "n"])
 
-    parts = sample.select("text", "lang").mapInArrow(sums, "gram binary, rights binary, n long").collect()
+    parts = sample.select("text", "lang").mapInArrow(releasing(sums), "gram binary, rights binary, n long").collect()
     size = root.shape[1]
     gram = sum(np.frombuffer(p["gram"]).reshape(size, size) for p in parts)
     right = sum(np.frombuffer(p["rights"]).reshape(size, len(languages)) for p in parts)
@@ -213,7 +214,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 names, scores = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1, **options) -> DataFrame:
@@ -242,4 +243,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least_known: float =
                 # a claim with a clear margin needs no second look
                 yield part.filter(pa.array([c and (s >= 0.75 or shared.value.known(t) >= least_known) for c, s, t in zip(claimed, scores, texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from newsloom.llm.forest import spanning_forest
+from newsloom.llm.memory import let_go, releasing
 from newsloom.llm.text_columns import unused
 from newsloom.llm.word_hashes import mix, shingle_hashes
 from newsloom.operators.components import connected_components
@@ -159,7 +160,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, c0 long, c1 long, bands array<long>, s0 long, s1 long, size long")
+    return rows.mapInArrow(releasing(run), "doc_id long, c0 long, c1 long, bands array<long>, s0 long, s1 long, size long")
 
 
 def multisets(docs: DataFrame) -> DataFrame:
@@ -175,7 +176,7 @@ def multisets(docs: DataFrame) -> DataFrame:
                 rows.append(np.sort(np.where(nth > 0, mix(s + nth * _STREAM), s).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, items array<long>")
 
 
 def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -269,6 +270,8 @@ def _links(docs: DataFrame, placed: DataFrame) -> DataFrame:
         order = np.argsort(rows.segment, kind="stable")
         found = [_segment_links(rows, at) for at in np.split(order, np.flatnonzero(np.diff(rows.segment[order])) + 1)]
         a, b = spanning_forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        del rows, found
+        let_go()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = placed.join(sets, F.col("doc_id") == F.col("d")).drop("d", "size")
@@ -375,7 +378,7 @@ def _with_digest(docs: DataFrame, names: list[str]) -> DataFrame:
             digests = [pa.array([d[k] for d in found], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *digests], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, *[StructField(n, LongType()) for n in names]]))
+    return docs.mapInArrow(releasing(run), StructType([*docs.schema, *[StructField(n, LongType()) for n in names]]))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

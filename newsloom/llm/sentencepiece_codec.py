@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.memory import releasing
+
 MARK = "▁"
 #: Segments that a worker remembers in each of two generations, the longest that is, and pairs of pieces remembered.
 REMEMBERED, LONGEST, PAIRS = 130_000, 48, 150_000
@@ -197,4 +199,4 @@ def encode_documents(docs: DataFrame, model_path: str, with_text: bool = True) -
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, f.type) for x, f in zip(out[1:], fields[1:])]], schema=schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_text else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), ddl)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.language_id import in_fold
+from newsloom.llm.memory import releasing
 from newsloom.plans.staging import stage
 
 FIT_ROWS = 3000
@@ -156,7 +157,7 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
             found = [_copy_keys(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([k[i] for k in found], pa.int64()) for i in range(3)]], names=[*batch.schema.names, "k0", "k1", "k2"])
 
-    rows = sample.mapInArrow(keys, "rank long, text string, toxic int, k0 long, k1 long, k2 long")
+    rows = sample.mapInArrow(releasing(keys), "rank long, text string, toxic int, k0 long, k1 long, k2 long")
     for key in ("k0", "k1", "k2"):
         rest = [c for c in rows.columns if c != key]
         rows = rows.groupBy(key).agg(F.min(F.struct("rank", *[c for c in rest if c != "rank"])).alias("first")).select(key, *[F.col("first")[c].alias(c) for c in rest])
@@ -238,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([c[t] for t in part], pa.int64()) for c in seen.values()]], names=["term", *columns])
 
     def counts(terms) -> DataFrame:
-        each = sample.mapInArrow(lambda batches: count(batches, terms), ", ".join(["term string", *[f"{c} long" for c in columns]]))
+        each = sample.mapInArrow(releasing(lambda batches: count(batches, terms)), ", ".join(["term string", *[f"{c} long" for c in columns]]))
         return each.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns])
 
     need = [max(LEAST_TEXTS, math.ceil(LEAST_SHARE * sizes[half, 1])) for half in (0, 1)]
@@ -255,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions
             rows = [shared.value.measures(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64()), batch.column(1)], names=["total", "rate", "toxic"])
 
-    rows = sample.select("text", "toxic").mapInArrow(measure, "total double, rate double, toxic int").collect()
+    rows = sample.select("text", "toxic").mapInArrow(releasing(measure), "total double, rate double, toxic int").collect()
     if rows:
         rows = np.array(sorted(tuple(r) for r in rows))
         model.logistic = _logistic(rows[:, :2], rows[:, 2])
@@ -271,7 +272,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
             scores = [shared.value.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, score double, predicted int")
 
 
 def rate_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, **options) -> DataFrame:
@@ -289,4 +290,4 @@ def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([shared.value.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
