@@ -53,3 +53,18 @@ def conditions(claims: DataFrame, signals: DataFrame, changes: DataFrame, cluste
     third = bursts.select(F.lit(3).alias("turn"), (-F.col("n")).alias("by"), F.lit("SPIKE").alias("kind"), F.lit("WARNING").alias("severity"), key.alias("subject_key"))
     raised = first.unionByName(second).unionByName(third)
     return raised.orderBy("turn", "by", "subject_key").limit(most).select("kind", "severity", "subject_key")
+
+
+def feed(alerts: DataFrame, limit: int, kind: str | None = None, severity: str | None = None, include_acknowledged: bool = False) -> DataFrame:
+    """The newest alerts (kind, severity, subject_key, last_seen_s, acknowledged_s), of one kind or severity if named."""
+    rows = alerts if include_acknowledged else alerts.where("acknowledged_s is null")
+    for column, wanted in (("kind", kind), ("severity", severity)):
+        rows = rows.where(F.col(column) == wanted.strip().upper()) if wanted else rows
+    return rows.orderBy(F.desc_nulls_last("last_seen_s"), "kind", "subject_key").limit(limit)
+
+
+def tallies(alerts: DataFrame) -> DataFrame:
+    """(part, name, n): how many alerts nobody has acknowledged, in all, by severity and by kind."""
+    waiting = alerts.where("acknowledged_s is null")
+    one = lambda part, name: waiting.groupBy(F.lit(part).alias("part"), name.alias("name")).agg(F.count("*").alias("n"))
+    return one("all", F.lit("unacknowledged")).unionByName(one("severity", F.col("severity"))).unionByName(one("kind", F.col("kind")))

@@ -136,6 +136,24 @@ def token_components(rows: DataFrame, key: str, token_columns: list[str]) -> Dat
     return shared_token_components(rows, key, F.array(*[F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in token_columns]))
 
 
+def syndication_groups(rows: DataFrame) -> DataFrame:
+    """(article_id, component, name) of articles (article_id, canonical_id, content_hash, body) that are one origin: they
+    share an article, its canonical one, a hash or a body's key. The lowest canonical id, else hash, else article names it."""
+    text = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    tokens = F.array(text("article", "article_id"), text("article", "canonical_id"), text("hash", "content_hash"), text("body", "body"))
+    grouped = rows.join(shared_token_components(rows, "article_id", tokens), "article_id")
+    name = F.coalesce(F.concat(F.lit("canonical:"), F.min("canonical_id").cast("string")), F.concat(F.lit("content:"), F.min("content_hash")), F.concat(F.lit("article:"), F.min("article_id").cast("string")))
+    names = grouped.groupBy("component").agg(name.alias("name"))
+    return grouped.select("article_id", "component").join(names, "component").select("article_id", "component", "name")
+
+
+def around(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges among the given nodes (node) and all their neighbours, one hop away."""
+    wanted = nodes.select("node").distinct()
+    near = both_ways(edges.select("a", "b")).join(wanted, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node"))
+    return induced(edges, wanted.union(near).distinct())
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are among nodes (node)."""
     return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")

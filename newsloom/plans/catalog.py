@@ -1017,7 +1017,6 @@ def pl_8_body(spark, sf_dir):
     return verdicts.body_passage(pairs, domain.articles(spark, sf_dir))
 
 
-_COMMON = lex.STOP_WORDS + lex.HEDGE_WORDS + lex.POLARITY_WORDS + lex.ATTRIBUTION_WORDS + lex.SCOPE_WORDS
 
 
 def change_sql(pairs: str, keys: str) -> str:
@@ -1368,13 +1367,66 @@ def fn_9(spark, sf_dir):
     return domain.table(spark, sf_dir, "documents").select("doc_id", tx.language_by_words(F.col("text")).alias("language"))
 
 
-@query("fn_18_entity_jaccard")
+_ENTITY_SET = "list_distinct(list_filter(regexp_extract_all({}, '" + _TOKEN + "'), lambda t: regexp_matches(t, '^([A-Z][a-zA-Z]{{2,}}|[A-Z]{{2}})$') AND lower(t) NOT IN (" + _in(_COMMON) + ")))"
+
+
+@query(
+    "fn_18_entity_jaccard",
+    f""", two AS (SELECT r.from_id, r.to_id, {_ENTITY_SET.format("x.claim_text")} AS x, {_ENTITY_SET.format("y.claim_text")} AS y FROM relations r JOIN claims x ON x.claim_id = r.from_id JOIN claims y ON y.claim_id = r.to_id)
+    SELECT from_id, to_id, CASE WHEN len(x) + len(y) > 0 THEN len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE END AS jaccard FROM two""",
+)
 def fn_18(spark, sf_dir):
     text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
     pairs = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "x"), "from_id").join(text.toDF("to_id", "y"), "to_id")
     return pairs.select("from_id", "to_id", tx.entity_jaccard(F.col("x"), F.col("y")).alias("jaccard"))
 
 
+_SEVERE = "CASE length(kind) % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' ELSE 'INFO' END"
+
+
+@query("al_4_filtered_feed", f"{_ALERTS} SELECT kind, {_SEVERE} AS severity, subject_key, last_seen_s FROM old WHERE {_SEVERE} = 'WARNING' ORDER BY last_seen_s DESC, kind, subject_key LIMIT 30")
+def al_4_filtered(spark, sf_dir):
+    """Alerts of one severity (a stand-in by the kind's length), acknowledged ones too, newest first."""
+    old, _ = _alert_tables(spark, sf_dir)
+    return alerts.feed(old.withColumn("severity", F.expr(_SEVERE)), 30, severity="warning", include_acknowledged=True).select("kind", "severity", "subject_key", "last_seen_s")
+
+
+@query(
+    "al_4_tallies",
+    f"""{_ALERTS}, waiting AS (SELECT kind, {_SEVERE} AS severity FROM old WHERE acknowledged_s IS NULL)
+    SELECT 'all' AS part, 'unacknowledged' AS name, count(*) AS n FROM waiting HAVING count(*) > 0 UNION ALL SELECT 'severity', severity, count(*) FROM waiting GROUP BY severity UNION ALL SELECT 'kind', kind, count(*) FROM waiting GROUP BY kind""",
+)
+def al_4_tallies(spark, sf_dir):
+    old, _ = _alert_tables(spark, sf_dir)
+    return alerts.tallies(old.withColumn("severity", F.expr(_SEVERE)))
+
+
+@query(
+    "gr_7_named_groups",
+    r""", row AS (SELECT article_id, CASE WHEN article_id % 9 = 4 THEN article_id - 4 END AS canonical_id, CASE WHEN article_id % 4 > 0 THEN content_hash END AS content_hash,
+      CASE WHEN length(trim(regexp_replace(lower(content), '\s+', ' ', 'g'))) >= 80 THEN sha256(trim(regexp_replace(lower(content), '\s+', ' ', 'g'))) END AS body FROM articles),
+    token AS (SELECT article_id AS id, unnest(['article:' || article_id, 'article:' || canonical_id, 'hash:' || content_hash, 'body:' || body]) AS t FROM row),
+    star AS (SELECT id AS a, min(id) OVER (PARTITION BY t) AS b FROM token WHERE t IS NOT NULL), link AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+    comp AS (WITH RECURSIVE w AS (SELECT DISTINCT a AS node, a AS seen FROM link UNION SELECT w.node, l.b FROM w JOIN link l ON l.a = w.seen) SELECT node AS article_id, min(seen) AS component FROM w GROUP BY node)
+    SELECT article_id, component, coalesce('canonical:' || min(canonical_id) OVER g, 'content:' || min(content_hash) OVER g, 'article:' || min(article_id) OVER g) AS name FROM comp JOIN row USING (article_id) WINDOW g AS (PARTITION BY component)""",
+)
+def gr_7_named(spark, sf_dir):
+    """Some articles copy the one four before them, and a quarter has no hash."""
+    canonical = F.when(F.col("article_id") % 9 == 4, F.col("article_id") - 4)
+    rows = domain.articles(spark, sf_dir).select("article_id", canonical.alias("canonical_id"), F.when(F.col("article_id") % 4 > 0, F.col("content_hash")).alias("content_hash"), tx.identity_key(F.col("content")).alias("body"))
+    return graph.syndication_groups(rows)
+
+
+@query(
+    "gr_10_around_titles",
+    """, wanted AS (SELECT article_id AS node FROM articles WHERE contains(lower(title), 'tion')), near AS (SELECT node FROM wanted UNION SELECT b FROM article_edges JOIN wanted ON a = node UNION SELECT a FROM article_edges JOIN wanted ON b = node)
+    SELECT a, b, score FROM article_edges WHERE a IN (SELECT node FROM near) AND b IN (SELECT node FROM near)""",
+)
+def gr_10_titles(spark, sf_dir):
+    nodes = domain.articles(spark, sf_dir).where(F.contains(F.lower("title"), F.lit("tion"))).select(F.col("article_id").alias("node"))
+    return graph.around(domain.article_edges(spark, sf_dir), nodes)
+
+
 @query(
     "fn_3_markup_scrub",
     r"""SELECT page_id, cleaned, length(cleaned) >= 25 AND contains(cleaned, ' ') AND NOT regexp_matches(lower(cleaned), '^(http|more|read)') AS kept FROM (

@@ -148,3 +148,32 @@ def test_assignments(spark):
     assert run((5, "train", "e")) == []
     assert run((4, "test", "e"), (7, "dev", "h"), (99, "dev", "e")) == [("assigned in part", "4", 1), ("frozen", "4", 1), ("frozen", "7", 1), ("unknown pair", "99", 1)]
     assert run((6, "dev", "a"), (6, "dev", "b")) == [("assigned in part", "6", 1), ("assigned twice", "6", 2)]
+
+
+# ---------------------------------------------------------------- feed and groups
+
+
+def test_feed_filters_and_tallies(spark):
+    from newsloom.operators import alerts
+
+    rows = [("SPIKE", "WARNING", "a", 5, None), ("SPIKE", "INFO", "b", 9, None), ("MUTATION", "WARNING", "c", 7, 8), ("MUTATION", "WARNING", "d", None, None)]
+    frame = spark.createDataFrame(rows, "kind string, severity string, subject_key string, last_seen_s long, acknowledged_s long")
+    keys = lambda df: [r["subject_key"] for r in df.collect()]
+    assert keys(alerts.feed(frame, 10)) == ["b", "a", "d"] and keys(alerts.feed(frame, 1)) == ["b"]
+    assert keys(alerts.feed(frame, 10, severity=" warning ")) == ["a", "d"] and keys(alerts.feed(frame, 10, "mutation", include_acknowledged=True)) == ["c", "d"]
+    assert {(r["part"], r["name"], r["n"]) for r in alerts.tallies(frame).collect()} == {("all", "unacknowledged", 3), ("severity", "WARNING", 2), ("severity", "INFO", 1), ("kind", "SPIKE", 2), ("kind", "MUTATION", 1)}
+
+
+def test_names_of_syndication_groups(spark):
+    from newsloom.operators import graph
+
+    rows = [(1, None, "h1", None), (2, 9, "h1", None), (3, None, None, "b"), (4, None, "h4", "b"), (5, None, None, None), (6, 5, None, None), (7, None, None, None)]
+    found = {r["article_id"]: (r["component"], r["name"]) for r in graph.syndication_groups(spark.createDataFrame(rows, "article_id long, canonical_id long, content_hash string, body string")).collect()}
+    assert found == {1: (1, "canonical:9"), 2: (1, "canonical:9"), 3: (3, "content:h4"), 4: (3, "content:h4"), 5: (5, "canonical:5"), 6: (5, "canonical:5"), 7: (7, "article:7")}
+
+
+def test_edges_around_chosen_nodes(spark):
+    from newsloom.operators import graph
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5), (5, 2), (7, 8)], "a long, b long")
+    assert sorted(tuple(r) for r in graph.around(edges, spark.createDataFrame([(2,)], "node long")).collect()) == [(1, 2), (1, 5), (2, 3), (5, 2)]
