@@ -156,7 +156,7 @@ def around(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are among nodes (node)."""
-    return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
+    return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select(*edges.columns)
 
 
 def graph_quality(relations: DataFrame, claims: DataFrame) -> DataFrame:
