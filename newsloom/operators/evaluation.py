@@ -121,6 +121,24 @@ def human_consensus(votes: DataFrame, least: int = 2) -> DataFrame:
     return people.where((F.col("voters") >= least) & (F.col("label") == F.col("other"))).select("pair_id", "voters", "label")
 
 
+def typed_consensus(votes: DataFrame, least: int = 2) -> DataFrame:
+    """(pair_id, voters, status, label, mutation_status, mutation_types) of pairs with human votes.
+
+    votes: (pair_id, annotator, origin, label, mutation_types), types being an array, or null where none were given. Types
+    count as sets, and only where the label is agreed: all given and equal, given in part, or in conflict.
+    """
+    key = F.array_join(F.array_sort(F.array_distinct("mutation_types")), ",")
+    people = votes.where("origin = 'HUMAN'").groupBy("pair_id").agg(
+        F.count_distinct("annotator").alias("voters"), F.count_distinct("label").alias("labels"), F.min("label").alias("label"),
+        F.count("*").alias("n"), F.count(key).alias("known"), F.count_distinct(key).alias("kinds"), F.min(key).alias("types"),
+    )
+    status = F.when(F.col("labels") > 1, "disagreement").when(F.col("voters") >= least, "agreed").otherwise("needs_human_votes")
+    agreed = F.col("status") == "agreed"
+    typed = F.when(~agreed | (F.col("known") == 0), "not_annotated").when(F.col("kinds") > 1, "disagreement").when(F.col("known") < F.col("n"), "incomplete").otherwise("agreed")
+    rows = people.withColumn("status", status).withColumn("mutation_status", typed)
+    return rows.select("pair_id", "voters", "status", F.when(agreed, F.col("label")).alias("label"), "mutation_status", F.when(F.col("mutation_status") == "agreed", F.col("types")).alias("mutation_types"))
+
+
 def weak_majority(votes: DataFrame) -> DataFrame:
     """Per pair and origin the label with most votes; ties are dropped."""
     counts = votes.groupBy("pair_id", "origin", "label").agg(F.count("*").alias("n"))

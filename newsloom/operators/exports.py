@@ -1,4 +1,4 @@
-"""Graph exports: vertices and edges of several labels in one table, written with a folder for each label."""
+"""Exports: vertices and edges of several labels in one table, with a folder for each label; predictions as CSV."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import csv_safe
 from newsloom.plans.staging import new_folder
 
 
@@ -48,3 +49,16 @@ def write_labelled(rows: DataFrame, by: str, path: str | None = None) -> DataFra
     path = path or new_folder(spark, "export")
     rows.write.partitionBy(by).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def write_predictions(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Write rows as CSV files with headers, cells that a spreadsheet would take for formulas marked, and read them back.
+
+    Quotes are doubled; line ends and blanks at either end are kept; empty cells come back as nulls.
+    """
+    spark = rows.sparkSession
+    path = path or new_folder(spark, "predictions")
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    safe = [csv_safe(F.col(n)).alias(n) if t == "string" else F.col(n) for n, t in rows.dtypes]
+    rows.select(*safe).write.options(**options).csv(path)
+    return spark.read.schema(rows.schema).options(multiLine=True, **options).csv(path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as tx
+from newsloom.functions.spans import ENTITY_KINDS
+
 
 #: White space as Python's str.split() sees it.
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
@@ -56,3 +59,17 @@ def sparse_cosine(weights: DataFrame, pairs: DataFrame) -> DataFrame:
     left = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
     right = weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
     return pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+
+
+def entity_set(text: Column, longest: int = 500) -> Column:
+    """Distinct lower-cased entities of a text's beginning: money, shares, years, names and capitalised tokens."""
+    head = F.substring(text, 1, longest)
+    found = [F.regexp_extract_all(head, F.lit(p), F.lit(0)) for p in ENTITY_KINDS.values()]
+    return F.array_distinct(F.filter(F.transform(F.concat(*found, tx.entity_tokens(head)), lambda t: F.lower(t)), lambda t: F.length(t) > 1))
+
+
+def entity_overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two entity sets, and .1 for each pair of which one holds the other (three at most); null if
+    either is empty."""
+    partial = F.aggregate(a, F.lit(0), lambda n, x: n + F.size(F.filter(b, lambda y: (y != x) & (F.contains(y, x) | F.contains(x, y)))))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), tx.jaccard(a, b) + 0.1 * F.least(partial, F.lit(3)))

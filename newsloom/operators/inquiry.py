@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as tx
 from newsloom.operators import vectors, verdicts
 from newsloom.operators.graph import both_ways
 from newsloom.plans.staging import stage
 
 MAX_CANDIDATES, LEAST_CANDIDATES = 96, 24
+#: What a check warns of.
 NO_EVIDENCE = "No eligible evidence was found in the bounded corpus search."
 NEUTRAL = "Retrieved evidence did not establish entailment or contradiction."
 NO_TIME = "Some current-corpus evidence has unknown publication time."
 NO_DOMAIN = "Some evidence lacks a domain; source independence cannot be assessed."
+EXTRACTED = "Some evidence uses extracted-claim text (passage_source='extracted_claim'), not an article quotation; the extraction itself is unverified."
 
 
 def eligible(base: DataFrame, cutoff_s: int, historical: bool = False) -> DataFrame:
@@ -40,33 +43,86 @@ def select_evidence(found: DataFrame, limit: int) -> DataFrame:
     return turned.withColumn("turn", turn).where(F.col("turn") <= limit).drop("r", "place", "round", "first")
 
 
+def nearest_claims(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """(q, score and the columns of held but v): of each claim (q, qv) the k nearest rows of held (id, v, vec) other than
+    itself, ties to the lower id.
+
+    Rows of one `vec` share a vector, which meets the claims once: the nearest k claims lie on the nearest k vectors, one
+    more where the claim itself may stand alone on one. Of equal vectors those of the lower `vec` should have the lower ids.
+    """
+    each = held.select(F.col("vec").alias("id"), "v").dropDuplicates(["id"])
+    near = vectors.nearest(asked.select("q", "qv"), each, k + 1, keep_own=True)
+    met = near.select("q", F.col("id").alias("vec"), "score").join(held.drop("v"), "vec").where(F.col("id") != F.col("q"))
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
+    return met.withColumn("place", place).where(F.col("place") <= k).drop("place", "vec")
+
+
 def check_claims(
-    asked: DataFrame, base: DataFrame, stances: DataFrame | None, cutoff_s: int, limit: int = 6, least: float = 0.6, historical: bool = False, judge: Column | None = None
+    asked: DataFrame,
+    base: DataFrame,
+    stances: DataFrame | None,
+    cutoff_s: int,
+    limit: int = 6,
+    least: float = 0.6,
+    historical: bool = False,
+    judge: Column | None = None,
+    articles: DataFrame | None = None,
 ) -> DataFrame:
     """(q, turn, id, domain, score, stance, assessment, warnings): a row for each piece of evidence, one row without any.
 
-    asked: (q, qv, own_domain, own_origin). base: (id, v, domain, origin, published_s, collected_s, extracted_s), origin
-    being its syndication group. stances: (q, id, stance), neutral where a pair is missing, or `judge`, an expression over q and id. Of each claim the 8 * limit
-    (24 to 96) nearest eligible rows are candidates, those below `least` are dropped.
+    asked: (q, qv, own_domain, own_origin, q_text). base: (id, v, domain, origin, published_s, collected_s, extracted_s,
+    text, article_id, vec), origin being its syndication group and vec, if it is there, the vector that several rows share.
+    stances: (q, id, stance), neutral where a pair is missing, or `judge`, an expression over q_text and passage. With
+    articles (article_id, content) a piece's passage is the stretch of its body that fits the claim best, and the columns
+    passage and passage_source follow; without, its own text is judged. q_text, text and article_id are needed only for
+    these two. Of each claim the 8 * limit (24 to 96) nearest eligible rows are candidates, those below `least` are dropped.
     """
-    held = stage(eligible(base, cutoff_s, historical), "check-base")
+    base = base if "vec" in base.columns else base.withColumn("vec", F.col("id"))
+    held = stage(eligible(base, cutoff_s, historical).drop("collected_s", "extracted_s"), "check-base")
     k = min(MAX_CANDIDATES, max(LEAST_CANDIDATES, 8 * limit))
-    near = vectors.nearest(asked.select("q", "qv"), held.select("id", "v"), k).where(F.col("score") >= least)
-    found = near.join(held.select("id", "domain", "origin", "published_s"), "id").join(asked.select("q", "own_domain", "own_origin"), "q")
-    chosen = select_evidence(found, limit)
+    found = nearest_claims(asked, held, k).where(F.col("score") >= least).join(asked.drop("qv"), "q")
+    chosen = stage(select_evidence(found, limit), "check-chosen")
+    shown = []
+    if articles is not None:
+        pairs = chosen.select(F.col("q").alias("claim_id"), F.col("q_text").alias("claim_text"), "article_id", F.col("text").alias("candidate"))
+        bodies = articles.join(chosen.select("article_id").distinct(), "article_id", "left_semi")
+        chosen = chosen.join(verdicts.body_passage(pairs, bodies).toDF("q", "article_id", "passage", "passage_source"), ["q", "article_id"])
+        shown = ["passage", "passage_source"]
+    elif "text" in chosen.columns:
+        chosen = chosen.withColumn("passage", F.col("text"))
     chosen = chosen.withColumn("stance", judge) if stances is None else chosen.join(stances, ["q", "id"], "left")
     chosen = chosen.withColumn("stance", F.coalesce("stance", F.lit("neutral")))
-    chosen = stage(chosen.select("q", "turn", "id", "domain", "score", "stance", "published_s"), "check-evidence")
+    chosen = stage(chosen.select("q", "turn", "id", "domain", "score", "stance", "published_s", *shown), "check-evidence")
     judged = verdicts.assessment(chosen.select(F.col("q").alias("claim_id"), "stance")).withColumnRenamed("claim_id", "q")
+    extracted = F.col("passage_source") == "extracted_claim" if shown else F.lit(False)
     notes = chosen.groupBy("q").agg(
-        F.bool_or(F.col("published_s").isNull()).alias("no_time"), F.bool_or(F.col("domain").isNull()).alias("no_domain"), F.bool_and(F.col("stance") == "neutral").alias("neutral")
+        F.bool_or(F.col("published_s").isNull()).alias("no_time"),
+        F.bool_or(F.col("domain").isNull()).alias("no_domain"),
+        F.bool_and(F.col("stance") == "neutral").alias("neutral"),
+        F.bool_or(extracted).alias("extracted"),
     )
     warnings = F.array(
-        F.when(F.col("no_time").isNull(), NO_EVIDENCE), F.when(F.col("no_time"), NO_TIME), F.when(F.col("no_domain"), NO_DOMAIN), F.when(F.col("neutral"), NEUTRAL)
+        F.when(F.col("extracted"), EXTRACTED), F.when(F.col("no_time").isNull(), NO_EVIDENCE), F.when(F.col("no_time"), NO_TIME), F.when(F.col("no_domain"), NO_DOMAIN), F.when(F.col("neutral"), NEUTRAL)
     )
     heads = asked.select("q").join(judged, "q", "left").join(notes, "q", "left")
     heads = heads.select("q", F.coalesce("assessment", F.lit("insufficient")).alias("assessment"), F.array_compact(warnings).alias("warnings"))
-    return heads.join(chosen.drop("published_s"), "q", "left").select("q", "turn", "id", "domain", F.round("score", 5).alias("score"), "stance", "assessment", "warnings")
+    rows = heads.join(chosen.drop("published_s"), "q", "left")
+    return rows.select("q", "turn", "id", "domain", F.round("score", 5).alias("score"), "stance", "assessment", "warnings", *shown)
+
+
+def typed_mutations(candidates: DataFrame, texts: DataFrame, evolved: float, similar: float, most: int = 50) -> DataFrame:
+    """(child, parent, kind, score, types): edges of candidates (child, parent, score), the first candidate whose whole text
+    says something else being the parent; types name its changes and are null for SIMILAR_TO.
+
+    texts: (id, text). Candidates are told apart by digests of their tokens; texts meet once for each child with a parent.
+    """
+    place = F.row_number().over(W.partitionBy("child").orderBy(F.desc("score"), "parent"))
+    top = stage(candidates.withColumn("place", place).where(F.col("place") <= most).drop("place"), "mutation-top")
+    said = texts.select("id", F.sha2(F.array_join(tx.tokens(F.col("text")), " "), 256).alias("said"))
+    both = top.select("child", "parent").join(said.toDF("child", "x"), "child").join(said.toDF("parent", "y"), "parent")
+    edges = stage(vectors.mutation_edges(top, both.select("child", "parent", (F.col("x") != F.col("y")).alias("meaningful")), evolved, similar, most), "mutation-edges")
+    pairs = edges.where("kind = 'EVOLVED_FROM'").select("child", "parent").join(texts.toDF("parent", "a"), "parent").join(texts.toDF("child", "b"), "child")
+    return edges.join(verdicts.text_change(pairs).select("child", "parent", "types"), ["child", "parent"], "left")
 
 
 def reach_within_budget(neighbours: DataFrame, roots: DataFrame, hops: int, most: int) -> DataFrame:

@@ -27,7 +27,7 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000, exclude_same: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000, exclude_same: str | None = None, keep_own: bool = False) -> DataFrame:
     """(q, id, score, place): for each query (q, qv) the k rows of base (id, v) of highest cosine, ties to the lower id.
 
     With exclude_same, a column of both sides, rows with the query's own value are left out before the best k are taken,
@@ -35,7 +35,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000,
 
     Both sides are dealt into blocks, whose numbers follow from their counts; each block of queries meets each block of
     base in a task of its own, where one matrix product gives every query its best k of the block, and the best of those
-    are kept. No task holds more than two blocks. A query's own id is left out. Vectors share one length.
+    are kept. No task holds more than two blocks. A query's own id is left out unless keep_own. Vectors share one length.
     """
     blocks, asking = (max(1, -(-df.count() // block_rows)) for df in (base, queries))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -53,7 +53,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 4000,
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(qs), 512):
             scores = mine[at : at + 512] @ unit.T
-            scores[qs[at : at + 512, None] == ids[None, :]] = -np.inf
+            if not keep_own:
+                scores[qs[at : at + 512, None] == ids[None, :]] = -np.inf
             if exclude_same:
                 scores[groups[at : min(at + 512, len(qs)), None] == groups[None, len(qs) :]] = -np.inf
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]

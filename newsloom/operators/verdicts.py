@@ -63,17 +63,46 @@ def pool(signals: DataFrame) -> DataFrame:
     return mean.select("claim_id", F.round(_clamp(1 / (1 + F.exp(-F.col("x"))), 0.02, 0.98), 4).alias("probability"))
 
 
+def signals(claims: DataFrame, evidence: DataFrame, priors: DataFrame, backed: DataFrame) -> DataFrame:
+    """(claim_id, name, value): the five signals of every claim; backed is their corroboration."""
+    one = lambda df, name, value: df.select("claim_id", F.lit(name).alias("name"), F.col(value).alias("value"))
+    language = claims.select("claim_id", tx.language_signal(F.col("claim_text")).alias("signal"))
+    found = one(backed, "corroboration", "corroboration").union(one(backed, "contradiction", "contradiction")).union(one(track_record(claims, priors), "track_record", "signal"))
+    return found.union(one(entity_signal(claims, entity_rows(claims)), "entity_grounding", "signal")).union(one(language, "language", "signal"))
+
+
 def score_claims(claims: DataFrame, evidence: DataFrame, priors: DataFrame) -> DataFrame:
     """claim_id, probability, band for every claim from its five signals."""
     backed = corroboration(claims, evidence)
-    one = lambda df, name, value: df.select("claim_id", F.lit(name).alias("name"), F.col(value).alias("value"))
-    language = claims.select("claim_id", tx.language_signal(F.col("claim_text")).alias("signal"))
-    signals = one(backed, "corroboration", "corroboration").union(one(backed, "contradiction", "contradiction")).union(one(track_record(claims, priors), "track_record", "signal"))
-    signals = signals.union(one(entity_signal(claims, entity_rows(claims)), "entity_grounding", "signal")).union(one(language, "language", "signal"))
-    rows = pool(signals).join(backed, "claim_id")
+    rows = pool(signals(claims, evidence, priors, backed)).join(backed, "claim_id")
     return rows.select("claim_id", "probability", tx.verdict_band(F.col("probability"), F.col("against") > 0, F.col("support") > 0).alias("band"))
 
 
+def strongest_factors(signals: DataFrame, most: int = 2) -> DataFrame:
+    """(claim_id, place, name, direction, value): the signals with the largest weighted log odds of each claim.
+
+    Equal ones come in the order of the weights; from .5 on a signal raises the score, below it lowers it.
+    """
+    names = list(lex.WEIGHTS)
+    weight = F.create_map(*[F.lit(x) for kv in lex.WEIGHTS.items() for x in kv])[F.col("name")]
+    held = _clamp(F.col("value"), 0.01, 0.99)
+    strength = F.round(F.abs(weight * F.log(held / (1 - held))), 9)
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name"))
+    rows = signals.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct((-strength).alias("s"), order.alias("o"), "name", "value"))).alias("all"))  # one row for each signal
+    top = rows.select("claim_id", F.posexplode(F.slice("all", 1, most)).alias("at", "x"))
+    direction = F.when(F.col("x.value") >= 0.5, "raises").otherwise("lowers")
+    return top.select("claim_id", (F.col("at") + 1).alias("place"), "x.name", direction.alias("direction"), F.round("x.value", 6).alias("value"))
+
+
+def stance_by_words(claim: Column, passage: Column, least: float = 0.1) -> Column:
+    """A stand-in where no stance model is at hand: neutral below `least` of shared words, else contradiction if words of
+    polarity or numbers differ, else entailment."""
+    near = tx.jaccard(tx.token_set(claim), tx.token_set(passage))
+    differ = lambda f: F.array_sort(f(claim)) != F.array_sort(f(passage))
+    against = differ(lambda c: tx.lexicon_tokens(c, "polarity")) | differ(tx.numeric_tokens)
+    return F.when(near < least, "neutral").when(against, "contradiction").when(near.isNotNull(), "entailment").otherwise("neutral")
+
+
 def assessment(stances: DataFrame) -> DataFrame:
     """Per claim: mixed, contradicting, supporting or insufficient, from (claim_id, stance)."""
     rows = stances.groupBy("claim_id").agg(F.bool_or(F.col("stance") == "entailment").alias("s"), F.bool_or(F.col("stance") == "contradiction").alias("c"))

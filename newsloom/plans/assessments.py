@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
-from newsloom.operators import datasets, evaluation, features, modelling, ranking, vectors, verdicts
+from newsloom.functions.spans import ENTITY_KINDS
+from newsloom.operators import datasets, evaluation, features, graph, modelling, ranking, vectors, verdicts
 from newsloom.plans import catalog
 from newsloom.plans.catalog import query
 from newsloom.sources import domain
@@ -75,6 +76,47 @@ def ev_25(spark, sf_dir):
     return rows.join(near, "pair", "left").withColumn("score", score).select("from_id", "to_id", F.round("score", 6).alias("score"), label.alias("label"))
 
 
+def _entity_set_sql(column: str) -> str:
+    """Distinct lower-cased entities of a text's first 500 characters."""
+    head = f"substr({column}, 1, 500)"
+    kinds = ", ".join(f"regexp_extract_all({head}, '{p}')" for p in ENTITY_KINDS.values())
+    tokens = f"list_filter(regexp_extract_all({head}, '{catalog._TOKEN}'), lambda t: regexp_matches(t, '^([A-Z][a-zA-Z]{{2,}}|[A-Z]{{2}})$') AND lower(t) NOT IN ({catalog._in(catalog._COMMON)}))"
+    return f"list_distinct(list_filter(list_transform(flatten([{kinds}, {tokens}]), lambda t: lower(t)), lambda t: length(t) > 1))"
+
+
+@query(
+    "ev_25_entity_labels",
+    f""", two AS (SELECT r.from_id, r.to_id, {_entity_set_sql("a.claim_text")} AS x, {_entity_set_sql("b.claim_text")} AS y FROM relations r JOIN claims a ON a.claim_id = r.from_id JOIN claims b ON b.claim_id = r.to_id),
+    part AS (SELECT *, coalesce(list_sum(list_transform(x, lambda p: len(list_filter(y, lambda r: r <> p AND (contains(r, p) OR contains(p, r)))))), 0) AS partial FROM two),
+    s AS (SELECT from_id, to_id, CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE + 0.1::DOUBLE * least(partial, 3) END AS score FROM part)
+    SELECT from_id, to_id, round(score, 6) AS score, CASE WHEN score >= 0.5 THEN 'SAME_STORY' WHEN score >= 0.3 THEN 'EVOLVED' ELSE 'DISTINCT' END AS label FROM s""",
+)
+def ev_25_entities(spark, sf_dir):
+    """Relations labelled by shared entities, whole and in part; a side without entities makes them distinct."""
+    text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
+    rows = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "a"), "from_id").join(text.toDF("to_id", "b"), "to_id")
+    rows = rows.select("from_id", "to_id", features.entity_set(F.col("a")).alias("x"), features.entity_set(F.col("b")).alias("y"))
+    score = features.entity_overlap(F.col("x"), F.col("y"))
+    label = F.when(F.col("score") >= 0.5, "SAME_STORY").when(F.col("score") >= 0.3, "EVOLVED").otherwise("DISTINCT")
+    return rows.withColumn("score", score).select("from_id", "to_id", F.round("score", 6).alias("score"), label.alias("label"))
+
+
+_TYPES = "CASE WHEN voted_s % 7 = 0 THEN NULL WHEN voted_s % 11 = 0 THEN {0}'FRAMING_SHIFT'{1} WHEN annotator = 'user:2' THEN {0}'WORDING_DRIFT', 'NUMERIC_DRIFT', 'WORDING_DRIFT'{1} ELSE {0}'NUMERIC_DRIFT', 'WORDING_DRIFT'{1} END"
+
+
+@query(
+    "ev_11_consensus_on_types",
+    f""", typed AS (SELECT pair_id, annotator, label, array_to_string(list_sort(list_distinct({_TYPES.format("[", "]")})), ',') AS types FROM votes WHERE origin = 'HUMAN'),
+    people AS (SELECT pair_id, count(DISTINCT annotator) AS voters, count(DISTINCT label) AS labels, min(label) AS label, count(*) AS n, count(types) AS known, count(DISTINCT types) AS kinds, min(types) AS types FROM typed GROUP BY pair_id),
+    judged AS (SELECT *, CASE WHEN labels > 1 THEN 'disagreement' WHEN voters >= 2 THEN 'agreed' ELSE 'needs_human_votes' END AS status FROM people),
+    marked AS (SELECT *, CASE WHEN status <> 'agreed' OR known = 0 THEN 'not_annotated' WHEN kinds > 1 THEN 'disagreement' WHEN known < n THEN 'incomplete' ELSE 'agreed' END AS mutation_status FROM judged)
+    SELECT pair_id, voters, status, CASE WHEN status = 'agreed' THEN label END AS label, mutation_status, CASE WHEN mutation_status = 'agreed' THEN types END AS mutation_types FROM marked""",
+)
+def ev_11_types(spark, sf_dir):
+    """Kinds of change follow from a vote's time and voter, for want of a column."""
+    return evaluation.typed_consensus(domain.votes(spark, sf_dir).withColumn("mutation_types", F.expr(_TYPES.format("array(", ")"))))
+
+
 @query(
     "ev_26_records_with_exclusions",
     f""", {_PEOPLE}, n AS (SELECT pair_id, count(*) AS n_votes FROM votes GROUP BY pair_id), r AS (SELECT p.pair_id, p.event_group, p.split, p.gold, coalesce(n_votes, 0) AS n_votes, CASE WHEN voters >= 2 AND labels = 1 THEN label END AS consensus FROM eval_pairs p LEFT JOIN n USING (pair_id) LEFT JOIN people USING (pair_id))
@@ -96,10 +138,12 @@ def win_9(spark, sf_dir):
 @query(
     "agg_18_whole_snapshot",
     """SELECT 'articles' AS name, count(*) AS n FROM articles UNION ALL SELECT 'claims', count(*) FROM claims UNION ALL SELECT 'embedded', count(embedding) FROM embeddings UNION ALL SELECT 'topics', count(DISTINCT topic_id) FROM claims WHERE topic_id >= 0
-    UNION ALL SELECT 'sources', count(DISTINCT domain) FROM articles UNION ALL SELECT kind, count(*) FROM relations GROUP BY kind UNION ALL SELECT 'first_s', min(published_s) FROM articles UNION ALL SELECT 'last_s', max(published_s) FROM articles""",
+    UNION ALL SELECT 'sources', count(DISTINCT domain) FROM articles UNION ALL SELECT kind, count(*) FROM relations GROUP BY kind UNION ALL SELECT 'first_s', min(published_s) FROM articles UNION ALL SELECT 'last_s', max(published_s) FROM articles
+    UNION ALL SELECT 'runs', count(*) FROM ev WHERE event_type = 'signup'
+    UNION ALL SELECT 'longest_chain', coalesce(max(n), 0) FROM (WITH RECURSIVE w AS (SELECT to_id AS at, 1 AS n FROM relations WHERE kind = 'EVOLVED_FROM' UNION ALL SELECT r.to_id, n + 1 FROM w JOIN relations r ON r.from_id = w.at AND r.kind = 'EVOLVED_FROM') SELECT max(n) AS n FROM w)""",
 )
 def agg_18(spark, sf_dir):
-    """Totals by name; the longest chain is gr_8_longest_chain."""
+    """Totals by name, with the longest chain; sign-ups stand for runs."""
     articles, claims = domain.articles(spark, sf_dir), domain.claims(spark, sf_dir)
     one = lambda df, name, value: df.agg(value.alias("n")).select(F.lit(name).alias("name"), "n")
     parts = [
@@ -111,6 +155,8 @@ def agg_18(spark, sf_dir):
         domain.relations(spark, sf_dir).groupBy(F.col("kind").alias("name")).agg(F.count("*").alias("n")),
         one(articles, "first_s", F.min("published_s")),
         one(articles, "last_s", F.max("published_s")),
+        one(domain.events(spark, sf_dir).where("event_type = 'signup'"), "runs", F.count("*")),
+        graph.longest_chain(domain.relations(spark, sf_dir).where("kind = 'EVOLVED_FROM'")).select(F.lit("longest_chain").alias("name"), F.col("longest_chain").cast("long").alias("n")),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -151,7 +197,7 @@ def pl_4(spark, sf_dir):
 
 @query(
     "gr_11_claim_graph_with_fallback",
-    f""", top AS (SELECT claim_id, vec_id, embedding FROM claims JOIN embeddings ON vec_id = article_id AND embedding IS NOT NULL WHERE verdict IS NOT NULL AND claim_id % 8 < 2 ORDER BY confidence DESC NULLS LAST, claim_id LIMIT 400),
+    f""", top AS (SELECT claim_id, vec_id, embedding FROM claims JOIN embeddings ON vec_id = article_id AND embedding IS NOT NULL WHERE verdict IS NOT NULL ORDER BY confidence DESC NULLS LAST, claim_id LIMIT 400),
     persisted AS (SELECT from_id, to_id, kind, 'persisted' AS source FROM relations WHERE from_id IN (SELECT claim_id FROM top) AND to_id IN (SELECT claim_id FROM top)),
     near AS (SELECT x.claim_id AS q, y.claim_id AS id, row_number() OVER (PARTITION BY x.claim_id ORDER BY {catalog._COS.format('x.embedding', 'y.embedding')} DESC, y.claim_id) AS r FROM top x JOIN top y ON x.claim_id <> y.claim_id)
     SELECT * FROM persisted UNION ALL SELECT DISTINCT least(q, id), greatest(q, id), 'SIMILAR_TO', 'nearest' FROM near WHERE r <= 4 AND NOT EXISTS (SELECT 1 FROM persisted)""",
@@ -159,7 +205,7 @@ def pl_4(spark, sf_dir):
 def gr_11(spark, sf_dir):
     """The most confident scored claims whose article has a vector; edges between them, or nearest neighbours if none."""
     rows = domain.table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("v"))
-    scored = domain.claims(spark, sf_dir).where("verdict is not null and claim_id % 8 < 2").join(rows, "article_id")
+    scored = domain.claims(spark, sf_dir).where("verdict is not null").join(rows, "article_id")
     return verdicts.claim_graph(scored.select("claim_id", "confidence", "v"), domain.relations(spark, sf_dir), 400, 4)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import lexicons as lex
 from newsloom.operators import alerts, exports, inquiry, verdicts
 from newsloom.plans import catalog
 from newsloom.plans.catalog import query
@@ -70,16 +71,24 @@ def gr_4(spark, sf_dir):
     return inquiry.lineages(edges, claims.select(F.col("claim_id").alias("node"), "published_s"), claims.select(F.col("claim_id").alias("root")))
 
 
-_STANCE = "CASE (q + id) % 5 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'neutral' WHEN 2 THEN 'neutral' ELSE 'entailment' END"
+def _words_sql(column: str) -> str:
+    """Sorted words of polarity and numbers of a text, each as a list."""
+    tokens = f"regexp_extract_all(lower({column}), '{catalog._TOKEN}')"
+    return f"list_sort(list_filter({tokens}, lambda x: x IN ({catalog._in(lex.POLARITY_WORDS)}))), list_sort(list_filter({tokens}, lambda x: regexp_matches(x, '^[+\\-]?\\$?[0-9]')))"
+
+
+_SHARED = f"len(list_intersect({catalog._SET.format('q_text')}, {catalog._SET.format('text')}))"
+_UNION = f"len(list_distinct(list_concat({catalog._SET.format('q_text')}, {catalog._SET.format('text')})))"
+_STANCE = f"""CASE WHEN {_UNION} = 0 OR {_SHARED} / {_UNION}::DOUBLE < 0.1 THEN 'neutral' WHEN ({_words_sql('q_text')}) <> ({_words_sql('text')}) THEN 'contradiction' ELSE 'entailment' END"""
 
 
 @query(
     "pl_10_claim_check",
     f""", origin AS (SELECT article_id, min(article_id) OVER (PARTITION BY content_hash) AS origin FROM articles),
-    base AS (SELECT c.claim_id AS id, v.embedding AS v, c.domain, o.origin, c.published_s, a.collected_s, c.extracted_s, v.vec_id FROM embeddings v JOIN claims c ON c.claim_id = v.vec_id * 8 JOIN articles a ON a.article_id = c.article_id JOIN origin o ON o.article_id = c.article_id),
+    base AS (SELECT c.claim_id AS id, v.embedding AS v, c.domain, o.origin, c.published_s, a.collected_s, c.extracted_s, c.claim_text AS text FROM embeddings v JOIN claims c ON c.article_id = v.vec_id JOIN articles a ON a.article_id = c.article_id JOIN origin o ON o.article_id = c.article_id WHERE v.embedding IS NOT NULL),
     held AS (SELECT * FROM base WHERE extracted_s <= {catalog._NOW} AND collected_s <= {catalog._NOW} AND coalesce(published_s <= {catalog._NOW}, TRUE)),
-    asked AS (SELECT id AS q, v AS qv, domain AS own_domain, origin AS own_origin FROM base WHERE vec_id % 100 = 0),
-    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM (SELECT a.q, a.own_domain, a.own_origin, h.id, h.domain, h.origin, h.published_s, {catalog._COS.format("a.qv", "h.v")} AS score FROM asked a JOIN held h ON h.id <> a.q)) WHERE r <= 48 AND score >= 0.1),
+    asked AS (SELECT id AS q, v AS qv, domain AS own_domain, origin AS own_origin, text AS q_text FROM base WHERE id % 100 = 0),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM (SELECT a.q, a.own_domain, a.own_origin, a.q_text, h.id, h.domain, h.origin, h.published_s, h.text, {catalog._COS.format("a.qv", "h.v")} AS score FROM asked a JOIN held h ON h.id <> a.q)) WHERE r <= 48 AND score >= 0.1),
     once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, origin ORDER BY score DESC, id) AS o FROM near WHERE domain <> own_domain AND origin <> own_origin) WHERE o = 1),
     placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS place FROM once),
     turned AS (SELECT *, row_number() OVER (PARTITION BY q, domain ORDER BY place) AS round, min(place) OVER (PARTITION BY q, domain) AS first FROM placed),
@@ -90,13 +99,68 @@ _STANCE = "CASE (q + id) % 5 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'neutral' W
     FROM head LEFT JOIN chosen USING (q)""",
 )
 def pl_10(spark, sf_dir):
-    """Claims whose vector's id is divisible by 100 against all claims with a vector; stances are a stand-in by id."""
-    rows = domain.table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", (F.col("vec_id") * 8).alias("claim_id"), F.col("embedding").alias("v"))
-    articles = domain.articles(spark, sf_dir)
-    firsts = articles.groupBy("content_hash").agg(F.min("article_id").alias("origin"))
-    origin = articles.join(firsts, "content_hash").select("article_id", "origin", "collected_s")
-    base = rows.join(domain.claims(spark, sf_dir), "claim_id").join(origin, "article_id").select("vec_id", F.col("claim_id").alias("id"), "v", "domain", "origin", "published_s", "collected_s", "extracted_s")
-    asked = base.where("vec_id % 100 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("domain").alias("own_domain"), F.col("origin").alias("own_origin"))
-    stance = F.expr("case (q + id) % 5 when 0 then 'contradiction' when 1 then 'neutral' when 2 then 'neutral' else 'entailment' end")
-    found = inquiry.check_claims(asked, base.drop("vec_id"), None, catalog._now(spark, sf_dir), least=0.1, judge=stance)
+    """Claims whose id is divisible by 100 against all claims with a vector, which is their article's; stances by words."""
+    return _checked(spark, sf_dir)
+
+
+@query("pl_10_with_passages")
+def pl_10_passages(spark, sf_dir):
+    """The same with the passage of each piece of evidence, searched in the whole body; the passage is judged."""
+    return _checked(spark, sf_dir, domain.articles(spark, sf_dir).select("article_id", "content"))
+
+
+def _checked(spark, sf_dir, articles=None):
+    rows = domain.table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("v"))
+    known = domain.articles(spark, sf_dir)
+    firsts = known.groupBy("content_hash").agg(F.min("article_id").alias("origin"))
+    origin = known.select("article_id", "content_hash", "collected_s").join(firsts, "content_hash").drop("content_hash")
+    base = rows.join(domain.claims(spark, sf_dir).drop("collected_s"), "article_id").join(origin, "article_id")
+    base = base.select(F.col("claim_id").alias("id"), "v", "domain", "origin", "published_s", "collected_s", "extracted_s", F.col("claim_text").alias("text"), "article_id", F.col("article_id").alias("vec"))
+    asked = base.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("domain").alias("own_domain"), F.col("origin").alias("own_origin"), F.col("text").alias("q_text"))
+    judge = verdicts.stance_by_words(F.col("q_text"), F.col("passage"))
+    found = inquiry.check_claims(asked, base, None, catalog._now(spark, sf_dir), least=0.1, judge=judge, articles=articles)
     return found.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+_SAID = f"SELECT article_id, array_to_string(regexp_extract_all(lower(content), '{catalog._TOKEN}'), ' ') AS said FROM articles"
+
+
+@query(
+    "pl_7_typed_edges",
+    f"""{catalog._CAND}, said AS ({_SAID}),
+    r AS (SELECT child, parent, score, x.said <> y.said AS differs, row_number() OVER (PARTITION BY child ORDER BY score DESC, parent) AS place FROM cand JOIN said x ON x.article_id = child JOIN said y ON y.article_id = parent),
+    f AS (SELECT *, min(CASE WHEN differs AND score >= 0.3 THEN place END) OVER (PARTITION BY child) AS first FROM r WHERE place <= 50),
+    named AS (SELECT * FROM (SELECT child, parent, score, CASE WHEN place = first THEN 'EVOLVED_FROM' WHEN score >= 0.2 THEN 'SIMILAR_TO' END AS kind FROM f) WHERE kind IS NOT NULL),
+    texts AS (SELECT child, parent, p.content AS a, c.content AS b FROM named JOIN articles p ON p.article_id = parent JOIN articles c ON c.article_id = child WHERE kind = 'EVOLVED_FROM'),
+    {catalog.change_sql("texts", "child, parent")}
+    SELECT child, parent, kind, round(score, 4) AS score, types FROM named LEFT JOIN changed USING (child, parent)""",
+)
+def pl_7(spark, sf_dir):
+    """Edges among earlier articles of a topic by whole texts, with the kinds of change of each child and its parent."""
+    rows, found = catalog._candidates(spark, sf_dir)
+    texts = domain.articles(spark, sf_dir).select(F.col("article_id").alias("id"), F.col("content").alias("text"))
+    return inquiry.typed_mutations(found, texts.join(rows.select("id"), "id", "left_semi"), 0.3, 0.2)
+
+
+_SIGNALS = {"corroboration": "corroboration AS v FROM corr", "contradiction": "contradiction FROM corr", "track_record": "signal FROM track", "entity_grounding": "signal FROM entity", "language": "signal FROM lang"}
+_SIG = " UNION ALL ".join(f"SELECT claim_id, {k} AS o, '{name}' AS name, {lex.WEIGHTS[name]}::DOUBLE AS w, {rest}" for k, (name, rest) in enumerate(_SIGNALS.items()))
+
+
+@query(
+    "pl_13_strongest_factors",
+    f"""{catalog._ENT}{catalog._EVID}{catalog._PRIORS}, lang AS ({catalog._language_sql()}), sig AS ({_SIG}),
+    strong AS (SELECT *, round(abs(w * ln(h / (1 - h))), 9) AS s FROM (SELECT *, least(0.99::DOUBLE, greatest(0.01::DOUBLE, v)) AS h FROM sig)),
+    placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY s DESC, o) AS INTEGER) AS place FROM strong)
+    SELECT claim_id, place, name, CASE WHEN v >= 0.5 THEN 'raises' ELSE 'lowers' END AS direction, round(v, 6) AS value FROM placed WHERE place <= 2""",
+)
+def pl_13(spark, sf_dir):
+    """The two signals that move each claim's score most."""
+    claims, evidence = domain.claims(spark, sf_dir), catalog._evidence(spark, sf_dir)
+    backed = verdicts.corroboration(claims, evidence)
+    return verdicts.strongest_factors(verdicts.signals(claims, evidence, catalog._priors(spark, sf_dir), backed))
+
+
+@query("snk_2_predictions_file", r"""SELECT page_id, nullif(regexp_replace(url, '^([=+\-@\t\r])', '''\1'), '') AS url, nullif(regexp_replace(html, '^([=+\-@\t\r])', '''\1'), '') AS html FROM pages""")
+def snk_2(spark, sf_dir):
+    """Pages through CSV files with safe cells and back."""
+    return exports.write_predictions(domain.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
