@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from newsloom.functions import text as tx
 from newsloom.functions.spans import ENTITY_KINDS
@@ -32,22 +38,39 @@ def ngram_tfidf(rows: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
     return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def pair_tfidf_cosine(pairs: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
-    """(pair, cosine) of the two texts of each pair (pair, a, b) by ngram_tfidf fitted on these two alone.
+def pair_cosine(low: int = 3, high: int = 5):
+    """A column function of two lower-cased texts: their cosine by ngram_tfidf fitted on these two alone, 0 without terms.
 
-    A term's document frequency is then 1 or 2, so one count per pair, term and side gives both vectors.
+    A term's document frequency is then 1 or 2, so a pair needs nothing beyond its row, and nothing is shuffled.
     """
-    texts = pairs.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("text")), F.struct(F.lit(1).alias("side"), F.col("b").alias("text")))).alias("x"))
-    words = F.filter(F.split(F.lower("x.text"), SPACE), lambda w: w != "")
-    padded = texts.select("pair", "x.side", F.explode(words).alias("t")).select("pair", "side", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
-    grams = F.flatten(F.array(*[F.when(F.length("t") >= n, _grams(n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]))
-    terms = padded.select("pair", "side", F.explode(grams).alias("term"))
-    both = terms.groupBy("pair", "term").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
-    shared = (F.col("x") > 0) & (F.col("y") > 0)
-    idf = F.when(shared, 1.0).otherwise(F.log(F.lit(1.5)) + 1)
-    weight = lambda c: F.when(F.col(c) > 0, (1 + F.log(F.col(c).cast("double"))) * idf).otherwise(0.0)
-    sums = both.withColumns({"u": weight("x"), "v": weight("y")}).groupBy("pair").agg(*[F.sum(F.col(p) * F.col(q)).alias(f"{p}{q}") for p, q in ("uv", "uu", "vv")])
-    return sums.select("pair", F.when((F.col("uu") > 0) & (F.col("vv") > 0), F.col("uv") / F.sqrt(F.col("uu") * F.col("vv"))).otherwise(F.lit(0.0)).alias("cosine"))
+
+    @pandas_udf(DoubleType())
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_two_texts(_counts(x, low, high), _counts(y, low, high)) for x, y in zip(a, b)], dtype="float64")
+
+    return cosine
+
+
+def _counts(text: str | None, low: int, high: int) -> Counter[str]:
+    found: Counter[str] = Counter()
+    for word in (text or "").split():
+        padded = f" {word} "
+        for n in range(low, high + 1):
+            found.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    return found
+
+
+def _two_texts(x: Counter[str], y: Counter[str]) -> float:
+    alone = math.log(1.5) + 1
+    shared = x.keys() & y.keys()
+    uv = sum((1 + math.log(x[t])) * (1 + math.log(y[t])) for t in shared)
+    uu, vv = (sum(((1 + math.log(n)) * (1.0 if t in shared else alone)) ** 2 for t, n in c.items()) for c in (x, y))
+    return uv / math.sqrt(uu * vv) if uu and vv else 0.0
+
+
+def pair_tfidf_cosine(pairs: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
+    """(pair, cosine) of the two texts of each pair (pair, a, b)."""
+    return pairs.select("pair", pair_cosine(low, high)(F.lower("a"), F.lower("b")).alias("cosine"))
 
 
 def _grams(n: int):

@@ -68,12 +68,10 @@ def ev_25(spark, sf_dir):
     """Relations labelled by .4 word Jaccard and .6 cosine of character n-grams fitted on the pair."""
     text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
     rows = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "a"), "from_id").join(text.toDF("to_id", "b"), "to_id")
-    rows = rows.withColumn("pair", F.struct("from_id", "to_id"))
-    near = features.pair_tfidf_cosine(rows.select("pair", "a", "b"))
     words = tx.jaccard(tx.token_set(F.col("a")), tx.token_set(F.col("b")))
-    score = 0.4 * words + 0.6 * F.coalesce("cosine", F.lit(0.0))
+    score = 0.4 * words + 0.6 * features.pair_cosine()(F.lower("a"), F.lower("b"))
     label = F.when(F.col("score") >= 0.4, "SAME_STORY").when(F.col("score") >= 0.2, "EVOLVED").otherwise("DISTINCT")
-    return rows.join(near, "pair", "left").withColumn("score", score).select("from_id", "to_id", F.round("score", 6).alias("score"), label.alias("label"))
+    return rows.withColumn("score", score).select("from_id", "to_id", F.round("score", 6).alias("score"), label.alias("label"))
 
 
 def _entity_set_sql(column: str) -> str:
