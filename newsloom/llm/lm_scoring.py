@@ -8,7 +8,8 @@ model is counted over the target texts, the background model over all documents;
 without its own counts, so that no document vouches for itself. A document's score is the mean over its words of
 -log p_target + log p_background: the lower, the more like the target.
 
-The corpus is dealt into chunks by a hash of id and text. A chunk's task counts its own n-grams and returns each once;
+The corpus is dealt into chunks by a hash of id and text; rows that are equal in both are dealt one by one, so copies,
+however many, do not meet in one chunk. A chunk's task counts its own n-grams and returns each once;
 sums over all chunks make the background counts, which grow with the corpus. Counts and target probabilities are joined
 and aggregated as tables, one order after the other. Each chunk then receives those of its own n-grams and scores its
 documents. Counts are never broadcast or held whole by a task: a task holds one chunk and that chunk's n-grams.
@@ -92,6 +93,22 @@ def _merged(seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return grams, np.bincount(at, np.concatenate([n for _, n in seen]), len(grams)).astype(np.int64)
 
 
+def deal(rows: DataFrame, chunks: int) -> DataFrame:
+    """rows (doc_id, data) with their chunk, a hash of both; rows that occur several times are dealt one by one.
+
+    Those are found by digests, with partial counts before the shuffle, and are written with their chunks, so that
+    every reading of the table finds each row in the same chunk.
+    """
+    chunk = lambda *key: F.pmod(F.xxhash64(F.lit("chunk"), *key), F.lit(chunks)).cast("int")
+    keys = rows.groupBy("doc_id", F.md5("data").alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
+    again = stage(keys.select(F.col("doc_id").alias("id"), "digest"), "lm-copies")
+    if again.isEmpty():
+        return rows.withColumn("chunk", chunk("doc_id", "data"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.md5("data") == F.col("digest"))
+    copies = stage(rows.join(again, same, "left_semi").withColumn("chunk", chunk(F.monotonically_increasing_id())), "lm-copied-rows")
+    return rows.join(again, same, "left_anti").withColumn("chunk", chunk("doc_id", "data")).unionByName(copies)
+
+
 def chunk_counts(chunked: DataFrame, words: np.ndarray, order: int = ORDER) -> DataFrame:
     """(chunk, gram, n) for each n-gram of each chunk; chunked (chunk, data) is partitioned by chunk."""
     shared = chunked.sparkSession.sparkContext.broadcast(words)
@@ -184,7 +201,7 @@ def score_documents(docs: DataFrame, target: DataFrame, order: int = ORDER, stre
         return empty
     words = vocabulary(target)
     chunks = max(12, -(-total // chunk_bytes))
-    dealt = full.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc_id", "data"), F.lit(chunks)).cast("int"))
+    dealt = deal(full, chunks)
     counts = stage(chunk_counts(dealt.repartition(chunks, "chunk"), words, order), "lm-chunk-counts")
     aims = target.where("octet_length(text) > 0").select(F.pmod(F.xxhash64("text"), F.lit(8)).cast("int").alias("chunk"), data)
     aimed = chunk_counts(aims.repartition(8, "chunk"), words, order).select("gram", F.col("n").alias("t"), F.lit(0).cast("long").alias("b"))

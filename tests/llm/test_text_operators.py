@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from newsloom.llm import language_id, lm_scoring, sentencepiece_codec, toxicity
 
@@ -281,6 +282,18 @@ def test_lm_odd_rows(spark, odd):
     assert lm_scoring.score_documents(odd.limit(0), none).count() == 0
 
 
+def test_lm_copies_are_dealt_one_by_one(spark):
+    rows = [(None, "the cat sat")] * 3000 + [(7, "the cat sat")] * 40 + [(i, f"on the mat {i}") for i in range(100, 160)] + [(None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = lm_scoring.deal(docs.select("doc_id", F.col("text").cast("binary").alias("data")), 12)
+    counts = {r["chunk"]: r["count"] for r in dealt.where("doc_id is null").groupBy("chunk").count().collect()}
+    assert sum(counts.values()) == 3001 and len(counts) == 12 and max(counts.values()) < 600
+    first, second = (sorted((r["doc_id"] or 0, r["chunk"]) for r in dealt.collect()) for _ in range(2))
+    assert first == second and len(first) == len(rows)
+    found = lm_scoring.score_documents(docs, spark.createDataFrame([("the cat sat",)], "text string")).collect()
+    assert len(found) == len(rows) and len({r["score"] for r in found if r["n_tokens"] == 3}) == 1
+
+
 def test_lm_pieces_do_not_matter():
     texts = [b"a b c a", b"", b"x", b"hello a b world"]
     words = np.sort(np.unique(np.concatenate([lm_scoring.word_hashes(t) for t in texts[:1]])))
