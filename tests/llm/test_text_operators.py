@@ -231,9 +231,11 @@ def test_encoding_rows(spark, odd):
 # ---------------------------------------------------------------- language models
 
 
-def plain_scores(docs, target, order, strength=lm_scoring.STRENGTH):
+def plain_scores(docs, target, order, common, strength=lm_scoring.STRENGTH):
     """Word models from dictionaries; the background of a document is counted anew over all others."""
-    known = {w for t in target for w in t.lower().split()}
+    aimed = {w for t in target for w in t.lower().split()}
+    everywhere = collections.Counter(w for t in docs for w in (t or "").lower().split())
+    known = aimed | {w for w, n in everywhere.items() if n * common >= everywhere.total()}
 
     def numbered(text):
         return ["<"] * (order - 1) + [w if w in known else "?" for w in (text or "").lower().split()]
@@ -247,11 +249,13 @@ def plain_scores(docs, target, order, strength=lm_scoring.STRENGTH):
                     contexts[tuple(w[i - k + 1 : i]), k] += 1
         return counts, contexts
 
+    pooled = collections.Counter(w for t in [*docs, *target] for w in numbered(t)[order - 1 :])
+
     def p(model, gram):
-        q = 1 / (len(known) + 1)
+        q = pooled[gram[-1]] / pooled.total()
         for k in range(1, order + 1):
-            x = tuple(gram[order - k :])
-            q = (model[0][x] + strength * q) / (model[1][x[:-1], k] + strength)
+            x, weight = tuple(gram[order - k :]), strength if k > 1 else len(aimed)
+            q = (model[0][x] + weight * q) / (model[1][x[:-1], k] + weight)
         return q
 
     aim, out = counted(target), []
@@ -262,17 +266,32 @@ def plain_scores(docs, target, order, strength=lm_scoring.STRENGTH):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores(spark, order):
+@pytest.mark.parametrize(("order", "common"), [(1, 50), (2, 50), (3, 50), (2, 3), (2, lm_scoring.COMMON)])
+def test_lm_scores(spark, order, common):
     texts = ["the cat sat on the mat", "A cat", "z", None, "", " \t", "über die brücke", "the cat sat on the mat", "zzzz the \0 qqqq " * 50]
     target = ["The cat sat", "on the mat the dog sat", "\0 über"]
     aims = spark.createDataFrame([(t,) for t in [*target, None, ""]], "text string")
-    found = {r["doc_id"]: r for r in lm_scoring.score_documents(make(spark, [(i, t, "en") for i, t in enumerate(texts)]), aims, order=order).collect()}
+    found = {r["doc_id"]: r for r in lm_scoring.score_documents(make(spark, [(i, t, "en") for i, t in enumerate(texts)]), aims, order=order, common=common).collect()}
     assert len(found) == len(texts)
-    for i, (want, n) in enumerate(plain_scores(texts, target, order)):
+    for i, (want, n) in enumerate(plain_scores(texts, target, order, common)):
         assert found[i]["score"] == (pytest.approx(want, abs=1e-9) if want is not None else None)
         assert found[i]["n_tokens"] == n
-    assert found[0]["score"] == found[7]["score"] < found[8]["score"]
+    assert found[0]["score"] == found[7]["score"]
+
+
+def test_lm_runs_of_the_target_come_first(spark):
+    """Texts that hold 20 words of the target in a row come before others, whose words may be the target's too."""
+    rng = random.Random(4)
+    pool = [f"w{k}" for k in range(3000)]
+    aims = [" ".join(rng.choice(pool[:600]) for _ in range(30)) for _ in range(40)]
+    shares = [rng.random() for _ in range(400)]
+    texts = [" ".join(rng.choice(pool[:600]) if rng.random() < share else rng.choice(pool[600:]) for _ in range(60)) for share in shares]
+    for k in range(0, 400, 10):
+        texts[k] += " " + " ".join(aims[k // 10].split()[5:25])
+    docs = make(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    found = lm_scoring.score_documents(docs, spark.createDataFrame([(t,) for t in aims], "text string"))
+    scores = [r["score"] for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+    assert max(scores[k] for k in range(0, 400, 10)) < min(scores[k] for k in range(400) if k % 10 and shares[k] < 0.5)
 
 
 def test_lm_odd_rows(spark, odd):
