@@ -9,8 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from newsloom.functions.text import TOKEN
+from newsloom.operators.verdicts import change_kinds
 
 _TOKEN = re.compile(TOKEN)
 
@@ -56,14 +58,34 @@ def _difference(older: str | None, newer: str | None) -> tuple[float, str]:
     return (2.0 * sum(n for _, _, n in runs) / total if total else 1.0), json.dumps(spans)
 
 
-def token_differences(pairs: DataFrame) -> DataFrame:
+def token_differences(pairs: DataFrame, *carried: str) -> DataFrame:
     """(from_id, to_id, ratio, changed_spans) for pairs (from_id, to_id, a, b): similarity of the token sequences of older
     text a and newer text b, twice the tokens in common runs over all tokens (1 without tokens), and the changed spans as
-    JSON, offsets in code points of each text."""
+    JSON, offsets in code points of each text. Columns named besides are carried along."""
+    rows = pairs.select("from_id", "to_id", *carried, "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_difference(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.string())], names=["from_id", "to_id", "ratio", "changed_spans"])
+            *kept, older, newer = batch.columns
+            found = [_difference(a, b) for a, b in zip(older.to_pylist(), newer.to_pylist())]
+            made = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=["from_id", "to_id", *carried, "ratio", "changed_spans"])
 
-    return pairs.select("from_id", "to_id", "a", "b").mapInArrow(run, "from_id long, to_id long, ratio double, changed_spans string")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    return rows.mapInArrow(run, f"{kept}, ratio double, changed_spans string")
+
+
+def whole_changes(pairs: DataFrame) -> DataFrame:
+    """(from_id, to_id, types, ratio, changed_spans, meaningful, temporal_order, lag_s) for pairs with a, b, older_s, newer_s.
+
+    A pair without changed spans is a NEAR_DUPLICATE. Others have their kinds of change, and FRAMING_SHIFT if the ratio is
+    below .65, or else WORDING_DRIFT if it is below .9 or no kind was found. The order is unknown where a time is null.
+    Null texts count as empty.
+    """
+    texts = pairs.withColumns({"a": F.coalesce("a", F.lit("")), "b": F.coalesce("b", F.lit(""))})
+    texts = texts.withColumns({"kinds": F.array_join(change_kinds(F.col("a"), F.col("b")), ","), "lag_s": (F.col("newer_s") - F.col("older_s")).cast("long")})
+    rows = token_differences(texts, "kinds", "lag_s").withColumn("meaningful", F.col("changed_spans") != "[]")
+    style = F.when(F.col("ratio") < 0.65, "FRAMING_SHIFT").when((F.col("ratio") < 0.9) | (F.col("kinds") == ""), "WORDING_DRIFT")
+    types = F.when(~F.col("meaningful"), "NEAR_DUPLICATE").otherwise(F.concat_ws(",", F.when(F.col("kinds") != "", F.col("kinds")), style))
+    order = F.when(F.col("lag_s").isNull(), "unknown").when(F.col("lag_s") > 0, "strictly_older").when(F.col("lag_s") == 0, "equal").otherwise("reversed")
+    return rows.select("from_id", "to_id", types.alias("types"), "ratio", "changed_spans", "meaningful", order.alias("temporal_order"), "lag_s")

@@ -161,12 +161,17 @@ def body_passage(pairs: DataFrame, articles: DataFrame, most: int = 1000) -> Dat
     return rows.select("claim_id", "article_id", F.when(bare, F.col("candidate")).otherwise(part).alias("passage"), F.when(bare, "extracted_claim").otherwise("content").alias("source"))
 
 
-def text_change(pairs: DataFrame) -> DataFrame:
-    """Kinds of change between older and newer text (a, b), by comparing each lexicon's tokens; NEAR_DUPLICATE if none."""
+def change_kinds(a: Column, b: Column) -> Column:
+    """Kinds of change from older text a to newer text b, an array: those whose tokens differ as multisets."""
     kinds = [("NUMERIC_DRIFT", tx.numeric_tokens), ("ENTITY_SUBSTITUTION", tx.entity_tokens)]
     kinds += [(n, lambda c, k=k: tx.lexicon_tokens(c, k)) for n, k in (("POLARITY_SHIFT", "polarity"), ("HEDGING_SHIFT", "hedge"), ("ATTRIBUTION_SHIFT", "attribution"), ("SCOPE_SHIFT", "scope"))]
+    return F.array_compact(F.array(*[F.when(F.array_sort(f(a)) != F.array_sort(f(b)), F.lit(n)) for n, f in kinds]))
+
+
+def text_change(pairs: DataFrame) -> DataFrame:
+    """Kinds of change between older and newer text (a, b), by comparing each lexicon's tokens; NEAR_DUPLICATE if none."""
     a, b = F.col("a"), F.col("b")
-    typed = F.array_compact(F.array(*[F.when(F.array_sort(f(a)) != F.array_sort(f(b)), F.lit(n)) for n, f in kinds]))
+    typed = change_kinds(a, b)
     near = tx.jaccard(tx.token_set(a), tx.token_set(b), 1.0)
     rows = pairs.withColumn("typed", typed).withColumn("overlap", near).withColumn("same", F.array_join(tx.tokens(a), " ") == F.array_join(tx.tokens(b), " "))
     style = F.when(F.col("overlap") < 0.65, F.array(F.lit("FRAMING_SHIFT"))).when((F.col("overlap") < 0.9) | (F.size("typed") == 0), F.array(F.lit("WORDING_DRIFT"))).otherwise(F.array().cast("array<string>"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicons as lex
 from newsloom.functions import text as tx
 from newsloom.functions.spans import ENTITY_KINDS
-from newsloom.operators import datasets, evaluation, features, graph, modelling, ranking, vectors, verdicts
+from newsloom.operators import datasets, evaluation, features, graph, modelling, ranking, records, vectors, verdicts
 from newsloom.plans import catalog
 from newsloom.plans.catalog import query
 from newsloom.sources import domain
@@ -102,12 +102,15 @@ def ev_25_entities(spark, sf_dir):
 _TYPES = "CASE WHEN voted_s % 7 = 0 THEN NULL WHEN voted_s % 11 = 0 THEN {0}'FRAMING_SHIFT'{1} WHEN annotator = 'user:2' THEN {0}'WORDING_DRIFT', 'NUMERIC_DRIFT', 'WORDING_DRIFT'{1} ELSE {0}'NUMERIC_DRIFT', 'WORDING_DRIFT'{1} END"
 
 
-@query(
-    "ev_11_consensus_on_types",
-    f""", typed AS (SELECT pair_id, annotator, label, array_to_string(list_sort(list_distinct({_TYPES.format("[", "]")})), ',') AS types FROM votes WHERE origin = 'HUMAN'),
+_MARKED = f""", typed AS (SELECT pair_id, annotator, label, array_to_string(list_sort(list_distinct({_TYPES.format("[", "]")})), ',') AS types FROM votes WHERE origin = 'HUMAN'),
     people AS (SELECT pair_id, count(DISTINCT annotator) AS voters, count(DISTINCT label) AS labels, min(label) AS label, count(*) AS n, count(types) AS known, count(DISTINCT types) AS kinds, min(types) AS types FROM typed GROUP BY pair_id),
     judged AS (SELECT *, CASE WHEN labels > 1 THEN 'disagreement' WHEN voters >= 2 THEN 'agreed' ELSE 'needs_human_votes' END AS status FROM people),
-    marked AS (SELECT *, CASE WHEN status <> 'agreed' OR known = 0 THEN 'not_annotated' WHEN kinds > 1 THEN 'disagreement' WHEN known < n THEN 'incomplete' ELSE 'agreed' END AS mutation_status FROM judged)
+    marked AS (SELECT *, CASE WHEN status <> 'agreed' OR known = 0 THEN 'not_annotated' WHEN kinds > 1 THEN 'disagreement' WHEN known < n THEN 'incomplete' ELSE 'agreed' END AS mutation_status FROM judged)"""
+
+
+@query(
+    "ev_11_consensus_on_types",
+    f"""{_MARKED}
     SELECT pair_id, voters, status, CASE WHEN status = 'agreed' THEN label END AS label, mutation_status, CASE WHEN mutation_status = 'agreed' THEN types END AS mutation_types FROM marked""",
 )
 def ev_11_types(spark, sf_dir):
@@ -124,6 +127,58 @@ def ev_26(spark, sf_dir):
     return evaluation.export_records(domain.eval_pairs(spark, sf_dir), domain.votes(spark, sf_dir)).select("pair_id", "event_group", "split", "gold", "n_votes", "consensus", "excluded")
 
 
+_PAIR_RECORDS = f"""{_MARKED},
+    chosen AS (SELECT pair_id, event_group, CASE WHEN event_group % 13 <> 0 THEN split END AS split, sim_score, CASE WHEN gold = 1 THEN 'SAME_STORY' ELSE 'DISTINCT' END AS gold_label,
+      pair_id * 8 AS claim_a_id, pair_id * 8 + CASE WHEN pair_id % 29 = 0 THEN 0 ELSE 1 END AS claim_b_id FROM eval_pairs),
+    listed AS (SELECT pair_id, string_agg(concat_ws(':', origin, annotator, label, voted_s), ';' ORDER BY origin, annotator) AS votes, count(*) FILTER (WHERE origin = 'HUMAN') AS n_human, count(*) AS n_votes FROM votes GROUP BY pair_id),
+    said AS (SELECT o.*, a.claim_text AS text_a, b.claim_text AS text_b, {catalog._SET.format("a.claim_text")} AS wa, {catalog._SET.format("b.claim_text")} AS wb,
+      {catalog._ENTITY_SET.format("coalesce(a.claim_text, '')")} AS ea, {catalog._ENTITY_SET.format("coalesce(b.claim_text, '')")} AS eb
+      FROM chosen o LEFT JOIN claims a ON a.claim_id = claim_a_id LEFT JOIN claims b ON b.claim_id = claim_b_id),
+    filled AS (SELECT *, coalesce(status, 'needs_human_votes') AS stated, coalesce(mutation_status, 'not_annotated') AS on_types, CASE WHEN status = 'agreed' THEN label END AS consensus,
+      coalesce(votes, '') AS listed_votes, coalesce(n_human, 0) AS humans, coalesce(n_votes, 0) AS all_votes,
+      CASE WHEN text_a IS NOT NULL AND text_b IS NOT NULL THEN CASE WHEN len(wa) + len(wb) > 0 THEN len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb)))::DOUBLE ELSE 0.0 END END AS lexical,
+      CASE WHEN len(ea) + len(eb) > 0 THEN len(list_intersect(ea, eb)) / (len(ea) + len(eb) - len(list_intersect(ea, eb)))::DOUBLE END AS entity
+      FROM said LEFT JOIN listed USING (pair_id) LEFT JOIN marked USING (pair_id)),
+    records AS (SELECT pair_id, event_group, split, sim_score, gold_label, claim_a_id, claim_b_id, text_a, text_b, listed_votes AS votes, humans AS n_human, all_votes AS n_votes, stated AS status, consensus, on_types AS mutation_status,
+      CASE WHEN mutation_status = 'agreed' THEN types END AS mutation_types, round(lexical, 6) AS lexical_jaccard, round(entity, 6) AS entity_jaccard,
+      CASE WHEN stated <> 'agreed' THEN stated WHEN split IS NULL THEN 'unassigned_event_or_split' END AS excluded FROM filled)"""
+
+
+def _pair_records(spark, sf_dir):
+    """Pairs of an article's first two claims (of one claim, where the id is divisible by 29); some groups are not yet in a split."""
+    pairs = domain.eval_pairs(spark, sf_dir).select(
+        "pair_id", "event_group", F.when(F.col("event_group") % 13 != 0, F.col("split")).alias("split"), "sim_score",
+        F.when(F.col("gold") == 1, "SAME_STORY").otherwise("DISTINCT").alias("gold_label"),
+        (F.col("pair_id") * 8).alias("claim_a_id"), (F.col("pair_id") * 8 + F.when(F.col("pair_id") % 29 == 0, 0).otherwise(1)).alias("claim_b_id"),
+    )
+    text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
+    pairs = pairs.join(text.toDF("claim_a_id", "text_a"), "claim_a_id", "left").join(text.toDF("claim_b_id", "text_b"), "claim_b_id", "left")
+    return records.pair_records(pairs, domain.votes(spark, sf_dir).withColumn("mutation_types", F.expr(_TYPES.format("array(", ")"))))
+
+
+@query("ev_26_whole_records", _PAIR_RECORDS + " SELECT pair_id, event_group, split, gold_label, votes, n_human, n_votes, status, consensus, mutation_status, mutation_types, lexical_jaccard, entity_jaccard, excluded FROM records")
+def ev_26_whole(spark, sf_dir):
+    """Each pair with features, all votes, the people's consensus on label and kinds of change, and why it is left out."""
+    votes = F.array_join(F.transform("votes", lambda v: F.concat_ws(":", v["origin"], v["annotator"], v["label"], v["voted_s"].cast("string"))), ";")
+    rows = _pair_records(spark, sf_dir).withColumns({"votes": votes, "lexical_jaccard": F.round("lexical_jaccard", 6), "entity_jaccard": F.round("entity_jaccard", 6)})
+    return rows.select("pair_id", "event_group", "split", "gold_label", "votes", "n_human", "n_votes", "status", "consensus", "mutation_status", "mutation_types", "lexical_jaccard", "entity_jaccard", "excluded")
+
+
+@query("ev_26_exclusions", _PAIR_RECORDS + " SELECT coalesce(excluded, 'selected') AS reason, count(*) AS records FROM records GROUP BY ALL")
+def ev_26_exclusions(spark, sf_dir):
+    return records.exclusions(_pair_records(spark, sf_dir))
+
+
+@query(
+    "ev_15_invalid_records",
+    _PAIR_RECORDS + """ SELECT * FROM (SELECT pair_id, concat_ws(',', CASE WHEN split IS NULL THEN 'event_or_split' END, CASE WHEN claim_a_id = claim_b_id THEN 'self_pair' END,
+      CASE WHEN text_a IS NULL OR text_b IS NULL THEN 'text' END, CASE WHEN n_human = 0 THEN 'human_votes' END, CASE WHEN status <> 'agreed' OR consensus <> gold_label THEN 'consensus' END) AS reasons FROM records) WHERE reasons <> ''""",
+)
+def ev_15_whole(spark, sf_dir):
+    """Records that break any rule of a dataset's records; on the given tables five of the nine are broken."""
+    return records.invalid_records(_pair_records(spark, sf_dir)).select("pair_id", "reasons")
+
+
 @query(
     "win_9_uncertain_first",
     """SELECT annotator, pair_id FROM (SELECT annotator, pair_id, row_number() OVER (PARTITION BY annotator ORDER BY abs(sim_score - 0.6), pair_id) AS r FROM (SELECT DISTINCT annotator FROM votes) u, (SELECT * FROM eval_pairs WHERE split = 'train') p

@@ -1550,6 +1550,14 @@ def pl_6(spark, sf_dir):
     return changes.token_differences(pairs)
 
 
+@query("pl_5_whole_changes")
+def pl_5_whole(spark, sf_dir):
+    """Changes of every relation's claims with ratio, spans, order in time and lag."""
+    text = domain.claims(spark, sf_dir).select("claim_id", "claim_text", "published_s")
+    pairs = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "b", "newer_s"), "from_id").join(text.toDF("to_id", "a", "older_s"), "to_id")
+    return changes.whole_changes(pairs)
+
+
 @query("pl_13_pooled_probability")
 def pl_13(spark, sf_dir):
     rows = domain.claims(spark, sf_dir)
