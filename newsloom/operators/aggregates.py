@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as tx
+
 SUPPORTED, DISPUTED = ("SUPPORTED", "PARTIALLY_SUPPORTED"), ("DISPUTED",)
 
 
@@ -85,3 +87,18 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """A checksum of a set of rows that does not depend on their order: count and the sum of row digests."""
     row = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])), 1, 12), 16, 10).cast("decimal(38,0)")
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("checksum"))
+
+
+def collection_summary(fetched: DataFrame, failures: DataFrame) -> DataFrame:
+    """(source, fetched, inserted, error) for fetched (source, url, id) and failures (source, error).
+
+    Of rows with one url the lowest id is inserted; rows without a url never are. A source that failed has its rows taken
+    back: it counts nothing, keeps no url from others, and its first error is shown in one line.
+    """
+    failed = failures.groupBy("source").agg(F.concat(F.lit("Failed - "), tx.one_line(F.min("error"))).alias("error"))
+    kept = fetched.join(failed.select("source"), "source", "left_anti")
+    first = kept.where("url is not null").groupBy("url").agg(F.min_by("source", "id").alias("source"))
+    inserted = first.groupBy("source").agg(F.count("*").alias("inserted"))
+    counts = kept.groupBy("source").agg(F.count("*").alias("fetched")).join(inserted, "source", "left")
+    done = counts.select("source", "fetched", F.coalesce("inserted", F.lit(0)).alias("inserted"), F.lit(None).cast("string").alias("error"))
+    return done.unionByName(failed.select("source", F.lit(0).cast("long").alias("fetched"), F.lit(0).cast("long").alias("inserted"), "error"))

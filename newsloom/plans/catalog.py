@@ -934,6 +934,12 @@ def fn_1_whole(spark, sf_dir):
     return domain.table(spark, sf_dir, "pages").select("page_id", spans.clean_text("html").alias("cleaned"))
 
 
+@query("fn_2_whole_display")
+def fn_2_whole(spark, sf_dir):
+    """Every page's text for display, with all entities."""
+    return domain.table(spark, sf_dir, "pages").select("page_id", spans.display_text(200)("html").alias("shown"))
+
+
 @query("fn_21_text_key")
 def fn_21_whole(spark, sf_dir):
     """Identity of every document's text in NFKC, case-folded; null below 80 characters."""
@@ -1217,13 +1223,17 @@ _WRITTEN = [
 ]
 
 
+def _written_times(spark, sf_dir):
+    """(event_id, payload, known): each event's time as a feed would write it; every twelfth has it already."""
+    payload = F.expr("case event_id % 12 " + " ".join(f"when {k} then {written}" for k, (written, *_) in enumerate(_WRITTEN)) + " end")
+    timed = domain.events(spark, sf_dir).withColumn("t", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, at_s)"))
+    return timed.select("event_id", payload.alias("payload"), F.when(F.col("event_id") % 12 == 0, F.col("at_s")).alias("known"))
+
+
 @query("fn_7_published_repair", "SELECT event_id, CAST(CASE event_id % 12 " + " ".join(f"WHEN {k} THEN {known or read}" for k, (_, known, read) in enumerate(_WRITTEN)) + " END AS BIGINT) AS published_s FROM ev")
 def fn_7(spark, sf_dir):
     """Each event's time is written into a payload in one of the feeds' ways and read back from it; one kind has it already."""
-    payload = F.expr("case event_id % 12 " + " ".join(f"when {k} then {written}" for k, (written, *_) in enumerate(_WRITTEN)) + " end")
-    timed = domain.events(spark, sf_dir).withColumn("t", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, at_s)"))
-    rows = timed.select("event_id", payload.alias("payload"), F.when(F.col("event_id") % 12 == 0, F.col("at_s")).alias("known"))
-    return rows.select("event_id", tx.repaired_time(F.col("known"), F.col("payload")).alias("published_s"))
+    return _written_times(spark, sf_dir).select("event_id", tx.repaired_time(F.col("known"), F.col("payload")).alias("published_s"))
 
 
 # ---------------------------------------------------------------- graphs, evaluation and status
@@ -1327,6 +1337,23 @@ def agg_16(spark, sf_dir):
     return domain.articles(spark, sf_dir).select("domain", first.alias("first")).groupBy("domain").agg(F.count("*").alias("fetched"), F.count_if(F.col("first")).alias("inserted"))
 
 
+_REFUSED = """'HTTP 503:' || chr(10) || '  ' || domain || ' is away'"""
+
+
+@query(
+    "agg_16_whole_summary",
+    f""", failed AS (SELECT DISTINCT domain, 'Failed - ' || regexp_replace({_REFUSED}, '\\s+', ' ', 'g') AS error FROM articles WHERE length(domain) % 4 = 1),
+    kept AS (SELECT * FROM articles WHERE domain NOT IN (SELECT domain FROM failed)),
+    placed AS (SELECT domain, url IS NOT NULL AND row_number() OVER (PARTITION BY url ORDER BY article_id) = 1 AS first FROM kept)
+    SELECT domain AS source, count(*) AS fetched, count(*) FILTER (WHERE first) AS inserted, NULL::VARCHAR AS error FROM placed GROUP BY domain UNION ALL SELECT domain, 0, 0, error FROM failed""",
+)
+def agg_16_whole(spark, sf_dir):
+    """What each source brought, and why the others failed: here, for want of a log, those with names of certain lengths."""
+    rows = domain.articles(spark, sf_dir).select(F.col("domain").alias("source"), "url", F.col("article_id").alias("id"))
+    failures = rows.where("length(source) % 4 = 1").select("source", F.expr(_REFUSED.replace("domain", "source")).alias("error")).distinct()
+    return agg.collection_summary(rows, failures)
+
+
 @query("agg_18_corpus_snapshot", "SELECT (SELECT count(*) FROM articles) AS articles, (SELECT count(*) FROM claims) AS claims, (SELECT count(*) FROM relations WHERE kind = 'EVOLVED_FROM') AS evolved, (SELECT count(*) FROM relations WHERE kind = 'SIMILAR_TO') AS similar, (SELECT max(published_s) FROM articles) AS last_s")
 def agg_18(spark, sf_dir):
     edges = domain.relations(spark, sf_dir).agg(F.count_if(F.col("kind") == "EVOLVED_FROM").alias("evolved"), F.count_if(F.col("kind") == "SIMILAR_TO").alias("similar"))
@@ -1538,6 +1565,18 @@ def pl_1(spark, sf_dir):
     return done.join(canonical, "article_id").select("article_id", "domain", "language", tx.word_count(F.col("c")).alias("n_words"), "canonical_id")
 
 
+@query("pl_1_whole_preprocess")
+def pl_1_whole(spark, sf_dir):
+    """Each article cleaned in full, with language, host, words, its time as its payload has it, and the first of its near-duplicates."""
+    rows = domain.articles(spark, sf_dir)
+    texts = rows.select(F.col("article_id").alias("id"), F.col("content").alias("text"), F.col("collected_s").alias("at_s"))
+    canonical = neardup.near_duplicates(texts).withColumnRenamed("id", "article_id")
+    times = _written_times(spark, sf_dir).select(F.col("event_id").alias("article_id"), tx.repaired_time(F.col("known"), F.col("payload")).alias("published_s"))
+    cleaned = rows.select("article_id", "url", spans.clean_text("content").alias("cleaned")).withColumn("language", tx.language_by_words(F.col("cleaned")))
+    done = cleaned.join(times, "article_id", "left").join(canonical, "article_id")
+    return done.select("article_id", "cleaned", "language", tx.url_authority(F.col("url")).alias("domain"), tx.word_count(F.col("cleaned")).alias("n_words"), "published_s", "canonical_id")
+
+
 @query("pl_3_topic_clusters")
 def pl_3(spark, sf_dir):
     return modelling.topic_clusters(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 8)

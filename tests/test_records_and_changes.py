@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import spans
 from newsloom.functions.text import TOKEN
-from newsloom.operators import changes, records
+from newsloom.operators import aggregates, changes, neardup, records
 from newsloom.plans import catalog
 
 PAIRS = "pair_id long, event_group long, split string, sim_score double, gold_label string, claim_a_id long, claim_b_id long, text_a string, text_b string"
@@ -99,3 +100,38 @@ def test_whole_changes_of_relations(spark):
         other = known[r["from_id"], r["to_id"]]
         assert r["meaningful"] == other["meaningful"] == (a != b)
         assert [t for t in r["types"].split(",") if t not in style] == [t for t in other["types"].split(",") if t not in style]
+
+
+def test_near_pairs_at_the_very_limit(spark):
+    """55 of 100 words: the product 100 * .55 exceeds 55 in floating point, the pair still counts."""
+    words = [f"w{k}" for k in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words), 0), (2, " ".join(words[:55]), 1), (3, " ".join(words[:54]), 2)], "id long, text string, at_s long")
+    found = {(r["a"], r["b"]): r["jaccard"] for r in neardup.near_pairs(docs, 0.55, width=1).collect()}
+    assert found == {(1, 2): pytest.approx(0.55), (2, 3): pytest.approx(54 / 55)}
+
+
+def test_collection_summary(spark):
+    rows = [("a", "u1", 1), ("a", "u2", 5), ("b", "u1", 2), ("b", "u3", 3), ("b", None, 4), ("c", "u2", 0), ("d", "u1", 9)]
+    failures = [("c", "Timeout:\n  host \t away"), ("c", "Zeta"), ("e", "x" * 300)]
+    found = aggregates.collection_summary(spark.createDataFrame(rows, "source string, url string, id long"), spark.createDataFrame(failures, "source string, error string"))
+    rows = {r["source"]: tuple(r)[1:] for r in found.collect()}
+    assert rows == {"a": (2, 2, None), "b": (3, 1, None), "c": (0, 0, "Failed - Timeout: host away"), "d": (1, 0, None), "e": (0, 0, "Failed - " + "x" * 200)}
+
+
+def test_display_text_resolves_entities(spark):
+    given = ["<p>Caf&eacute; &amp; bar</p>\n<b>now", "a <b>c</b> &#x4e2d;", "<div></div>", "", None, "5 < 6 &lt;b&gt;", "x" * 300]
+    want = ["Café & bar now", "a c 中", None, None, None, "5 6 <b>", "x" * 200]
+    found = spark.createDataFrame(list(enumerate(given)), "k long, html string").select("k", spans.display_text(200)("html").alias("shown"))
+    assert [r["shown"] for r in found.orderBy("k").collect()] == want
+
+
+def test_whole_preprocess(spark):
+    """Every article once; what it shares with the plainer query is equal, times are those of the repair."""
+    sf = "/root/testdata/sf0.001"
+    found = {r["article_id"]: r for r in catalog.QUERIES["pl_1_whole_preprocess"](spark, sf).collect()}
+    plain = {r["article_id"]: r for r in catalog.QUERIES["pl_1_preprocess"](spark, sf).collect()}
+    times = {r["event_id"]: r["published_s"] for r in catalog.QUERIES["fn_7_published_repair"](spark, sf).collect()}
+    assert set(found) == set(plain) and len(found) > 50
+    for k, r in found.items():
+        assert (r["domain"], r["canonical_id"], r["published_s"]) == (plain[k]["domain"], plain[k]["canonical_id"], times.get(k))
+        assert r["n_words"] == (len(r["cleaned"].split()) if r["cleaned"] and r["cleaned"].split() else None)
