@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,14 @@ def _longest_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return found
 
 
-def common_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+#: Up to this product of their lengths, sequences go through the standard library's matcher, which is faster on short ones.
+SHORT = 20_000
+
+
+def common_runs(a: np.ndarray, b: np.ndarray, short: int = SHORT) -> list[tuple[int, int, int]]:
     """Runs of equal tokens in order: the longest one, then those before it on both sides, and those behind it."""
+    if len(a) * len(b) <= short:
+        return [tuple(m) for m in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks() if m.size]
     todo, runs = [(0, len(a), 0, len(b))], []
     while todo:
         a0, a1, b0, b1 = todo.pop()

@@ -4,6 +4,7 @@ import difflib
 import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,17 @@ def test_whole_preprocess(spark):
     for k, r in found.items():
         assert (r["domain"], r["canonical_id"], r["published_s"]) == (plain[k]["domain"], plain[k]["canonical_id"], times.get(k))
         assert r["n_words"] == (len(r["cleaned"].split()) if r["cleaned"] and r["cleaned"].split() else None)
+
+
+def test_short_and_long_sequences_align_alike():
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        a, b = (rng.integers(0, 2 + k % 9, rng.integers(0, 40)) for _ in range(2))
+        short, long = (changes.common_runs(a, b, limit) for limit in (10**6, -1))
+        merged = []
+        for i, j, n in long:  # the library joins runs that touch on both sides
+            if merged and merged[-1][0] + merged[-1][2] == i and merged[-1][1] + merged[-1][2] == j:
+                merged[-1] = (*merged[-1][:2], merged[-1][2] + n)
+            else:
+                merged.append((i, j, n))
+        assert short == merged
