@@ -177,3 +177,14 @@ def test_edges_around_chosen_nodes(spark):
 
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5), (5, 2), (7, 8)], "a long, b long")
     assert sorted(tuple(r) for r in graph.around(edges, spark.createDataFrame([(2,)], "node long")).collect()) == [(1, 2), (1, 5), (2, 3), (5, 2)]
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    """A sentence that begins or ends with the number of its place keeps it; blanks of any kind go from both ends."""
+    said = ["0997523947200283 was paid to the office in May.", "1 in 11 of the people said so to the paper today 1", "\u00a022 houses burnt down in the old town on Monday.\u3000"]
+    text = said[0] + " " + said[1] + "! " + said[2]
+    got = spark.createDataFrame([(text,)], "t string").select(tx.sentences(F.col("t"))).first()[0]
+    assert got == [said[0], said[1] + "!", said[2].strip()]
+    many = [f"{k} and more words than thirty letters hold come at place {k}" for k in range(12)]
+    got = spark.createDataFrame([("\u2003.  ".join(many),)], "t string").select(tx.sentences(F.col("t"), 12)).first()[0]
+    assert got == [f"{m}\u2003." for m in many[:-1]] + many[-1:]
