@@ -109,3 +109,17 @@ def test_lineages_of_a_hub_stop_at_the_budget(spark, monkeypatch, most):
         got.setdefault(r["root"], (set(), r["truncated"]))[0].add(r["node"])
     want = {r: w for r in roots if (w := plain_lineage([e for e in edges if e[0] != e[1]], r, 3, 12, most))}
     assert got == want and max(frontiers) <= most
+
+
+def test_many_rows_are_attached_without_broadcast_and_only_hot_keys_are_repeated(spark):
+    """Spark takes a table that is repeated for each salt to be as small as its file, and would send it to the driver."""
+    from newsloom.plans.staging import attach, stage
+
+    big = spark.range(3000).select("id", F.when(F.col("id") % 50 != 7, F.when(F.col("id") < 1000, 5).otherwise(F.col("id") % 400)).alias("k"))
+    small = stage(spark.range(300).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), (F.col("id") * 10).alias("v")), "small")
+    joined = attach(big, small, ["k"], "id", max_broadcast_rows=100, hot_rows=200)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Generate explode(sequence(0, CASE WHEN __hot" in plan
+    want = {r["id"]: 0 if r["k"] is None else r["k"] * 10 if 0 < r["k"] < 300 else None for r in big.collect()}
+    assert {r["id"]: r["v"] for r in joined.collect()} == want and joined.count() == 3000
+    assert joined.columns == ["id", "k", "v"]
