@@ -197,3 +197,14 @@ def test_benchmark_csv_readers(spark, tmp_path):
     assert [tuple(r) for r in feeds.read_scored_csv(spark, scored).collect()] == [('one, "two"', 1.0), ("three", 0.0), ("four", 0.0)]
     assert [tuple(r) for r in feeds.read_claims_csv(spark, claims).collect()] == [("1", "said", "true")]
     assert [tuple(r) for r in feeds.read_claim_records(spark, records).collect()] == [(1, "c", "L"), (2, None, None)]
+
+
+def test_the_index_of_bands_is_the_state_of_a_join(spark, tmp_path):
+    """The keys of bands, 22 for each article, go through no Python process one by one."""
+    text = " ".join(f"w{i}" for i in range(60))
+    schema = "id long, at_s long, text string"
+    run = lambda s, f: keyed.near_duplicate_pairs(s, spark.read.schema(schema).parquet(str(tmp_path / "landed")), f).select("a", "b")
+    found = _arrivals(spark, tmp_path, schema, [[(1, 0, text), (3, 0, text)], [(2, 14 * DAY, text), (4, 14 * DAY + 1, text)]], run)
+    assert found[-1] == [(1, 2), (1, 3), (2, 4), (3, 2)]
+    state = next(p.parent for p in tmp_path.rglob("offsets") if p.is_dir())
+    assert {r["operatorName"] for r in spark.read.format("state-metadata").load(f"file://{state}").select("operatorName").collect()} == {"symmetricHashJoin"}
