@@ -123,3 +123,19 @@ def test_many_rows_are_attached_without_broadcast_and_only_hot_keys_are_repeated
     want = {r["id"]: 0 if r["k"] is None else r["k"] * 10 if 0 < r["k"] < 300 else None for r in big.collect()}
     assert {r["id"]: r["v"] for r in joined.collect()} == want and joined.count() == 3000
     assert joined.columns == ["id", "k", "v"]
+
+
+def test_blocks_keep_the_best_parents_of_each_child(spark):
+    """Equal vectors tie to the lower id; rows of the best of each block include the best of all."""
+    from newsloom.operators import vectors
+
+    rng = random.Random(9)
+    some = [[rng.random() - 0.3 for _ in range(5)] for _ in range(9)]
+    rows = [(i, i % 2, rng.randrange(60), rng.choice(some) if i % 13 else None) for i in range(120)] + [(200, 0, 70, [1.0, None]), (201, 0, 71, [1.0])]
+    table = spark.createDataFrame(rows, "id long, topic int, published_s long, v array<double>")
+    best = lambda df, n: sorted(tuple(r) for c in {r["child"] for r in df} for r in sorted((r for r in df if r["child"] == c), key=lambda r: (-r["score"], r["parent"]))[:n])
+    whole = vectors.earlier_candidates(table, 20, 0.1).collect()
+    for block_rows in (4, 4_000):
+        few = vectors.earlier_candidates(table, 20, 0.1, block_rows, most=2).collect()
+        assert best(few, 2) == best(whole, 2) and len(few) <= len(whole)
+    assert len(few) < len(whole)
