@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import TOKEN
-from newsloom.operators.verdicts import change_kinds
+from newsloom.operators.verdicts import with_change_kinds
 
 _TOKEN = re.compile(TOKEN)
 
@@ -90,7 +90,7 @@ def whole_changes(pairs: DataFrame) -> DataFrame:
     Null texts count as empty.
     """
     texts = pairs.withColumns({"a": F.coalesce("a", F.lit("")), "b": F.coalesce("b", F.lit(""))})
-    texts = texts.withColumns({"kinds": F.array_join(change_kinds(F.col("a"), F.col("b")), ","), "lag_s": (F.col("newer_s") - F.col("older_s")).cast("long")})
+    texts = with_change_kinds(texts).withColumns({"kinds": F.array_join("kinds", ","), "lag_s": (F.col("newer_s") - F.col("older_s")).cast("long")})
     rows = token_differences(texts, "kinds", "lag_s").withColumn("meaningful", F.col("changed_spans") != "[]")
     style = F.when(F.col("ratio") < 0.65, "FRAMING_SHIFT").when((F.col("ratio") < 0.9) | (F.col("kinds") == ""), "WORDING_DRIFT")
     types = F.when(~F.col("meaningful"), "NEAR_DUPLICATE").otherwise(F.concat_ws(",", F.when(F.col("kinds") != "", F.col("kinds")), style))
