@@ -258,8 +258,9 @@ def pl_4(spark, sf_dir):
 def gr_11(spark, sf_dir):
     """The most confident scored claims whose article has a vector; edges between them, or nearest neighbours if none."""
     rows = domain.table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("v"))
-    scored = domain.claims(spark, sf_dir).where("verdict is not null").join(rows, "article_id")
-    return verdicts.claim_graph(scored.select("claim_id", "confidence", "v"), domain.relations(spark, sf_dir), 400, 4)
+    claims = catalog.staged_claims(spark, sf_dir, "claim_id", "article_id", "confidence", "verdict", "extracted_s")
+    scored = claims.where("verdict is not null").join(rows, "article_id")
+    return verdicts.claim_graph(scored.select("claim_id", "confidence", "v"), domain.relations(spark, sf_dir, claims), 400, 4)
 
 
 _BUCKETS = [name for _, name in lex.BUCKETS]
@@ -277,15 +278,17 @@ def win_10(spark, sf_dir):
 @query("ev_24_new_sample")
 def ev_24(spark, sf_dir):
     """New pairs of claims at one place of similar articles; relations exist already, frozen where the child's article is in test."""
-    claims = domain.claims(spark, sf_dir).select(F.col("claim_id").alias("id"), "article_id", "domain", (F.col("claim_id") % 8).alias("pos"))
+    known = catalog.staged_claims(spark, sf_dir, "claim_id", "article_id", "domain", "extracted_s")
+    claims = known.select(F.col("claim_id").alias("id"), "article_id", "domain", (F.col("claim_id") % 8).alias("pos"))
     left, right = (claims.select(F.col("id").alias(x), F.col("article_id").alias(f"at_{x}"), F.col("domain").alias(f"of_{x}"), "pos") for x in ("a", "b"))
     edges = domain.article_edges(spark, sf_dir).toDF("at_a", "at_b", "score")
     rows = edges.join(left, "at_a").join(right, ["at_b", "pos"])
     rows = rows.select("a", "b", "score", tx.similarity_bucket(F.col("score")).alias("bucket"), F.col("of_a").eqNullSafe(F.col("of_b")).alias("same_outlet"))
     split = domain.eval_pairs(spark, sf_dir).select(F.col("pair_id").alias("article_id"), (F.col("split") == "test").alias("frozen"))
-    known = domain.relations(spark, sf_dir).select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()
+    known = domain.relations(spark, sf_dir, known).select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()
     known = known.join(claims.select(F.col("id").alias("a"), "article_id"), "a").join(split, "article_id", "left")
-    return ranking.new_sample(rows, known.select("a", "b", F.coalesce("frozen", F.lit(False)).alias("frozen")), claims.select("id", "article_id"), _BUCKETS, 50)
+    known = catalog.stage(known.select("a", "b", F.coalesce("frozen", F.lit(False)).alias("frozen")), "known-pairs")
+    return ranking.new_sample(rows, known, claims.select("id", "article_id"), _BUCKETS, 50)
 
 
 @query("pl_3_named_topics")

@@ -200,3 +200,57 @@ def test_token_runs_agree_with_the_standard_library():
             else:
                 joined.append((i, j, n))
         assert joined == [tuple(x) for x in blocks]
+
+
+def test_texts_stay_where_they_are(spark, tmp_path):
+    """No join of articles or claims with the events' times carries a text that the query does not read."""
+    from newsloom.sources import domain
+
+    spark.createDataFrame([(1, "A sentence that is long enough to be a claim.", "en", "src1", 45)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select 1L as event_id, timestamp_ntz'2024-01-01 00:00:00' as ts").write.parquet(f"{tmp_path}/events.parquet")
+
+    def carried(df):
+        found, todo = set(), [df._jdf.queryExecution().optimizedPlan()]
+        while todo:
+            node = todo.pop()
+            below = [node.children().apply(k) for k in range(node.children().size())]
+            todo += below
+            if node.nodeName() == "Join":
+                found |= {c.output().apply(k).name() for c in below for k in range(c.output().size())}
+        return found
+
+    path = str(tmp_path)
+    assert not {"text", "claim_text"} & carried(domain.relations(spark, path))
+    assert not {"text", "content"} & carried(domain.articles(spark, path).select("article_id", "title", "content_hash", "collected_s"))
+    assert "text" not in carried(domain.claims(spark, path))
+    assert [tuple(r) for r in domain.claims(spark, path).select("claim_id", "extracted_s").collect()] == [(8, 1_704_067_200 + 3600)]
+
+
+def test_tokens_are_cut_once_for_all_kinds_of_change(spark):
+    from newsloom.operators import verdicts
+
+    pairs = spark.createDataFrame([("It may not cost $5 in Paris.", "It cost $6 in Rome.")], "a string, b string")
+    changed = verdicts.text_change(pairs)
+    assert changed.first()["types"] == "NUMERIC_DRIFT,ENTITY_SUBSTITUTION,POLARITY_SHIFT,HEDGING_SHIFT,FRAMING_SHIFT"
+    assert changed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 6
+
+
+def test_only_rows_of_given_keys_by_either_way(spark):
+    from newsloom.plans.staging import only
+
+    big = spark.createDataFrame([(k % 5, f"t{k}") for k in range(20)], "id long, text string")
+    some = spark.createDataFrame([(1,), (3,), (3,), (9,)], "id long")
+    for limit in (10, 0):
+        assert sorted(tuple(r) for r in only(big, some, "id", limit).collect()) == sorted((k % 5, f"t{k}") for k in range(20) if k % 5 in (1, 3))
+
+
+def test_shingles_in_many_ways_make_the_same_pairs(spark):
+    """Texts and times apart give what they give together; a shingle of one text alone links nothing."""
+    from newsloom.operators import neardup
+
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words), 0), (2, " ".join(words[:-1]), 60), (3, " ".join(words[::-1]), 90), (4, None, 5), (5, " ".join(words), None), (6, "w0 w1", 7), (7, " ".join(words), 30)]
+    docs = spark.createDataFrame(rows, "id long, text string, at_s long")
+    apart = neardup.near_duplicates(docs.select("id", "text"), times=docs.select("id", "at_s"))
+    want = {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6, 7: 1}
+    assert {r[0]: r[1] for r in apart.collect()} == want == {r[0]: r[1] for r in neardup.near_duplicates(docs).collect()}
