@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from newsloom.functions import text as tx
-from newsloom.functions.spans import ENTITY_KINDS
+from newsloom.functions.spans import SPARK_ENTITY_KINDS
 
 
 #: White space as Python's str.split() sees it.
@@ -87,7 +87,7 @@ def sparse_cosine(weights: DataFrame, pairs: DataFrame) -> DataFrame:
 def entity_set(text: Column, longest: int = 500) -> Column:
     """Distinct lower-cased entities of a text's beginning: money, shares, years, names and capitalised tokens."""
     head = F.substring(text, 1, longest)
-    found = [F.regexp_extract_all(head, F.lit(p), F.lit(0)) for p in ENTITY_KINDS.values()]
+    found = [F.regexp_extract_all(head, F.lit(p), F.lit(0)) for p in SPARK_ENTITY_KINDS.values()]
     return F.array_distinct(F.filter(F.transform(F.concat(*found, tx.entity_tokens(head)), lambda t: F.lower(t)), lambda t: F.length(t) > 1))
 
 

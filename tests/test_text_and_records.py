@@ -188,3 +188,13 @@ def test_sentences_keep_digits_at_their_ends(spark):
     many = [f"{k} and more words than thirty letters hold come at place {k}" for k in range(12)]
     got = spark.createDataFrame([("\u2003.  ".join(many),)], "t string").select(tx.sentences(F.col("t"), 12)).first()[0]
     assert got == [f"{m}\u2003." for m in many[:-1]] + many[-1:]
+
+
+def test_entity_rows_end_words_like_their_positions(spark):
+    """A year beside a letter outside ASCII is one in columns too, as it is by position; beside an ASCII letter it is not."""
+    from newsloom.operators import features, verdicts
+
+    rows = spark.createDataFrame([(1, "\u00e92019 and 1987\u00df, Vienna2001 x2020 2020x 2021_ 1999."), (2, None)], "claim_id long, claim_text string")
+    got = sorted(r["entity_text"] for r in verdicts.entity_rows(rows).where("entity_type = 'DATE'").collect())
+    assert got == sorted(r["entity_text"] for r in spans.entity_spans(rows).where("entity_type = 'DATE'").collect()) == ["1987", "1999", "2019"]
+    assert {"2019", "1987"} <= set(rows.where("claim_id = 1").select(features.entity_set(F.col("claim_text"))).first()[0])
