@@ -198,3 +198,13 @@ def test_entity_rows_end_words_like_their_positions(spark):
     got = sorted(r["entity_text"] for r in verdicts.entity_rows(rows).where("entity_type = 'DATE'").collect())
     assert got == sorted(r["entity_text"] for r in spans.entity_spans(rows).where("entity_type = 'DATE'").collect()) == ["1987", "1999", "2019"]
     assert {"2019", "1987"} <= set(rows.where("claim_id = 1").select(features.entity_set(F.col("claim_text"))).first()[0])
+
+
+def test_a_vertical_tab_is_no_white_space(spark):
+    """Sentences end, words are counted and tokens are cut at the white space that SQL knows: a vertical tab is a sign."""
+    text = "One of them was at the office.\x0bAnd two of them were at home.\fThe others, at\x0bleast five of them, were late."
+    row = spark.createDataFrame([(text,)], "t string").select(
+        tx.sentences(F.col("t")).alias("s"), tx.tokens(F.lit("at\x0bleast 5")).alias("k"), tx.surface_tokens(F.lit("A\x0bB")).alias("u"), tx.claim_worthiness(F.lit("a b c d e f g h i\x0bj")).alias("w")
+    ).first()
+    assert row["s"] == ["One of them was at the office.\x0bAnd two of them were at home.", "The others, at\x0bleast five of them, were late."]
+    assert row["k"] == ["at", "\x0b", "least", "5"] and row["u"] == ["A", "\x0b", "B"] and row["w"] == 0.5
