@@ -69,7 +69,7 @@ def ev_25(spark, sf_dir):
     text = domain.claims(spark, sf_dir).select("claim_id", "claim_text")
     rows = domain.relations(spark, sf_dir).select("from_id", "to_id").join(text.toDF("from_id", "a"), "from_id").join(text.toDF("to_id", "b"), "to_id")
     words = tx.jaccard(tx.token_set(F.col("a")), tx.token_set(F.col("b")))
-    score = 0.4 * words + 0.6 * features.pair_cosine()(F.lower("a"), F.lower("b"))
+    score = 0.4 * words + 0.6 * features.pair_cosine()(tx.lower(F.col("a")), tx.lower(F.col("b")))
     label = F.when(F.col("score") >= 0.4, "SAME_STORY").when(F.col("score") >= 0.2, "EVOLVED").otherwise("DISTINCT")
     return rows.withColumn("score", score).select("from_id", "to_id", F.round("score", 6).alias("score"), label.alias("label"))
 

@@ -208,3 +208,10 @@ def test_a_vertical_tab_is_no_white_space(spark):
     ).first()
     assert row["s"] == ["One of them was at the office.\x0bAnd two of them were at home.", "The others, at\x0bleast five of them, were late."]
     assert row["k"] == ["at", "\x0b", "least", "5"] and row["u"] == ["A", "\x0b", "B"] and row["w"] == 0.5
+
+
+def test_lower_case_goes_sign_by_sign(spark):
+    """A dotted capital I becomes one sign and a sigma at a word's end the same as within it; weak labels read such texts."""
+    said = spark.createDataFrame([("İT ΟΔΟΣ Äẞ",), (None,)], "t string")
+    assert [r["x"] for r in said.select(tx.lower(F.col("t")).alias("x")).collect()] == ["it οδοσ äß", None]
+    assert said.select(tx.token_set(F.col("t")).alias("x")).first()["x"] == ["it"]
