@@ -215,3 +215,10 @@ def test_lower_case_goes_sign_by_sign(spark):
     said = spark.createDataFrame([("İT ΟΔΟΣ Äẞ",), (None,)], "t string")
     assert [r["x"] for r in said.select(tx.lower(F.col("t")).alias("x")).collect()] == ["it οδοσ äß", None]
     assert said.select(tx.token_set(F.col("t")).alias("x")).first()["x"] == ["it"]
+
+
+def test_tokens_end_where_sql_ends_them(spark):
+    """White space and the end after a magnitude are ASCII's: other blanks are signs, and no blank of a number."""
+    rows = spark.createDataFrame([(1, "5kä 5k, 5kb 7%"), (2, "5\xa0% $\xa05"), (3, "a\x0bb\tc")], "id int, text string")
+    got = {k: [r["token"] for r in spans.token_spans(rows.where(f"id = {k}"), "text").orderBy("position").collect()] for k in (1, 2, 3)}
+    assert got == {1: ["5k", "ä", "5k", ",", "5", "kb", "7%"], 2: ["5", "\xa0", "%", "$", "\xa0", "5"], 3: ["a", "\x0b", "b", "c"]}
