@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 
 from newsloom.operators.ranking import first_per_key
 
+#: Quotes are doubled and nothing else is an escape: the default escape of an escape, NUL, would be lost beside quotes.
+CSV_READ = {"header": True, "multiLine": True, "escape": '"', "charToEscapeQuoteEscaping": "\uffff"}
+#: The same when writing; signs at a value's ends stay.
+CSV_WRITE = {"header": True, "quoteAll": True, "escape": '"', "charToEscapeQuoteEscaping": "\uffff", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 _RSS = "title string, link string, description string, content string, pubDate string, updated string, author string"
 _POST = "title string, url string, permalink string, selftext string, created_utc double, author string, subreddit string"
 _NEWS = "status string, articles array<struct<title: string, url: string, content: string, description: string, publishedAt: string, author: string>>"
@@ -50,7 +55,7 @@ def read_article_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
     word_count is a number only if it is all digits; sources has the first row of each source_url.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.options(**CSV_READ).csv(path)
     rows = raw.select(*[_present(F.col(c)).alias(c) for c in raw.columns]).withColumn("__at", F.monotonically_increasing_id())
     rows = rows.where("url is not null")
     if "word_count" in rows.columns:
@@ -107,7 +112,7 @@ def read_claim_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _quoted_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.options(**CSV_READ).csv(path)
 
 
 def write_records(records: DataFrame, path: str, key: str) -> DataFrame:

@@ -1,0 +1,32 @@
+"""Queries against their SQL on tables whose texts are odd or come many times."""
+
+import duckdb
+
+from newsloom.plans import catalog, intake
+
+assert intake  # its queries are in the catalogue's table
+TEXTS = [None, "", "  ", "\n", '"', 'a"\x00b', '\x00"', "\x01 a \x01", "a\x0bb", "\x0ba", "\u3000a\xa0", " a\u2003", "a\r\nb", "\\", '\\"\n\x00', "plain words", "#a,b"]
+
+
+def tables(spark, folder, texts, sources=("news", None), days=None):
+    """documents and events of the given texts; days: when each was collected."""
+    rows = [(k, t, "en", sources[k % len(sources)], len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    times = spark.createDataFrame([(k, float(k if days is None else days[k])) for k in range(len(texts))], "event_id long, d double")
+    stamp = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, d * 86400) as ts"
+    times.selectExpr("event_id", stamp, "1L as user_id", "'view' as event_type", "0.0D as value", "'{}' as props").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def by_sql(folder, name):
+    con = duckdb.connect()
+    for table in ("documents", "events"):
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    return con.execute(catalog.ORACLE_SQL[name]).fetchall()
+
+
+def test_article_csv_keeps_every_sign(spark, tmp_path):
+    """Signs at the ends, NUL beside quotes, vertical tabs, empty and absent contents and sources come out as in SQL."""
+    folder = tables(spark, tmp_path, TEXTS)
+    found = [tuple(r) for r in catalog.QUERIES["src_4_article_csv"](spark, folder).select("kind", "key", "value", "n").collect()]
+    assert sorted(found, key=str) == sorted(by_sql(folder, "src_4_article_csv"), key=str)
