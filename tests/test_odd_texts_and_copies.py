@@ -1,7 +1,13 @@
 """Queries against their SQL on tables whose texts are odd or come many times."""
 
+import random
+import re
+
 import duckdb
+from pyspark.sql import functions as F
 
+from newsloom.functions import text
+from newsloom.operators import neardup
 from newsloom.plans import catalog, intake
 
 assert intake  # its queries are in the catalogue's table
@@ -30,3 +36,54 @@ def test_article_csv_keeps_every_sign(spark, tmp_path):
     folder = tables(spark, tmp_path, TEXTS)
     found = [tuple(r) for r in catalog.QUERIES["src_4_article_csv"](spark, folder).select("kind", "key", "value", "n").collect()]
     assert sorted(found, key=str) == sorted(by_sql(folder, "src_4_article_csv"), key=str)
+
+
+def test_copies_link_by_each_of_their_times(spark, tmp_path):
+    """A text is near another if any of its copies was collected within 14 days of any of the other's, not the first alone."""
+    made = random.Random(8)
+    base = [f"w{k}" for k in range(40)]
+    kinds = [" ".join(made.choice("abc") if made.random() < 0.03 else w for w in base) for _ in range(12)] + ["", None, "a b", " ".join(base[::-1])]
+    texts = [" ".join(base), " ".join(base), " ".join(base[:-1])] + [made.choice(kinds) for _ in range(60)]
+    days = [0, 20, 34] + [made.choice([0, 13.9, 14, 14.1, 27, 28, 42, 100, 114, made.uniform(0, 200)]) for _ in range(60)]
+    folder = tables(spark, tmp_path, texts, days=days)
+    found = {r["id"]: r["canonical_id"] for r in catalog.QUERIES["jn_10_near_duplicates"](spark, folder).collect()}
+    assert found == dict(by_sql(folder, "jn_10_near_duplicates")) and found[2] == 0
+
+
+def test_near_pairs_of_many_sizes_are_those_of_brute_force(spark):
+    """Common shingles, sets of very different sizes, and thresholds high and low: no pair is lost to the prefixes or the parity bits."""
+    made = random.Random(4)
+    seeds = [[f"w{made.randrange(400)}" for _ in range(made.choice([3, 8, 20, 90, 400]))] for _ in range(25)]
+    rows = []
+    for k in range(110):
+        words = [w if made.random() < made.choice([0.9, 0.99]) else f"x{made.randrange(9)}" for w in made.choice(seeds)]
+        rows.append((k, " ".join(words[made.randrange(2) :] + ["the", "same", "last", "words"]), 0))
+    sets = {k: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for k, t, _ in rows}
+    docs = spark.createDataFrame(rows, "id long, text string, at_s long")
+    for threshold in (0.75, 0.3):
+        want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) * 1000 >= round(threshold * 1000) * len(sets[i] | sets[j])}
+        assert len(want) > 20 and {(r["a"], r["b"]) for r in neardup.near_pairs(docs, threshold, block_rows=30).collect()} == want
+
+
+def test_shingles_are_those_of_the_words(spark):
+    made = random.Random(2)
+    texts = ["".join(made.choice(["a", "bb", "é", " ", "  ", "\n", "\x0b", "x1", "\xa0"]) for _ in range(made.randrange(60))) for _ in range(200)] + [None, "", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {r["id"]: r["s"] for r in neardup.shingle_rows(docs, 3, ()).collect()}
+    words = [[w for w in re.split("[\x20\x09-\x0d]+", t or "") if w] for t in texts]
+    want = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, w in enumerate(words) if len(w) > 2}
+    assert {k: len(s) for k, s in found.items()} == {k: len(s) for k, s in want.items()}
+    names = {}
+    for k, s in want.items():
+        for x in s:
+            names.setdefault(x, set(found[k])).intersection_update(found[k])
+    assert all(names.values()) and all(s == sorted(s, key=lambda x: x % 2**64) for s in found.values())
+
+
+def test_texts_are_cut_once_for_all_languages(spark):
+    """The plan names the split and the mark-up's removal once, though several of its parts use them."""
+    docs = spark.createDataFrame([("the cat is on the mat and it is in the house",)], "t string")
+    named = docs.select(text.language_by_words(F.col("t")).alias("lang"), text.word_count(text.clean_markup(F.col("t"))).alias("n"))
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("<[^>]*>") == 1
+    assert tuple(named.first()) == ("en", 12)
