@@ -1,5 +1,6 @@
 """Queries against their SQL on tables whose texts are odd or come many times."""
 
+import math
 import random
 import re
 
@@ -7,8 +8,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import neardup
+from newsloom.operators import neardup, vectors
 from newsloom.plans import catalog, intake
+from newsloom.streaming import keyed
 
 assert intake  # its queries are in the catalogue's table
 TEXTS = [None, "", "  ", "\n", '"', 'a"\x00b', '\x00"', "\x01 a \x01", "a\x0bb", "\x0ba", "\u3000a\xa0", " a\u2003", "a\r\nb", "\\", '\\"\n\x00', "plain words", "#a,b"]
@@ -87,3 +89,37 @@ def test_texts_are_cut_once_for_all_languages(spark):
     plan = named._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and plan.count("<[^>]*>") == 1
     assert tuple(named.first()) == ("en", 12)
+
+
+def test_candidates_are_cut_before_titles_join_them(spark):
+    """Slots and blocks give a child more candidates than count; only its best are staged and meet what is said."""
+    rows = [(1, 0, 70 - k, [1.0, k / 40]) for k in range(60)] + [(1, 10, 70, [1.0, 0.0])]
+    table = spark.createDataFrame([(i * 100 + k, str(t), when, v) for k, (t, i, when, v) in enumerate(rows)], "id long, topic string, published_s long, v array<float>")
+    found = vectors.earlier_candidates(table, 35, 0.2, 7, most=50)
+    own = {r["parent"]: r["score"] for r in found.where("child = 1060").collect()}
+    assert len(own) == 35 and all(abs(s - 1 / math.sqrt(1 + (p / 40) ** 2)) < 1e-6 for p, s in own.items())
+    best = vectors.best_candidates(found, 4)
+    assert [(r["parent"], r["place"]) for r in best.where("child = 1060").orderBy("place").collect()] == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert not {"said", "title"} & set(best.columns)
+    said = spark.createDataFrame([(1060, "x")] + [(k, "x" if k < 3 else "y") for k in range(60)], "id long, said string")
+    edges = vectors.mutation_edges(best, said, 0.3, 0.2).where("child = 1060").select("parent", "kind").orderBy("parent").collect()
+    assert [tuple(r) for r in edges] == [(1, "SIMILAR_TO"), (2, "SIMILAR_TO"), (3, "EVOLVED_FROM"), (4, "SIMILAR_TO")]
+
+
+def test_a_slot_is_not_repeated_for_small_blocks(spark):
+    """5,000 rows of one topic and slot meet in one task; vectors are shuffled as they are given."""
+    table = spark.range(5_000).selectExpr("id", "'t' as topic", "id % 50 as published_s", "array(1f, 2f) as v")
+    plan = vectors.earlier_candidates(table, 1_000, 0.99, most=1)
+    assert plan.count() == 4_900
+    text_ = plan._jdf.queryExecution().executedPlan().toString()
+    assert "cast(v" not in text_ and vectors.BLOCK_ROWS >= 15_000
+
+
+def test_a_streams_batch_saves_what_it_changed(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    schema = "id long, at_s long, text string"
+    landed = str(tmp_path / "landed")
+    spark.createDataFrame([(1, 0, words), (2, 5, words)], schema).write.parquet(landed)
+    pairs = keyed.near_duplicate_pairs(spark.readStream.schema(schema).parquet(landed), spark.read.parquet(landed), str(tmp_path / "job"))
+    assert [tuple(r) for r in pairs.select("a", "b").collect()] == [(1, 2)]
+    assert list((tmp_path / "job" / "state" / "state").rglob("*.changelog")) and not list((tmp_path / "job" / "state" / "state").rglob("1.zip"))
